@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, sharding, simhash
+from . import bpe, decontam, dedup, quality, secrets, sharding, simhash
 from .common import Scratch, table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents")).select("doc_id", *secrets.digest_columns())
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(table(spark, sf_dir, "documents"), Scratch(spark, "op2")).drop("row")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents")).select("doc_id", *bpe.digest_columns())
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"), Scratch(spark, "op7"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -25,7 +33,25 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op8_sharding": op8_sharding}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.scores(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op6_bpe": op6_bpe,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_sharding": op8_sharding,
+    "op9_quality": op9_quality,
+    "op10_decontamination": op10_decontamination,
+}
 
 OP2_SQL = r"""
 WITH d AS (
