@@ -23,7 +23,7 @@ from .common import Scratch
 from .components import connected_components
 from .simhash import golay_keys
 
-PLANES, WORDS, SIMILARITY = 8, 5, 0.8
+PLANES, WORDS, SIMILARITY = 12, 5, 0.8
 _MIX = (np.random.Generator(np.random.PCG64(2311)).integers(1 << 62, 1 << 63, PLANES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
