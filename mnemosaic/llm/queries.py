@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, dedup, quality, secrets, sharding, simhash
+from . import bpe, decontam, dedup, html, licenses, pii, quality, secrets, sharding, simhash
 from .common import Scratch, table
 
 
@@ -17,6 +17,21 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(table(spark, sf_dir, "documents"), Scratch(spark, "op2")).drop("row")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"), Scratch(spark, "op4"))
+
+
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.surrogates(table(spark, sf_dir, "documents"), key="production-key-from-the-caller")
+    of_kind = lambda k: F.filter("spans", lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", "text", *counts)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents")).select("doc_id", *bpe.digest_columns())
 
@@ -46,6 +61,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_license_scan": op3_license_scan,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_bpe": op6_bpe,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_sharding": op8_sharding,
@@ -63,4 +81,4 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
 """
 
-SQL = {"op2_exact_dedup": OP2_SQL}
+SQL = {"op2_exact_dedup": OP2_SQL, "op3_license_scan": licenses.oracle()}
