@@ -12,6 +12,11 @@ def tokens(text: Column, least: int = 2) -> Column:
     return F.filter(split, lambda t: F.length(t) >= least)
 
 
+def ascii_words(pattern: str) -> str:
+    """The pattern with word boundaries between ASCII words alone, as the word class already is."""
+    return pattern.replace(r"\b", r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))")
+
+
 def js_round(x: Column) -> Column:
     """Half up, also below zero."""
     return F.floor(x + 0.5)
@@ -24,12 +29,12 @@ def clamp(x: Column, low: float, high: float) -> Column:
 def wiki_links(text: Column, longest: int = 60) -> Column:
     """Distinct targets of [[label]]."""
     found = F.regexp_extract_all(text, F.lit(rf"\[\[([^\[\]\n]{{1,{longest}}})\]\]"), F.lit(1))
-    return F.array_distinct(F.transform(found, F.trim))
+    return F.array_distinct(F.transform(found, lambda x: F.trim(x)))
 
 
 def label_refs(text: Column, kinds: tuple[str, ...] = ("bug", "decision", "lesson", "knowledge", "rule", "fact", "plan", "task")) -> Column:
     """Distinct typed references such as bug:name."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b(?:{'|'.join(kinds)}):[A-Za-z0-9][A-Za-z0-9_.-]{{0,59}}"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?<!\w)(?:{'|'.join(kinds)}):[A-Za-z0-9][A-Za-z0-9_.-]{{0,59}}"), F.lit(0)))
 
 
 def trigrams(text: Column) -> Column:
@@ -58,7 +63,7 @@ def ochiai(a: Column, b: Column) -> Column:
 
 def auto_summary(text: Column, shortest: int = 20, cut: int = 220) -> Column:
     """The first sentence or line with more than so many characters, cut."""
-    parts = F.filter(F.transform(F.split(text, r"[.!?\n]"), F.trim), lambda p: F.length(p) > shortest)
+    parts = F.filter(F.transform(F.split(text, r"[.!?\n]"), lambda p: F.trim(p)), lambda p: F.length(p) > shortest)
     return F.substring(F.get(parts, F.lit(0)), 1, cut)
 
 

@@ -105,7 +105,8 @@ def depths(links: DataFrame, nodes: DataFrame, most: int = 10) -> DataFrame:
     """links(id, parent) with any number of parents -> (id, depth): one over the deepest parent, at most the cap."""
     d = nodes.select("id").withColumn("depth", F.lit(0))
     for h in range(1, most + 1):
-        deeper = links.join(d.filter(F.col("depth") == h - 1), links["parent"] == d["id"]).select(links["id"].alias("id"), F.lit(h).alias("depth"))
+        last = d.filter(F.col("depth") == h - 1).select(F.col("id").alias("parent"))
+        deeper = links.join(last, "parent").select("id", F.lit(h).alias("depth"))
         d = d.unionByName(deeper).groupBy("id").agg(F.max("depth").alias("depth"))
     return d
 
@@ -129,7 +130,7 @@ def label_propagation(edges: DataFrame, rounds: int = 5, least: int = 3) -> Data
     both = symmetric(edges.select("src", "dst")).distinct()
     label = both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
     for _ in range(rounds):
-        seen = both.join(label, both["dst"] == label["id"]).groupBy("src", "community").agg(F.count("*").alias("n"))
+        seen = both.join(label.withColumnRenamed("id", "dst"), "dst").groupBy("src", "community").agg(F.count("*").alias("n"))
         label = seen.groupBy("src").agg(F.max_by("community", F.struct("n", -F.col("community"))).alias("community")).withColumnRenamed("src", "id")
     size = label.groupBy("community").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
     return label.join(size.select("community"), "community", "left_semi").select("id", "community")

@@ -87,10 +87,8 @@ def fallback_rerank(pool: DataFrame, words, query_words: list[str], score: str =
 def gate(scored: DataFrame, type_: str = "type", score: str = "score") -> DataFrame:
     """Adds passed, uncertain and gated to one query's bounded list of candidates."""
     ordered = Window.orderBy(F.desc(score), "id")
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    n = F.count("*").over(whole)
+    n = F.count("*").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     at = F.row_number().over(ordered)
-    last = F.max(F.when(at == F.least(n, F.lit(sc.GATE_TOP)), F.col(score)))
     marked = scored.withColumns({"passed": F.col(score) >= sc.gate_threshold(F.col(type_)), "_at": at, "_n": n})
     agg = marked.agg(F.max(score).alias("_top"), F.max(F.when(F.col("_at") == F.least("_n", F.lit(sc.GATE_TOP)), F.col(score))).alias("_low"), F.bool_or("passed").alias("_any"))
     out = marked.crossJoin(F.broadcast(agg))
@@ -131,7 +129,7 @@ def first_band(bands: list[DataFrame], limit: int) -> DataFrame:
 
 def expand_by_links(found: DataFrame, links: DataFrame, limit: int, factor: float = 0.8, more: int = 5) -> DataFrame:
     """found(id, score) and the nodes they link to at a factor of the score; the best limit + more, once each."""
-    added = found.join(links.filter("target_id IS NOT NULL"), found["id"] == links["source_id"]).select(F.col("target_id").alias("id"), (F.col("score") * factor).alias("score"))
+    added = found.join(links.filter("target_id IS NOT NULL").withColumnRenamed("source_id", "id"), "id").select(F.col("target_id").alias("id"), (F.col("score") * factor).alias("score"))
     both = found.select("id", "score").unionByName(added).groupBy("id").agg(F.max("score").alias("score"))
     return both.orderBy(F.desc("score"), "id").limit(limit + more)
 

@@ -28,7 +28,7 @@ def classify_intent(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     scored = []
     for rank, (name, patterns) in enumerate(INTENTS):
-        at = [F.regexp_instr(text, F.lit("(?i)" + p)) for p, _ in patterns]
+        at = [F.regexp_instr(text, F.lit(tx.ascii_words("(?i)" + p))) for p, _ in patterns]
         score = reduce(lambda a, b: a + b, [F.when(x > 0, w).otherwise(0) for x, (_, w) in zip(at, patterns)])
         first = F.least(*[F.when(x > 0, x).otherwise(1 << 30) for x in at], F.lit(1 << 30))
         scored.append(F.struct((-score).alias("neg"), first.alias("first"), F.lit(rank).alias("rank"), F.lit(name).alias("intent")))
@@ -77,7 +77,7 @@ SAYINGS = {
 def patterns(rows: DataFrame, id_: str, text: str, top: int = 10) -> DataFrame:
     """(category, key, nodes): how many nodes say a thing, the commonest of each category."""
     ls = lines(rows, id_, text).select("id", "line")
-    named = [ls.select("id", F.lit(c).alias("category"), F.explode(F.regexp_extract_all("line", F.lit(p), F.lit(0))).alias("key")) for c, p in (("file", FILES), ("tool", TOOLS))]
+    named = [ls.select("id", F.lit(c).alias("category"), F.explode(F.regexp_extract_all("line", F.lit(tx.ascii_words(p)), F.lit(0))).alias("key")) for c, p in (("file", FILES), ("tool", TOOLS))]
     said = [ls.filter(F.col("line").rlike(p)).select("id", F.lit(c).alias("category"), F.substring(F.regexp_replace("line", r"^[-*#\s]+", ""), 1, 80).alias("key")) for c, p in SAYINGS.items()]
     both = reduce(lambda a, b: a.unionByName(b), named + said)
     counted = both.distinct().groupBy("category", "key").agg(F.count("*").alias("nodes"))

@@ -11,8 +11,9 @@ _FIELDS = (
     "derived_from:array<string> embedding:array<float> embedding_segments:array<array<float>> created_ms:long updated_ms:long accessed_ms:long verified_ms:long expires_ms:long "
     "importance:double confidence:double usefulness:double access_count:int times_used:int times_helpful:int verification_count:int sticky:boolean status metadata"
 ).split()
-NODE_SCHEMA = T.StructType.fromDDL(", ".join(f"{f.split(':', 1)[0]} {f.split(':', 1)[1] if ':' in f else 'string'}" for f in _FIELDS))
-EDGE_SCHEMA = T.StructType.fromDDL("source string, target string, edge_type string, scope string, created_ms long, confidence double, metadata string")
+#: Schemas as DDL, which readers and createDataFrame take.
+NODE_SCHEMA = ", ".join(f"{f.split(':', 1)[0]} {f.split(':', 1)[1] if ':' in f else 'string'}" for f in _FIELDS)
+EDGE_SCHEMA = "source string, target string, edge_type string, scope string, created_ms long, confidence double, metadata string"
 
 #: What the type of a node says about it.
 TYPE_CATEGORY = dict.fromkeys("event note session task plan exploration debug-investigation improvement review".split(), "episodic") | {"lesson": "semantic", "knowledge": "semantic"}
@@ -91,7 +92,7 @@ def journal(spark: SparkSession, path: str) -> DataFrame:
     head = F.when(F.col("value").rlike(r"(?s)^---\r?\n.*?\r?\n---"), parted).otherwise("")
     field = lambda name: F.trim(F.regexp_extract(head, rf"(?m)^{name}:[ \t]*(.*)$", 1))
     body = F.when(head != "", F.regexp_extract("value", r"(?s)^---\r?\n(.*?)\r?\n---\r?\n?(.*)$", 2)).otherwise(F.col("value"))
-    tags = F.filter(F.transform(F.split(F.regexp_replace(field("tags"), r"[\[\]\"']", ""), ","), F.trim), lambda t: t != "")
+    tags = F.filter(F.transform(F.split(F.regexp_replace(field("tags"), r"[\[\]\"']", ""), ","), lambda x: F.trim(x)), lambda t: t != "")
     return raw.select("path", field("title").alias("title"), field("date").alias("date"), tags.alias("tags"), body.alias("body")).orderBy(F.desc("date"), "path")
 
 
