@@ -61,7 +61,7 @@ COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*"
 VERSION = r"\bv(ersion)?[. ]*([0-9])"
 ARTICLES = r"\b(the|a) "
 #: Every canonical known text has one of these words, which canonical form doesn't make: a unit without them matches none.
-WORDS = r"(?i)licen[cs]|software"
+WORDS = r"(?i)licen[cs]|software|released|distributed|available|published"
 
 
 def known_texts() -> list[tuple[str, str]]:
