@@ -38,14 +38,15 @@ def resolve_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
 def hops(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     """(id, hops): nodes at most so many undirected hops from any seed, seeds at zero.
 
-    One plan: each hop adds the frontier's neighbours and keeps the least distance. The bound on hops is
-    the bound on the plan; callers with many hops should write the frontier between calls.
+    A hop is one join with the neighbours and the node itself, and one grouped minimum, so the plan
+    grows by the same for each hop. Callers with many hops should write the result between calls.
     """
-    both = symmetric(edges.select("src", "dst")).distinct()
+    both = symmetric(edges.select("src", "dst")).distinct().withColumn("_step", F.lit(1))
+    ids = both.select(F.col("src").alias("id")).unionByName(seeds.select("id")).distinct()
+    near = both.unionByName(ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("_step")))
     seen = seeds.select("id").distinct().withColumn("hops", F.lit(0))
-    for h in range(1, most + 1):
-        new = seen.filter(F.col("hops") == h - 1).join(both, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.lit(h).alias("hops"))
-        seen = seen.unionByName(new).groupBy("id").agg(F.min("hops").alias("hops"))
+    for _ in range(most):
+        seen = seen.join(near, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("hops") + F.col("_step")).alias("hops"))
     return seen
 
 
@@ -62,12 +63,16 @@ def hop_scores(edges: DataFrame, seeds: DataFrame, most: int, factor: float = 0.
 
 def shortest_paths(edges: DataFrame, start, most: int) -> DataFrame:
     """(id, hops, path): one directed shortest path from a node to each in reach, the smallest in order of its nodes."""
-    step = edges.select("src", "dst").distinct()
     kind = edges.schema["src"].dataType.simpleString()
-    seen = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("id"), F.lit(0).alias("hops"), F.array(F.lit(start).cast(kind)).alias("path"))
-    for h in range(1, most + 1):
-        new = seen.filter(F.col("hops") == h - 1).join(step, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.lit(h).alias("hops"), F.concat("path", F.array("dst")).alias("path"))
-        seen = seen.unionByName(new).groupBy("id").agg(F.min(F.struct("hops", "path")).alias("m")).select("id", "m.hops", "m.path")
+    first = F.lit(start).cast(kind)
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).unionByName(edges.sparkSession.range(1).select(first.alias("id"))).distinct()
+    step = edges.select("src", "dst").distinct().withColumn("_step", F.lit(1))
+    step = step.unionByName(ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("_step")))
+    seen = edges.sparkSession.range(1).select(first.alias("id"), F.lit(0).alias("hops"), F.array(first).alias("path"))
+    for _ in range(most):
+        longer = F.when(F.col("_step") == 1, F.concat("path", F.array("dst"))).otherwise(F.col("path"))
+        found = seen.join(step, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("hops") + F.col("_step")).alias("hops"), longer.alias("path"))
+        seen = found.groupBy("id").agg(F.min(F.struct("hops", "path")).alias("m")).select("id", "m.hops", "m.path")
     return seen
 
 
@@ -103,12 +108,13 @@ def parent_path(nodes: DataFrame, most: int = 6, id_: str = "id", parent: str =
 
 def depths(links: DataFrame, nodes: DataFrame, most: int = 10) -> DataFrame:
     """links(id, parent) with any number of parents -> (id, depth): one over the deepest parent, at most the cap."""
-    d = nodes.select("id").withColumn("depth", F.lit(0))
+    step = links.select("id", "parent").distinct().withColumn("_step", F.lit(1)).unionByName(nodes.select("id", F.col("id").alias("parent"), F.lit(0).alias("_step")).distinct())
+    d = nodes.select(F.col("id").alias("parent"), F.lit(0).alias("depth")).distinct()
     for h in range(1, most + 1):
-        last = d.filter(F.col("depth") == h - 1).select(F.col("id").alias("parent"))
-        deeper = links.join(last, "parent").select("id", F.lit(h).alias("depth"))
-        d = d.unionByName(deeper).groupBy("id").agg(F.max("depth").alias("depth"))
-    return d
+        # only a parent at depth h - 1 lifts its children to h
+        up = F.when(F.col("_step") == 0, F.col("depth")).when(F.col("depth") == h - 1, F.lit(h)).otherwise(F.lit(0))
+        d = d.join(step, "parent").groupBy("id").agg(F.max(up).alias("depth")).withColumnRenamed("id", "parent")
+    return d.withColumnRenamed("parent", "id")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

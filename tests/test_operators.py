@@ -229,7 +229,7 @@ def test_distilled_rules(spark):
 
 
 OUTPUTS = {
-    "compiler-diagnostics": "\n".join(f"src/a{i}.ts:{i}:2: error TS1: bad thing happened here again and again and again" for i in range(1, 40)),
+    "compiler-diagnostics": "\n".join(f"src/a{i % 3}.ts:{i}:2: error TS1: bad thing happened here again and again and again" for i in range(1, 40)),
     "test-output": "\n".join(["PASS a.test.ts"] * 60 + ["FAIL b.test.ts", "Tests: 61 total"]),
     "log-stream": "\n".join(f"2024-01-01T00:00:{i:02d} INFO step {i} of a long list of steps" for i in range(50)),
     "npm-install": "npm install x\n" + "\n".join(f"+ package-{i}@1.0.{i} with a long line of text" for i in range(30)) + "\nadded 30 packages\naudited 31 packages",
