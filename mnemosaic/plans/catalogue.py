@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as sc
 from ..functions import text as tx
 from ..functions import vector as vx
-from ..operators import compress, dense, evaluate, graph, hybrid, lexical, lifecycle, mining, store, telemetry
+from ..operators import compress, consolidate, dense, evaluate, graph, hybrid, lexical, lifecycle, mining, reports, store, telemetry
 from ..sources import nodes as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -620,3 +620,85 @@ def replay_scores(spark, sf):
     e = events(spark, sf).select(F.col("user_id").alias("query_id"), (F.col("event_id") % 50).alias("id"), "event_type", (F.col("event_id") % 2).alias("odd"))
     shown = e.select(F.when(F.col("odd") == 0, "even").otherwise("odd").alias("strategy"), "query_id", "id")
     return evaluate.replay(shown, e.filter("event_type = 'purchase'").select("query_id", "id")).withColumn("score", F.round("score", 6))
+
+
+# ---- reports and consolidation ----
+
+
+@query("context_check", f"WITH {NODES}, k AS (SELECT level, ceil(length(substr(content, 1, 200000)) / 4e0) AS t FROM nodes WHERE NOT (type IN ('storedcontext', 'contexthistory') OR label LIKE 'middle-term:%')) SELECT level, count(*) AS nodes, CAST(sum(t) AS BIGINT) AS tokens, round(sum(t) / 128000e0, 6) AS share, sum(t) / 128000e0 > 0.8 AS over FROM k GROUP BY ROLLUP (level)")
+def context_check(spark, sf):
+    return reports.context_check(nodes(spark, sf)).withColumn("share", F.round("share", 6))
+
+
+@query("store_overview", f"WITH {NODES} SELECT count(*) AS nodes, CAST(sum(length(content)) AS BIGINT) AS chars, count(DISTINCT type) AS types, round(avg(CASE WHEN embedding IS NOT NULL THEN 1e0 ELSE 0e0 END), 6) AS embedded, round(avg(importance), 6) AS importance FROM nodes LEFT JOIN embeddings ON vec_id = id")
+def store_overview(spark, sf):
+    both = nodes(spark, sf).join(vectors(spark, sf), F.col("id") == F.col("vec_id"), "left")
+    return reports.store_overview(both, "embedding").withColumns({c: F.round(c, 6) for c in ("embedded", "importance")})
+
+
+@query("top_accessed", f"WITH {NODES} SELECT id, label, access_count FROM nodes ORDER BY access_count DESC, id LIMIT 5")
+def top_accessed(spark, sf):
+    return reports.most(nodes(spark, sf), "access_count")
+
+
+@query("tool_extremes", "SELECT event_type AS tool, count(*) AS calls, arg_max(event_id, (value, -event_id)) AS slowest, arg_max(event_id, (length(props), -event_id)) AS heaviest, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type = 'error') > 0.2 * count(*) AS failing FROM events GROUP BY event_type")
+def tool_extremes(spark, sf):
+    log = events(spark, sf).select(F.col("event_id").alias("id"), F.col("event_type").alias("tool"), F.col("value").alias("duration_ms"), F.length("props").alias("tokens"), (F.col("event_type") != "error").alias("success"))
+    return reports.tool_extremes(log)
+
+
+@query("costly_messages", f"WITH m AS (SELECT {_TURN} AS id, CAST(ceil(length(coalesce(text, '')) / 4e0) AS BIGINT) AS cost FROM conversations WHERE contains(lower(text), 'the')) SELECT id, cost FROM m WHERE cost >= 20 ORDER BY cost DESC, id LIMIT 50")
+def costly_messages(spark, sf):
+    turns = src.table(spark, sf, "conversations").withColumn("id", F.expr(_TURN))
+    return reports.costly_messages(turns, "text", contains="the", least=20).select("id", "cost")
+
+
+@query("archived_context", f"WITH {NODES} SELECT id, created_ms FROM nodes WHERE type IN ('contexthistory', 'storedcontext') AND contains(lower(content), 'the') ORDER BY created_ms DESC, id LIMIT 10")
+def archived_context(spark, sf):
+    return reports.archived(nodes(spark, sf), words="the").select("id", "created_ms")
+
+
+@query("snapshots", f"WITH {NODES} SELECT id, label, substr(label, 13) AS session_id, created_ms FROM nodes WHERE label LIKE 'middle-term:%' ORDER BY created_ms DESC, id LIMIT 20")
+def snapshots(spark, sf):
+    return reports.snapshots(nodes(spark, sf))
+
+
+@query("reflect", f"WITH {CALLS}, b AS (SELECT 'tool' AS kind, tool AS key FROM calls WHERE NOT success UNION ALL SELECT 'file', file FROM calls WHERE NOT success) SELECT kind, key, count(*) AS failures, CASE WHEN kind = 'tool' AND key = 'error' THEN 'stop and read' WHEN kind = 'file' THEN 'read the file again before it is changed' ELSE 'look at the last failures of this tool' END AS advice FROM b WHERE key IS NOT NULL GROUP BY kind, key HAVING count(*) >= 2")
+def reflect(spark, sf):
+    return reports.reflect(calls(spark, sf), {"error": "stop and read"})
+
+
+@query("registry_liveness", "SELECT event_id AS id, CASE WHEN event_id % 7 <> 0 AND event_type = 'click' THEN 'compacted' WHEN event_type = 'click' THEN 'archived' ELSE 'live' END AS state FROM events")
+def registry_liveness(spark, sf):
+    e = events(spark, sf)
+    registry = e.select(F.col("event_id").alias("id"), F.col("event_id").alias("message_id"), F.when(F.col("event_type") == "click", "archived").otherwise("live").alias("state"))
+    return reports.liveness(registry, e.filter("event_id % 7 = 0").select(F.col("event_id").alias("message_id"))).select("id", "state")
+
+
+@query("unseen_nodes", f"WITH {NODES} SELECT id FROM nodes WHERE importance >= 0.6 AND type <> 'note' AND id % 5 <> 0")
+def unseen_nodes(spark, sf):
+    n = nodes(spark, sf)
+    return reports.unseen(n, n.filter("id % 5 = 0").select("id"), 0.6, ("note",)).select("id")
+
+
+
+@query("compressed_clusters", f"WITH {NODES} SELECT project AS cluster, max(level) + 1 AS level, round(max(importance) * 0.9e0, 6) AS importance, count(*) AS size FROM nodes WHERE level < 3 GROUP BY project HAVING count(*) > 1")
+def compressed_clusters(spark, sf):
+    n = nodes(spark, sf).filter("level < 3")
+    made = consolidate.compress_clusters(n.select("id", F.col("project").alias("cluster")), n)
+    return made.select("cluster", "level", F.round("importance", 6).alias("importance"), "size")
+
+
+@query("theme_digest", f"WITH {NODES} SELECT type AS theme, count(*) AS nodes, round(avg(importance), 6) AS importance FROM nodes GROUP BY type")
+def theme_digest(spark, sf):
+    return consolidate.by_theme(nodes(spark, sf)).withColumn("importance", F.round("importance", 6))
+
+
+@query("monthly_trend", f"WITH {NODES} SELECT strftime(make_timestamp(created_ms * 1000), '%Y-%m') AS month, count(*) AS nodes, round(avg(importance), 6) AS importance FROM nodes GROUP BY 1")
+def monthly_trend(spark, sf):
+    return consolidate.trend(nodes(spark, sf)).withColumn("importance", F.round("importance", 6))
+
+
+@query("structured_summary")
+def structured_summary(spark, sf):
+    return consolidate.structured_summary(docs(spark, sf), "doc_id", "text")

@@ -6,7 +6,7 @@ import pytest
 from mnemosaic.functions import scoring as sc
 from mnemosaic.functions import text as tx
 from mnemosaic.functions import vector as vx
-from mnemosaic.operators import compress, dense, evaluate, graph, hybrid, lexical, lifecycle, mining, store, telemetry
+from mnemosaic.operators import compress, consolidate, dense, evaluate, graph, hybrid, lexical, lifecycle, mining, reports, store, telemetry
 from mnemosaic.sources import nodes as src
 from mnemosaic.streaming import sessions
 from pyspark.sql import functions as F
@@ -321,3 +321,24 @@ def test_attribution_takes_the_latest_before(spark):
     log = spark.createDataFrame([(1, d(1), [5]), (2, d(2), [5]), (3, d(9), [5])], "id long, ts timestamp, ids array<long>")
     fb = spark.createDataFrame([(5, d(3))], "node_id long, at timestamp")
     assert telemetry.attribution(log, fb).first().log_id == 2
+
+
+def test_consolidation(spark):
+    t = table(spark, node(1, content="We decided to use spark here today.\nsecond", importance=0.4), node(2, content="run pytest on src/a.py", importance=0.8, created_ms=DAY), node(3))
+    members = spark.createDataFrame([(1, "c"), (2, "c"), (3, "d")], "id long, cluster string")
+    got = consolidate.compress_clusters(members, t).collect()
+    assert len(got) == 1 and got[0].level == 1 and got[0].importance == pytest.approx(0.72) and got[0].content.split("\n")[0] == "- run pytest on src/a.py"
+    s = {r.id: r for r in consolidate.structured_summary(t, "id", "content").collect()}
+    assert s[1].decisions and s[2].files == ["run pytest on src/a.py"] and s[2].tools and not s[3].decisions
+    assert [(str(r.day), r.labels) for r in consolidate.by_day(t).orderBy("day").collect()] == [("1970-01-01", "n3, n1"), ("1970-01-02", "n2")]
+    code = spark.createDataFrame([("a.py", "import os\nimport os\nx = 1\ndef f(y):\n    return y")], "path string, text string")
+    assert consolidate.skeleton(code, "path", "text").first().skeleton == "import os\ndef f(y)"
+
+
+def test_reports(spark):
+    hist = spark.createDataFrame([(i, True) for i in range(30)], "ts long, success boolean")
+    assert reports.inject_size(hist, 10).first().size == 7 and reports.inject_size(hist.limit(0), 10).first().size == 10
+    msgs = spark.createDataFrame([(1, [("text", "abcd"), ("text", "abcde"), ("tool", None)])], "id long, parts array<struct<kind: string, text: string>>")
+    assert {(r.kind, r.chars, r.tokens) for r in reports.message_sizes(msgs).collect()} == {("text", 9, 3), ("tool", None, None)}
+    snap = table(spark, node(1, label="middle-term:s1", content='{"sessionId": "s9"}'), node(2, label="middle-term:s2", content="not json"))
+    assert {r.id: r.session_id for r in reports.snapshots(snap).collect()} == {1: "s9", 2: "s2"}
