@@ -73,20 +73,21 @@ def drop_exact_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     Only rows of groups of two or more are dropped, so the join carries their ids alone. Documents
     that repeat a doc_id are told apart by the digest; of rows equal in both, one stays.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
+    sha = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), BLANKS, ""), 256)
     out = exact_groups(docs, scratch)
-    losers = scratch.keep(out.filter("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct())
-    winners = scratch.keep(
-        out.filter("kept AND group_size > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    )
-    lost = scratch.keep(losers.join(winners, ["_id", "_sha"], "left_anti"))
-    twice = scratch.keep(losers.join(winners, ["_id", "_sha"], "left_semi"))
-    keyed = docs.withColumn("_sha", F.when(F.lit(True), F.sha2(F.regexp_replace(text, BLANKS, ""), 256)))
-    cond = [keyed["doc_id"].eqNullSafe(lost["_id"]), keyed["_sha"] == lost["_sha"]]
-    kept = keyed.join(lost, cond, "left_anti")
+    key = [F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")]
+    losers = scratch.keep(out.filter("NOT kept").select(*key).distinct())
+    winners = scratch.keep(out.filter("kept AND group_size > 1").select(*key).distinct())
+    same = losers["_id"].eqNullSafe(winners["_id"]) & (losers["_sha"] == winners["_sha"])
+    lost = scratch.keep(losers.join(winners, same, "left_anti"))
+    twice = scratch.keep(losers.join(winners, same, "left_semi"))  # rows that repeat a doc_id and its text
+    keyed = docs.withColumn("_key", sha)
+    is_lost = keyed["doc_id"].eqNullSafe(lost["_id"]) & (keyed["_key"] == lost["_sha"])
+    kept = keyed.join(lost, is_lost, "left_anti")
     if twice.isEmpty():
-        return kept.drop("_sha")
-    hit = kept.join(twice.withColumnRenamed("_sha", "_sha2").withColumnRenamed("_id", "_id2"), (F.col("doc_id").eqNullSafe(F.col("_id2"))) & (F.col("_sha") == F.col("_sha2")), "left")
-    plain = hit.filter("_sha2 IS NULL").select(*docs.columns)
-    again = hit.filter("_sha2 IS NOT NULL").orderBy(F.length(text).desc()).dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
-    return plain.union(again)
+        return kept.drop("_key")
+    marked = kept.join(twice, keyed["doc_id"].eqNullSafe(twice["_id"]) & (keyed["_key"] == twice["_sha"]), "left")
+    plain = marked.filter("_sha IS NULL").select(*docs.columns)
+    longest = F.max_by(F.struct(*[F.col(c) for c in docs.columns]), F.length(F.coalesce("text", F.lit(""))))
+    again = marked.filter("_sha IS NOT NULL").groupBy("doc_id", "_key").agg(longest.alias("row"))
+    return plain.union(again.select("row.*"))
