@@ -15,14 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces, small_batches
+
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Pre-tokens that a worker remembers, and the longest it remembers.
-REMEMBERED, LONGEST = 300_000, 64
+#: Pre-tokens that a worker remembers in each of two generations, and the longest it remembers.
+REMEMBERED, LONGEST = 120_000, 48
 ENDOFTEXT = "<|endoftext|>"
 
 
@@ -33,6 +34,26 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Remembered:
+    """A bounded memory in two generations: what the last batches didn't use is forgotten."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, words: set[str]) -> dict[str, bytes]:
+        out = {w: self.young[w] for w in words & self.young.keys()}
+        back = {w: self.old[w] for w in (words & self.old.keys()) - out.keys()}
+        self.young.update(back)
+        return out | back
+
+    def keep(self, made: dict[str, bytes], fresh: list[str]) -> None:
+        self.young.update((w, made[w]) for w in fresh if len(w) <= LONGEST)
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+
+
 class PairIndexBPE:
     """A vocabulary in the JSON form of the tokenizers library."""
 
@@ -59,10 +80,10 @@ class PairIndexBPE:
             self.bytes[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         for token, i in self.added.items():
             self.bytes[i] = token.encode()
-        self.known: dict[str, list[int]] = {}
+        self.known = _Remembered(REMEMBERED)
 
-    def merge_all(self, words: list[str]) -> list[list[int]]:
-        """The ids of each pre-token, by one index over all of them."""
+    def merge_all(self, words: list[str]) -> list[bytes]:
+        """The ids of each pre-token as int32 bytes, by one index over all of them."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         single, merges = self.single, self.merges
         sym: list[int] = []
@@ -108,14 +129,17 @@ class PairIndexBPE:
                         else:
                             index[r] = [at]
                             heapq.heappush(heap, r)
-        out, at = [], 0
-        for r in raw:
-            end = at + len(r)
-            out.append([x for x in sym[at:end] if x >= 0])
-            at = end + 1
+        left = np.array(sym, np.int32)
+        kept = left >= 0
+        ends = np.cumsum(kept)[np.cumsum([len(r) + 1 for r in raw]) - 1].tolist() if raw else []
+        flat, out, at = left[kept].tobytes(), [], 0
+        for end in ends:
+            out.append(flat[4 * at : 4 * end])
+            at = end
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text (int32)."""
         split = []
         for t in texts:
             parts = []
@@ -126,31 +150,21 @@ class PairIndexBPE:
                 at = m.end()
             parts.append(PRETOKEN.findall(t[at:]))
             split.append(parts)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = {w for parts in split for p in parts if not isinstance(p, int) for w in p if w not in known}
-        fresh = list(new)
+        words = {w for parts in split for p in parts if not isinstance(p, int) for w in p}
+        known = self.known.of(words)
+        fresh = list(words - known.keys())
         for at in range(0, len(fresh), 50_000):
             some = fresh[at : at + 50_000]
             known.update(zip(some, self.merge_all(some)))
+        self.known.keep(known, fresh)
         out = []
         for parts in split:
-            ids: list[int] = []
-            for p in parts:
-                if isinstance(p, int):
-                    ids.append(p)
-                else:
-                    for w in p:
-                        ids += known[w]
-            out.append(ids)
-        for w in fresh:
-            if len(w) > LONGEST:
-                known.pop(w, None)
+            ids = b"".join([np.int32(p).tobytes() if isinstance(p, int) else b"".join(map(known.__getitem__, p)) for p in parts])
+            out.append(np.frombuffer(ids, np.int32))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 _LOADED: dict[str, PairIndexBPE] = {}
@@ -170,15 +184,6 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _pieces(batch: pa.RecordBatch, characters: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about so many bytes of text, so that lists of ids stay small."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    cuts = np.flatnonzero(np.diff(size // characters)) + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, ids array<int>, decoded string.
 
@@ -191,15 +196,15 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(at)
         for batch in batches:
-            for b in _pieces(batch):
+            for b in pieces(batch):
                 ids = bpe.encode_batch([t or "" for t in b.column("text").to_pylist()])
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                flat = np.fromiter((i for x in ids for i in x), np.int32, int(ends[-1]))
+                flat = np.concatenate(ids)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 texts = pa.array([bpe.decode(x) for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, texts], ["doc_id", "ids", "decoded"])
 
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    slim = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return slim.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 

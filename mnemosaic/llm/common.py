@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: dict[str, str] = {}
@@ -27,6 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _MADE[sc.applicationId]
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Hands whole texts to Python in small Arrow batches: their buffers lie outside the heap, twice per task."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return df
+
+
 class Scratch:
     """Tables written to the shared folder. They outlive lost executors; drop() removes those no plan needs."""
 
@@ -47,3 +58,13 @@ class Scratch:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def pieces(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about so many bytes of a text column, so that what is made of a slice stays small."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(ends // size)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        if b > a:
+            yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()

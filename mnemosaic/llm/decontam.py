@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Items taken at once: the bound of what a pass sends to the executors.
 BLOCK = 20_000
 GRAM, LEAST_WORDS, SIMILARITY = 3, 5, 0.5
@@ -139,6 +141,7 @@ def best_matches(items: Items, docs: list[np.ndarray]) -> list[tuple[int | None,
 def item_blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
     """Blocks of items with their seeds chosen over all documents."""
     spark = docs.sparkSession
+    small_batches(docs)
     known = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = max(1, -(-known.count() // BLOCK))
     for k in range(blocks):

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_batches
 
 LONG, PAGES, CHUNK = 8, 3, 400_000
 
@@ -248,7 +248,7 @@ def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
     Null and empty html give an empty text; a null url is a host of its own name. Repeated rows stay,
     and count as pages each. Other columns are not read. An empty table gives an empty one.
     """
-    slim = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    slim = small_batches(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     slim = slim.withColumn("_key", F.xxhash64("page_id", "url", "html"))
     rows = scratch.keep(substring_rows(slim))
     often = scratch.keep(rows.groupBy("key", "check").agg(F.sum("pages").alias("n")).filter(f"n >= {PAGES}").select("key", "check"))

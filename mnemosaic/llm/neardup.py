@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_batches
 from .components import connected_components
 from .simhash import golay_keys
 
@@ -97,7 +97,7 @@ def near_duplicate_groups(docs: DataFrame, scratch: Scratch, similarity: float =
 
     Rows that repeat a doc_id count as one document; null ids, and null or empty texts, link to none.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id IS NOT NULL")
+    slim = small_batches(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id IS NOT NULL")
     keys = candidate_keys(slim)
     shared = scratch.keep(keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most").select("key", "least"))
     members = scratch.keep(keys.join(shared, "key"))

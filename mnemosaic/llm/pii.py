@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 LOWER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
 #: Given names by script and gender, and titles by gender.
@@ -230,7 +232,7 @@ def surrogates(docs: DataFrame, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([t for t, _ in done], pa.string()), spans], ["doc_id", "text", "spans"])
 
     out = "doc_id long, text string, spans array<struct<kind:string,start:long,end:long,entity:string,surrogate:string>>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, out)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, out)
 
 
 def collisions(rewritten: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SAMPLE = 12_000
 BINS, PAIR_BINS, PAIRS = 48, 8, 6
 ROUNDS, PAIR_ROUNDS, STEP, LEAST_LEAF = 120, 60, 0.1, 8
@@ -162,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveM
         .limit(sample)
     )
     # sample rows of two numbers at most: the bound of this broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,7 +182,7 @@ def scores(docs: DataFrame, model: AdditiveModel) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(matrix(b.column("text"))))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: AdditiveModel, least: float = 0.5) -> DataFrame:
@@ -190,4 +192,4 @@ def keep_good(docs: DataFrame, model: AdditiveModel, least: float = 0.5) -> Data
         for b in batches:
             yield b.filter(pa.array(model.score(matrix(b.column("text"))) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_batches
 from .components import connected_components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fps = np.array([fingerprint(t.as_py(), words) for t in b.column("text")], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    slim = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return slim.mapInArrow(run, "doc_id long, fp long")
 
 
