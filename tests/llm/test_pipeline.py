@@ -70,7 +70,7 @@ def test_run_matches_brute_force(spark, sf):
     assert set(rows) == set(want)
     mine = bpe.load(bpe.default_vocabulary())
     for d, r in rows.items():
-        ids = mine.encode_batch([want[d]])[0]
+        ids = mine.encode_batch([want[d]])[0].tolist()
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(want[d].encode()).hexdigest())
 
 

@@ -52,14 +52,14 @@ def test_alignment_matches_brute_force():
 def test_query_matches_brute_force(spark, sf):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "benchmark"))
     got = {r.doc_id: r for r in queries.op10_decontamination(spark, sf).collect()}
-    assert len(got) == len(docs) and any(r.contaminated for r in got.values())
+    assert got and all(r.contaminated and r.similarity >= decontam.SIMILARITY for r in got.values())
     words = [(i.item_id, decontam.words(i.text)) for i in items]
     for d in docs:
         own = decontam.words(d.text)
-        if len(own) > 60 and not got[d.doc_id].contaminated:
+        if len(own) > 60 and d.doc_id not in got:
             continue  # the plain alignment of long clean texts takes minutes
         best = max(brute_align(w, own) / (2 * len(w)) for _, w in words) if own else 0
-        assert got[d.doc_id].contaminated == (best >= decontam.SIMILARITY)
+        assert (d.doc_id in got) == (best >= decontam.SIMILARITY)
 
 
 def test_edited_copies_are_caught_and_others_left(spark):
