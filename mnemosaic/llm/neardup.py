@@ -11,6 +11,7 @@ smallest of them alone and joined into components; then only pairs of different
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from .components import connected_components
 from .simhash import golay_keys
 
 PLANES, WORDS, SIMILARITY = 12, 5, 0.8
+#: Texts of so few distinct words change much by one edit in any fingerprint; they also get keys that miss nothing among themselves.
+FEW = 24
 _MIX = (np.random.Generator(np.random.PCG64(2311)).integers(1 << 62, 1 << 63, PLANES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -55,8 +58,17 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(g, 11) for g in grams]), ">i8").astype(np.int64))
 
 
-def candidate_keys(docs: DataFrame) -> DataFrame:
-    """(key, id): about 16 keys for each plane of a document that has words."""
+def prefix_keys(text: str | None, similarity: float) -> np.ndarray:
+    """The first of the sorted shingles, so many that two sets that similar share one; none for texts of many words."""
+    if len(set((text or "").encode("utf-8", "surrogatepass").lower().split())) > FEW:
+        return np.zeros(0, np.int64)
+    found = shingles(text)
+    some = found[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]
+    return PLANES << 42 | (some & (1 << 42) - 1)
+
+
+def candidate_keys(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, id): about 16 keys for each plane of a document that has words, and prefix keys if these are few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -72,6 +84,10 @@ def candidate_keys(docs: DataFrame) -> DataFrame:
                     row, key = golay_keys(planes[:, p])
                     keys.append(p << 42 | key)
                     owner.append(ids[has][row])
+                for i, t, h in zip(ids, b.column("text"), has):
+                    if h and len(few := prefix_keys(t.as_py(), similarity)):
+                        keys.append(few)
+                        owner.append(np.full(len(few), i))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owner))], ["key", "id"])
 
     return docs.mapInArrow(run, "key long, id long")
@@ -98,7 +114,7 @@ def near_duplicate_groups(docs: DataFrame, scratch: Scratch, similarity: float =
     Rows that repeat a doc_id count as one document; null ids, and null or empty texts, link to none.
     """
     slim = small_batches(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id IS NOT NULL")
-    keys = candidate_keys(slim)
+    keys = candidate_keys(slim, similarity)
     shared = scratch.keep(keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most").select("key", "least"))
     members = scratch.keep(keys.join(shared, "key"))
     star = members.filter("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v")).distinct()
