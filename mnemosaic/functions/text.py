@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def tokens(text: Column, least: int = 2) -> Column:
-    """Lower-cased words of at least so many characters."""
+    """Lower-cased words of at least so many characters. With 0 nothing is left out, not even empty ends."""
     split = F.split(F.regexp_replace(F.lower(text), r"[^\w\s]", " "), r"\s+")
-    return F.filter(split, lambda t: F.length(t) >= least)
+    return F.filter(split, lambda t: F.length(t) >= least) if least else split
 
 
 def ascii_words(pattern: str) -> str:

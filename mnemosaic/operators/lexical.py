@@ -14,7 +14,8 @@ K1, B = 1.2, 0.75
 
 def postings(docs: DataFrame, id_: str, text) -> DataFrame:
     """(id, term, frequency). The tokens of a row are counted before anything is shuffled."""
-    return docs.select(F.col(id_).alias("id"), F.explode(tokens(text)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("frequency"))
+    words = docs.select(F.col(id_).alias("id"), F.explode(tokens(text, 0)).alias("term")).filter(F.length("term") >= 2)
+    return words.groupBy("id", "term").agg(F.count("*").alias("frequency"))
 
 
 def doc_stats(docs: DataFrame, id_: str, text) -> DataFrame:
