@@ -1,14 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Test items are taken in blocks of bounded size against all documents, each block as one pass. An
-item's seeds are those of its word trigrams that occur in no more documents than its median trigram
-does, so a passage that many documents leak keeps its seeds. A seed in a document names the diagonal
-along which the item may lie; a window of the document around it is aligned with the item (match 2,
-mismatch -1, gap -1), and the score over twice the item's words is the similarity.
+"""Benchmark decontamination: rare words as seeds, then Smith-Waterman alignment.
+
+Test items are taken in blocks of bounded size against all documents, each block as one pass. The
+score of an alignment (match 2, mismatch -1, gap -1) over twice the item's words is the similarity.
+A score of t or more has at least t / 2 matches, so at most e = m - ceil(t / 2) of the item's m words
+are without one, and it spans at most 3 m - t words of the document. An item's seeds are its s > e
+rarest words, with repetitions; s - e of them must lie in such a span. Spans with so many are aligned:
+no document at or over the threshold is missed, whatever the edits and however often it is copied.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,9 @@ from .common import small_batches
 
 #: Items taken at once: the bound of what a pass sends to the executors.
 BLOCK = 20_000
-GRAM, LEAST_WORDS, SIMILARITY = 3, 5, 0.5
+LEAST_WORDS, SIMILARITY = 5, 0.5
+#: Words of documents looked up at once, and cells of an alignment of many pairs: bounds of memory.
+PIECE, CELLS = 4096, 1 << 20
 _BREAKS = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 
 
@@ -35,9 +39,9 @@ class _Vocabulary(dict):
 
 
 class Items:
-    """A block of test items: vocabulary, token arrays and trigram postings."""
+    """A block of test items: vocabulary, token arrays and postings of their seeds."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY):
         self.vocab = _Vocabulary()
         self.ids: list[int] = []
         self.tokens: list[np.ndarray] = []
@@ -46,58 +50,81 @@ class Items:
             if len(found) >= LEAST_WORDS:
                 self.ids.append(item)
                 self.tokens.append(np.array([self.vocab.setdefault(w, len(self.vocab)) for w in found], np.int64))
-        self.base = max(2, len(self.vocab))
-        grams = [self.grams(t)[1] for t in self.tokens]
-        self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        self.place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
-        self.gram = np.concatenate(grams) if grams else np.zeros(0, np.int64)
-        self.keys = np.unique(self.gram)
-
-    def grams(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, code) of the trigrams whose words are all known. Codes are exact, not hashes."""
-        if len(tokens) < GRAM:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b, c = tokens[:-2], tokens[1:-1], tokens[2:]
-        at = np.flatnonzero((a >= 0) & (b >= 0) & (c >= 0))
-        return at, (a[at] * self.base + b[at]) * self.base + c[at]
+        m = np.array([len(t) for t in self.tokens], np.int64)
+        self.least = np.array([max(1, math.ceil(2 * n * similarity - 1e-9)) for n in m.tolist()], np.int64)
+        self.missing = m - (self.least + 1) // 2
+        self.seeds = self.missing + (m - self.missing + 3) // 4
+        self.span = 3 * m - self.least
+        self.words = np.concatenate([k * len(self.vocab) + np.unique(t) for k, t in enumerate(self.tokens)]) if self.tokens else np.zeros(0, np.int64)
 
     def of(self, text: str | None) -> np.ndarray:
         found = words(text)
         return np.fromiter(map(self.vocab.__getitem__, found), np.int64, len(found))
 
-    def hits(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, index in keys) of the document's trigrams that any item has."""
-        at, code = self.grams(tokens)
-        if not len(at) or not len(self.keys):
-            return at[:0], at[:0]
-        i = np.minimum(np.searchsorted(self.keys, code), len(self.keys) - 1)
-        hit = self.keys[i] == code
-        return at[hit], i[hit]
-
     def choose_seeds(self, spread: np.ndarray) -> None:
-        """spread: documents with each of keys. Keeps the postings of the rarer half of each item's trigrams."""
-        key = np.searchsorted(self.keys, self.gram)
-        rare = np.zeros(len(key), bool)
-        for k in range(len(self.ids)):
-            own = self.item == k if len(self.ids) < 2 else slice(*np.searchsorted(self.item, [k, k + 1]))
-            df = spread[key[own]]
-            rare[own] = df <= np.median(df) if len(df) else False
-        order = np.argsort(key[rare], kind="stable")
-        self.seed_item, self.seed_place = self.item[rare][order], self.place[rare][order]
-        sorted_keys = key[rare][order]
-        self.first = np.searchsorted(sorted_keys, np.arange(len(self.keys)))
-        self.last = np.searchsorted(sorted_keys, np.arange(len(self.keys)), side="right")
-
-    def windows(self, tokens: np.ndarray) -> set[tuple[int, int]]:
-        """(item, start): windows of the document to align, one or two for each diagonal with a seed."""
-        at, key = self.hits(tokens)
-        out = set()
-        for p, k in zip(at.tolist(), key.tolist()):
-            for s in range(self.first[k], self.last[k]):
-                item = int(self.seed_item[s])
-                half = max(1, len(self.tokens[item]) // 2)
-                out.add((item, (p - int(self.seed_place[s])) // half * half))
-        return out
+        """spread: documents with each word of the vocabulary."""
+        word, item = [], []
+        for k, own in enumerate(self.tokens):
+            rare = np.unique(own[np.argsort(spread[own], kind="stable")[: self.seeds[k]]])
+            word.append(rare)
+            item.append(np.full(len(rare), k))
+        w, i = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (word, item))
+        order = np.argsort(w, kind="stable")
+        self.seed_item = i[order]
+        self.first = np.searchsorted(w[order], np.arange(len(self.vocab) + 1))
+
+    def windows(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, from, to): windows with enough seeds, which hold every alignment that reaches the threshold."""
+        if not self.ids:
+            return
+        overlap = int(self.span.max())
+        size = max(PIECE, 4 * overlap)
+        some: list[tuple[int, int, np.ndarray]] = []
+        n = 0
+        for d, tokens in enumerate(docs):
+            for at in range(0, max(1, len(tokens) - overlap), size - overlap):
+                if n and n + len(tokens) - at > size:
+                    yield from self._windows(some, docs)
+                    some, n = [], 0
+                some.append((d, at, tokens[at : at + size]))
+                n += len(some[-1][2])
+        yield from self._windows(some, docs)
+
+    def bound(self, item: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each row of b no less than the score of its alignment with the item: every word that the item has counts as matched."""
+        code = item[:, None] * len(self.vocab) + b
+        has = self.words[np.minimum(np.searchsorted(self.words, code), len(self.words) - 1)] == code
+        total = np.cumsum(np.where(has & (b >= 0), 2, -1), axis=1)
+        return (total - np.minimum(np.minimum.accumulate(total, axis=1), 0)).max(axis=1)
+
+    def _windows(self, some: list[tuple[int, int, np.ndarray]], docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+        tokens = np.concatenate([t for *_, t in some]) if some else np.zeros(0, np.int64)
+        piece = np.repeat(np.arange(len(some)), [len(t) for *_, t in some])
+        at = np.flatnonzero(tokens >= 0)
+        first = self.first[tokens[at]]
+        n = self.first[tokens[at] + 1] - first
+        total = int(n.sum())
+        if not total:
+            return
+        at = np.repeat(at, n)
+        item = self.seed_item[np.arange(total) + np.repeat(first - np.cumsum(n) + n, n)]
+        key = piece[at] * len(self.ids) + item
+        order = np.argsort(key, kind="stable")
+        key, at, item = key[order], at[order], item[order]
+        last = np.arange(total) + (self.seeds - self.missing)[item] - 1
+        near = np.minimum(last, total - 1)
+        i = np.flatnonzero((last < total) & (key[near] == key) & (at[near] - at < self.span[item]))
+        if not len(i):
+            return
+        key, item, to, from_ = key[i], item[i], at[i] + self.span[item[i]], at[near[i]] - self.span[item[i]] + 1
+        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (from_[1:] > to[:-1])])
+        starts = np.cumsum([0, *(len(t) for *_, t in some)])
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(i)]):
+            p, k = int(key[a]) // len(self.ids), int(item[a])
+            d, offset, _ = some[p]
+            left, right, span = max(0, int(from_[a] - starts[p]) + offset), min(len(docs[d]), int(to[b - 1] - starts[p]) + offset), int(self.span[k])
+            for x in range(left, max(left + 1, right - span), 2 * span):
+                yield d, k, x, min(right, x + 3 * span)
 
 
 def align(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -116,29 +143,33 @@ def align(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def best_matches(items: Items, docs: list[np.ndarray]) -> list[tuple[int | None, float]]:
-    """For each document the item of highest similarity (smallest item id on ties), and that similarity."""
-    todo = [(d, item, start) for d, tokens in enumerate(docs) for item, start in items.windows(tokens)]
-    todo.sort(key=lambda t: len(items.tokens[t[1]]))
+    """For each document the item of highest similarity (smallest item id on ties), and that similarity; null and 0 if none reaches the threshold."""
+    todo = sorted(items.windows(docs), key=lambda t: (len(items.tokens[t[1]]), t[3] - t[2]))
     out: list[tuple[int | None, float]] = [(None, 0.0)] * len(docs)
-    for at in range(0, len(todo), 256):
-        some = todo[at : at + 256]
-        m = max(len(items.tokens[i]) for _, i, _ in some)
-        a = np.full((len(some), m), -2, np.int64)
-        b = np.full((len(some), 3 * m), -3, np.int64)
-        for r, (d, item, start) in enumerate(some):
-            own = items.tokens[item]
-            a[r, : len(own)] = own
-            from_, to = max(0, start - len(own) // 2), start + 2 * len(own) + len(own) // 2
-            part = docs[d][from_:to][: 3 * m]
-            b[r, : len(part)] = part
-        for (d, item, _), score in zip(some, align(a, b).tolist()):
+    at = 0
+    while at < len(todo):
+        n = 1
+        while at + n < len(todo) and n < 256 and (n + 1) * len(items.tokens[todo[at + n][1]]) * 6 <= CELLS:
+            n += 1
+        some = todo[at : at + n]
+        at += n
+        b = np.full((n, max(to - from_ for *_, from_, to in some)), -3, np.int64)
+        for r, (d, _, from_, to) in enumerate(some):
+            b[r, : to - from_] = docs[d][from_:to]
+        own = np.array([i for _, i, *_ in some])
+        may = np.flatnonzero(items.bound(own, b) >= items.least[own])
+        some, b = [some[r] for r in may.tolist()], b[may]
+        a = np.full((len(some), max((len(items.tokens[i]) for _, i, *_ in some), default=0)), -2, np.int64)
+        for r, (_, item, *_) in enumerate(some):
+            a[r, : len(items.tokens[item])] = items.tokens[item]
+        for (d, item, *_), score in zip(some, align(a, b).tolist()):
             found = (score / (2 * len(items.tokens[item])), -items.ids[item])
-            if found > (out[d][1], -(out[d][0] if out[d][0] is not None else 1 << 62)):
+            if score >= items.least[item] and found > (out[d][1], -(out[d][0] if out[d][0] is not None else 1 << 62)):
                 out[d] = (items.ids[item], found[0])
     return out
 
 
-def item_blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
+def item_blocks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> Iterator[Items]:
     """Blocks of items with their seeds chosen over all documents."""
     spark = docs.sparkSession
     small_batches(docs)
@@ -146,21 +177,22 @@ def item_blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
     blocks = max(1, -(-known.count() // BLOCK))
     for k in range(blocks):
         part = known if blocks == 1 else known.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        items = Items(sorted((r.item_id, r.text) for r in part.collect()))
+        items = Items(sorted((r.item_id, r.text) for r in part.collect()), similarity)
         shared = spark.sparkContext.broadcast(items)
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
-            n = np.zeros(len(items.keys), np.int64)
+            n = np.zeros(len(items.vocab), np.int64)
             for b in batches:
                 for t in b.column("text"):
-                    n[np.unique(items.hits(items.of(t.as_py()))[1])] += 1
+                    found = np.unique(items.of(t.as_py()))
+                    n[found[found >= 0]] += 1
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["key", "n"])
 
-        spread = np.zeros(len(items.keys), np.int64)
+        spread = np.zeros(len(items.vocab), np.int64)
         counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        got = counted.toArrow()  # one row for each trigram of the block at most
+        got = counted.toArrow()  # one row for each word of the block at most
         spread[got["key"].to_numpy()] = got["n"].to_numpy()
         items.choose_seeds(spread)
         yield items
@@ -169,13 +201,13 @@ def item_blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
 def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, contaminated, item_id, similarity.
 
-    One row per row of docs. item_id is the most similar item, null without any seed. Items with a
+    One row per row of docs. item_id is the most similar item that reaches the threshold, else null with similarity 0. Items with a
     null id or text or fewer than five words match nothing. Null and empty documents are clean.
     Repeated rows stay; other columns are not read; an empty table gives an empty one.
     """
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     parts = []
-    for items in item_blocks(docs, benchmark):
+    for items in item_blocks(docs, benchmark, similarity):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -198,7 +230,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that no item matches, with all their columns. A pass per block of items."""
     out = docs
-    for items in item_blocks(docs, benchmark):
+    for items in item_blocks(docs, benchmark, similarity):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

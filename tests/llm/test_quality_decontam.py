@@ -95,3 +95,41 @@ def test_blocks_of_items_agree_with_one(spark, monkeypatch):
     one = sorted(map(tuple, decontam.contamination(docs, bench).collect()))
     monkeypatch.setattr(decontam, "BLOCK", 3)
     assert sorted(map(tuple, decontam.contamination(docs, bench).collect())) == one
+
+
+def test_evenly_edited_copies_are_found_as_by_plain_alignment(spark):
+    rng = random.Random(21)
+    items = [[f"i{k}x{j}" for j in range(30)] for k in range(8)]
+    common = [f"c{j}" for j in range(40)]
+
+    def edited(words, every, how):
+        out = []
+        for j, w in enumerate(words):
+            if j % every < every - 1:
+                out.append(w)
+            elif how != "cut":
+                out += [rng.choice(common)] if how == "change" else [w, rng.choice(common)]
+        return out
+
+    docs = []
+    for every in (2, 3, 4, 5, 6):
+        for how in ("change", "insert", "cut"):
+            k = len(docs) % len(items)
+            docs.append((len(docs), " ".join(rng.choices(common, k=rng.randrange(90)) + edited(items[k], every, how) + rng.choices(common, k=50))))
+    same = " ".join(edited(items[0], 5, "change"))
+    docs += [(1000 + i, same) for i in range(200)]
+    docs.append((2000, " ".join(rng.choices(common, k=9000) + edited(items[3], 5, "change") + rng.choices(common, k=9000))))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    for some in (docs, docs[9:10], docs[-2:-1]):
+        got = {r.doc_id: r for r in decontam.contamination(spark.createDataFrame(some, "doc_id long, text string"), bench).collect()}
+        for d, text in some:
+            if 1000 < d < 2000:
+                assert got[d].contaminated and got[d].item_id == 0
+                continue
+            own = decontam.words(text)
+            near = [w for w in own if not w.startswith(b"c")]
+            at = own.index(near[0])
+            own = own[max(0, at - 100) : at + 200]
+            best = max(brute_align([x.encode() for x in w], own) / 60 for w in items)
+            assert got[d].contaminated == (best >= decontam.SIMILARITY), d
+            assert got[d].similarity == (round(best, 6) if best >= decontam.SIMILARITY else 0)
