@@ -1,12 +1,14 @@
-"""Near-duplicates by similarity of word shingles, with SimHash and Golay keys as the candidate search.
+"""Near-duplicates by similarity of word shingles, with shingle prefixes as the candidate search.
 
 Links of two bits, as simhash.py makes them, miss most copies whose five-word shingles are 0.8 similar:
-their shingle fingerprints differ in about ten bits. So candidates come from PLANES independent
-fingerprints of a document's distinct words, which one edited word moves far less, each with the same
-Golay keys. Whoever shares a key is a candidate; the exact Jaccard similarity of the shingle sets decides.
+their shingle fingerprints differ in about ten bits. So a document's keys are the first of its shingles
+in one order for all documents, so many that two sets that similar share one: no pair is missed, however
+it was edited. Shingles that a sample has often come last, so that common lines make few candidates.
+Whoever shares a key is a candidate; the exact Jaccard similarity of the shingle sets decides.
 
 Groups of many alike documents are not paired off. First each key's documents are compared with the
-smallest of them alone and joined into components; then only pairs of different components remain.
+smallest of them alone and joined into components; then only pairs of different components remain,
+and of these only such as share enough keys to be that similar.
 """
 
 from __future__ import annotations
@@ -22,25 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches
 from .components import connected_components
-from .simhash import golay_keys
 
-PLANES, WORDS, SIMILARITY = 12, 5, 0.8
-#: Texts of so few distinct words change much by one edit in any fingerprint; they also get keys that miss nothing among themselves.
-FEW = 24
-_MIX = (np.random.Generator(np.random.PCG64(2311)).integers(1 << 62, 1 << 63, PLANES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-
-
-def word_planes(text: str | None) -> np.ndarray:
-    """PLANES fingerprints (uint64) of the distinct words."""
-    found = set((text or "").encode("utf-8", "surrogatepass").lower().split())
-    total = np.zeros(64 * PLANES, np.int64)
-    h = np.frombuffer(b"".join([xxhash.xxh64_digest(w, 7) for w in found]), ">u8").astype(np.uint64)
-    for at in range(0, len(h), 1 << 13):
-        x = h[at : at + (1 << 13), None] * _MIX
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-        total += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(total * 2 > len(h)).view(np.uint64)
+WORDS, SIMILARITY = 5, 0.8
+#: The sample of documents whose frequent shingles come last: so many, or 1 in RAREST if that is more. It orders keys and drops none.
+SAMPLE, RAREST, OFTEN, MOST = 20_000, 50, 10, 1 << 20
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -58,39 +45,44 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(g, 11) for g in grams]), ">i8").astype(np.int64))
 
 
-def prefix_keys(text: str | None, similarity: float) -> np.ndarray:
-    """The first of the sorted shingles, so many that two sets that similar share one; none for texts of many words."""
-    if len(set((text or "").encode("utf-8", "surrogatepass").lower().split())) > FEW:
-        return np.zeros(0, np.int64)
-    found = shingles(text)
-    some = found[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]
-    return PLANES << 42 | (some & (1 << 42) - 1)
+def prefix_keys(found: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first of the shingles, those of common (sorted) last, so many that two sets that similar share one."""
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
+        found = np.concatenate((found[~late], found[late]))
+    return found[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]
+
+
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles (sorted) that OFTEN or more documents of a sample have; MOST of them at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()))], ["key"])
+
+    one_in = min(RAREST, max(1, docs.count() // SAMPLE))
+    some = docs.filter(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).select("text")
+    often = some.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
+    return np.sort(often.orderBy(F.desc("n"), "key").limit(MOST).select("key").toArrow()["key"].to_numpy())
 
 
 def candidate_keys(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, id): about 16 keys for each plane of a document that has words, and prefix keys if these are few."""
+    """(key, id, n): prefix keys of each document that has words, and how many shingles it has."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                ids = b.column("id").to_numpy(zero_copy_only=False)
-                has = np.array([bool(t.as_py() and t.as_py().strip()) for t in b.column("text")], bool)
-                if not has.any():
-                    continue
-                planes = np.array([word_planes(t.as_py()) for t, h in zip(b.column("text"), has) if h])
-                keys, owner = [], []
-                for p in range(PLANES):
-                    row, key = golay_keys(planes[:, p])
-                    keys.append(p << 42 | key)
-                    owner.append(ids[has][row])
-                for i, t, h in zip(ids, b.column("text"), has):
-                    if h and len(few := prefix_keys(t.as_py(), similarity)):
-                        keys.append(few)
-                        owner.append(np.full(len(few), i))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owner))], ["key", "id"])
-
-    return docs.mapInArrow(run, "key long, id long")
+                sets = [shingles(t.as_py()) for t in b.column("text")]
+                keys = [prefix_keys(s, similarity, shared.value) if len(s) else s for s in sets]
+                times = [len(k) for k in keys]
+                owner = np.repeat(b.column("id").to_numpy(zero_copy_only=False), times)
+                n = np.repeat(np.array([len(s) for s in sets], np.int32), times)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(owner), pa.array(n)], ["key", "id", "n"])
+
+    return docs.mapInArrow(run, "key long, id long, n int")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
@@ -115,16 +107,20 @@ def near_duplicate_groups(docs: DataFrame, scratch: Scratch, similarity: float =
     """
     slim = small_batches(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id IS NOT NULL")
     keys = candidate_keys(slim, similarity)
-    shared = scratch.keep(keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most").select("key", "least"))
+    shared = scratch.keep(keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("least"), F.max("id").alias("most")).filter("least.id <> most").selectExpr("key", "least.id AS least", "least.n AS n_least"))
     members = scratch.keep(keys.join(shared, "key"))
-    star = members.filter("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v")).distinct()
+    near = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
+    star = members.filter("id <> least").filter(near("n", "n_least")).select(F.col("least").alias("u"), F.col("id").alias("v")).distinct()
     first = _verified(star, slim, similarity, scratch)
     known = scratch.keep(connected_components(first, scratch))
-    # of members that are in one component already, the key keeps the smallest; pairs that the star tried are not tried again
-    placed = members.join(known.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "least", F.coalesce("component", "id").alias("component"))
+    placed = members.join(known.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     placed = scratch.keep(placed)
-    a, b = (placed.select("key", F.col("id").alias(n), F.col("component").alias(f"c{n}"), "least") for n in ("u", "v"))
-    rest = a.join(b.drop("least"), "key").filter("u < v AND cu <> cv AND u <> least").select("u", "v").distinct()
+    a, b = (placed.select("key", F.col("id").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}")) for x in ("u", "v"))
+    both = a.join(b, "key").filter("u < v AND cu <> cv").filter(near("nu", "nv")).groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("met"))
+    # what lies behind the prefix that ends first is all that can be common besides the shared keys
+    behind = lambda n: F.ceil(F.lit(similarity) * F.col(n) - 1e-9) - 1
+    enough = F.col("met") + F.greatest(behind("nu"), behind("nv")) >= F.lit(similarity / (1 + similarity)) * (F.col("nu") + F.col("nv")) - 1e-6
+    rest = both.filter(enough).select("u", "v").distinct()
     second = _verified(rest, slim, similarity, scratch)
     return connected_components(first.union(second), scratch).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 

@@ -82,3 +82,28 @@ def test_stages_keep_columns_and_bear_empty_tables(spark, sf):
         if name != "bpe":
             assert out.columns == docs.columns
             docs = out
+
+
+def test_appended_and_cut_copies_are_found(spark):
+    import random
+
+    rng = random.Random(12)
+    texts, pairs = {}, []
+    for k, (n, more) in enumerate([(300, 72), (300, 45), (100, 24), (800, 190), (40, 9), (60, 10)] * 12):
+        body = [f"b{k}x{i}" for i in range(n)] if k % 3 else rng.choices([f"v{i}" for i in range(60)], k=n)
+        end = [f"e{k}x{i}" for i in range(more)]
+        texts[2 * k] = " ".join(body)
+        texts[2 * k + 1] = " ".join(end + body if k % 2 else body + end)
+        pairs.append((2 * k, 2 * k + 1))
+    want = brute_groups(texts)
+    frame = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicate_groups(frame, Scratch(spark, "t")).collect()}
+    assert sum(want[a] == want[b] for a, b in pairs) >= 60
+    assert {d: got.get(d, d) for d in texts} == want
+    # the same where most shingles are common
+    line = " ".join(f"l{i}" for i in range(90))
+    texts = {d: f"{line} {t}" for d, t in texts.items()}
+    want = brute_groups(texts)
+    frame = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicate_groups(frame, Scratch(spark, "t")).collect()}
+    assert {d: got.get(d, d) for d in texts} == want
