@@ -142,10 +142,10 @@ def align(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best
 
 
-def best_matches(items: Items, docs: list[np.ndarray]) -> list[tuple[int | None, float]]:
-    """For each document the item of highest similarity (smallest item id on ties), and that similarity; null and 0 if none reaches the threshold."""
+def all_matches(items: Items, docs: list[np.ndarray]) -> list[dict[int, float]]:
+    """For each document the items (places in the block) that reach the threshold, with their similarity."""
     todo = sorted(items.windows(docs), key=lambda t: (len(items.tokens[t[1]]), t[3] - t[2]))
-    out: list[tuple[int | None, float]] = [(None, 0.0)] * len(docs)
+    out: list[dict[int, float]] = [{} for _ in docs]
     at = 0
     while at < len(todo):
         n = 1
@@ -163,12 +163,17 @@ def best_matches(items: Items, docs: list[np.ndarray]) -> list[tuple[int | None,
         for r, (_, item, *_) in enumerate(some):
             a[r, : len(items.tokens[item])] = items.tokens[item]
         for (d, item, *_), score in zip(some, align(a, b).tolist()):
-            found = (score / (2 * len(items.tokens[item])), -items.ids[item])
-            if score >= items.least[item] and found > (out[d][1], -(out[d][0] if out[d][0] is not None else 1 << 62)):
-                out[d] = (items.ids[item], found[0])
+            if score >= items.least[item]:
+                out[d][item] = max(out[d].get(item, 0.0), score / (2 * len(items.tokens[item])))
     return out
 
 
+def best_matches(items: Items, docs: list[np.ndarray]) -> list[tuple[int | None, float]]:
+    """For each document the item of highest similarity (smallest item id on ties), and that similarity; null and 0 if none reaches the threshold."""
+    best = [max(((s, -items.ids[k]) for k, s in found.items()), default=None) for found in all_matches(items, docs)]
+    return [(-x[1], x[0]) if x else (None, 0.0) for x in best]
+
+
 def item_blocks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> Iterator[Items]:
     """Blocks of items with their seeds chosen over all documents."""
     spark = docs.sparkSession
@@ -227,6 +232,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     return out.select("doc_id", (F.col("similarity") >= similarity).alias("contaminated"), "item_id", F.round("similarity", 6).alias("similarity"))
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, contaminated (true), item_id, similarity: a row for each item that a row of docs leaks. Clean documents have none."""
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    out = None
+    for items in item_blocks(docs, benchmark, similarity):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items = shared.value
+            for b in batches:
+                found = all_matches(items, [items.of(t.as_py()) for t in b.column("text")])
+                rows = [(d.as_py(), items.ids[k], s) for d, f in zip(b.column("doc_id"), found) for k, s in sorted(f.items())]
+                d, i, s = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], ["doc_id", "item_id", "similarity"])
+
+        part = slim.mapInArrow(run, "doc_id long, item_id long, similarity double")
+        out = part if out is None else out.union(part)
+    return out.select("doc_id", F.lit(True).alias("contaminated"), "item_id", F.round("similarity", 6).alias("similarity"))
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that no item matches, with all their columns. A pass per block of items."""
     out = docs

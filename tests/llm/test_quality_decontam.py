@@ -133,3 +133,16 @@ def test_evenly_edited_copies_are_found_as_by_plain_alignment(spark):
             best = max(brute_align([x.encode() for x in w], own) / 60 for w in items)
             assert got[d].contaminated == (best >= decontam.SIMILARITY), d
             assert got[d].similarity == (round(best, 6) if best >= decontam.SIMILARITY else 0)
+
+
+def test_query_has_every_item_that_a_document_leaks(spark, tmp_path, monkeypatch):
+    items = [" ".join(f"i{k}x{j}" for j in range(12)) for k in range(5)]
+    docs = [(1, f"{items[0]} and {items[3]} z"), (2, "nothing here"), (3, " ".join(items)), (None, items[2])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {(1, 0), (1, 3), (None, 2), *((3, k) for k in range(5))}
+    for block in (decontam.BLOCK, 2):
+        monkeypatch.setattr(decontam, "BLOCK", block)
+        rows = queries.op10_decontamination(spark, str(tmp_path)).collect()
+        assert len(rows) == len(want) and {(r.doc_id, r.item_id) for r in rows} == want
+        assert all(r.contaminated and r.similarity == 1 for r in rows)
