@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 
 
 def tokens(text: Column, least: int = 2) -> Column:
-    """Lower-cased words of at least so many characters. With 0 nothing is left out, not even empty ends."""
-    split = F.split(F.regexp_replace(F.lower(text), r"[^\w\s]", " "), r"\s+")
-    return F.filter(split, lambda t: F.length(t) >= least) if least else split
+    """Lower-cased runs of ASCII word characters of at least so many characters."""
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"\w{{{least},}}"), F.lit(0))
+
+
+def token_count(text: Column, least: int = 2) -> Column:
+    return F.regexp_count(F.lower(text), F.lit(rf"\w{{{least},}}"))
+
+
+def found_terms(text: Column, terms: list[str]) -> Column:
+    """The tokens that are one of the terms, repeats included, in one pass and without a list of all tokens."""
+    any_ = "|".join(sorted(terms, key=len, reverse=True))  # terms are made of word characters alone
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!\w)(?:{any_})(?!\w)"), F.lit(0))
 
 
 def ascii_words(pattern: str) -> str:

@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as sc
 from ..functions.text import clamp, word_token_estimate
+from . import dense, lexical, store
 
 
-def candidates(semantic: DataFrame, lexical: DataFrame, pool: int, lexical_pool: int) -> DataFrame:
+def candidates(semantic: DataFrame, docs: DataFrame, id_: str, text: Column, query: str, pool: int, lexical_pool: int) -> DataFrame:
     """(id, semantic, bm25): the best of either leg, zero where a leg doesn't have the id.
 
-    Both legs are top lists of bounded length, so the outer join and what follows is small.
+    Both legs are top lists of bounded length, so the outer join and what follows is small. The texts are scored in one pass.
     """
     s = semantic.select("id", F.col("score").alias("semantic")).orderBy(F.desc("semantic"), "id").limit(pool)
-    b = lexical.select("id", F.col("score").alias("bm25"))
-    inside = b.join(s.select("id"), "id", "left_semi")
-    outside = b.join(s.select("id"), "id", "left_anti").filter("bm25 > 0").orderBy(F.desc("bm25"), "id").limit(lexical_pool)
+    b = lexical.bm25_candidates(docs, id_, text, query, s, pool, lexical_pool).select("id", F.col("score").alias("bm25"))
     zero = F.lit(0.0)
-    return s.join(inside.unionByName(outside), "id", "full_outer").select("id", F.coalesce("semantic", zero).alias("semantic"), F.coalesce("bm25", zero).alias("bm25"))
+    return s.join(b, "id", "full_outer").select("id", F.coalesce("semantic", zero).alias("semantic"), F.coalesce("bm25", zero).alias("bm25"))
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -136,16 +135,13 @@ def expand_by_links(found: DataFrame, links: DataFrame, limit: int, factor: floa
 
 def search(nodes: DataFrame, query: str, mode: str = "hybrid", limit: int = 10, now_ms: int = 0, vector=None, vec: str = "embedding", rrf_k: int | None = None, **options) -> DataFrame:
     """The three modes over nodes that are alive and searchable. hybrid without a vector is bm25."""
-    from . import dense, lexical, store
-
     pool = nodes.filter(store.alive(now_ms) & store.searchable())
     if mode == "text":
         return lexical.text_search(pool, query, limit)
-    ranked = lexical.bm25(pool, "id", F.col("content"), query)
     if mode == "bm25" or vector is None:
-        return ranked.orderBy(F.desc("score"), "id").limit(limit).join(pool, "id").orderBy(F.desc("score"), "id")
+        return lexical.bm25_topk(pool, "id", F.col("content"), query, limit).join(pool, "id").orderBy(F.desc("score"), "id")
     near = dense.knn(pool.filter(F.col(vec).isNotNull()), "id", vec, vector, 5 * limit)
-    both = candidates(near, ranked, 5 * limit, 3 * limit).join(pool, "id")
+    both = candidates(near, pool, "id", F.col("content"), query, 5 * limit, 3 * limit).join(pool, "id")
     if rrf_k is not None:
         return reciprocal_ranks(both, now_ms, rrf_k).orderBy(F.desc("score"), "id").limit(limit)
     return linear_rank(both, limit, **options)

@@ -1,25 +1,37 @@
-"""Lexical search: postings, statistics, term frequency and BM25."""
+"""Lexical search: postings, statistics, term frequency and BM25.
+
+Nothing here makes a list of all tokens of a row where a count will do: lengths and the query's terms are counted
+by two regular expressions in generated code.
+"""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import found_terms, token_count, tokens
 
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, id_: str, text) -> DataFrame:
+def postings(docs: DataFrame, id_: str, text: Column) -> DataFrame:
     """(id, term, frequency). The tokens of a row are counted before anything is shuffled."""
-    words = docs.select(F.col(id_).alias("id"), F.explode(tokens(text, 0)).alias("term")).filter(F.length("term") >= 2)
+    words = docs.select(F.col(id_).alias("id"), F.explode(tokens(text)).alias("term"))
     return words.groupBy("id", "term").agg(F.count("*").alias("frequency"))
 
 
-def doc_stats(docs: DataFrame, id_: str, text) -> DataFrame:
-    return docs.select(F.col(id_).alias("id"), F.size(tokens(text)).cast("long").alias("token_count"))
+def node_text(content: str = "content", label: str = "label", summary: str = "summary", keywords: str = "keywords") -> Column:
+    """What the index of a node is made from: its keywords count twice."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
+    words = F.coalesce(F.array_join(keywords, " "), F.lit(""))
+    return F.concat_ws(" ", empty(content), empty(label), empty(summary), words, words)
+
+
+def doc_stats(docs: DataFrame, id_: str, text: Column) -> DataFrame:
+    return docs.select(F.col(id_).alias("id"), token_count(text).cast("long").alias("token_count"))
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
@@ -28,53 +40,84 @@ def document_frequency(post: DataFrame) -> DataFrame:
 
 def query_terms(query: str, least: int = 2) -> list[str]:
     """Terms of a query as tokens() makes them, repeats included."""
-    import re
+    return [t for t in re.findall(r"\w+", query.lower(), flags=re.A) if len(t) >= least]
 
-    return [t for t in re.sub(r"[^\w\s]", " ", query.lower(), flags=re.A).split() if len(t) >= least]
 
-
-def _term_counts(docs: DataFrame, id_: str, text, terms: list[str]) -> DataFrame:
+def _term_counts(docs: DataFrame, id_: str, text: Column, terms: list[str], by: list[str] | None = None, also: list[str] | None = None) -> DataFrame:
     """One row per document: length and the frequency of each query term, without a shuffle."""
-    counted = docs.select(F.col(id_).alias("id"), tokens(text).alias("_t"))
-    return counted.select("id", F.size("_t").alias("dl"), *[F.size(F.filter("_t", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    kept = [*(by or []), *(also or [])]
+    found = docs.select(F.col(id_).alias("id"), *kept, token_count(text).alias("dl"), found_terms(text, terms).alias("_f"))
+    return found.select("id", *kept, "dl", *[(F.size("_f") - F.size(F.array_remove("_f", t))).alias(f"tf{i}") for i, t in enumerate(terms)])
 
 
-def _is(term: str):
-    return lambda t: t == F.lit(term)
+def lexical_tf(docs: DataFrame, id_: str, text: Column, query: str, limit: int) -> DataFrame:
+    """Sum of frequencies of the distinct query terms, zeros left out."""
+    terms = sorted(set(query_terms(query)))
+    if not terms:
+        return docs.select(F.col(id_).alias("id"), F.lit(0).cast("long").alias("score")).limit(0)
+    found = docs.select(F.col(id_).alias("id"), F.size(found_terms(text, terms)).cast("long").alias("score"))
+    return found.filter("score > 0").orderBy(F.desc("score"), "id").limit(limit)
 
 
-def lexical_tf(docs: DataFrame, id_: str, text, query: str, limit: int) -> DataFrame:
-    """Sum of frequencies of the distinct query terms, zeros left out."""
+def lexical_from_postings(nodes: DataFrame, post: DataFrame, query: str, limit: int) -> DataFrame:
+    """The same from a postings table (id, term, frequency): only the terms' rows are read, and joined to nodes that pass."""
     terms = sorted(set(query_terms(query)))
-    score = reduce(lambda a, b: a + b, [F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)).cast("long")
-    return _term_counts(docs, id_, text, terms).select("id", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "id").limit(limit)
+    hits = post.filter(F.col("term").isin(*terms)) if terms else post.limit(0)
+    scores = hits.groupBy("id").agg(F.sum("frequency").alias("score"))
+    return nodes.select("id").join(scores, "id").orderBy(F.desc("score"), "id").limit(limit)
 
 
-def bm25(docs: DataFrame, id_: str, text, query: str) -> DataFrame:
-    """(id, score) of documents with a positive score.
+def bm25_raw(docs: DataFrame, id_: str, text: Column, query: str, by: list[str] | None = None, also: list[str] | None = None, over: DataFrame | None = None) -> DataFrame:
+    """(id, by..., also..., raw): sums of the terms' scores, not divided by the largest; a repeated term counts as often.
 
-    A term that the query repeats counts as often. Scores are divided by the largest, if that is over
-    one. One aggregate gives all statistics, one row; ranking and division add one more aggregate.
+    Statistics are those of the row's group (the scope, say), or of all rows, of docs or of another table (over). Two scans:
+    one for the statistics, which is a row for each group and broadcast, one for the scores.
     """
     wanted = query_terms(query)
     terms = sorted(set(wanted))
+    group = by or ["_all"]
+    over = docs if over is None else over
+    docs, over = (x if by else x.withColumn("_all", F.lit(0)) for x in (docs, over))
     if not terms:
-        return docs.select(F.col(id_).alias("id"), F.lit(0.0).alias("score")).limit(0)
-    counts = _term_counts(docs, id_, text, terms)
-    stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+        return docs.select(F.col(id_).alias("id"), *(by or []), *(also or []), F.lit(0.0).alias("raw")).limit(0)
+    counts = _term_counts(docs, id_, text, terms, group, also)
+    stats = _term_counts(over, id_, text, terms, group).groupBy(*group).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
 
     def part(i: int, term: str):
         df, tf = F.col(f"df{i}"), F.col(f"tf{i}")
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         return wanted.count(term) * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
-    raw = counts.crossJoin(F.broadcast(stats)).select("id", reduce(lambda a, b: a + b, [part(i, t) for i, t in enumerate(terms)]).alias("raw")).filter("raw > 0")
-    top = raw.agg(F.max("raw").alias("top"))  # one row
-    return raw.crossJoin(F.broadcast(top)).select("id", (F.col("raw") / F.greatest("top", F.lit(1.0))).alias("score"))
+    any_ = reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(terms))])
+    scored = counts.filter(any_).join(F.broadcast(stats), group)
+    raw = reduce(lambda a, b: a + b, [part(i, t) for i, t in enumerate(terms)])
+    return scored.select("id", *(by or []), *(also or []), raw.alias("raw"))
+
+
+def bm25_topk(docs: DataFrame, id_: str, text: Column, query: str, limit: int) -> DataFrame:
+    """(id, score): the best by BM25, divided by the largest if that is over one. Only the list of the best is divided."""
+    best = bm25_raw(docs, id_, text, query).orderBy(F.desc("raw"), "id").limit(limit)
+    top = F.max("raw").over(Window.partitionBy(F.lit(0)))  # limit rows at most
+    return best.select("id", (F.col("raw") / F.greatest(top, F.lit(1.0))).alias("score")).orderBy(F.desc("score"), "id")
+
+
+def bm25_scoped(docs: DataFrame, id_: str, text: Column, query: str, limit: int, scope: str = "scope") -> DataFrame:
+    """(id, scope, score): statistics and division by the largest are those of each scope; the lists of scopes are merged and cut."""
+    raw = bm25_raw(docs, id_, text, query, [scope])
+    best = raw.withColumn("_r", F.row_number().over(Window.partitionBy(scope).orderBy(F.desc("raw"), "id"))).filter(F.col("_r") <= limit)
+    top = F.max("raw").over(Window.partitionBy(scope))
+    return best.select("id", scope, (F.col("raw") / F.greatest(top, F.lit(1.0))).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def bm25_topk(docs: DataFrame, id_: str, text, query: str, limit: int) -> DataFrame:
-    return bm25(docs, id_, text, query).orderBy(F.desc("score"), "id").limit(limit)
+def bm25_candidates(docs: DataFrame, id_: str, text: Column, query: str, pool: DataFrame, most: int, limit: int) -> DataFrame:
+    """(id, score, inside): scores of all ids of pool (most rows at most) and of the best limit others, from one pass over the texts."""
+    ids = F.broadcast(pool.select(F.col("id").alias(id_), F.lit(1).alias("_in")))
+    marked = docs.join(ids, id_, "left").withColumn("_in", F.coalesce("_in", F.lit(0)))
+    raw = bm25_raw(marked, id_, text, query, also=["_in"], over=docs).orderBy(F.desc("_in"), F.desc("raw"), "id").limit(most + limit)
+    all_ = Window.partitionBy(F.lit(0))  # most + limit rows at most
+    rank = F.row_number().over(Window.partitionBy("_in").orderBy(F.desc("raw"), "id"))
+    scored = raw.select("id", (F.col("raw") / F.greatest(F.max("raw").over(all_), F.lit(1.0))).alias("score"), (F.col("_in") == 1).alias("inside"), rank.alias("_r"))
+    return scored.filter(F.col("inside") | (F.col("_r") <= limit)).select("id", "score", "inside")
 
 
 def text_search(nodes: DataFrame, query: str, limit: int, label: str = "label", content: str = "content") -> DataFrame:

@@ -156,6 +156,23 @@ def bm25_topk(spark, sf):
     return lexical.bm25_topk(docs(spark, sf), "doc_id", F.col("text"), QUERY, 20).select("id", F.round("score", 6).alias("score"))
 
 
+@query("bm25_scoped", f"""WITH {NODES}, t AS (SELECT id, scope, {TOK.format(x='content')} AS toks FROM nodes),
+s AS (SELECT scope, count(*) AS n, avg(len(toks)) AS avgdl FROM t GROUP BY scope),
+q AS (SELECT unnest(['the', 'of', 'license', 'data']) AS term),
+tf AS (SELECT t.id, t.scope, q.term, len(t.toks) AS dl, len(list_filter(t.toks, lambda x: x = q.term)) AS tf FROM t CROSS JOIN q),
+df AS (SELECT scope, term, count(*) FILTER (WHERE tf > 0) AS df FROM tf GROUP BY ALL),
+raw AS (SELECT id, tf.scope, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))) AS raw FROM tf JOIN df ON df.term = tf.term AND df.scope = tf.scope JOIN s ON s.scope = tf.scope GROUP BY ALL)
+SELECT id, scope, round(score, 6) AS score FROM (SELECT id, scope, raw / greatest(max(raw) OVER (PARTITION BY scope), 1) AS score FROM raw WHERE raw > 0 ORDER BY score DESC, id LIMIT 30)""")
+def bm25_scoped(spark, sf):
+    return lexical.bm25_scoped(nodes(spark, sf), "id", F.col("content"), "the license of data", 30).withColumn("score", F.round("score", 6))
+
+
+@query("lexical_from_postings", f"WITH {_T}, u AS (SELECT doc_id AS id, unnest(toks) AS term FROM t) SELECT id, count(*) AS score FROM u WHERE term IN ('the', 'license') AND id % 3 <> 0 GROUP BY id ORDER BY score DESC, id LIMIT 25")
+def lexical_from_postings(spark, sf):
+    post = lexical.postings(docs(spark, sf), "doc_id", F.col("text"))
+    return lexical.lexical_from_postings(nodes(spark, sf).filter("scope = 'project'"), post, "the license", 25)
+
+
 # ---- dense ----
 
 QVEC = [round(((i * 37) % 19 - 9) / 10, 2) for i in range(64)]
@@ -234,8 +251,7 @@ r AS (SELECT *, least(1e0, greatest(0e0, (0.45e0 * least(1e0, greatest(0e0, sema
 
 def _candidates(spark, sf):
     near = dense.knn(vectors(spark, sf), "vec_id", "embedding", QVEC, 50)
-    words = lexical.bm25(docs(spark, sf), "doc_id", F.col("text"), QUERY)
-    return hybrid.candidates(near, words, 50, 30).join(nodes(spark, sf).drop("content"), "id")
+    return hybrid.candidates(near, docs(spark, sf), "doc_id", F.col("text"), QUERY, 50, 30).join(nodes(spark, sf).drop("content"), "id")
 
 
 @query("rank_features", f"WITH {NODES}, {_FEAT} SELECT id, round(semantic, 9) AS semantic, round(bm25, 9) AS bm25, round(least(1e0, greatest(0e0, least(1e0, greatest(0e0, (qm - 0.5e0) / 0.8e0)) * am)), 9) AS quality FROM r")

@@ -132,9 +132,16 @@ def test_prefix_must_be_clear(spark):
 
 def test_bm25(spark):
     d = spark.createDataFrame([(1, "common rare"), (2, "common"), (3, "common common")], "id long, text string")
-    got = {r.id: r.score for r in lexical.bm25(d, "id", F.col("text"), "rare common").collect()}
-    assert got[1] > got[2] > 0 and lexical.bm25(d, "id", F.col("text"), "").count() == 0
-    assert lexical.bm25(d, "id", F.col("text"), "absent").count() == 0
+    got = {r.id: r.score for r in lexical.bm25_topk(d, "id", F.col("text"), "rare common", 9).collect()}
+    assert got[1] > got[2] > 0 and lexical.bm25_topk(d, "id", F.col("text"), "", 9).count() == 0
+    assert lexical.bm25_topk(d, "id", F.col("text"), "absent", 9).count() == 0
+
+
+def test_bm25_scans_no_more_than_it_must(spark, sf):
+    from mnemosaic.plans import catalogue
+
+    scans = lambda name: catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert scans("bm25_topk") <= 2 and scans("hybrid_linear") <= 5 and scans("hybrid_rrf") <= 10
 
 
 def test_rrf(spark):
