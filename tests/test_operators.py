@@ -238,10 +238,10 @@ def test_distilled_rules(spark):
 OUTPUTS = {
     "compiler-diagnostics": "\n".join(f"src/a{i % 3}.ts:{i}:2: error TS1: bad thing happened here again and again and again" for i in range(1, 40)),
     "test-output": "\n".join(["PASS a.test.ts"] * 60 + ["FAIL b.test.ts", "Tests: 61 total"]),
-    "log-stream": "\n".join(f"2024-01-01T00:00:{i:02d} INFO step {i} of a long list of steps" for i in range(50)),
+    "log-stream": "\n".join(f"2024-01-01T00:00:0{i}Z service INFO {'step of a long list ' * 20}" for i in range(4)),
     "npm-install": "npm install x\n" + "\n".join(f"+ package-{i}@1.0.{i} with a long line of text" for i in range(30)) + "\nadded 30 packages\naudited 31 packages",
     "source-code": "import os\nimport sys\n" + "\n".join(f"def f{i}(x):\n    value = x + {i}\n    return value" for i in range(30)),
-    "config-content": "[a]\n" + "\n".join(f"key{i} = a value of some length here" for i in range(20)) + "\n[b]\nother = 1",
+    "config-content": "[a]\n" + "\n".join(f"key{i} = {'a value of some length ' * 20}" for i in range(2)) + "\n[b]",
     "build-log": "webpack 5 compiled\nvite build\n" + "\n".join(f"chunk {i} of the bundle is done now" for i in range(30)),
     "coverage-log": "File | % Stmts\nAll files | 71.2 |\n" + "\n".join(f"src/file{i}.ts | {i}.5 | 10 | 20" for i in range(30)),
     "dep-tree": "root@1.0.0\n" + "\n".join(f"├── pkg{i}@1.{i}.0 and more text here" for i in range(60)),
@@ -249,23 +249,31 @@ OUTPUTS = {
 }
 
 
-@pytest.mark.parametrize("kind", OUTPUTS)
-def test_output_types(kind):
-    assert compress.output_type(OUTPUTS[kind]) == kind
-    out, how = compress.compressed("run", OUTPUTS[kind])
-    assert len(out) < 0.9 * len(OUTPUTS[kind]) and how != "none"
+def test_output_types(spark):
+    t = spark.createDataFrame([(k, "run", o, False) for k, o in OUTPUTS.items()], "id string, command string, output string, failed boolean")
+    rows = compress.compress_outputs(t).collect()
+    assert {r.id: r.type for r in rows} == {k: k for k in OUTPUTS}
+    assert all(r.strategy != "none" and len(r.output) < 0.9 * len(OUTPUTS[r.id]) and abs(r.saved - (1 - len(r.output) / len(OUTPUTS[r.id]))) < 1e-9 for r in rows)
+    by = {r.id: r.output for r in rows}
+    assert "FAIL b.test.ts" in by["test-output"] and "failed 1, passed 60" in by["test-output"] and by["raw-text"].startswith("plain words (200 times)")
 
 
 def test_compression_by_command_and_failure(spark):
     long = "\n".join(f"line {i}" for i in range(200))
     failing = long + "\nERROR boom\n" + long
-    out, how = compress.compressed("make", failing, True)
-    assert how == "error-first" and "ERROR boom" in out
-    assert compress.compressed("rg x", "\n".join(f"a.py:{i}: something found" for i in range(100)))[1] == "grep"
-    assert compress.compressed("git log", "\n".join(f"commit {i:040x}\nAuthor: A <a@b.c>\nDate: now\n\n    subject {i}\n" for i in range(30)))[1] == "git"
-    assert compress.compressed("x", None) == ("", "none") and compress.shape('{"a": [1]}') == "json" and compress.shape("a,b\n1,2\n3,4") == "csv"
-    t = spark.createDataFrame([(1, "make", failing, True), (2, None, None, None)], "id long, command string, output string, failed boolean")
-    assert {r.id: r.strategy for r in compress.compress_outputs(t).collect()} == {1: "error-first", 2: "none"}
+    cases = [
+        (1, "make", failing, True, "error-first"), (2, None, None, None, "none"), (3, "rg x", "\n".join(f"a.py:{i}: something found" for i in range(100)), False, "grep"),
+        (4, "git log", "\n".join(f"commit {i:040x}\nAuthor: A <a@b.c>\nDate: now\n\n    subject {i}\n" for i in range(30)), False, "git"), (5, "x", "short", True, "none"),
+        (6, "pytest -q", "\n".join(["ok"] * 300 + ["1 failed"]), False, "test"), (7, "x", "a,b,c\n" + "\n".join(f"{i},two,three and more" for i in range(90)), False, "shape"),
+    ]
+    t = spark.createDataFrame([c[:4] for c in cases], "id long, command string, output string, failed boolean")
+    got = {r.id: r for r in compress.compress_outputs(t).collect()}
+    assert {k: r.strategy for k, r in got.items()} == {c[0]: c[4] for c in cases}
+    assert "ERROR boom" in got[1].output and "line 199" in got[1].output and "... 177 lines" in got[1].output and got[2].output == ""
+    assert value(spark, compress.shape(F.lit('{"a": [1]}'))) == "json" and value(spark, compress.shape(F.lit("a,b\n1,2\n3,4"))) == "csv"
+    assert value(spark, compress.tool_output(F.lit("glob"), F.lit("a/x.py\na/y.py\nb/z.py"))) == "a/ 2\nb/ 1"
+    assert value(spark, compress.tool_output(F.lit("read"), F.lit("x\n\n\n\ny "))) == "x\n\ny"
+    assert value(spark, compress.without_noise(F.lit("2024-01-01T10:00:00Z start\n\n-----\n[10:00:01] go"))) == "start\ngo"
     runs = spark.createDataFrame([(1, 1, "c", "a\nb"), (2, 2, "c", "a\nb"), (3, 3, "c", "a\nd")], "id long, ts long, command string, output string")
     got = {r.id: r for r in compress.deltas(runs).collect()}
     assert got[2].same and got[3].added == ["d"] and got[3].removed == ["b"]
