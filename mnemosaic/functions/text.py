@@ -95,3 +95,77 @@ def char_token_estimate(text: Column, per_token: float = 4.0) -> Column:
 
 def strip_ansi(text: Column) -> Column:
     return F.regexp_replace(text, r"\x1B\[[0-9;?]*[A-Za-z]", "")
+
+
+def token_estimate(text: Column) -> Column:
+    """Tokens a model would count, from characters: more for text with marks or line ends, as code has; one at least, none for no text."""
+    per = F.when(text.rlike(r"""[{}()\[\];=<>+*&|!?:,.\\/"'\-\t\r\n]"""), 3.2).otherwise(4.5)
+    return F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(F.greatest(F.lit(1), F.ceil(F.length(text) / per))).cast("long")
+
+
+#: Long words and what they are cut to; a table of one's own may be given instead.
+ABBREVIATIONS = {
+    "initializing": "init", "management": "mgmt", "application": "app", "applications": "apps", "documentation": "docs", "repository": "repo",
+    "repositories": "repos", "utility": "util", "utilities": "utils", "communication": "comm", "notification": "notif", "notifications": "notifs",
+}
+
+
+def abbreviated(text: Column, words: dict[str, str] | None = None) -> Column:
+    """Long words cut short, each with a capital if it had one. Words of paths, names of files and addresses stay."""
+    out = text
+    for long, short in sorted((words or ABBREVIATIONS).items(), key=lambda x: -len(x[0])):
+        for w, a in ((long, short), (long.capitalize(), short.capitalize())):
+            # a run of characters that aren't blanks and has / . : is left alone
+            out = F.regexp_replace(out, rf"(?<=^|\s)([^\s/.:]*?)\b{w}\b(?=[^\s/.:]*(?:\s|$))", f"$1{a}")
+    return out
+
+
+def intent_line(text: Column, pattern: str = r"(?im)^\s*intent\s*:\s*(.+)$", most: int = 30) -> Column:
+    """The first declared intent, thirty words of it; null without one."""
+    found = F.trim(F.regexp_extract(text, pattern, 1))
+    return F.when(found != "", F.array_join(F.slice(F.split(found, r"\s+"), 1, most), " "))
+
+
+def command_prefix(command: Column) -> Column:
+    """A command before its first pipe, without changes of folder and environment in front."""
+    first = F.substring_index(F.trim(command), "|", 1)
+    return F.trim(F.regexp_replace(first, r"^(?:(?:source|cd)\s+\S+\s+(?:&&|;)\s*)*", ""))
+
+
+def command_terms(command: Column) -> Column:
+    """Lower-cased arguments of three characters or more that aren't options, without quotes and brackets."""
+    parts = F.filter(F.slice(F.split(command, r"\s+"), F.lit(2), F.greatest(F.size(F.split(command, r"\s+")), F.lit(1))), lambda t: ~t.startswith("-"))
+    return F.filter(F.transform(parts, lambda t: F.lower(F.regexp_replace(t, r"[\"'`()]", ""))), lambda t: F.length(t) >= 3)
+
+
+def call_signature(tool: Column, args: Column) -> Column:
+    """tool::JSON of the arguments (a map of strings) in order of their names, nulls left out."""
+    pairs = F.array_sort(F.filter(F.map_entries(args), lambda e: e["value"].isNotNull()))
+    return F.concat(tool, F.lit("::"), F.coalesce(F.to_json(F.map_from_entries(pairs)), F.lit("{}")))
+
+
+#: What an answer says that gives none.
+REFUSALS = ("cannot determine", "cannot answer", "not mentioned", "not provided", "no information", "does not contain", "does not provide", "i cannot", "unable to", "not enough", "not specified", "not available")
+
+
+def refuses(answer: Column) -> Column:
+    low = F.lower(F.coalesce(answer, F.lit("")))
+    return F.when(low.rlike("|".join(REFUSALS)), F.lit(1.0)).otherwise(0.0)
+
+
+def resolved_dates(text: Column, day: Column) -> Column:
+    """Words such as yesterday or last month as dates, by the day on which they were said. The first kind that stands in the text is replaced."""
+    named = lambda d, form: F.lower(F.date_format(d, form))
+    low, full = F.lower(text), "d MMMM yyyy"
+    kinds = [
+        ("yesterday", named(F.date_sub(day, 1), full)),
+        ("last week", F.concat(F.lit("week of "), named(F.date_sub(day, 7), full))),
+        ("last month", named(F.add_months(day, -1), "MMMM yyyy")),
+        ("last year", (F.year(day) - 1).cast("string")),
+        ("next week", F.concat(F.lit("week of "), named(F.date_add(day, 7), full))),
+        ("next month", named(F.add_months(day, 1), "MMMM yyyy")),
+    ]
+    out = F.when(day.isNull(), text)
+    for word, date in kinds:
+        out = out.when(low.contains(word), F.regexp_replace(text, F.lit(rf"(?i)\b{word}\b"), date))
+    return out.otherwise(text)

@@ -40,3 +40,21 @@ def mean_pooled(vectors: Column) -> Column:
     """The mean of an array of equally long vectors."""
     total = F.aggregate(F.slice(vectors, F.lit(2), F.greatest(F.size(vectors), F.lit(1))), F.transform(F.get(vectors, F.lit(0)), lambda x: x.cast("double")), lambda s, v: F.zip_with(s, v, lambda x, y: x + y.cast("double")))
     return F.transform(total, lambda x: x / F.size(vectors))
+
+
+def _codec():
+    import numpy as np
+    from pyspark.sql.functions import PandasUDFType
+
+    decode = F.pandas_udf(lambda blobs: blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4")), "array<float>", PandasUDFType.SCALAR)
+    encode = F.pandas_udf(lambda vectors: vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes()), "binary", PandasUDFType.SCALAR)
+    return decode, encode
+
+
+def from_blob(blob: Column) -> Column:
+    """Little-endian 32-bit floats as an array. There is no such expression in the JVM; batches go through Arrow."""
+    return _codec()[0](blob)
+
+
+def to_blob(vector: Column) -> Column:
+    return _codec()[1](vector.cast("array<float>"))

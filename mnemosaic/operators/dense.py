@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as vx
 
+#: Rows of a group among which a greedy choice is made.
+POOL = 1_000
+
 
 def knn(vectors: DataFrame, id_: str, vec: str, query, k: int) -> DataFrame:
     """(id, score): cosine with the query, best first. Filter before; nothing is filtered after."""
@@ -122,9 +125,11 @@ def _unit(v) -> np.ndarray:
 def mmr(pool: DataFrame, by: str, k: int, weight: float = 0.3, per_project: int | None = 2) -> DataFrame:
     """pool(by, id, importance, vec[, project]) -> by, id, pick: greedy importance - weight * closest chosen.
 
-    A pool is a bounded candidate list of one query; each group is one task's work. Of a project with
+    A pool is cut to its POOL most important rows of a group, and a group is one task's work. Of a project with
     per_project choices already, similarity counts as 0.7 at least.
     """
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("importance"), "id"))
+    pool = pool.withColumn("_r", rank).filter(F.col("_r") <= POOL).drop("_r")
     project = "project" in pool.columns
 
     def pick(key, rows):
@@ -152,6 +157,56 @@ def mmr(pool: DataFrame, by: str, k: int, weight: float = 0.3, per_project: int
     return pool.groupBy(by).applyInPandas(pick, f"{by} {pool.schema[by].dataType.simpleString()}, id long, pick int")
 
 
+def mmr_injection(pool: DataFrame, by: str, k: int, weight: float = 0.5) -> DataFrame:
+    """pool(by, id, score, type, level, vec, words) -> by, id, pick: the best by score first, then greedily
+    weight * score - (1 - weight) * closest chosen, less 0.1 for each chosen of its type and 0.05 for each of its level.
+
+    Closeness is the cosine, or the shared part of the smaller set of words where a vector is missing. A pool is cut to POOL rows
+    of a group by score before it is one task's work; ties go to the smaller id.
+    """
+
+    def pick(key, rows):
+        rows = rows.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
+        n = len(rows)
+        vs = [None if v is None else _unit(v) for v in rows["vec"]]
+        ws = [frozenset(w) if w is not None else frozenset() for w in rows["words"]]
+        close = lambda i, j: float(vs[i] @ vs[j]) if vs[i] is not None and vs[j] is not None else len(ws[i] & ws[j]) / min(len(ws[i]), len(ws[j])) if ws[i] and ws[j] else 0.0
+        near, less, chosen = np.zeros(n), np.zeros(n), []
+        types, levels = rows["type"].to_numpy(object), rows["level"].to_numpy(object)
+        left = np.ones(n, bool)
+        while left.any() and len(chosen) < k:
+            gain = np.where(left, weight * rows["score"].to_numpy() - (1 - weight) * near - less, -np.inf) if chosen and n > k else np.where(left, -np.arange(n), -np.inf)
+            best = int(np.argmax(gain))
+            chosen.append(best)
+            left[best] = False
+            near = np.maximum(near, [close(i, best) for i in range(n)])
+            less = less + 0.1 * np.array([t is not None and t == types[best] for t in types]) + 0.05 * np.array([x is not None and x == levels[best] for x in levels])
+        out = rows.iloc[chosen][[by, "id"]].copy()
+        out["pick"] = np.arange(1, len(out) + 1)
+        return out
+
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "id"))
+    bounded = pool.withColumn("_r", rank).filter(F.col("_r") <= POOL).select(by, "id", "score", "type", "level", "vec", "words")
+    return bounded.groupBy(by).applyInPandas(pick, f"{by} {pool.schema[by].dataType.simpleString()}, id long, pick int")
+
+
+def ann(vectors: DataFrame, id_: str, vec: str, query, k: int, planes: int = 12, tables: int = 16, seed: int = 7) -> DataFrame:
+    """(id, score): the best by cosine among rows that share a side of all planes with the query in one table at least, one plane off allowed.
+
+    An approximation for tables that are read again and again; knn() is exact. Random planes are fixed by the seed.
+    """
+    rng = np.random.default_rng(seed)
+    normal = rng.normal(size=(tables, planes, len(query)))
+    q = np.asarray(query, float)
+    wanted = (normal @ q > 0).astype(int)
+    side = lambda t, j: (vx.dot(F.col(vec), vx.literal(normal[t, j])) > 0).cast("int") != int(wanted[t, j])
+    met = [sum((side(t, j).cast("int") for j in range(planes)), F.lit(0)) <= 1 for t in range(tables)]
+    hit = met[0]
+    for m in met[1:]:
+        hit = hit | m
+    return knn(vectors.filter(hit), id_, vec, query, k)
+
+
 def leader_clusters(rows: DataFrame, by: str, id_: str, vec: str, least: float = 0.3, shortest: int = 2) -> DataFrame:
     """(by, id, leader): one pass in id order; a row joins the first leader at least so similar, else leads."""
 

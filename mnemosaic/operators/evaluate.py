@@ -47,3 +47,45 @@ def chosen_strategy(scores: DataFrame, current: str, margin: float = 0.05) -> Da
     """The best strategy, or the current one unless it is beaten by the margin."""
     kept = scores.select("strategy", (F.col("score") + F.when(F.col("strategy") == current, margin).otherwise(0.0)).alias("held"), "score")
     return kept.orderBy(F.desc("held"), "strategy").limit(1).select("strategy", "score")
+
+
+#: Shares of agreement and feedback, weights of cost and of running in parallel, and the margin that unseats a strategy.
+AGREEMENT, FEEDBACK, COST_WEIGHT, PARALLEL_WEIGHT, MARGIN = 0.6, 0.4, 0.1, 0.1, 0.05
+
+
+def feedback_score(up: Column, down: Column, effectiveness: Column) -> Column:
+    """Votes and effectiveness, half each; nulls count as none."""
+    zero = F.lit(0)
+    return (F.coalesce(up, zero) - F.coalesce(down, zero)) * 0.5 + F.coalesce(effectiveness, F.lit(0.0)) * 0.5
+
+
+def replay_scores(strategies: DataFrame, queries: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """How each strategy would have done on past queries.
+
+    strategies(strategy, family, cost, parallel), queries(query_id, made_by, feedback, ids array), retrieved(strategy, query_id, id)
+    -> strategy, queries, overlap, quality, score. A strategy that made a query (by its name or family) agrees with itself by as much
+    as the feedback isn't negative; others agree by the share of the injected ids that they find too. Feedback goes to the maker:
+    its whole share if it is good, none if it is bad, half to all else. Strategies are few, so each meets each query.
+    """
+    asked = F.broadcast(strategies).join(queries.withColumn("n", F.size("ids")))
+    hits = retrieved.distinct().join(queries.select("query_id", F.explode("ids").alias("id")).distinct(), ["query_id", "id"]).groupBy("strategy", "query_id").agg(F.count("*").alias("hit"))
+    both = asked.join(hits, ["strategy", "query_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    maker = (F.col("strategy") == F.col("made_by")) | F.coalesce(F.col("family") == F.col("made_by"), F.lit(False))
+    share = F.when(F.col("n") > 0, F.col("hit") / F.col("n")).otherwise(0.0)
+    agreement = F.when(maker, F.greatest(F.lit(0.0), 1 + F.least("feedback", F.lit(0.0)))).otherwise(share)
+    voted = F.when((F.col("feedback") > 0) & maker, FEEDBACK).when((F.col("feedback") < 0) & maker, 0.0).otherwise(FEEDBACK / 2)
+    per = both.withColumn("q", agreement * AGREEMENT + voted).groupBy("strategy", "cost", "parallel").agg(F.count("*").alias("queries"), F.sum("hit").cast("long").alias("overlap"), F.avg("q").alias("quality"))
+    score = F.col("quality") * (1 - COST_WEIGHT * F.col("cost")) + PARALLEL_WEIGHT * F.col("parallel")
+    return per.select("strategy", "queries", "overlap", "quality", score.alias("score"))
+
+
+def explored(spread: float | None, all_: list[str], few: tuple[str, ...] = ("drilldown", "keyword", "cross-encoder", "intent-debug")) -> list[str]:
+    """The strategies to try next: a few when the last scores lie within a tenth, else all."""
+    return [s for s in all_ if s in few] if spread is not None and spread <= 0.1 else list(all_)
+
+
+def refusal_report(rows: DataFrame, category: str, answer: str) -> DataFrame:
+    """Share of answers that refuse, of each category."""
+    from ..functions.text import refuses
+
+    return rows.groupBy(F.col(category).cast("string").alias("category")).agg(F.count("*").alias("n"), F.avg(refuses(F.col(answer))).alias("refused"))

@@ -38,15 +38,16 @@ def resolve_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
 def hops(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     """(id, hops): nodes at most so many undirected hops from any seed, seeds at zero.
 
-    A hop is one join with the neighbours and the node itself, and one grouped minimum, so the plan
-    grows by the same for each hop. Callers with many hops should write the result between calls.
+    Only the frontier is joined to the edges, and what was seen before is left out of the next one. The plan grows with the
+    number of hops; callers with many hops should write the result between calls.
     """
-    both = symmetric(edges.select("src", "dst")).distinct().withColumn("_step", F.lit(1))
-    ids = both.select(F.col("src").alias("id")).unionByName(seeds.select("id")).distinct()
-    near = both.unionByName(ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("_step")))
-    seen = seeds.select("id").distinct().withColumn("hops", F.lit(0))
-    for _ in range(most):
-        seen = seen.join(near, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("hops") + F.col("_step")).alias("hops"))
+    both = symmetric(edges.select("src", "dst"))
+    front = seeds.select("id").distinct().withColumn("hops", F.lit(0))
+    seen = front
+    for h in range(1, most + 1):
+        met = front.select(F.col("id").alias("src")).join(both, "src").select(F.col("dst").alias("id")).distinct()
+        front = met.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(h))
+        seen = seen.unionByName(front)
     return seen
 
 
@@ -85,11 +86,17 @@ def callees(edges: DataFrame, node) -> DataFrame:
 
 
 def call_chain(edges: DataFrame, node, depth: int = 3, per_level: int = 100, most: int = 500) -> DataFrame:
-    """(id, level): callers of callers, at most per_level a level and most in all: a report, cut by definition."""
+    """(id, level, truncated): callers of callers, at most per_level a level and most in all: a report, cut by definition.
+
+    truncated says whether the report leaves any out.
+    """
     back = edges.filter(F.col("edge_type") == "calls").select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
     found = hops_directed(back, node, depth).filter("hops > 0")
+    total = found.agg(F.count("*").alias("_all"))
     rank = F.row_number().over(Window.partitionBy("hops").orderBy("id"))
-    return found.withColumn("_r", rank).filter(F.col("_r") <= per_level).orderBy("hops", "id").limit(most).select("id", F.col("hops").alias("level"))
+    some = found.withColumn("_r", rank).filter(F.col("_r") <= per_level).orderBy("hops", "id").limit(most)
+    n = F.count("*").over(Window.partitionBy(F.lit(0)))  # most rows at most
+    return some.withColumn("_n", n).join(total).select("id", F.col("hops").alias("level"), (F.col("_n") < F.col("_all")).alias("truncated"))
 
 
 def hops_directed(edges: DataFrame, start, most: int) -> DataFrame:
@@ -171,3 +178,24 @@ def unchanged(files: DataFrame, known: DataFrame) -> DataFrame:
 
 def merge(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True).dropDuplicates(keys)
+
+
+def explained(edges: DataFrame, nodes: DataFrame, node) -> DataFrame:
+    """(id, relation, label, community, degree): the neighbours of a node, what they are and how many edges they have.
+
+    nodes(id, label, community); neighbours without a row have nulls.
+    """
+    near = neighbours(edges, node)
+    ids = near.select("id").distinct()
+    degree = edges.select(F.explode(F.array("src", "dst")).alias("id")).join(ids, "id", "left_semi").groupBy("id").agg(F.count("*").alias("degree"))
+    return near.join(nodes.select("id", "label", "community"), "id", "left").join(degree, "id").select("id", "relation", "label", "community", "degree")
+
+
+def node_links(nodes: DataFrame) -> DataFrame:
+    """(source, target, kind) inside a set of nodes(id, label, content, parent_ids): parents, and labels in double brackets, each once."""
+    ids = nodes.select(F.col("id").alias("target"))
+    parents = nodes.select(F.col("id").alias("source"), F.explode("parent_ids").alias("target")).join(ids, "target", "left_semi").select("source", "target", F.lit("parent").alias("kind"))
+    named = nodes.filter("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("target"))
+    said = nodes.select(F.col("id").alias("source"), F.explode(F.regexp_extract_all("content", F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1))).alias("label"))
+    links = said.join(named, "label").filter("source <> target").select("source", "target", F.lit("link").alias("kind"))
+    return parents.unionByName(links).distinct()

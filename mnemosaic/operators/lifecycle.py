@@ -17,13 +17,15 @@ CORE_LABELS = ("persona", "human", "current-state", "project")
 def superseded(nodes: DataFrame, tags: str = "tags") -> DataFrame:
     """(id, superseded_by): nodes that a later one of a superseding type with equal label and scope replaces.
 
-    Their tags must share one or both be null. The earliest such later node counts.
+    Their tags must share one or both be null. The earliest such later node counts. Each tag (or none) has its rows in one
+    order of time, newest first, and a row takes the last superseding one before it: rows are not paired.
     """
-    later = nodes.filter(F.col("type").isin(*SUPERSEDING) & F.col("label").isNotNull()).select("label", "scope", F.col("id").alias("by"), F.col("created_ms").alias("at"), F.col(tags).alias("by_tags"))
-    older = nodes.filter(F.coalesce("status", F.lit("active")) == "active")
-    meets = F.coalesce(F.arrays_overlap(F.col(tags), F.col("by_tags")), F.col(tags).isNull() & F.col("by_tags").isNull())
-    pairs = older.join(later, ["label", "scope"]).filter(((F.col("at") > F.col("created_ms")) | ((F.col("at") == F.col("created_ms")) & (F.col("by") > F.col("id")))) & meets)
-    return pairs.groupBy("id").agg(F.min(F.struct("at", "by")).alias("m")).select("id", F.col("m.by").alias("superseded_by"))
+    tag = F.explode(F.when(F.col(tags).isNull(), F.array(F.lit(None).cast("string"))).otherwise(F.array_distinct(tags))).alias("_tag")
+    rows = nodes.filter("label IS NOT NULL").select("label", "scope", "id", "created_ms", "type", F.coalesce("status", F.lit("active")).alias("_s"), F.col(tags).isNull().alias("_none"), tag)
+    by = F.when(F.col("type").isin(*SUPERSEDING), F.struct(F.col("created_ms").alias("at"), F.col("id").alias("by")))
+    w = Window.partitionBy("label", "scope", "_none", "_tag").orderBy(F.desc("created_ms"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("_by", F.last(by, ignorenulls=True).over(w)).filter("_s = 'active' AND _by IS NOT NULL")
+    return found.groupBy("id").agg(F.min("_by").alias("m")).select("id", F.col("m.by").alias("superseded_by"))
 
 
 def latest_by_key(rows: DataFrame, key, order: str, id_: str) -> DataFrame:
@@ -109,3 +111,16 @@ def compression_candidates(nodes: DataFrame, level: int, now_ms: int) -> DataFra
     """Nodes of a level old enough to be summarised, long and not sticky, most important first."""
     days = {0: 7, 1: 30, 2: 90, 3: 365}[level]
     return nodes.filter((F.col("level") == level) & (F.col("created_ms") <= now_ms - days * sc.DAY_MS) & (F.length("content") > 100) & ~F.coalesce("sticky", F.lit(False))).orderBy(F.desc("importance"), "id")
+
+
+def predicted(nodes: DataFrame, calls: DataFrame, boost: float = 0.1, penalty: float = 0.1) -> DataFrame:
+    """calls(id, tool, success, helpful): usefulness after calls that name a node, between 0 and 5.
+
+    A rating that says helpful adds, and counts; one that says not helpful takes, if the call succeeded. Other calls add when they succeed, else take.
+    """
+    rated, helpful = F.col("tool") == "rate", F.coalesce(F.col("helpful"), F.lit(False))
+    step = F.when(rated & helpful, boost).when(rated & F.col("success") & F.col("helpful").isNotNull(), -penalty).when(rated, 0.0).when(F.col("success"), boost).otherwise(-penalty)
+    s = calls.groupBy("id").agg(F.sum(step).alias("_step"), F.count_if(rated & helpful).alias("_up"))
+    out = nodes.join(s, "id", "left")
+    changed = {"usefulness": clamp(F.coalesce("usefulness", F.lit(0.0)) + F.coalesce("_step", F.lit(0.0)), 0.0, 5.0), "times_helpful": (F.coalesce("times_helpful", F.lit(0)) + F.coalesce("_up", F.lit(0))).cast("int")}
+    return out.withColumns({c: e for c, e in changed.items() if c in nodes.columns}).select(*nodes.columns)

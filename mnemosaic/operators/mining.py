@@ -74,17 +74,33 @@ SAYINGS = {
 }
 
 
+def _said(rows: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, category, key): what each node says, each thing once."""
+    ls = lines(rows, id_, text).select("id", "line")
+    found = [_keys(c, F.regexp_extract_all("line", F.lit(tx.ascii_words(p)), F.lit(0))) for c, p in (("file", FILES), ("tool", TOOLS))]
+    found += [F.when(F.col("line").rlike(p), _keys(c, F.array(F.substring(F.regexp_replace("line", r"^[-*#\s]+", ""), 1, 80)))) for c, p in SAYINGS.items()]
+    none = F.array().cast("array<struct<category:string,key:string>>")
+    every = F.concat(*[F.coalesce(x, none) for x in found])  # one pass over the lines for all categories
+    return ls.select("id", F.explode(every).alias("k")).select("id", "k.category", "k.key").distinct()
+
+
+def _keys(category: str, keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.struct(F.lit(category).alias("category"), k.alias("key")))
+
+
 def patterns(rows: DataFrame, id_: str, text: str, top: int = 10) -> DataFrame:
     """(category, key, nodes): how many nodes say a thing, the commonest of each category."""
-    ls = lines(rows, id_, text).select("id", "line")
-    named = [ls.select("id", F.lit(c).alias("category"), F.explode(F.regexp_extract_all("line", F.lit(tx.ascii_words(p)), F.lit(0))).alias("key")) for c, p in (("file", FILES), ("tool", TOOLS))]
-    said = [ls.filter(F.col("line").rlike(p)).select("id", F.lit(c).alias("category"), F.substring(F.regexp_replace("line", r"^[-*#\s]+", ""), 1, 80).alias("key")) for c, p in SAYINGS.items()]
-    both = reduce(lambda a, b: a.unionByName(b), named + said)
-    counted = both.distinct().groupBy("category", "key").agg(F.count("*").alias("nodes"))
+    counted = _said(rows, id_, text).groupBy("category", "key").agg(F.count("*").alias("nodes"))
     rank = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("nodes"), "key"))
     return counted.withColumn("_r", rank).filter(F.col("_r") <= top).drop("_r")
 
 
+def pattern_nodes(rows: DataFrame, id_: str, text: str, top: int = 10) -> DataFrame:
+    """(category, key, id): the nodes that say the commonest things."""
+    best = F.broadcast(patterns(rows, id_, text, top).select("category", "key"))  # top rows of five categories
+    return _said(rows, id_, text).join(best, ["category", "key"], "left_semi")
+
+
 def line_runs(rows: DataFrame, id_: str, text: str, shortest: int = 2) -> DataFrame:
     """(id, start, line, n): stretches of equal neighbouring lines."""
     w = Window.partitionBy("id").orderBy("line_no")

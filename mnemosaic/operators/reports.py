@@ -102,5 +102,29 @@ def unseen(found: DataFrame, seen: DataFrame, least: float, excluded: tuple[str,
 
 def inject_size(history: DataFrame, base: int, ts: str = "ts") -> DataFrame:
     """One row (size): fewer the better the last twenty injections did; two to ten."""
-    last = history.orderBy(F.desc(ts)).limit(20).agg(F.coalesce(F.avg(F.col("success").cast("double")), F.lit(0.5)).alias("rate"))
+    keys = [F.desc(ts), *[F.desc(c) for c in history.columns if c == "id"]]
+    last = history.orderBy(*keys, "success").limit(20).agg(F.coalesce(F.avg(F.col("success").cast("double")), F.lit(0.5)).alias("rate"))
     return last.select(F.greatest(F.lit(2), F.least(F.lit(10), F.floor(base * (1.2 - 0.5 * F.col("rate")) + 0.5).cast("int"))).alias("size"))
+
+
+#: Columns that a node shows to callers, with what stands for a null.
+SHOWN = {
+    "id": None, "label": "", "content": None, "summary": None, "level": None, "type": None, "supertype": None, "domain": None, "tags": None, "source": None,
+    "importance": None, "usefulness": None, "times_used": None, "times_helpful": None, "access_count": None, "sticky": False, "confidence": None,
+    "verification_count": 0, "created_ms": None, "updated_ms": None, "accessed_ms": None, "parent_ids": None, "metadata": None, "project": None,
+    "derived_from": None, "status": "active",
+}
+
+
+def shown(nodes: DataFrame) -> DataFrame:
+    """Nodes as callers get them: the shown columns that there are, nulls of some replaced, metadata parsed."""
+    one = lambda c, other: F.coalesce(c, F.lit(other)).alias(c) if other is not None else F.try_parse_json(c).alias(c) if c == "metadata" else F.col(c)
+    return nodes.select(*[one(c, other) for c, other in SHOWN.items() if c in nodes.columns])
+
+
+def hub_network(nodes: DataFrame, hub: str, most: int = 15) -> DataFrame:
+    """(id, label, children): nodes whose parents name a hub by id or label, the first fifteen by label; children counts all."""
+    hubs = nodes.filter(F.col("label") == hub).select(F.explode(F.array(F.col("id").cast("string"), "label")).alias("_hub"))
+    found = nodes.select("id", "label", F.explode("parent_ids").alias("_hub")).join(F.broadcast(hubs), "_hub").select("id", "label").distinct()
+    n = found.agg(F.count("*").alias("children"))
+    return found.orderBy("label", "id").limit(most).join(n)

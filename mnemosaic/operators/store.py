@@ -76,24 +76,60 @@ def label_suggestions(nodes: DataFrame, label: str, scope: str | None = None, le
     return found.filter(F.col("similarity") >= least).orderBy(F.desc("preferred"), F.desc("similarity"), "label").limit(top).select("label", "similarity")
 
 
-def insert(nodes: DataFrame, new: DataFrame, now_ms: int) -> DataFrame:
-    """New rows with their derived columns: hash, summary, expiry of episodic ones, stickiness of skills."""
+def derived(new: DataFrame, now_ms: int) -> DataFrame:
+    """New rows with what follows from them: classes, hash, summary, expiry of episodic ones, stickiness of skills, and the defaults."""
+    from ..sources.nodes import with_classes
+
+    new = with_classes(new) if "category" not in new.columns else new
     ttl = F.coalesce(F.col("expires_ms"), F.when(F.col("category") == "episodic", F.lit(now_ms + 30 * 86_400_000)))
-    derived = new.withColumns({
+    plain = {"status": "active", "confidence": 0.5, "access_count": 0, "level": 0, "importance": 0.5}
+    known = {c: F.coalesce(c, F.lit(v)) for c, v in plain.items() if c in new.columns}
+    return new.withColumns({
+        **known,
         "expires_ms": ttl,
         "sticky": F.coalesce("sticky", F.lit(False)) | F.coalesce(F.col("type").isin("dot", "skill"), F.lit(False)),
         "summary": F.coalesce("summary", tx.auto_summary(F.col("content"))),
+        "hash": tx.content_hash(F.coalesce("content", F.lit(""))),
+        "created_ms": F.coalesce("created_ms", F.lit(now_ms)),
+        "updated_ms": F.coalesce("updated_ms", F.lit(now_ms)),
     })
-    return nodes.unionByName(derived, allowMissingColumns=True)
 
 
-def update(nodes: DataFrame, changes: DataFrame, now_ms: int) -> DataFrame:
-    """Overlay of the non-null columns of changes, one row per id."""
+def insert(nodes: DataFrame, new: DataFrame, now_ms: int) -> DataFrame:
+    """The nodes with the derived new rows, hash included."""
+    return nodes.unionByName(derived(new, now_ms), allowMissingColumns=True)
+
+
+def insertion(nodes: DataFrame, new: DataFrame, now_ms: int) -> dict[str, DataFrame]:
+    """All that an insert changes: nodes (superseded ones marked), and the new rows' links (resolved where they can be) and postings."""
+    from . import graph, lexical, lifecycle
+
+    both = insert(nodes, new, now_ms)
+    over = lifecycle.superseded(both).join(new.select(F.col("id").alias("superseded_by")), "superseded_by", "left_semi").select("id", F.lit("superseded").alias("_to"))
+    marked = both.join(over, "id", "left").withColumn("status", F.coalesce("_to", "status")).drop("_to")
+    said = new.select(F.col("id").alias("source_id"), F.explode(tx.wiki_links(F.col("content"))).alias("target_label"))
+    return {"nodes": marked, "links": graph.resolve_links(said, both), "postings": lexical.postings(new, "id", F.col("content"))}
+
+
+def update(nodes: DataFrame, changes: DataFrame, now_ms: int, nulls: tuple[str, ...] = ()) -> DataFrame:
+    """Overlay of the columns of changes: nulls leave a value as it is, but for the columns in nulls, which they clear.
+
+    Of several rows of changes for an id the last by all their columns counts, so no node is multiplied.
+    """
     cols = [c for c in changes.columns if c != "id"]
-    over = changes.select("id", *[F.col(c).alias(f"_{c}") for c in cols], F.lit(True).alias("_hit"))
-    out = nodes.join(over, "id", "left")
+    one = changes.groupBy("id").agg(F.max(F.struct(*cols)).alias("_c"), F.lit(True).alias("_hit"))
+    out = nodes.join(one, "id", "left")
     stamp = {"updated_ms": F.when(F.col("_hit"), F.lit(now_ms)).otherwise(F.col("updated_ms"))} if "updated_ms" in nodes.columns else {}
-    return out.withColumns({**{c: F.coalesce(f"_{c}", c) for c in cols}, **stamp}).select(*nodes.columns)
+    new = {c: F.when(F.col("_hit"), F.col(f"_c.{c}")).otherwise(F.col(c)) if c in nulls else F.coalesce(f"_c.{c}", c) for c in cols}
+    return out.withColumns({**new, **stamp}).select(*nodes.columns)
+
+
+def reindexed(postings: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The postings with those of changed nodes made anew."""
+    from . import lexical
+
+    fresh = lexical.postings(nodes.join(ids.select("id").distinct(), "id", "left_semi"), "id", F.col("content"))
+    return postings.join(ids.select("id").distinct(), "id", "left_anti").unionByName(fresh)
 
 
 def upsert_by_label(nodes: DataFrame, new: DataFrame) -> DataFrame:
@@ -117,3 +153,27 @@ def seed_absent(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def merge_absent(nodes: DataFrame, legacy: DataFrame) -> DataFrame:
     return nodes.unionByName(legacy.join(nodes.select("id"), "id", "left_anti"), allowMissingColumns=True)
+
+
+def merge_store(tables: dict[str, DataFrame], legacy: dict[str, DataFrame], scope: str) -> dict[str, DataFrame]:
+    """Two stores as one: nodes by id; links and postings of the legacy nodes that are new, under the scope given."""
+    added = legacy["nodes"].join(tables["nodes"].select("id"), "id", "left_anti")
+    out = {"nodes": tables["nodes"].unionByName(added.withColumn("scope", F.lit(scope)), allowMissingColumns=True)}
+    for name, key in (("links", "source_id"), ("postings", "id")):
+        if name in tables and name in legacy:
+            out[name] = tables[name].unionByName(legacy[name].join(added.select(F.col("id").alias(key)), key, "left_semi"), allowMissingColumns=True).distinct()
+    return out
+
+
+def backfilled(nodes: DataFrame, now_ms: int) -> dict[str, DataFrame]:
+    """What older stores lack, made anew for all rows: classes, summaries, hashes; links and postings."""
+    from . import graph, lexical
+
+    full = derived(nodes.drop("category", "supertype", "domain"), now_ms)
+    said = full.select(F.col("id").alias("source_id"), F.explode(tx.wiki_links(F.col("content"))).alias("target_label"))
+    return {"nodes": full, "links": graph.resolve_links(said, full), "postings": lexical.postings(full, "id", F.col("content"))}
+
+
+def label_matches(nodes: DataFrame, part: str, top: int = 3) -> DataFrame:
+    """Labels that contain a string, whatever the case, the first three."""
+    return nodes.filter(F.lower("label").contains(part.lower())).select("label").distinct().orderBy("label").limit(top)

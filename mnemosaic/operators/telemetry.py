@@ -126,10 +126,16 @@ def injection_stats(log: DataFrame) -> dict[str, DataFrame]:
 
 
 def attribution(log: DataFrame, feedback: DataFrame) -> DataFrame:
-    """feedback(node_id, at) -> the newest row of log(id, ts, ids array) at or before it that has the node."""
-    shown = log.select("id", "ts", F.explode("ids").alias("node_id"))
-    met = feedback.join(shown, "node_id", "left").filter(F.col("ts").isNull() | (F.col("ts") <= F.col("at")))
-    return met.groupBy("node_id", "at").agg(F.max_by("id", F.struct("ts", "id")).alias("log_id"))
+    """feedback(node_id, at) -> the newest row of log(id, ts, ids array) at or before it that has the node; null if none has.
+
+    Both are put in one order of time for each node, and a row takes the last log row before it: no row meets another.
+    """
+    none = F.lit(None).cast(log.schema["id"].dataType)
+    shown = log.select(F.explode("ids").alias("node_id"), F.col("ts").alias("at"), F.lit(0).alias("_late"), "id")
+    asked = feedback.select("node_id", "at", F.lit(1).alias("_late"), none.alias("id"))
+    w = Window.partitionBy("node_id").orderBy("at", "_late", "id").rowsBetween(Window.unboundedPreceding, 0)
+    both = shown.unionByName(asked).withColumn("log_id", F.last("id", ignorenulls=True).over(w))
+    return both.filter("_late = 1").select("node_id", "at", "log_id")
 
 
 def subtask(calls: DataFrame, session: str = "session_id", tool: str = "tool", command: str = "command") -> DataFrame:
@@ -154,3 +160,108 @@ def pressure(turns: DataFrame, window_tokens: int, session: str = "session_id",
     phase = F.when(F.col("used") >= 0.95, "critical").when(F.col("used") >= 0.85, "aggressive").when(F.col("used") >= 0.7, "warn").otherwise("normal")
     out = turns.withColumn("used", used).withColumn("phase", phase)
     return out.withColumn("first", ~F.coalesce(F.lag("phase").over(w) == F.col("phase"), F.lit(False)))
+
+
+def compression_totals(log: DataFrame, since) -> DataFrame:
+    """One row: calls, characters before and after, and whole percent saved."""
+    t = log.filter(F.col("ts") >= since).agg(F.count("*").alias("calls"), F.coalesce(F.sum("raw"), F.lit(0)).cast("long").alias("raw"), F.coalesce(F.sum("compressed"), F.lit(0)).cast("long").alias("compressed"))
+    return t.withColumn("saved", F.when(F.col("raw") > 0, js_round((1 - F.col("compressed") / F.col("raw")) * 100)).otherwise(0).cast("long"))
+
+
+def compression_by(log: DataFrame, by: str, since, top: int | None = None) -> DataFrame:
+    """log(ts, raw, compressed) by strategy or by command: calls, characters, mean percent saved; the commonest first."""
+    share = F.avg(1 - F.col("compressed") / F.greatest(F.col("raw"), F.lit(1))) * 100
+    out = log.filter(F.col("ts") >= since).groupBy(by).agg(F.count("*").alias("calls"), F.sum("raw").cast("long").alias("raw"), F.sum("compressed").cast("long").alias("compressed"), F.round(share, 1).alias("saved"))
+    return out if top is None else out.orderBy(F.desc("calls"), by).limit(top)
+
+
+def helpfulness(log: DataFrame) -> DataFrame:
+    """log(tokens, effectiveness): injections, mean tokens, percent that were of use; nulls count as none."""
+    return log.agg(
+        F.count("*").alias("injections"),
+        js_round(F.avg(F.coalesce("tokens", F.lit(0)))).cast("long").alias("tokens"),
+        js_round(F.avg((F.coalesce("effectiveness", F.lit(0.0)) > 0).cast("double")) * 100).cast("long").alias("helpful"),
+    )
+
+
+def session_metrics(log: DataFrame, session: str = "session_id") -> DataFrame:
+    """Per session: injections, tool calls, mean effectiveness over those that have one."""
+    return log.groupBy(F.col(session).alias("session_id")).agg(F.count("*").alias("injections"), F.coalesce(F.sum("tool_calls"), F.lit(0)).cast("long").alias("tool_calls"), F.avg("effectiveness").alias("effectiveness"))
+
+
+def strategy_history(trends: DataFrame) -> DataFrame:
+    """trends(strategy, score) -> how often each was active, and its mean score."""
+    return trends.groupBy("strategy").agg(F.count("*").alias("n"), F.avg("score").alias("score"))
+
+
+def score_spread(scores: DataFrame, by: str, order: tuple[str, ...] = ("ts", "id"), last: int = 5, score: str = "score") -> DataFrame:
+    """Adds the last scores so far (five), and the spread between the highest and the lowest of them."""
+    w = Window.partitionBy(by).orderBy(*order).rowsBetween(1 - last, 0)
+    return scores.withColumn("history", F.collect_list(score).over(w)).withColumn("spread", F.max(score).over(w) - F.min(score).over(w))
+
+
+def injection_digest(records: DataFrame, most: int = 5) -> DataFrame:
+    """records(feature, detail, at) -> (feature, n, digest): distinct details in the order they came, the first five of them."""
+    first = records.groupBy("feature", "detail").agg(F.min("at").alias("at"))
+    rank = F.row_number().over(Window.partitionBy("feature").orderBy("at", "detail"))
+    shown = F.array_sort(F.collect_list(F.when(F.col("_r") <= most, F.struct("_r", "detail"))))
+    out = first.withColumn("_r", rank).groupBy("feature").agg(F.count("*").alias("n"), shown.alias("d"))
+    count = F.when(F.col("n") > 1, F.concat(F.lit(" ("), F.col("n"), F.lit(")"))).otherwise("")
+    return out.select("feature", "n", F.concat("feature", count, F.lit(": "), F.array_join(F.transform("d", lambda x: x["detail"]), "; ")).alias("digest"))
+
+
+def injected_ids(log: DataFrame, rows: int = 20, most: int = 200, session: str = "session_id") -> DataFrame:
+    """log(session, ts, id, after array, before array) -> (session_id, node_id, place): distinct ids of each session's newest injections, newest first.
+
+    Ids after reranking count, those before it where there are none. At most so many rows and ids of a session, by definition.
+    """
+    newest = F.row_number().over(Window.partitionBy(session).orderBy(F.desc("ts"), F.desc("id")))
+    some = log.withColumn("_r", newest).filter(F.col("_r") <= rows)
+    each = some.select(F.col(session).alias("session_id"), "_r", F.posexplode(F.coalesce("after", "before")).alias("_p", "node_id")).filter("node_id IS NOT NULL")
+    first = each.groupBy("session_id", "node_id").agg(F.min(F.struct("_r", "_p")).alias("_at"))
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("_at"))
+    return first.withColumn("place", place).filter(F.col("place") <= most).select("session_id", "node_id", "place")
+
+
+def all_tags(rows: DataFrame, tags: str = "tags") -> DataFrame:
+    """(tag, n) of all tags."""
+    return rows.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+def intent_lines(lines: DataFrame, session, limit: int = 200) -> DataFrame:
+    """The declared intents of a session in order of turns."""
+    return lines.filter(F.col("session_id") == session).orderBy("turn", "id").limit(limit)
+
+
+def working_cache(entries: DataFrame, now_ms: int, most: int = 8, ttl_ms: int = 7_200_000, longest: int = 2_000) -> DataFrame:
+    """entries(session_id, id, label, content, importance, at_ms): what each session's cache holds now.
+
+    Of entries of one label the newest counts; two hours later it is gone; the eight most important stay.
+    """
+    fresh = entries.filter(F.col("at_ms") > now_ms - ttl_ms)
+    whole = F.struct(*[F.col(c) for c in entries.columns])
+    once = fresh.groupBy(F.col("session_id").alias("_s"), F.col("label").alias("_l")).agg(F.max_by(whole, F.struct("at_ms", "id")).alias("r")).select("r.*")
+    rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("importance"), "id"))
+    return once.withColumn("_r", rank).filter(F.col("_r") <= most).drop("_r").withColumn("content", F.substring("content", 1, longest))
+
+
+def fractal(nodes: DataFrame, depths: DataFrame, parents: str = "parent_ids") -> DataFrame:
+    """One row: nodes, depth of the tree, log-ratio dimension, mean number of parents of those that have any."""
+    deep = depths.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("depth"))
+    many = F.avg(F.when(F.size(parents) > 0, F.size(parents)))
+    base = nodes.agg(F.count("*").alias("nodes"), js_round(F.coalesce(many, F.lit(0.0)) * 100).alias("p"))
+    ratio = F.when((F.col("nodes") > 1) & (F.col("depth") > 0), F.log("nodes") / F.log(1 + F.col("depth"))).otherwise(0.0)
+    return base.join(deep).select("nodes", "depth", (js_round(ratio * 100) / 100).alias("dimension"), (F.col("p") / 100).alias("parents"))
+
+
+def root_causes(calls: DataFrame, session: str = "session_id", tool: str = "tool") -> DataFrame:
+    """(session_id, cause): one tool that fails again is a bad idea, several that fail once or twice are bugs, all else is unknown."""
+    per = calls.filter(~F.col("success")).groupBy(F.col(session).alias("session_id"), F.col(tool).alias("t")).agg(F.count("*").alias("n"))
+    both = per.groupBy("session_id").agg(F.count("*").alias("tools"), F.max("n").alias("most"))
+    cause = F.when((F.col("tools") == 1) & (F.col("most") >= 2), "bad-idea").when((F.col("tools") >= 2) & (F.col("most") <= 2), "implementation-bug").otherwise("unknown")
+    return both.select("session_id", cause.alias("cause"))
+
+
+def clustered_signatures(signatures: DataFrame, least: int = 3) -> DataFrame:
+    """(signature, n) of failures that many sessions share."""
+    return signatures.groupBy("signature").agg(F.count("*").alias("n")).filter(F.col("n") >= least)

@@ -75,9 +75,11 @@ def label_lookup(spark, sf):
     return store.by_label(nodes(spark, sf), "persona", NOW).select("id", "label")
 
 
-@query("prefix_lookup", f"WITH {NODES} SELECT id, label FROM nodes WHERE CAST(id AS VARCHAR) LIKE '199%' AND id < 1000 AND (SELECT count(*) FROM nodes WHERE CAST(id AS VARCHAR) LIKE '199%' AND id < 200) = 1 AND id < 200")
+@query("prefix_lookup", f"WITH {NODES} SELECT id, label FROM nodes WHERE CAST(id AS VARCHAR) LIKE (SELECT CAST(max(id) AS VARCHAR) || '%' FROM nodes)")
 def prefix_lookup(spark, sf):
-    return store.by_prefix(nodes(spark, sf).filter("id < 200"), "199").select("id", "label")
+    """By the largest id, which no other id begins with."""
+    n = nodes(spark, sf)
+    return store.by_prefix(n, str(n.agg(F.max("id")).first()[0])).select("id", "label")
 
 
 _TRI = "list_distinct(CASE WHEN length({x}) >= 3 THEN [substr({x}, i, 3) FOR i IN range(1, length({x}) - 1)] ELSE [{x}] END)"
@@ -104,11 +106,10 @@ def derived_columns(spark, sf):
     return docs(spark, sf).select("doc_id", tx.auto_summary(F.col("text")).alias("summary"), tx.content_hash(F.col("text")).alias("hash"), tx.word_token_estimate(F.col("text")).cast("long").alias("tokens"))
 
 
-@query("upsert_by_label", "WITH a AS (SELECT n_nationkey AS id, 'global' AS scope, n_name AS label, n_regionkey AS v FROM nation WHERE n_nationkey < 15), b AS (SELECT n_nationkey + 100 AS id, 'global' AS scope, n_name AS label, n_regionkey + 10 AS v FROM nation WHERE n_nationkey > 10) SELECT coalesce(a.id, b.id) AS id, coalesce(a.scope, b.scope) AS scope, coalesce(a.label, b.label) AS label, coalesce(b.v, a.v) AS v FROM a FULL JOIN b ON a.label = b.label AND a.scope = b.scope")
+@query("upsert_by_label", "WITH a AS (SELECT s_suppkey AS id, 'global' AS scope, concat('k', s_suppkey) AS label, s_acctbal AS v FROM supplier), b AS (SELECT c_custkey + 1000000 AS id, 'global' AS scope, concat('k', c_custkey * 3) AS label, c_acctbal AS v FROM customer) SELECT coalesce(a.id, b.id) AS id, coalesce(a.scope, b.scope) AS scope, coalesce(a.label, b.label) AS label, coalesce(b.v, a.v) AS v FROM a FULL JOIN b ON a.label = b.label AND a.scope = b.scope")
 def upsert_by_label(spark, sf):
-    n = src.table(spark, sf, "nation")
-    old = n.filter("n_nationkey < 15").selectExpr("n_nationkey AS id", "'global' AS scope", "n_name AS label", "n_regionkey AS v")
-    new = n.filter("n_nationkey > 10").selectExpr("n_nationkey + 100 AS id", "'global' AS scope", "n_name AS label", "n_regionkey + 10 AS v")
+    old = src.table(spark, sf, "supplier").selectExpr("s_suppkey AS id", "'global' AS scope", "concat('k', s_suppkey) AS label", "s_acctbal AS v")
+    new = src.table(spark, sf, "customer").selectExpr("c_custkey + 1000000 AS id", "'global' AS scope", "concat('k', c_custkey * 3) AS label", "c_acctbal AS v")
     return store.upsert_by_label(old, new)
 
 
@@ -201,26 +202,33 @@ def knn_queries(spark, sf):
     return dense.knn_queries(v, v.filter("vec_id % 20 = 0"), "vec_id", "embedding", 10).withColumn("score", F.round("score", 6))
 
 
-@query("similar_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.6")
+@query("similar_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3")
 def similar_pairs(spark, sf):
-    return dense.similar_pairs(vectors(spark, sf), "vec_id", "embedding", 0.6).withColumn("cosine", F.round("cosine", 6))
+    return dense.similar_pairs(vectors(spark, sf), "vec_id", "embedding", 0.3).withColumn("cosine", F.round("cosine", 6))
 
 
-@query("topic_boundaries", "WITH c AS (SELECT label, vec_id, coalesce(CAST(list_cosine_similarity(embedding::DOUBLE[], lag(embedding::DOUBLE[]) OVER w) < 0.5 AS INT), 0) AS cut FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)), r AS (SELECT label, vec_id, CAST(sum(cut) OVER (PARTITION BY label ORDER BY vec_id) AS BIGINT) AS run FROM c) SELECT label, run, min(vec_id) AS first_id, max(vec_id) AS last_id, count(*) AS size FROM r GROUP BY label, run HAVING count(*) >= 2")
+@query("topic_boundaries", "WITH c AS (SELECT label, vec_id, coalesce(CAST(list_cosine_similarity(embedding::DOUBLE[], lag(embedding::DOUBLE[]) OVER w) < 0 AS INT), 0) AS cut FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)), r AS (SELECT label, vec_id, CAST(sum(cut) OVER (PARTITION BY label ORDER BY vec_id) AS BIGINT) AS run FROM c) SELECT label, run, min(vec_id) AS first_id, max(vec_id) AS last_id, count(*) AS size FROM r GROUP BY label, run HAVING count(*) >= 2")
 def topic_boundaries(spark, sf):
-    return dense.topic_runs(vectors(spark, sf), "vec_id", "embedding", ["label"], 0.5)
+    return dense.topic_runs(vectors(spark, sf), "vec_id", "embedding", ["label"], 0.0)
 
 
-@query("l2_normalise", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 6) AS sq, round(list_dot_product(embedding::DOUBLE[], " + _Q + "), 6) AS d FROM embeddings")
+@query("l2_normalise", "SELECT vec_id, round(embedding[1] / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS first, round(list_dot_product(embedding::DOUBLE[], " + _Q + ") / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS d FROM embeddings")
 def l2_normalise(spark, sf):
-    v = F.col("embedding")
-    return vectors(spark, sf).select("vec_id", F.round(F.pow(vx.norm(v), 2), 6).alias("sq"), F.round(vx.dot(v, vx.literal(QVEC)), 6).alias("d"))
+    """Vectors of other lengths, made to unit length again."""
+    v = vx.l2_normalised(F.transform("embedding", lambda x: x * 3 + 0))
+    return vectors(spark, sf).select("vec_id", v.alias("v")).select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(vx.dot(F.col("v"), vx.literal(QVEC)), 6).alias("d"))
+
+
+@query("mean_pooling", "WITH u AS (SELECT label, vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings) SELECT label, round(avg(a), 6) AS first, round(avg(b), 6) AS second FROM u GROUP BY label")
+def mean_pooling(spark, sf):
+    g = vectors(spark, sf).groupBy("label").agg(F.collect_list("embedding").alias("vs"))  # ten labels of test vectors
+    return g.select("label", vx.mean_pooled(F.col("vs")).alias("m")).select("label", F.round(F.get("m", F.lit(0)), 6).alias("first"), F.round(F.get("m", F.lit(1)), 6).alias("second"))
 
 
 @query("mmr_select")
 def mmr_select(spark, sf):
     v = vectors(spark, sf)
-    pool = v.filter("vec_id < 500").select((F.col("label") % 3).cast("long").alias("q"), F.col("vec_id").alias("id"), vx.cosine(F.col("embedding"), vx.literal(QVEC)).alias("importance"), F.col("embedding").alias("vec"))
+    pool = v.select((F.col("label") % 3).cast("long").alias("q"), F.col("vec_id").alias("id"), vx.cosine(F.col("embedding"), vx.literal(QVEC)).alias("importance"), F.col("embedding").alias("vec"))
     return dense.mmr(pool, "q", 10)
 
 
@@ -254,9 +262,13 @@ def _candidates(spark, sf):
     return hybrid.candidates(near, docs(spark, sf), "doc_id", F.col("text"), QUERY, 50, 30).join(nodes(spark, sf).drop("content"), "id")
 
 
-@query("rank_features", f"WITH {NODES}, {_FEAT} SELECT id, round(semantic, 9) AS semantic, round(bm25, 9) AS bm25, round(least(1e0, greatest(0e0, least(1e0, greatest(0e0, (qm - 0.5e0) / 0.8e0)) * am)), 9) AS quality FROM r")
+@query("rank_features", f"WITH {NODES}, {_FEAT} SELECT id, round(semantic, 9) AS semantic, round(bm25, 9) AS bm25, round(least(1e0, greatest(0e0, least(1e0, greatest(0e0, (qm - 0.5e0) / 0.8e0)) * am)), 9) AS quality, round(confidence, 9) AS confidence, round(least(1e0, usefulness / 5), 9) AS usefulness, round(1 - least((id % 40) / 30e0, 1e0), 9) AS cost, round((id % 5) / CAST(id % 5 + 2 AS DOUBLE), 9) AS intent FROM r")
 def rank_features(spark, sf):
-    return hybrid.features(_candidates(spark, sf)).select("id", F.round("semantic", 9).alias("semantic"), F.round("bm25", 9).alias("bm25"), F.round("f_quality", 9).alias("quality"))
+    """All seven; total calls and the counts of intents follow from the id."""
+    counts = F.create_map(F.lit("debug"), F.col("id") % 5, F.lit("plan"), F.lit(2).cast("long"))
+    found = _candidates(spark, sf).withColumns({"total_calls": F.col("id") % 40, "affinity": sc.intent_affinity(counts, "debug")})
+    f = hybrid.features(found)
+    return f.select("id", F.round("semantic", 9).alias("semantic"), F.round("bm25", 9).alias("bm25"), *[F.round(f"f_{c}", 9).alias(c) for c in ("quality", "confidence", "usefulness", "cost", "intent")])
 
 
 @query("hybrid_linear", f"WITH {NODES}, {_FEAT} SELECT id, round(score, 6) AS score FROM (SELECT * FROM r ORDER BY score DESC, CASE WHEN level >= 1 THEN created_ms ELSE coalesce(accessed_ms, created_ms) END DESC, id LIMIT 10)")
@@ -286,6 +298,7 @@ def keyword_rerank(spark, sf):
 
 @query("budget_pack")
 def budget_pack(spark, sf):
+    """The hundred best of each project, which is what a search hands over, into a budget."""
     scored = nodes(spark, sf).select("project", "id", F.col("importance").alias("score"), F.ceil(F.length("content") / 4).alias("cost"))
     best = F.row_number().over(__import__("pyspark").sql.Window.partitionBy("project").orderBy(F.desc("score"), "id"))
     return hybrid.pack(scored.withColumn("_r", best).filter("_r <= 100").drop("_r"), 8000, ["project"])
@@ -296,10 +309,11 @@ def band_top(spark, sf):
     return hybrid.band_preserving(nodes(spark, sf).select("id", "level", F.col("importance").alias("score")), 3, 12)
 
 
-@query("legacy_hybrid_score", f"WITH {NODES} SELECT n.id, round(0.5e0 * {_COS.format(q=_Q)} + 0.3e0 * importance + 0.2e0 * confidence + CASE WHEN ({NOW} - updated_ms) / 86400000e0 < 1 THEN 0.1e0 WHEN ({NOW} - updated_ms) / 86400000e0 < 7 THEN 0.05e0 ELSE 0 END, 6) AS score FROM nodes n JOIN embeddings e ON e.vec_id = n.id")
+@query("legacy_hybrid_score", f"WITH {NODES}, w AS (SELECT id, CAST(contains(label, 'fact') AS INT) + CAST(contains(label, 'topic') AS INT) + CAST(contains(label, '1') AS INT) AS shared FROM nodes) SELECT n.id, round(0.5e0 * {_COS.format(q=_Q)} + 0.3e0 * importance + 0.2e0 * confidence + CASE WHEN ({NOW} - updated_ms) / 86400000e0 < 1 THEN 0.1e0 WHEN ({NOW} - updated_ms) / 86400000e0 < 7 THEN 0.05e0 ELSE 0 END + least(0.15e0, shared / 3e0 * 0.15e0), 6) AS score FROM nodes n JOIN w USING (id) JOIN embeddings e ON e.vec_id = n.id")
 def legacy_hybrid_score(spark, sf):
-    both = nodes(spark, sf).drop("content").join(vectors(spark, sf), F.col("id") == F.col("vec_id"))
-    score = sc.hybrid_score(vx.cosine(F.col("embedding"), vx.literal(QVEC)), F.col("importance"), F.col("confidence"), F.col("updated_ms"), NOW, F.lit(0), 1)
+    both = nodes(spark, sf).drop("content").join(vectors(spark, sf).select("vec_id", "embedding"), F.col("id") == F.col("vec_id"))
+    shared = sum((F.col("label").contains(w).cast("int") for w in ("fact", "topic", "1")), F.lit(0))
+    score = sc.hybrid_score(vx.cosine(F.col("embedding"), vx.literal(QVEC)), F.col("importance"), F.col("confidence"), F.col("updated_ms"), NOW, shared, 3)
     return both.select("id", F.round(score, 6).alias("score"))
 
 
@@ -399,10 +413,10 @@ def degree_topk(spark, sf):
     return graph.degrees(_places(spark, sf)).orderBy(F.desc("degree"), "id").limit(10)
 
 
-@query("cross_community_edges", "WITH e AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 10 = 0), c AS (SELECT 'c' || c_custkey AS id, n_regionkey AS community FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 's' || s_suppkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT src, dst, CASE WHEN dst LIKE '%1' THEN 3 ELSE 1 END AS score FROM e JOIN c a ON a.id = src JOIN c b ON b.id = dst WHERE a.community <> b.community ORDER BY score DESC, src, dst LIMIT 15")
+@query("cross_community_edges", "WITH e AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey), c AS (SELECT 'c' || c_custkey AS id, n_regionkey AS community FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 's' || s_suppkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT src, dst, CASE WHEN dst LIKE '%1' THEN 3 ELSE 1 END AS score FROM e JOIN c a ON a.id = src JOIN c b ON b.id = dst WHERE a.community <> b.community ORDER BY score DESC, src, dst LIMIT 15")
 def cross_community_edges(spark, sf):
     t = lambda n: src.table(spark, sf, n)
-    e = t("lineitem").join(t("orders").filter("o_custkey % 10 = 0"), F.col("l_orderkey") == F.col("o_orderkey")).selectExpr("concat('c', o_custkey) AS src", "concat('s', l_suppkey) AS dst").distinct()
+    e = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).selectExpr("concat('c', o_custkey) AS src", "concat('s', l_suppkey) AS dst").distinct()
     e = e.withColumn("origin", F.when(F.col("dst").like("%1"), "EXTRACTED").otherwise("INFERRED"))
     nation = t("nation").select("n_nationkey", F.col("n_regionkey").alias("community"))
     c = t("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("c"), "c_custkey").alias("id"), "community")
@@ -418,11 +432,16 @@ def parent_path(spark, sf):
     return graph.parent_path(n, 4).withColumn("path", F.array_join("path", ">"))
 
 
-@query("hierarchy_depth", "SELECT 'c' || c_custkey AS id, 2 AS depth FROM customer UNION ALL SELECT 'n' || n_nationkey, 1 FROM nation UNION ALL SELECT 'r' || r_regionkey, 0 FROM region")
+@query("hierarchy_depth", "SELECT 'c' || c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 3 WHEN c_custkey % 2 = 0 THEN 1 ELSE 2 END AS depth FROM customer UNION ALL SELECT 'n' || n_nationkey, 1 FROM nation UNION ALL SELECT 'r' || r_regionkey, 0 FROM region UNION ALL SELECT 's' || s_suppkey, 2 FROM supplier")
 def hierarchy_depth(spark, sf):
+    """Customers lie under a region, a nation, and a supplier of it: the deepest parent counts."""
     t = lambda n: src.table(spark, sf, n)
-    links = t("customer").selectExpr("concat('c', c_custkey) AS id", "concat('n', c_nationkey) AS parent").union(t("nation").selectExpr("concat('n', n_nationkey)", "concat('r', n_regionkey)"))
-    ids = links.select("id").union(t("region").selectExpr("concat('r', r_regionkey)"))
+    one = t("supplier").agg(F.min("s_suppkey")).first()[0]
+    links = t("customer").filter("c_custkey % 3 = 0 OR c_custkey % 2 = 1").selectExpr("concat('c', c_custkey) AS id", "concat('n', c_nationkey) AS parent")
+    links = links.union(t("customer").filter("c_custkey % 2 = 0").selectExpr("concat('c', c_custkey)", "'r1'"))
+    links = links.union(t("customer").filter("c_custkey % 3 = 0").selectExpr("concat('c', c_custkey)", f"'s{one}'"))
+    links = links.union(t("supplier").selectExpr("concat('s', s_suppkey)", "concat('n', s_nationkey)")).union(t("nation").selectExpr("concat('n', n_nationkey)", "concat('r', n_regionkey)"))
+    ids = links.select("id").union(t("region").selectExpr("concat('r', r_regionkey)")).distinct()
     return graph.depths(links, ids, 4)
 
 
@@ -432,11 +451,17 @@ def link_resolve(spark, sf):
     return graph.resolve_links(links, nodes(spark, sf).drop("content"))
 
 
-@query("label_communities")
+def _propagation_sql(rounds: int, least: int) -> str:
+    parts = ["e AS (SELECT DISTINCT o_custkey AS src, 10000000 + l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)", "b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)", "l0 AS (SELECT DISTINCT src AS id, src AS c FROM b)"]
+    for k in range(rounds):
+        parts.append(f"s{k} AS (SELECT b.src, l.c, count(*) AS n FROM b JOIN l{k} l ON l.id = b.dst GROUP BY ALL), l{k + 1} AS (SELECT src AS id, arg_max(c, (n, -c)) AS c FROM s{k} GROUP BY src)")
+    return f"WITH {', '.join(parts)} SELECT id, c AS community FROM l{rounds} WHERE c IN (SELECT c FROM l{rounds} GROUP BY c HAVING count(*) >= {least})"
+
+
+@query("label_communities", _propagation_sql(4, 3))
 def label_communities(spark, sf):
-    n = src.table(spark, sf, "nation")
-    e = n.selectExpr("CAST(n_nationkey AS BIGINT) AS src", "CAST(100 + n_regionkey AS BIGINT) AS dst")
-    return graph.label_propagation(e, 4)
+    e = src.table(spark, sf, "lineitem").join(src.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return graph.label_propagation(e.select(F.col("o_custkey").alias("src"), (10000000 + F.col("l_suppkey")).alias("dst")), 4)
 
 
 # ---- telemetry ----
@@ -543,9 +568,12 @@ def intent_classify(spark, sf):
     return src.table(spark, sf, "conversations").select("conv_id", "turn", mining.classify_intent(F.col("text")).alias("c")).select("conv_id", "turn", "c.intent", "c.confidence")
 
 
-@query("intent_distribution", _intent_sql() + ", i AS (SELECT CASE WHEN total = 0 THEN 'implement' ELSE b.intent END AS intent, CASE WHEN total = 0 THEN 0e0 ELSE floor(-b.neg / CAST(total AS DOUBLE) * 100 + 0.5e0) / 100e0 END AS c FROM z) SELECT intent, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM i) AS DOUBLE), 6) AS share, count(*) FILTER (WHERE c < 0.5) AS low FROM i GROUP BY intent")
+_SAID = "CASE event_id % 9 WHEN 0 THEN 'please fix the broken build' WHEN 1 THEN 'add a feature' WHEN 2 THEN 'explain how does it work' WHEN 3 THEN 'plan the roadmap' WHEN 4 THEN 'run the tests to verify' WHEN 5 THEN 'search the docs' WHEN 6 THEN 'choose between the options' WHEN 7 THEN 'summarize the lessons' ELSE 'hello' END || CASE WHEN user_id % 4 = 0 THEN ' and test it' ELSE '' END"
+
+
+@query("intent_distribution", _intent_sql().replace("SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations", f"SELECT event_id AS conv_id, 0 AS turn, {_SAID} AS t FROM events") + ", i AS (SELECT CASE WHEN total = 0 THEN 'implement' ELSE b.intent END AS intent, CASE WHEN total = 0 THEN 0e0 ELSE floor(-b.neg / CAST(total AS DOUBLE) * 100 + 0.5e0) / 100e0 END AS c FROM z) SELECT intent, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM i) AS DOUBLE), 6) AS share, count(*) FILTER (WHERE c < 0.5) AS low FROM i GROUP BY intent")
 def intent_distribution(spark, sf):
-    return mining.intent_distribution(src.table(spark, sf, "conversations"), F.col("text")).withColumn("share", F.round("share", 6))
+    return mining.intent_distribution(events(spark, sf).select(F.expr(_SAID).alias("text")), F.col("text")).withColumn("share", F.round("share", 6))
 
 
 _LINES = "ln AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"
@@ -556,9 +584,23 @@ def fact_lines(spark, sf):
     return mining.fact_lines(docs(spark, sf), "doc_id", "text", "source", 10)
 
 
-@query("pattern_mining", rf"WITH {_LINES}, k AS (SELECT DISTINCT doc_id, 'file' AS category, unnest(regexp_extract_all(line, '{mining.FILES}')) AS key FROM ln UNION SELECT DISTINCT doc_id, 'tool', unnest(regexp_extract_all(line, '{mining.TOOLS}')) FROM ln " + " ".join(rf"UNION SELECT DISTINCT doc_id, '{c}', substr(regexp_replace(line, '^[-*#\s]+', ''), 1, 80) FROM ln WHERE regexp_matches(line, '{p}')" for c, p in mining.SAYINGS.items()) + "), c AS (SELECT category, key, count(DISTINCT doc_id) AS nodes FROM k GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY nodes DESC, key) AS x FROM c) SELECT category, key, nodes FROM r WHERE x <= 10")
+_NOTE = "concat('edit src/file', event_id % 40, '.py with git', chr(10), '- always use tool', event_id % 7, chr(10), 'the user prefers option ', user_id % 9, chr(10), CASE WHEN event_id % 3 = 0 THEN 'we decided to ship it' ELSE 'run pip and node' END)"
+_NOTED = f"ln AS (SELECT event_id AS doc_id, unnest(string_split({_NOTE}, chr(10))) AS line FROM events)"
+_KEYS = "k AS (SELECT DISTINCT doc_id, 'file' AS category, unnest(regexp_extract_all(line, '" + mining.FILES + "')) AS key FROM ln UNION SELECT DISTINCT doc_id, 'tool', unnest(regexp_extract_all(line, '" + mining.TOOLS + "')) FROM ln " + " ".join(rf"UNION SELECT DISTINCT doc_id, '{c}', substr(regexp_replace(line, '^[-*#\s]+', ''), 1, 80) FROM ln WHERE regexp_matches(line, '{p}')" for c, p in mining.SAYINGS.items()) + ")"
+
+
+def _notes(spark, sf):
+    return events(spark, sf).select(F.col("event_id").alias("doc_id"), F.expr(_NOTE).alias("text"))
+
+
+@query("pattern_mining", f"WITH {_NOTED}, {_KEYS}, c AS (SELECT category, key, count(DISTINCT doc_id) AS nodes FROM k GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY nodes DESC, key) AS x FROM c) SELECT category, key, nodes FROM r WHERE x <= 10")
 def pattern_mining(spark, sf):
-    return mining.patterns(docs(spark, sf), "doc_id", "text")
+    return mining.patterns(_notes(spark, sf), "doc_id", "text")
+
+
+@query("pattern_nodes", f"WITH {_NOTED}, {_KEYS}, c AS (SELECT category, key, count(DISTINCT doc_id) AS nodes FROM k GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY nodes DESC, key) AS x FROM c) SELECT DISTINCT r.category, r.key, k.doc_id AS id FROM r JOIN k ON k.category = r.category AND k.key = r.key WHERE x <= 10")
+def pattern_nodes(spark, sf):
+    return mining.pattern_nodes(_notes(spark, sf), "doc_id", "text")
 
 
 @query("line_runs", f"WITH {_LINES}, m AS (SELECT *, coalesce(CAST(lag(line) OVER w <> line AS INT), 1) AS new FROM ln WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)), g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM m) SELECT doc_id AS id, CAST(min(line_no) AS INT) AS start, any_value(line) AS line, count(*) AS n FROM g GROUP BY doc_id, run HAVING count(*) >= 2")
@@ -593,9 +635,12 @@ def trigram_dups(spark, sf):
     return compress.near_outputs(turns, "turn", "text", "conv_id", 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("log_severity", r"WITH l AS (SELECT upper(unnest(string_split(text, chr(10)))) AS u FROM documents) SELECT CASE WHEN regexp_matches(u, '\bERROR\b') THEN 'ERROR' WHEN regexp_matches(u, '\b(WARNING|WARN)\b') THEN 'WARN' WHEN regexp_matches(u, '\bINFO\b') THEN 'INFO' WHEN regexp_matches(u, '\bDEBUG\b') THEN 'DEBUG' WHEN regexp_matches(u, '\bTRACE\b') THEN 'TRACE' ELSE 'unknown' END AS severity, count(*) AS n FROM l WHERE u <> '' GROUP BY 1")
+_LOG = "concat('2024-01-01 10:00:00 ', CASE event_type WHEN 'error' THEN 'Error' WHEN 'click' THEN 'WARNING' WHEN 'view' THEN 'info' WHEN 'signup' THEN 'debugger' ELSE 'TRACE' END, ' user ', user_id, chr(10), CASE WHEN event_id % 5 = 0 THEN 'DEBUG done' ELSE '' END)"
+
+
+@query("log_severity", rf"WITH l AS (SELECT upper(unnest(string_split({_LOG}, chr(10)))) AS u FROM events) SELECT CASE WHEN regexp_matches(u, '\bERROR\b') THEN 'ERROR' WHEN regexp_matches(u, '\b(WARNING|WARN)\b') THEN 'WARN' WHEN regexp_matches(u, '\bINFO\b') THEN 'INFO' WHEN regexp_matches(u, '\bDEBUG\b') THEN 'DEBUG' WHEN regexp_matches(u, '\bTRACE\b') THEN 'TRACE' ELSE 'unknown' END AS severity, count(*) AS n FROM l WHERE u <> '' GROUP BY 1")
 def log_severity(spark, sf):
-    return compress.log_severity(docs(spark, sf), "doc_id", "text")
+    return compress.log_severity(events(spark, sf).select("event_id", F.expr(_LOG).alias("text")), "event_id", "text")
 
 
 @query("output_compression")
@@ -698,11 +743,11 @@ def unseen_nodes(spark, sf):
 
 
 
-@query("compressed_clusters", f"WITH {NODES} SELECT project AS cluster, max(level) + 1 AS level, round(max(importance) * 0.9e0, 6) AS importance, count(*) AS size FROM nodes WHERE level < 3 GROUP BY project HAVING count(*) > 1")
+@query("compressed_clusters", rf"WITH {NODES}, m AS (SELECT project AS cluster, level, importance, id, content, list_filter(list_transform(string_split_regex(content, '[.!?\n]'), lambda x: trim(x)), lambda x: length(x) > 20) AS parts FROM nodes WHERE level < 3), l AS (SELECT cluster, concat('- ', coalesce(substr(parts[1], 1, 220), substr(content, 1, 220))) AS line, row_number() OVER (PARTITION BY cluster ORDER BY importance DESC, id) AS r FROM m), t AS (SELECT cluster, string_agg(line, chr(10) ORDER BY r) AS content FROM l WHERE r <= 50 GROUP BY cluster) SELECT m.cluster, max(level) + 1 AS level, round(max(importance) * 0.9e0, 6) AS importance, count(*) AS size, sha256(any_value(t.content)) AS content FROM m JOIN t ON t.cluster = m.cluster GROUP BY m.cluster HAVING count(*) > 1")
 def compressed_clusters(spark, sf):
     n = nodes(spark, sf).filter("level < 3")
     made = consolidate.compress_clusters(n.select("id", F.col("project").alias("cluster")), n)
-    return made.select("cluster", "level", F.round("importance", 6).alias("importance"), "size")
+    return made.select("cluster", "level", F.round("importance", 6).alias("importance"), "size", F.sha2("content", 256).alias("content"))
 
 
 @query("theme_digest", f"WITH {NODES} SELECT type AS theme, count(*) AS nodes, round(avg(importance), 6) AS importance FROM nodes GROUP BY type")
@@ -718,3 +763,6 @@ def monthly_trend(spark, sf):
 @query("structured_summary")
 def structured_summary(spark, sf):
     return consolidate.structured_summary(docs(spark, sf), "doc_id", "text")
+
+
+from . import operations as _operations  # noqa: E402, F401  registers its queries here

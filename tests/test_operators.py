@@ -357,3 +357,34 @@ def test_reports(spark):
     assert {(r.kind, r.chars, r.tokens) for r in reports.message_sizes(msgs).collect()} == {("text", 9, 3), ("tool", None, None)}
     snap = table(spark, node(1, label="middle-term:s1", content='{"sessionId": "s9"}'), node(2, label="middle-term:s2", content="not json"))
     assert {r.id: r.session_id for r in reports.snapshots(snap).collect()} == {1: "s9", 2: "s2"}
+
+
+def test_stateful_streams_match_batches(spark, tmp_path):
+    from mnemosaic.streaming import state
+
+    i = F.col("id")
+    rows = spark.range(400).select("id", (i % 7).alias("session_id"), F.timestamp_seconds(1_700_000_000 + i * 10).alias("ts"), F.floor(i / 10).alias("turn"), F.lit("grep").alias("tool"), F.create_map(F.lit("q"), (i % 5).cast("string")).alias("args"), F.concat(F.lit("the output of call number "), i).alias("output"), F.concat(F.lit("p"), i % 3).alias("path"), F.floor(i / 50).cast("string").alias("content"))
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    back = spark.read.parquet(str(tmp_path / "in"))
+    for name, make in (("calls", lambda r: state.repeated_calls(r, most=6)), ("reads", lambda r: state.unchanged_reads(r, most=4))):
+        stream = spark.readStream.schema(back.schema).parquet(str(tmp_path / "in"))
+        sessions.run_available(make(stream), str(tmp_path / name), str(tmp_path / (name + "c")))
+        got = sorted(map(tuple, spark.read.parquet(str(tmp_path / name)).collect()), key=lambda r: r[1])
+        assert got == sorted(map(tuple, make(back).collect()), key=lambda r: r[1]) and len(got) == 400 and 0 < sum(r[2] for r in got) < 400
+
+
+def test_updates_can_clear_and_never_multiply(spark):
+    t = table(spark, node(1, status="active"), node(2, status="active"))
+    changes = spark.createDataFrame([(1, None, 0.9), (1, None, 0.8)], "id long, status string, importance double")
+    got = {r.id: r for r in store.update(t, changes, 5, nulls=("status",)).collect()}
+    assert len(got) == 2 and got[1].status is None and got[1].importance == 0.9 and got[2].status == "active"
+
+
+def test_approximate_neighbours_are_mostly_the_exact_ones(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    met = total = 0
+    for q in v.filter("vec_id % 50 = 0").collect():
+        exact = [r.id for r in dense.knn(v, "vec_id", "embedding", q.embedding, 5).collect()]
+        found = {r.id for r in dense.ann(v, "vec_id", "embedding", q.embedding, 5, planes=5, tables=12).collect()}
+        met, total = met + len(found & set(exact)), total + 5
+    assert met / total >= 0.9
