@@ -1,7 +1,11 @@
-"""Shared helpers: reading tables, and cutting lineage through the shared checkpoint folder."""
+"""Shared helpers: reading tables, cutting lineage through the shared checkpoint folder, and dropping rows without moving the rest."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,7 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MADE: dict[str, str] = {}
 
@@ -27,37 +32,98 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.applicationId not in _MADE:
-        _MADE[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="mnemosaic-")
+        made = tempfile.mkdtemp(prefix="mnemosaic-")
+        atexit.register(shutil.rmtree, made, True)
+        _MADE[sc.applicationId] = "file://" + made
     return _MADE[sc.applicationId]
 
 
 def small_batches(df: DataFrame) -> DataFrame:
     """Hands whole texts to Python in small Arrow batches: their buffers lie outside the heap, twice per task."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return df
 
 
 class Scratch:
-    """Tables written to the shared folder. They outlive lost executors; drop() removes those no plan needs."""
+    """Tables written to the shared folder. They outlive lost executors; drop() and drop_but() remove those no plan needs."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/mnemosaic/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        self.live: set[str] = set()
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.n:03d}"
         self.n += 1
         df.write.parquet(path)
+        self.live.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for df in tables:
+            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+            path.getFileSystem(conf).delete(path, True)
+            self.live.discard(df._scratch_path)
+
+    def drop_but(self, *needed: DataFrame) -> None:
+        """Removes all tables but those that the caller's result still reads."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in self.live - {df._scratch_path for df in needed}:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+            self.live.discard(name)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that the frame doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Bits of a mark table: 16 for each key, between these. The most makes a million rows of two longs, the bound of its broadcast.
+LEAST_BITS, MOST_BITS = 1 << 12, 1 << 26
+
+
+class Marks:
+    """A bit for each of the keys (long, by remainder) as a table of words that is broadcast: what has no mark is not among the keys."""
+
+    def __init__(self, keys: DataFrame, scratch: Scratch):
+        only = keys.toDF("k")
+        n = only.count()
+        self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length()))
+        place = only.select(F.pmod("k", F.lit(self.bits)).alias("p"))
+        words = place.groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS INT)))").alias("b"))
+        self.words = scratch.keep(words)
+
+    def split(self, df: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
+        """(rows whose key may be marked, rows whose key isn't), both with the columns of df. Neither is shuffled."""
+        p, w, b = (fresh(df, x) for x in ("_p", "_w", "_b"))
+        placed = df.withColumn(p, F.coalesce(F.pmod(key, F.lit(self.bits)), F.lit(0))).withColumn(w, F.expr(f"`{p}` div 64"))
+        words = F.broadcast(self.words.withColumnsRenamed({"w": w, "b": b}))  # MOST_BITS / 64 rows at most
+        seen = placed.join(words, w, "left").withColumn(b, F.expr(f"coalesce(shiftright(`{b}`, CAST(`{p}` % 64 AS INT)) & 1L, 0L)"))
+        keep = [F.col(f"`{c}`") for c in df.columns]
+        return seen.filter(F.col(b) == 1).select(*keep), seen.filter(F.col(b) == 0).select(*keep)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows. What the allocators hold unused goes back when a batch is done, as workers stay."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+        trim()
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only with glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -67,4 +133,4 @@ def pieces(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20) ->
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
         if b > a:
             yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()
+    trim()

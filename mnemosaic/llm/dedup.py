@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Marks, Scratch, fresh
 
 #: Runs before the first round, and how many of them each round merges.
 RUNS, FAN = 512, 8
@@ -70,24 +70,30 @@ def exact_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The documents that stay, with all their columns.
 
-    Only rows of groups of two or more are dropped, so the join carries their ids alone. Documents
-    that repeat a doc_id are told apart by the digest; of rows equal in both, one stays.
+    A broadcast table of marks, of bounded size, tells the rows whose doc_id may be that of a dropped
+    one; the others pass the scan without a shuffle. Of those few, rows with a dropped doc_id and digest go;
+    of rows equal in both, the longest stays. Null texts count as empty, null ids are an id like any
+    other, extra columns of any name stay as they are, and an empty table gives an empty one.
     """
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), BLANKS, ""), 256)
     out = exact_groups(docs, scratch)
     key = [F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")]
     losers = scratch.keep(out.filter("NOT kept").select(*key).distinct())
-    winners = scratch.keep(out.filter("kept AND group_size > 1").select(*key).distinct())
+    winners = out.filter("kept AND group_size > 1").select(*key).distinct()
+    twice = F.col("_won").isNotNull()  # rows that repeat a doc_id and its text: one of them stays
     same = losers["_id"].eqNullSafe(winners["_id"]) & (losers["_sha"] == winners["_sha"])
-    lost = scratch.keep(losers.join(winners, same, "left_anti"))
-    twice = scratch.keep(losers.join(winners, same, "left_semi"))  # rows that repeat a doc_id and its text
-    keyed = docs.withColumn("_key", sha)
-    is_lost = keyed["doc_id"].eqNullSafe(lost["_id"]) & (keyed["_key"] == lost["_sha"])
-    kept = keyed.join(lost, is_lost, "left_anti")
-    if twice.isEmpty():
-        return kept.drop("_key")
-    marked = kept.join(twice, keyed["doc_id"].eqNullSafe(twice["_id"]) & (keyed["_key"] == twice["_sha"]), "left")
-    plain = marked.filter("_sha IS NULL").select(*docs.columns)
-    longest = F.max_by(F.struct(*[F.col(c) for c in docs.columns]), F.length(F.coalesce("text", F.lit(""))))
-    again = marked.filter("_sha IS NOT NULL").groupBy("doc_id", "_key").agg(longest.alias("row"))
-    return plain.union(again.select("row.*"))
+    gone = scratch.keep(losers.join(winners.withColumn("_won", F.lit(1)), same, "left").select(losers["_id"], losers["_sha"], twice.alias("_twice")))
+    number = lambda c: F.coalesce(F.xxhash64(c), F.lit(0))
+    marks = Marks(gone.select(number("_id")), scratch)
+    scratch.drop_but(gone, marks.words)
+    may, clean = marks.split(docs, number("doc_id"))
+    sha, size = fresh(docs, "_key"), fresh(docs, "_size")
+    digest = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), BLANKS, ""), 256)
+    keyed = may.withColumn(sha, digest)
+    again = gone.filter("_twice")
+    of = lambda g: keyed["doc_id"].eqNullSafe(g["_id"]) & (keyed[sha] == g["_sha"])
+    kept = clean.union(keyed.join(gone, of(gone), "left_anti").drop(sha))
+    if again.isEmpty():
+        return kept
+    rows = keyed.join(again, of(again), "left_semi").withColumn(size, F.length(F.coalesce("text", F.lit(""))))
+    longest = F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col(size), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    return kept.union(rows.groupBy("doc_id", sha).agg(longest.alias("row")).select("row.*"))
