@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 import corpus_pipeline
 from mnemosaic.llm import bpe, decontam, neardup, quality
 from mnemosaic.llm.common import Scratch, table
@@ -27,9 +29,12 @@ def brute_groups(texts):
     return label
 
 
-def test_near_duplicates_match_brute_force(spark, sf):
+@pytest.mark.parametrize("block", [1024, 16])
+def test_near_duplicates_match_brute_force(spark, sf, block, monkeypatch):
     import random
 
+    monkeypatch.setattr(neardup, "BLOCK", block)
+
     rng = random.Random(3)
     texts = {r.doc_id: r.text for r in table(spark, sf, "documents").collect() if len(r.text) < 4000}
     vocab = [w for t in list(texts.values())[:50] for w in t.split()]
@@ -107,3 +112,51 @@ def test_appended_and_cut_copies_are_found(spark):
     frame = spark.createDataFrame([*texts.items()], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in neardup.near_duplicate_groups(frame, Scratch(spark, "t")).collect()}
     assert {d: got.get(d, d) for d in texts} == want
+
+
+def test_rows_that_share_an_id_alone_are_not_one_document(spark):
+    w = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, w, "a"), (2, w + " extra", "b"), (2, " ".join(f"z{i}" for i in range(30)), "c"), (None, w + " more", "d"), (None, None, "e"), (4, "", "f"), (4, "", "g")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _h string")
+    kept = neardup.keep_one_of_each_group(frame, Scratch(spark, "t"))
+    assert kept.columns == frame.columns
+    assert sorted(r["_h"] for r in kept.collect()) == ["c", "d", "e", "f", "g"]
+
+
+@pytest.mark.parametrize("kind", ["append", "drop", "edit"])
+def test_pairs_of_barely_enough_similarity_are_all_found(spark, kind):
+    """100 planted pairs of each kind at 0.80 to 0.85, against the exact similarity of each pair."""
+    import random
+
+    rng = random.Random(kind)
+    texts, pairs, n = {}, [], 0
+    while len(pairs) < 100:
+        size = rng.randrange(30, 900)
+        a = [f"t{n}x{rng.randrange(size if n % 2 else 60)}" for _ in range(size)]
+        if kind == "append":
+            b = a + [f"t{n}y{i}" for i in range(int(size * rng.uniform(0.15, 0.25)))]
+        elif kind == "drop":
+            at, cut = rng.randrange(size), int(size * rng.uniform(0.12, 0.2))
+            b = a[:at] + a[at + cut :]
+        else:
+            b = list(a)
+            for i in rng.sample(range(size), max(1, int(size * rng.uniform(0.018, 0.025)))):
+                b[i] = f"t{n}z{i}"
+        grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b)]
+        similarity = len(grams[0] & grams[1]) / len(grams[0] | grams[1])
+        if 0.8 <= similarity <= 0.85:
+            texts[2 * n], texts[2 * n + 1] = " ".join(a), " ".join(b)
+            pairs.append((2 * n, 2 * n + 1))
+        n += 1
+    frame = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicate_groups(frame, Scratch(spark, "t")).collect()}
+    assert all(got.get(b) == a for a, b in pairs)
+
+
+def test_long_and_odd_texts_hash_alike_whatever_the_pieces(monkeypatch):
+    text = "  Ab\u00e9 c\t" + "x" * 300 + " d\n" * 50 + "\ud800 e" + " long" * 100
+    whole = neardup.word_hashes(text)
+    for piece in (1, 7, 64, 301):
+        monkeypatch.setattr(neardup, "PIECE", piece)
+        assert (neardup.word_hashes(text) == whole).all()
+    assert len(whole) == len(text.encode("utf-8", "surrogatepass").split())
