@@ -19,11 +19,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, small_batches
+from .common import pieces, small_batches, trim
 
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Pre-tokens that a worker remembers in each of two generations, and the longest it remembers.
 REMEMBERED, LONGEST = 120_000, 48
+#: Pre-tokens that are laid end to end under one index, which bounds its memory.
+INDEXED = 16_000
 ENDOFTEXT = "<|endoftext|>"
 
 
@@ -153,8 +155,8 @@ class PairIndexBPE:
         words = {w for parts in split for p in parts if not isinstance(p, int) for w in p}
         known = self.known.of(words)
         fresh = list(words - known.keys())
-        for at in range(0, len(fresh), 50_000):
-            some = fresh[at : at + 50_000]
+        for at in range(0, len(fresh), INDEXED):
+            some = fresh[at : at + INDEXED]
             known.update(zip(some, self.merge_all(some)))
         self.known.keep(known, fresh)
         out = []
@@ -175,6 +177,7 @@ def load(path: str) -> PairIndexBPE:
     if path not in _LOADED:
         with open(path, encoding="utf-8") as f:
             _LOADED[path] = PairIndexBPE(f.read())
+        trim()
     return _LOADED[path]
 
 
