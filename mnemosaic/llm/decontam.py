@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices, small_batches
 
-#: Items taken at once: the bound of what a pass sends to the executors.
-BLOCK = 20_000
+#: Items and bytes of items taken at once: the bounds of what a pass sends to the executors.
+BLOCK, BLOCK_BYTES = 20_000, 32 << 20
 LEAST_WORDS, SIMILARITY = 5, 0.5
 #: Words of documents looked up at once, and cells of an alignment of many pairs: bounds of memory.
 PIECE, CELLS = 4096, 1 << 20
@@ -179,7 +179,8 @@ def item_blocks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMIL
     spark = docs.sparkSession
     small_batches(docs)
     known = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = max(1, -(-known.count() // BLOCK))
+    n, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK), -(-size // BLOCK_BYTES))
     for k in range(blocks):
         part = known if blocks == 1 else known.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         items = Items(sorted((r.item_id, r.text) for r in part.collect()), similarity)
@@ -210,30 +211,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     null id or text or fewer than five words match nothing. Null and empty documents are clean.
     Repeated rows stay; other columns are not read; an empty table gives an empty one.
     """
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    parts = []
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"))
     for items in item_blocks(docs, benchmark, similarity):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
-            for b in batches:
-                found = best_matches(items, [items.of(t.as_py()) for t in b.column("text")])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([i for i, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "item_id", "similarity"])
+            for b in slices(batches):
+                own = best_matches(items, [items.of(t.as_py()) for t in b.column("text")])
+                before = zip(b.column("item_id").to_pylist(), b.column("similarity").to_pylist())
+                best = [max(x, y, key=lambda m: (m[1], -m[0] if m[0] is not None else 0)) for x, y in zip(before, own)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array([i for i, _ in best], pa.int64()), pa.array([s for _, s in best], pa.float64())], ["doc_id", "text", "item_id", "similarity"])
 
-        parts.append(slim.mapInArrow(run, "doc_id long, item_id long, similarity double"))
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.union(p)
-        best = F.max(F.struct("similarity", (-F.col("item_id")).alias("neg"))).alias("best")
-        n = F.lit(len(parts))
-        out = out.groupBy("doc_id").agg(best, F.count("*").alias("n")).select("doc_id", (-F.col("best.neg")).alias("item_id"), F.col("best.similarity").alias("similarity"), F.explode(F.sequence(F.lit(1), (F.col("n") / n).cast("int"))).alias("_")).drop("_")
-    return out.select("doc_id", (F.col("similarity") >= similarity).alias("contaminated"), "item_id", F.round("similarity", 6).alias("similarity"))
+        out = out.mapInArrow(run, "doc_id long, text string, item_id long, similarity double")  # each row keeps its own best from block to block
+    return out.select("doc_id", F.col("item_id").isNotNull().alias("contaminated"), "item_id", F.round("similarity", 6).alias("similarity"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, contaminated (true), item_id, similarity: a row for each item that a row of docs leaks. Clean documents have none."""
+    """doc_id, contaminated (true), item_id, similarity: a row for each item that a row of docs leaks. Clean documents have none.
+
+    Nulls, empty texts and tables as in contamination(); rows that repeat an id, or have none, each have their own rows.
+    """
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
     for items in item_blocks(docs, benchmark, similarity):
@@ -241,7 +239,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
-            for b in batches:
+            for b in slices(batches):
                 found = all_matches(items, [items.of(t.as_py()) for t in b.column("text")])
                 rows = [(d.as_py(), items.ids[k], s) for d, f in zip(b.column("doc_id"), found) for k, s in sorted(f.items())]
                 d, i, s = zip(*rows) if rows else ((), (), ())
@@ -253,14 +251,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs that no item matches, with all their columns. A pass per block of items."""
+    """The rows of docs that no item matches, with all their columns. A pass per block of items.
+
+    Rows with null or empty texts stay, as do repeated rows; extra columns of any name stay as they are.
+    """
     out = docs
     for items in item_blocks(docs, benchmark, similarity):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
-            for b in batches:
+            for b in slices(batches):
                 found = best_matches(items, [items.of(t.as_py()) for t in b.column("text")])
                 yield b.filter(pa.array([s < similarity for _, s in found]))
 
