@@ -1,17 +1,25 @@
 """Personal data replaced by surrogates that keep type, format, script and gender.
 
-A surrogate is the image of the entity under a keyed permutation of the strings of its format (a
-Feistel network over digits or letters, walked until the result is of the same class), so equal
-entities get equal surrogates everywhere and distinct ones distinct surrogates, without a table of
-all entities. Given names are permuted within their gender and script. collisions() counts what
-would break this over the whole corpus; each document is checked as it is rewritten.
+A surrogate is the image of the entity under a keyed permutation of the strings of its format, so equal
+entities get equal surrogates everywhere and distinct ones distinct surrogates, without a table of all
+entities. The permutation is a Feistel network around a step of one: a single cycle, so that no entity
+is its own surrogate, and walked on until the result is of the same class. Given names in the lists are
+permuted within their gender and script; others get letters of their script and the ending of their gender.
+
+Names are found by a title, a listed given name or the words around them. What a document teaches is used
+throughout it: a given name or surname found once is replaced wherever it stands. collisions() counts what
+would break distinctness over the whole corpus.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
+import math
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,34 +29,40 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 LOWER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
-CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
-#: Given names by script and gender, and titles by gender.
+#: Given names by script and gender, titles by gender, and the endings of surrogates of names that are in no list (no listed name ends so).
 GIVEN = {
-    ("latin", "f"): "Alice Anna Carmen Clara Elena Emma Eva Helen Ines Julia Laura Lucia Maria Marie Martha Mary Nina Olivia Paula Rosa Sarah Sofia Sophie Susan".split(),
-    ("latin", "m"): "Adam Albert Carlos David Diego Emil Felix George Hans Henry Hugo James Jean John Karl Leon Louis Lucas Martin Oscar Paul Peter Robert Thomas".split(),
+    ("latin", "f"): "Alice Amanda Amy Andrea Angela Anna Barbara Carmen Catherine Chloe Clara Deborah Diana Elena Elizabeth Emily Emma Eva Hannah Helen Ines Jane Jennifer Jessica Julia Karen Kate Laura Linda Lisa Lucia Margaret Maria Marie Martha Mary Michelle Nancy Nina Olivia Patricia Paula Rachel Rosa Ruth Sandra Sarah Sofia Sophie Susan Victoria".split(),
+    ("latin", "m"): "Adam Albert Alexander Andrew Anthony Benjamin Brian Carlos Charles Christopher Daniel David Diego Edward Emil Eric Felix Frank George Hans Henry Hugo Jack James Jason Jean John Joseph Karl Kevin Leon Louis Lucas Mark Martin Matthew Michael Oscar Paul Peter Philip Richard Robert Ryan Samuel Simon Stephen Steven Thomas Timothy William".split(),
     ("cyrillic", "f"): "Анна Вера Дарья Елена Ирина Мария Наталья Ольга Светлана Татьяна".split(),
     ("cyrillic", "m"): "Алексей Андрей Борис Виктор Дмитрий Иван Михаил Николай Павел Сергей".split(),
 }
 TITLES = {"f": "Mrs Ms Miss Frau Mme Madame Señora Sra Госпожа".split(), "m": "Mr Herr Monsieur Señor Sr Господин".split(), "": "Dr Prof".split()}
-_NAMES = "|".join(sorted((n for g in GIVEN.values() for n in g), key=len, reverse=True))
-_TITLED = "|".join(re.escape(t) for ts in TITLES.values() for t in sorted(ts, key=len, reverse=True))
+ENDINGS = {("latin", "f"): "elia", ("latin", "m"): "ius", ("latin", "surname"): "sen", ("cyrillic", "f"): "ида", ("cyrillic", "m"): "ус", ("cyrillic", "surname"): "енко"}
+BEFORE, AFTER = "[Mm]y name is|[Ss]igned by|[Ww]ritten by|[Cc]ontact|[Dd]ear|[Ss]incerely,|[Rr]egards,", "said|says|wrote|writes|told|asked|replied"
+_ALL_GIVEN = {n: (script, gender) for (script, gender), names in GIVEN.items() for n in names}
+_NAMES = "|".join(sorted(_ALL_GIVEN, key=len, reverse=True))
+_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
+_TITLED = "|".join(re.escape(t) for t in sorted(_GENDER, key=len, reverse=True))
+_CAP = r"[^\W\d_a-z][^\W\d_]+"
+_GAP = r"[ \u00a0]+"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
+    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)|(?<![\w:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:)[0-9A-Fa-f:]{2,39}(?![\w:]|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d]|[.-]\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)",
-    "name": rf"(?<!\w)(?:(?P<title>{_TITLED})\.?[  ]+(?:(?P<g1>[^\W\d_a-z][^\W\d_]+)[  ]+)?(?P<s1>[^\W\d_a-z][^\W\d_]+)|(?P<g2>{_NAMES})[  ]+(?P<s2>[^\W\d_a-z][^\W\d_]+))(?!\w)",
+    "phone": r"(?<![\w+])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+.-])(?:\+\d{8,15}|1[2-9]\d{9})(?!\w|[.-]\d)|(?<=[Tt]el )\d{7,12}(?!\w)|(?<=[Pp]hone )\d{7,12}(?!\w)|(?<=[Cc]all )\d{7,12}(?!\w)",
+    "name": rf"(?<!\w)(?:(?P<title>{_TITLED})\.?{_GAP}(?:(?P<g1>{_CAP}){_GAP})?(?P<s1>{_CAP})|(?P<g2>{_NAMES}){_GAP}(?P<s2>{_CAP})|(?:{BEFORE}){_GAP}(?P<g3>{_CAP}){_GAP}(?P<s3>{_CAP})|(?P<g4>{_CAP}){_GAP}(?P<s4>{_CAP})(?={_GAP}(?:{AFTER})\b))(?!\w)",
 }
 _COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
+_WORD = re.compile(rf"(?<!\w){_CAP}(?!\w)")
 #: Wider than the patterns, for a first pass by batch.
-_LIKELY = {"email": "@", "ip": r"\d\.\d", "iban": r"[A-Z]{2}\d{2}[A-Z0-9]{11}", "card": r"\d(?:[ -]?\d){12}", "ssn": r"\d-\d{2}-\d", "phone": r"\d[ .)-]{1,2}\d{3,4}[ .-]\d{3}", "name": rf"(?:{_TITLED})\.?[ \x{{a0}}]|(?:{_NAMES})[ \x{{a0}}]"}
+_LIKELY = {"email": "@", "ip": r"\d\.\d|:[0-9A-Fa-f]*:", "iban": r"[A-Z]{2}\d{2}[A-Z0-9]{11}", "card": r"\d(?:[ -]?\d){12}", "ssn": r"\d-\d{2}-\d", "phone": r"\d[ .)-]{1,2}\d{3,4}[ .-]\d{3}|\d{7}", "name": rf"(?:{_TITLED})\.?[ \x{{a0}}]|(?:{_NAMES})[ \x{{a0}}]|(?:{BEFORE})[ \x{{a0}}]|[ \x{{a0}}](?:{AFTER})"}
 KINDS = tuple(PATTERNS)
 
 
 class Permutation:
-    """Keyed permutations of strings over an alphabet, one for each length and purpose."""
+    """Keyed permutations of strings, one for each purpose and for the alphabets of their places."""
 
     def __init__(self, key: bytes):
         self.key = key
@@ -56,25 +70,66 @@ class Permutation:
     def number(self, purpose: str, *parts: object) -> int:
         return int.from_bytes(hashlib.blake2b("\x00".join(map(str, (purpose, *parts))).encode(), key=self.key[:64], digest_size=32).digest(), "big")
 
-    def string(self, text: str, alphabet: str, purpose: str, fits: Callable[[str], bool] = lambda s: True) -> str:
-        """The image of text; walked on while it doesn't fit, so those that fit are permuted among themselves."""
-        n, base = len(text), len(alphabet)
-        at = {c: i for i, c in enumerate(alphabet)}
+    def string(self, text: str, alphabets: str | list[str], purpose: str, fits: Callable[[str], bool] = lambda s: True) -> str:
+        """The image of text; walked on while it doesn't fit, so those that fit are permuted among themselves, in one cycle."""
+        each = [alphabets] * len(text) if isinstance(alphabets, str) else alphabets
+        n, half = len(text), len(text) // 2
+        low, high = math.prod(map(len, each[:half])), math.prod(map(len, each[half:]))
+        name = f"{purpose}\x01{n}\x01{hash_of(tuple(each))}"
+        rounds = [(r, side) for r in range(5) for side in (0, 1)]
+
+        def feistel(a: int, b: int, back: bool) -> tuple[int, int]:
+            for r, side in reversed(rounds) if back else rounds:
+                step = self.number(name, r, side, a if side else b) * (-1 if back else 1)
+                a, b = (a, (b + step) % high) if side else ((a + step) % low, b)
+            return a, b
+
+        def read(chars: str, alphabets: list[str]) -> int:
+            out = 0
+            for c, al in zip(chars, alphabets):
+                out = out * len(al) + al.index(c)
+            return out
+
+        def write(value: int, alphabets: list[str]) -> str:
+            out = []
+            for al in reversed(alphabets):
+                value, at = divmod(value, len(al))
+                out.append(al[at])
+            return "".join(reversed(out))
+
+        a, b = feistel(read(text[:half], each[:half]), read(text[half:], each[half:]), False)
         while True:
-            values = [at[c] for c in text]
-            left, right = n // 2, n - n // 2
-            a = sum(v * base**i for i, v in enumerate(values[:left]))
-            b = sum(v * base**i for i, v in enumerate(values[left:]))
-            for r in range(5):
-                a = (a + self.number(purpose, n, r, 0, b)) % base**left
-                b = (b + self.number(purpose, n, r, 1, a)) % base**right
-            text = "".join(alphabet[a // base**i % base] for i in range(left)) + "".join(alphabet[b // base**i % base] for i in range(right))
-            if fits(text):
-                return text
+            at = (a * high + b + 1) % (low * high)
+            a, b = divmod(at, high)
+            x, y = feistel(a, b, True)
+            if fits(new := write(x, each[:half]) + write(y, each[half:])):
+                return new
 
     def choice(self, item: str, among: list[str], purpose: str) -> str:
+        """The next of the items in a keyed order, after the last the first: a cycle through all."""
         order = sorted(among, key=lambda x: self.number(purpose, x))
-        return order[sorted(among).index(item)]
+        return order[(order.index(item) + 1) % len(order)]
+
+
+@cache
+def hash_of(alphabets: tuple[str, ...]) -> str:
+    return hashlib.blake2b("\x00".join(alphabets).encode(), digest_size=16).hexdigest()
+
+
+@cache
+def letters_like(c: str) -> str:
+    """Small letters of the same kind as a small letter or one without case: its alphabet, or those of its stretch of 64 code points."""
+    if c in LOWER:
+        return LOWER
+    start = 0xC0 if 0xC0 <= ord(c) < 0x180 else ord(c) & ~63
+    stop = 0x180 if start == 0xC0 else start + 64
+    kind = unicodedata.category(c)
+    found = "".join(x for x in map(chr, range(start, stop)) if unicodedata.category(x) == kind and x.lower() == x and x.upper().lower() == x and len(x.upper()) == 1 and (x.upper() == x) == (c.upper() == c))
+    return found if c in found else c
+
+
+def script_of(word: str) -> str:
+    return "latin" if all(ord(c) < 0x250 for c in word) else "cyrillic" if all(0x400 <= ord(c) < 0x530 for c in word) else ""
 
 
 def luhn(digits: str) -> bool:
@@ -108,23 +163,25 @@ class Surrogates:
         out = [next(new[s]) if s in new else c for s, c in zip(shape, low)]
         return "".join(o.upper() if c.isupper() else o for o, c in zip(out, text))
 
-    def word(self, text: str, purpose: str) -> str:
-        """A capitalised word of the same script and length, never a known given name."""
+    def word(self, text: str, role: str) -> str:
+        """Letters of the same kinds at each place, then the ending of the role (f, m or surname), so that roles share no surrogate.
+
+        Scripts without such endings have one permutation for all roles.
+        """
         low = text.lower()
-        alphabet = LOWER if all(c in LOWER for c in low) else CYRILLIC if all(c in CYRILLIC for c in low) else "".join(sorted(set(LOWER + "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœßëäöüčšžő"))) if all(c.isalpha() and c < "ɐ" for c in low) else None
-        if alphabet is None or any(c not in alphabet for c in low):
-            # other scripts: letters of the text's own block of 32, in order
-            base = [chr(ord(c) & ~31 | self.p.number(purpose, low, i) % 32) for i, c in enumerate(low)]
-            return "".join(b if b.isalpha() else c for b, c in zip(base, low)).capitalize()
-        fits = lambda s: s.capitalize() not in _ALL_GIVEN
-        new = self.p.string(low, alphabet, purpose + alphabet[:1] + str(len(alphabet)), fits) if low.capitalize() not in _ALL_GIVEN else self.p.string(low, alphabet, purpose + "given")
-        return "".join(n.upper() if c.isupper() and len(n.upper()) == 1 else n for n, c in zip(new, text))
-
-    def given(self, name: str) -> str:
-        for (script, gender), names in GIVEN.items():
-            if name in names:
-                return self.p.choice(name, names, script + gender)
-        return self.word(name, "given")
+        low = low if len(low) == len(text) else text
+        ending = ENDINGS.get((script_of(low), role), "")
+        new = self.p.string(low, [letters_like(c) for c in low], "word" + ending) + ending
+        return "".join(n.upper() if c.isupper() and len(n.upper()) == 1 else n for n, c in zip(new, text + "x" * len(ending)))
+
+    def name(self, word: str, what: str, gender: str = "") -> str:
+        """A listed name becomes one of the same script and gender. Other given names have the gender of their title, else that of their ending."""
+        if word in _ALL_GIVEN:
+            script, own = _ALL_GIVEN[word]
+            return self.p.choice(word, GIVEN[script, own], script + own)
+        if what == "given":
+            what = gender or ("f" if word.lower().endswith(("a", "e", "i", "y", "а", "я")) else "m")
+        return self.word(word, what)
 
     def email(self, text: str) -> str:
         local, _, domain = text.rpartition("@")
@@ -132,6 +189,11 @@ class Surrogates:
         return self._mixed(local, "local") + "@" + ".".join([*(self._mixed(x, "label") for x in labels[:-1]), labels[-1]])
 
     def ip(self, text: str) -> str:
+        if ":" in text:  # the last 64 bits of a given address, and all but its kind's prefix
+            bits = f"{int(ipaddress.IPv6Address(text)):0128b}"
+            head = 10 if bits.startswith("1111111010") else 7 if bits.startswith("1111110") else 3 if bits.startswith("001") else 8
+            fits = lambda s: not (head == 8 and (bits[:8] + s).startswith(("1111111010", "1111110", "001")))
+            return str(ipaddress.IPv6Address(int(bits[:head] + self.p.string(bits[head:], "01", "ip6" + bits[:head], fits), 2)))
         bits = "".join(f"{int(x):08b}" for x in text.split("."))
         parts = lambda s: [int(s[i : i + 8], 2) for i in range(0, 32, 8)]
         kind = _class_of_ip(parts(bits))
@@ -152,28 +214,34 @@ class Surrogates:
         return _refill(text, self.p.string(digits, DIGITS, "ssn", fine if fine(digits) else lambda s: not fine(s)))
 
     def phone(self, text: str) -> str:
-        country = re.match(r"\+\d{1,3}(?=\D)", text)
-        head = country.group() if country else ""
-        digits = re.sub(r"\D", "", text[len(head) :])
-        start = digits[0] in "01"
-        return head + _refill(text[len(head) :], self.p.string(digits, DIGITS, "phone" + head, lambda s: (s[0] in "01") == start))
-
-    def name(self, m: re.Match) -> str:
-        out, at = [], m.start()
-        for group in ("g1", "s1", "g2", "s2"):
-            if m.group(group):
-                out.append(m.string[at : m.start(group)])
-                out.append(self.given(m.group(group)) if group[0] == "g" else self.given(m.group(group)) if m.group(group) in _ALL_GIVEN and group == "s1" and not m.group("g1") else self.word(m.group(group), "surname"))
-                at = m.end(group)
-        return "".join(out) + m.string[at : m.end()]
-
-
-_ALL_GIVEN = frozenset(n for names in GIVEN.values() for n in names)
-
-
-def entities(text: str, kinds: tuple[str, ...] = KINDS) -> list[tuple[int, int, str, re.Match]]:
-    """(start, end, kind, match), leftmost first, none overlapping; earlier kinds win."""
-    taken: list[tuple[int, int, str, re.Match]] = []
+        """The number behind the country's code is permuted, so that it is the same with the code and without."""
+        head, national = phone_parts(text)
+        start = national[0] in "01"
+        new = self.p.string(national, DIGITS, "phone", lambda s: (s[0] in "01") == start)
+        left = iter(re.sub(r"\D", "", head) + new)
+        return "".join(next(left) if c.isdigit() else c for c in text)
+
+
+def phone_parts(text: str) -> tuple[str, str]:
+    """(country's code with +, or empty; national digits). Eleven digits that begin with 1 have the code 1."""
+    digits = re.sub(r"\D", "", text)
+    if m := re.match(r"\+(\d{1,3})(?=\D)", text):
+        return "+" + m.group(1), digits[len(m.group(1)) :]
+    if text.startswith("+"):
+        n = 1 if digits[0] in "17" else 2
+        return "+" + digits[:n], digits[n:]
+    return ("+1", digits[1:]) if len(digits) == 11 and digits[0] == "1" else ("", digits)
+
+
+def entities(text: str, kinds: tuple[str, ...] = KINDS) -> list[tuple[int, int, str, list[tuple[str, int, int, str]]]]:
+    """(start, end, kind, parts), leftmost first, none overlapping; earlier kinds win.
+
+    parts are (given or surname, start, end, gender) for names, empty for other kinds. Names don't hold their titles. A given
+    name or surname that is found once is found wherever it stands as a word, spelt alike.
+    """
+    taken: list[tuple[int, int, str, list]] = []
+    known: dict[str, str] = {}  # given names with the gender a title gives them
+    surnames: set[str] = set()
     for kind in kinds:
         for m in _COMPILED[kind].finditer(text):
             found = m.group()
@@ -181,36 +249,82 @@ def entities(text: str, kinds: tuple[str, ...] = KINDS) -> list[tuple[int, int,
                 continue
             if kind == "iban" and _iban_number(found) % 97 != 1:
                 continue
-            taken.append((m.start(), m.end(), kind, m))
-    taken.sort(key=lambda e: (e[0], KINDS.index(e[2])))
+            if kind == "ip" and ":" in found and not _is_ipv6(found):
+                continue
+            parts = []
+            if kind == "name":
+                gender = _GENDER.get(m.group("title") or "", "")
+                for k in "1234":
+                    if m.group("s" + k):
+                        if k != "1" and (g := f"g{k}") and m.group(g):
+                            parts.append(["given", *m.span(g), ""])
+                        elif k == "1" and m.group("g1"):
+                            parts.append(["given", *m.span("g1"), gender])
+                        lone = k == "1" and not m.group("g1") and m.group("s1") in _ALL_GIVEN
+                        parts.append(["given" if lone else "surname", *m.span("s" + k), gender])
+                for what, a, b, g in parts:
+                    if what == "given":
+                        known[text[a:b]] = known.get(text[a:b]) or g
+                    else:
+                        surnames.add(text[a:b])
+            taken.append((parts[0][1] if parts else m.start(), parts[-1][2] if parts else m.end(), kind, parts))
+    if known or surnames:
+        for m in _WORD.finditer(text):
+            word = m.group()
+            if word in known or word in surnames:
+                taken.append((m.start(), m.end(), "name", [["given" if word in known else "surname", m.start(), m.end(), ""]]))
+    taken.sort(key=lambda e: (e[0], KINDS.index(e[2]), -e[1]))
     out, end = [], 0
-    for e in taken:
-        if e[0] >= end:
-            out.append(e)
-            end = e[1]
+    for start, stop, kind, parts in taken:
+        if start < end:
+            continue
+        for p in parts:
+            if p[0] == "given":
+                p[3] = known.get(text[p[1] : p[2]], "")
+        if kind == "name" and out and out[-1][2] == "name" and len(parts) == 1 and text[out[-1][1] : start] in (" ", "\u00a0") and len(out[-1][3]) == 1 and out[-1][3][0][0] == "given" and parts[0][0] == "surname":
+            out[-1] = (out[-1][0], stop, "name", out[-1][3] + parts)  # a given name and a surname that are known stand side by side
+        else:
+            out.append((start, stop, kind, parts))
+        end = stop
     return out
 
 
+def _is_ipv6(text: str) -> bool:
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return True
+
+
 def canonical(kind: str, found: str) -> str:
     """What must be equal for two mentions to mean one entity."""
     if kind == "email":
         return found.lower()
-    return re.sub(r"\D", "", found) if kind in ("card", "ssn") else re.sub(r"[^\d+]", "", found) if kind == "phone" else found
+    if kind == "phone":
+        head, national = phone_parts(found)
+        return national if head == "+1" or not head else head + national
+    if kind == "ip" and ":" in found:
+        return str(ipaddress.IPv6Address(found))
+    return re.sub(r"\D", "", found) if kind in ("card", "ssn") else " ".join(found.split()) if kind == "name" else found
 
 
 def rewrite(text: str | None, made: Surrogates, kinds: tuple[str, ...] = KINDS) -> tuple[str, list[tuple[str, int, int, str, str]]]:
-    """(text with surrogates, spans): spans hold kind, start and end in the given text, canonical entity and surrogate."""
+    """(text with surrogates, spans): spans hold kind, start and end in the given text, canonical entity and canonical surrogate."""
     text = text or ""
-    parts, spans, at, owner = [], [], 0, {}
-    for start, end, kind, m in entities(text, kinds):
-        new = made.name(m) if kind == "name" else getattr(made, kind)(m.group())
-        key = (kind, canonical(kind, new))
-        if owner.setdefault(key, canonical(kind, m.group())) != canonical(kind, m.group()):
-            raise ValueError(f"two {kind} entities share a surrogate")
-        parts += [text[at:start], new]
-        spans.append((kind, start, end, canonical(kind, m.group()), new))
+    out, spans, at = [], [], 0
+    for start, end, kind, parts in entities(text, kinds):
+        if kind == "name":
+            new, here = "", start
+            for what, a, b, gender in parts:
+                new += text[here:a] + made.name(text[a:b], what, gender)
+                here = b
+        else:
+            new = getattr(made, kind)(text[start:end])
+        out += [text[at:start], new]
+        spans.append((kind, start, end, canonical(kind, text[start:end]), canonical(kind, new)))
         at = end
-    return "".join([*parts, text[at:]]), spans
+    return "".join([*out, text[at:]]), spans
 
 
 def surrogates(docs: DataFrame, key: str) -> DataFrame:
@@ -237,6 +351,11 @@ def surrogates(docs: DataFrame, key: str) -> DataFrame:
 
 def collisions(rewritten: DataFrame) -> DataFrame:
     """(kind, surrogate, entities): surrogates of more than one entity over all of surrogates()' rows; none is right."""
-    spans = rewritten.select(F.explode("spans").alias("s")).select("s.kind", "s.entity", "s.surrogate")
-    plain = F.when(F.col("kind") == "email", F.lower("surrogate")).when(F.col("kind").isin("card", "ssn"), F.regexp_replace("surrogate", r"\D", "")).when(F.col("kind") == "phone", F.regexp_replace("surrogate", r"[^\d+]", "")).otherwise(F.col("surrogate"))
-    return spans.select("kind", "entity", plain.alias("surrogate")).distinct().groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).filter("entities > 1")
+    spans = rewritten.select(F.explode("spans").alias("s")).select("s.kind", "s.entity", "s.surrogate").distinct()
+    return spans.groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).filter("entities > 1")
+
+
+def split_entities(rewritten: DataFrame) -> DataFrame:
+    """(kind, entity, surrogates): entities with more than one surrogate: names in no list to which titles give different genders."""
+    spans = rewritten.select(F.explode("spans").alias("s")).select("s.kind", "s.entity", "s.surrogate").distinct()
+    return spans.groupBy("kind", "entity").agg(F.count("*").alias("surrogates")).filter("surrogates > 1")
