@@ -1,8 +1,10 @@
 """License scans by canonical digest lookup, in DataFrame operations only.
 
-A unit of text (a whole document, and each of its lines) is made canonical: lower case, copyright
-lines gone, equivalent spellings made one, everything but letters and digits one space. Its SHA-256
-is joined to the digests of known notices and texts, made canonical by the same expression.
+A unit of text is made canonical: lower case, copyright lines gone, equivalent spellings made one,
+everything but letters and digits one space. Its SHA-256 is joined to the digests of known notices and
+texts, made canonical by the same expression. Units are the whole document, each of its lines, and each
+run of BLOCKS paragraphs or fewer, so that the text of a licence is found at the head of a file too.
+Paragraphs are parted by lines without letters and digits, so comment signs don't matter.
 """
 
 from __future__ import annotations
@@ -43,21 +45,103 @@ NOTICES = (
     "This project is licensed under the terms of the {}", "This software is released under the {}", "This program is licensed under the {}",
     "License: {}", "SPDX-License-Identifier: {}",
 )
+#: Paragraphs that a licence's text has at most, its title among them.
+BLOCKS = 8
 _PERMIT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
 _WAIVE = (
     'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
     "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
     "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
-#: Whole texts.
-TEXTS = [
-    ("MIT", "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
-    ("ISC", f"{_PERMIT}, provided that the above copyright notice and this permission notice appear in all copies. {_WAIVE}"),
-    ("0BSD", f"{_PERMIT}. {_WAIVE}"),
-]
+_GRANT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+)
+_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_NOTICE = "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_REDISTRIBUTE = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_ENDORSE = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",
+    "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+    "This notice may not be removed or altered from any source distribution.",
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+    "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+    "IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. "
+    "For more information, please refer to <https://unlicense.org/>"
+)
+_BOOST = (
+    'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, '
+    "and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: "
+    "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, "
+    "unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_APACHE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+    "See the License for the specific language governing permissions and limitations under the License."
+)
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+
+
+def _gnu(name: str, version: str) -> str:
+    """The notice that files under a licence of this family have."""
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. "
+        f"This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details. "
+        f"You should have received a copy of the {name} along with this program. If not, see <https://www.gnu.org/licenses/>."
+    )
+
+
+def _listed(*items: str) -> list[str]:
+    """The items in a row: numbered from one, from zero, or with signs that canonical form drops."""
+    return [" ".join(f"{i + first}. {x}" for i, x in enumerate(items)) for first in (0, 1)] + [" ".join(items)]
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(licence, text): whole texts and the notices of files, each also under its names as a title."""
+    bodies = [
+        ("MIT", f"{_GRANT}, {_NOTICE} {_AS_IS}"),
+        ("ISC", f"{_PERMIT}, provided that the above copyright notice and this permission notice appear in all copies. {_WAIVE}"),
+        ("0BSD", f"{_PERMIT}. {_WAIVE}"),
+        *[("BSD-2-Clause", f"{_REDISTRIBUTE} {x} {_BSD}") for x in _listed(_SOURCE, _BINARY)],
+        *[("BSD-3-Clause", f"{_REDISTRIBUTE} {x} {_BSD}") for x in _listed(_SOURCE, _BINARY, _ENDORSE)],
+        *[("Zlib", f"{_ZLIB[0]} {x}") for x in _listed(*_ZLIB[1:])],
+        ("Unlicense", _UNLICENSE),
+        ("BSL-1.0", _BOOST),
+        ("Apache-2.0", _APACHE),
+        ("MPL-2.0", _MPL),
+        ("GPL-2.0", _gnu("GNU General Public License", "2")),
+        ("GPL-3.0", _gnu("GNU General Public License", "3")),
+        ("AGPL-3.0", _gnu("GNU Affero General Public License", "3")),
+        ("LGPL-2.1", _gnu("GNU Lesser General Public License", "2.1")),
+        ("LGPL-3.0", _gnu("GNU Lesser General Public License", "3")),
+    ]
+    return [(i, f"{title} {text}".strip()) for i, text in bodies for title in ("", *LICENSES[i], f"The {LICENSES[i][0]} ({i})", f"{LICENSES[i][0]} ({i})")]
+
+
 #: Spellings that count as one.
-SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("noncommercial", "non commercial"), ("sharealike", "share alike"), ("noderivatives", "no derivatives"), ("organisation", "organization"), ("favour", "favor"), ("and/or", "and or"), ("&", " and "), ("https:", "http:"))
-COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*"
+SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("noncommercial", "non commercial"), ("sharealike", "share alike"), ("noderivatives", "no derivatives"), ("organisation", "organization"), ("favour", "favor"), ("and/or", "and or"), ("copyright owner", "copyright holder"), ("all rights reserved", ""), ("(mit)", "mit"), ("&", " and "), ("https:", "http:"))
+COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[{]|by )|\(c\)|©)[^\n]*"
+GAP = r"\n[^\p{L}\p{N}\n]*\n"
 VERSION = r"\bv(ersion)?[. ]*([0-9])"
 ARTICLES = r"\b(the|a) "
 #: Every canonical known text has one of these words, which canonical form doesn't make: a unit without them matches none.
@@ -66,7 +150,7 @@ WORDS = r"(?i)licen[cs]|software|released|distributed|available|published"
 
 def known_texts() -> list[tuple[str, str]]:
     made = {(i, n.format(name)) for i, names in LICENSES.items() for name in [*names, i] for n in NOTICES}
-    return sorted(made | set(TEXTS))
+    return sorted(made | set(whole_texts()))
 
 
 def canonical(text: Column) -> Column:
@@ -78,32 +162,43 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.concat(F.lit(" "), c, F.lit(" ")), ARTICLES, ""))
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """(digest, license): a fixed table, one row per canonical text."""
+def known_digests(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """(digest, license): one row per canonical text, of the fixed table and of more(license, text)."""
     rows = spark.createDataFrame(known_texts(), "license string, text string")
+    rows = rows if more is None else rows.union(more.select("license", "text"))
     return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def license_scan(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, whole_license, licenses, n_lines.
+def license_scan(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, whole_license, licenses, n_lines, n_blocks. more(license, text) are further known texts.
 
-    whole_license is the licence whose text the document is; licenses are all those that the document
-    or a line of it states, sorted and comma-joined; n_lines counts such lines. Null and empty texts
+    whole_license is the licence whose text the document is; licenses are all those that the document, a line or a run of
+    paragraphs of it states, sorted and comma-joined; n_lines and n_blocks count such lines and runs. Null and empty texts
     state none. Rows that repeat a doc_id share what any of them states; rows with a null doc_id state none. Other columns
     are not read; an empty table gives an empty one.
     """
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     likely = slim.filter(F.col("text").rlike(WORDS))
-    lines = likely.select("doc_id", F.explode(F.split("text", "\n")).alias("unit"), F.lit(False).alias("whole")).filter(F.col("unit").rlike(WORDS))
-    units = lines.union(likely.select("doc_id", F.col("text").alias("unit"), F.lit(True).alias("whole")))
-    digests = units.select("doc_id", "whole", F.sha2(canonical(F.col("unit")), 256).alias("digest"))
-    found = digests.join(F.broadcast(known_digests(docs.sparkSession)), "digest")  # a fixed table of under a thousand rows
+    lines = likely.select("doc_id", F.explode(F.split("text", "\n")).alias("unit"), F.lit("line").alias("kind")).filter(F.col("unit").rlike(WORDS))
+    units = lines.union(likely.select("doc_id", F.col("text").alias("unit"), F.lit("whole").alias("kind")))
+    texts = units.select("doc_id", "kind", canonical(F.col("unit")).alias("canon"))
+    # only documents with a gap have runs that aren't the whole; a paragraph is made canonical once
+    parts = F.filter(F.transform(F.split("text", GAP), canonical), lambda x: x != "")
+    listed = likely.filter(F.col("text").rlike(GAP)).select("doc_id", parts.alias("parts")).filter(F.size("parts") > 0)
+    windows = listed.select("doc_id", F.explode(F.transform("parts", lambda _, i: F.slice("parts", i + 1, F.lit(BLOCKS)))).alias("parts"))
+    ends = F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("n")
+    runs = windows.select("doc_id", "parts", ends).select("doc_id", F.lit("block").alias("kind"), F.array_join(F.slice("parts", F.lit(1), F.col("n")), " ").alias("canon"))
+    digests = texts.union(runs).select("doc_id", "kind", F.sha2("canon", 256).alias("digest"))
+    known = known_digests(docs.sparkSession, more)
+    found = digests.join(F.broadcast(known) if more is None else known, "digest")  # the fixed table has under a thousand rows
     stated = found.groupBy("doc_id").agg(
-        F.min(F.when(F.col("whole"), F.col("license"))).alias("whole_license"),
+        F.min(F.when(F.col("kind") == "whole", F.col("license"))).alias("whole_license"),
         F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"),
-        F.count_if(~F.col("whole")).alias("n_lines"),
+        F.count_if(F.col("kind") == "line").alias("n_lines"),
+        F.count_if(F.col("kind") == "block").alias("n_blocks"),
     )
-    return slim.select("doc_id").join(stated, "doc_id", "left").select("doc_id", "whole_license", F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return slim.select("doc_id").join(stated, "doc_id", "left").select("doc_id", "whole_license", F.coalesce("licenses", F.lit("")).alias("licenses"), zero("n_lines"), zero("n_blocks"))
 
 
 def _sql_canonical(x: str) -> str:
@@ -121,14 +216,21 @@ def oracle() -> str:
     return f"""
 WITH raw(license, text) AS (VALUES {values}),
 known AS (SELECT {_sql_canonical('text')} AS canon, min(license) AS license FROM raw GROUP BY 1),
+docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+lists AS (
+  SELECT doc_id, list_filter(list_transform(string_split_regex(text, '{GAP}'), lambda p: {_sql_canonical('p')}), lambda p: p <> '') AS parts
+  FROM docs WHERE regexp_matches(text, '{GAP}')),
+starts AS (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM lists),
+runs AS (SELECT doc_id, parts, pos, unnest(range(1, least({BLOCKS}, len(parts) - pos + 1) + 1)) AS n FROM starts),
 units AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit, false AS whole FROM documents
-  UNION ALL SELECT doc_id, coalesce(text, ''), true FROM documents),
-found AS (SELECT u.doc_id, u.whole, k.license FROM units u JOIN known k ON {_sql_canonical('u.unit')} = k.canon),
+  SELECT doc_id, 'line' AS kind, {_sql_canonical('unit')} AS canon FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM docs)
+  UNION ALL SELECT doc_id, 'whole', {_sql_canonical('text')} FROM docs
+  UNION ALL SELECT doc_id, 'block', array_to_string(parts[pos:pos + n - 1], ' ') FROM runs),
+found AS (SELECT u.doc_id, u.kind, k.license FROM units u JOIN known k USING (canon)),
 stated AS (
-  SELECT doc_id, min(CASE WHEN whole THEN license END) AS whole_license,
-         string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) FILTER (WHERE NOT whole) AS n_lines
+  SELECT doc_id, min(CASE WHEN kind = 'whole' THEN license END) AS whole_license, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
+         count(*) FILTER (WHERE kind = 'line') AS n_lines, count(*) FILTER (WHERE kind = 'block') AS n_blocks
   FROM found GROUP BY doc_id)
-SELECT d.doc_id, s.whole_license, coalesce(s.licenses, '') AS licenses, coalesce(s.n_lines, 0) AS n_lines
+SELECT d.doc_id, s.whole_license, coalesce(s.licenses, '') AS licenses, coalesce(s.n_lines, 0) AS n_lines, coalesce(s.n_blocks, 0) AS n_blocks
 FROM documents d LEFT JOIN stated s USING (doc_id)
 """
