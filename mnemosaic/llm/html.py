@@ -1,16 +1,17 @@
 """Main text of web pages, with a host suffix array for the boilerplate that markup doesn't name.
 
 A page is cut into blocks. Blocks inside elements that name themselves as menus, headers, footers,
-asides, adverts, notices, forms or comments are boilerplate; a page that declares its article gives
-the rest of that element. For pages that declare none, the token streams of a host's pages are laid
-end to end, block ends included, and their suffixes are sorted by the first LONG tokens by prefix
-doubling. Neighbours in that order with LONG tokens in common are a repeated substring; one on PAGES
-distinct pages or more is boilerplate, and blocks it covers by half or more are dropped.
-
-Suffixes are sorted in chunks, each giving one row per distinct substring with its number of pages,
-and the rows are added up over all chunks. So a host with a third of all pages is spread over all
-tasks, and its footer is one row per chunk. Text of declared articles takes no part: that passages
-of articles repeat does not make them boilerplate.
+asides, adverts, notices, forms or comments are boilerplate; a page that declares its article by an
+element or a role gives the rest of that element. For all other pages the token streams of a host's
+pages are laid end to end, block ends included, and a suffix array with the longest common prefixes
+of neighbours is built over them by prefix doubling. A stretch of the array whose neighbours have LONG
+tokens or more in common is a repeated substring; one on PAGES distinct pages or more is boilerplate,
+and blocks it covers by half or more are dropped, also inside what only a class name calls the article.
+
+Arrays are built in chunks, each giving one row per distinct substring of LONG tokens with its number
+of pages, and the rows are added up over all chunks: a longer repeat is the union of those in it. So a
+host with a third of all pages is spread over all tasks, and its footer is one row per chunk. Text of
+declared articles takes no part: that passages of articles repeat does not make them boilerplate.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, small_batches
 
 LONG, PAGES, CHUNK = 8, 3, 400_000
+#: Strength from which an element or a role, rather than a class name, declares the article.
+SURE = 2
 
 RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|select|canvas|audio|video"
 TAG = re.compile(
@@ -144,10 +147,10 @@ def declared(found: list[Block]) -> int:
 
 
 def stream(found: list[Block], strength: int) -> tuple[list[str], list[int]]:
-    """Tokens outside the declared article, each block with an end token, and the block of each."""
+    """Tokens outside an article that an element declares, each block with an end token, and the block of each."""
     tokens, owner = [], []
     for i, b in enumerate(found):
-        if strength and b.inside >= strength:
+        if strength >= SURE and b.inside >= strength:
             continue
         own = [*b.text.split(), "\x00"]
         tokens += own
@@ -155,26 +158,49 @@ def stream(found: list[Block], strength: int) -> tuple[list[str], list[int]]:
     return tokens, owner
 
 
-def repeated_prefixes(streams: list[tuple[str, list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the concatenation of (host, tokens) streams: (place, stream, class) of suffixes with LONG tokens left in their stream.
+def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in order of their suffixes, longest common prefix of each with the one before), by prefix doubling.
 
-    Suffixes are ranked by their first LONG tokens, by prefix doubling; a class is an equal prefix on one host.
+    The ranks of every doubled width are kept: two suffixes agree on so many symbols when their ranks are equal.
     """
-    ids: dict[str, int] = {}
-    hosts: dict[str, int] = {}
-    symbols = np.array([ids.setdefault(t, len(ids)) for _, tokens in streams for t in tokens], np.int64)
-    page = np.repeat(np.arange(len(streams)), [len(t) for _, t in streams])
-    host = np.array([hosts.setdefault(h, len(hosts)) for h, _ in streams], np.int64)
     n = len(symbols)
-    whole = np.arange(max(0, n - LONG + 1))
-    whole = whole[page[whole] == page[whole + LONG - 1]] if len(whole) else whole
-    rank, width = symbols, 1
-    while width < LONG:
-        both = rank[: len(rank) - width] * (int(rank.max()) + 1 if len(rank) else 1) + rank[width:]
-        rank = np.unique(both, return_inverse=True)[1] if len(both) else both
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ranks, width = [np.unique(symbols, return_inverse=True)[1].astype(np.int64)], 1
+    while width < n and int(ranks[-1].max()) + 1 < n:
+        after = np.full(n, -1, np.int64)
+        after[:-width] = ranks[-1][width:]
+        ranks.append(np.unique(ranks[-1] * (n + 1) + after + 1, return_inverse=True)[1].astype(np.int64))
         width *= 2
-    keyed = rank[whole] * len(hosts) + host[page[whole]] if len(whole) else whole
-    return whole, page[whole] if len(whole) else whole, np.unique(keyed, return_inverse=True)[1] if len(whole) else whole
+    order = np.argsort(ranks[-1], kind="stable")
+    a, b, common = order[:-1], order[1:], np.zeros(n - 1, np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        x, y = a + common, b + common
+        inside = np.flatnonzero((x < n) & (y < n))
+        equal = inside[ranks[k][x[inside]] == ranks[k][y[inside]]]
+        common[equal] += 1 << k
+    return order, np.concatenate(([0], common))
+
+
+def repeated_prefixes(streams: list[tuple[str, list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the concatenation of (host, tokens) streams: (place, stream, class) of suffixes with LONG tokens left in their stream.
+
+    A class is a stretch of the suffix array with LONG tokens in common. Symbols are those of a host, and each stream
+    ends with one of its own, so that no substring reaches over hosts or pages.
+    """
+    ids: dict[tuple[str, str], int] = {}
+    size = [len(t) for _, t in streams]
+    page = np.repeat(np.arange(len(streams)), [x + 1 for x in size])
+    symbols = np.array([x for k, (host, tokens) in enumerate(streams) for x in [*(ids.setdefault((host, t), len(ids)) for t in tokens), -1 - k]], np.int64)
+    at = np.arange(len(symbols)) - np.repeat(np.cumsum([0, *(x + 1 for x in size[:-1])]) if size else [], [x + 1 for x in size]).astype(np.int64)
+    order, common = suffix_array(symbols)
+    cls = np.cumsum(common < LONG) - 1
+    left = np.array(size, np.int64)[page] - at if size else at
+    fits = left[order] >= LONG
+    place, cls = order[fits], cls[fits]
+    back = np.argsort(place, kind="stable")
+    place, cls = place[back], np.unique(cls[back], return_inverse=True)[1]
+    return place - page[place], page[place], cls  # the end symbols are counted out again
 
 
 def _digest(host: str, tokens: list[str]) -> tuple[int, int]:
@@ -212,7 +238,7 @@ def substring_rows(pages: DataFrame) -> DataFrame:
                 found = blocks(page.as_py())
                 strength = declared(found)
                 tokens, _ = stream(found, strength)
-                held.append((None if strength else key.as_py(), host_of(url.as_py()), tokens))
+                held.append((None if strength >= SURE else key.as_py(), host_of(url.as_py()), tokens))
                 size += len(tokens)
                 if size >= CHUNK:
                     yield flush()
@@ -225,21 +251,21 @@ def substring_rows(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str | None, covered: list[int] | None) -> str | None:
-    """The page's text; None if it declares no article and covered (places of boilerplate) isn't given."""
+    """The page's text; None if no element declares its article and covered (places of boilerplate) isn't given."""
     found = blocks(page)
     strength = declared(found)
-    if strength:
+    if strength >= SURE:
         return " ".join(b.text for b in found if b.inside >= strength and not b.dropped)
     if covered is None:
         return None
-    tokens, owner = stream(found, 0)
+    tokens, owner = stream(found, strength)
     hit = np.zeros(len(tokens) + LONG, bool)
     for p in covered:
         hit[p : p + LONG] = True
     own = np.array(owner, np.int64)
     word = np.array([t != "\x00" for t in tokens], bool)
     share = np.bincount(own[word], hit[: len(tokens)][word], len(found)) / np.maximum(1, np.bincount(own[word], minlength=len(found))) if len(tokens) else np.zeros(len(found))
-    return " ".join(b.text for b, s in zip(found, share) if not b.dropped and s < 0.5)
+    return " ".join(b.text for b, s in zip(found, share) if b.inside >= strength and not b.dropped and s < 0.5)
 
 
 def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
