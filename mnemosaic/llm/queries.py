@@ -42,9 +42,8 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "op8")
-    rows = scratch.keep(sharding.with_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32"))
-    placed = sharding.shuffled_shards(rows, scratch)
+    rows = sharding.with_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32")
+    placed = sharding.shuffled_shards(rows, Scratch(spark, "op8"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

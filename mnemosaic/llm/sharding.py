@@ -1,23 +1,25 @@
 """Two-pass external shuffle into shards.
 
-Pass one scatters rows uniformly into buckets of a size that fits one task's memory, by a seeded
-hash of their values, so that a recomputed task scatters them alike. Pass two shuffles each bucket
-by Fisher-Yates with a generator seeded by the bucket. The buckets laid end to end are one uniform
-order; position p goes to shard p mod n, slot p div n, so row counts differ by one at most.
+Rows are written once with a number, which tells rows apart that are equal. Pass one scatters them uniformly into
+buckets of a size that fits one task's memory, by a seeded hash of their values and numbers, so that a recomputed
+task scatters them alike and repeated rows are spread. Pass two shuffles each bucket by Fisher-Yates with a generator
+seeded by the bucket. The buckets laid end to end are one uniform order; position p goes to shard p mod n, slot
+p div n, so row counts differ by one at most.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, fresh
 
-#: A bucket holds about so many bytes or rows, whichever fills it first; at least LEAST buckets keep all cores busy.
-BUCKET_BYTES, BUCKET_ROWS, LEAST, MOST = 64 << 20, 200_000, 64, 1 << 20
+#: A bucket holds about so many bytes or rows, whichever fills it first; at least LEAST buckets keep all cores busy. MOST bounds the
+#: table of their offsets, which is broadcast; from 256 TB on, buckets grow beyond BUCKET_BYTES instead.
+BUCKET_BYTES, BUCKET_ROWS, LEAST, MOST = 64 << 20, 200_000, 64, 1 << 22
 
 
 def with_sizes(docs: DataFrame) -> DataFrame:
@@ -26,39 +28,38 @@ def with_sizes(docs: DataFrame) -> DataFrame:
 
 
 def shuffled_shards(rows: DataFrame, scratch: Scratch, shards: int = 8, seed: int = 17) -> DataFrame:
-    """rows (doc_id, size, text_crc32 and any other columns) with shard and slot.
+    """rows (doc_id, size, text_crc32 and any other columns, of any name) with shard and slot instead of columns so named.
 
-    Null ids are hashed by their other values. Rows equal in doc_id, size and text_crc32 share a
-    bucket. An empty table gives an empty one. The columns _bucket and _pos are taken.
+    Null ids are hashed by their other values. Repeated rows stay and are spread like others. An empty table gives an empty one.
     """
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    rows = rows.drop("shard", "slot")
+    nr, bucket, pos, offset = (fresh(rows, x) for x in ("_nr", "_bucket", "_pos", "_offset"))
+    numbered = scratch.keep(rows.withColumn(nr, F.monotonically_increasing_id()))
+    n, total = numbered.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = int(min(MOST, max(LEAST, n // BUCKET_ROWS, total // BUCKET_BYTES)))
-    at = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "text_crc32", "size"), F.lit(buckets)).cast("int")
-    scattered = rows.withColumn("_bucket", at)
-    counts = scattered.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    # no more than MOST rows of two integers: the bound of this broadcast
-    from pyspark.sql import Window
+    at = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "text_crc32", "size", nr), F.lit(buckets)).cast("int")
+    scattered = numbered.withColumn(bucket, at)
+    counts = scattered.groupBy(bucket).agg(F.count("*").alias("n"))
+    offsets = counts.select(bucket, (F.sum("n").over(Window.orderBy(bucket)) - F.col("n")).alias(offset))  # a row for each bucket
+    out = T.StructType([*scattered.schema.fields, T.StructField(pos, T.LongType())])
 
-    offsets = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_offset"))
-    out = T.StructType([*scattered.schema.fields, T.StructField("_pos", T.LongType())])
-
-    def fisher_yates(bucket: pa.Table) -> pa.Table:
-        bucket = bucket.sort_by([("doc_id", "ascending"), ("text_crc32", "ascending"), ("size", "ascending")])
-        rng = np.random.Generator(np.random.PCG64([seed, bucket["_bucket"][0].as_py()]))
-        at = np.arange(bucket.num_rows)
+    def fisher_yates(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("doc_id", "ascending"), ("text_crc32", "ascending"), ("size", "ascending"), (nr, "ascending")])
+        rng = np.random.Generator(np.random.PCG64([seed, rows[bucket][0].as_py()]))
+        at = np.arange(rows.num_rows)
         rng.shuffle(at)
-        return bucket.append_column("_pos", pa.array(at, pa.int64()))
+        return rows.append_column(pos, pa.array(at, pa.int64()))
 
-    placed = scattered.groupBy("_bucket").applyInArrow(fisher_yates, out)
-    p = F.col("_offset") + F.col("_pos")
-    return (
-        placed.join(F.broadcast(offsets), "_bucket")
-        .withColumns({"shard": F.pmod(p, F.lit(shards)).cast("int"), "slot": F.floor(p / shards).cast("long")})
-        .drop("_bucket", "_pos", "_offset")
-    )
+    placed = scattered.groupBy(bucket).applyInArrow(fisher_yates, out)
+    p = F.col(offset) + F.col(pos)
+    named = placed.join(F.broadcast(offsets), bucket).withColumns({"shard": F.pmod(p, F.lit(shards)).cast("int"), "slot": F.floor(p / shards).cast("long")})
+    return named.select(*rows.columns, "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, scratch: Scratch, shards: int = 8, seed: int = 17) -> None:
-    """All columns of docs, in shuffled order, one folder per shard."""
+    """All columns of docs with size, text_crc32 and slot, in shuffled order, one folder per shard.
+
+    Null texts have size 1. Repeated rows stay. An empty table writes no rows.
+    """
     placed = shuffled_shards(with_sizes(docs), scratch, shards, seed)
     placed.repartitionByRange(shards * 4, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
