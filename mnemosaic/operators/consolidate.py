@@ -27,6 +27,35 @@ def structured_summary(rows: DataFrame, id_: str, text: str, most: int = 5) -> D
     return rows.select(F.col(id_).alias("id"), *[_lines(F.coalesce(text, F.lit("")), p, most).alias(n) for n, p in SECTIONS.items()])
 
 
+#: What lines of a cluster's contents are about, and the names of files and tools in them.
+DECIDES = r"(?i)decides?:?\s*|chose\s+\w+|agreed\s+(to|that)|settled\s+on|opted\s+(for|in)|will\s+use|using\s+\w+\s+for"
+COMES_NEXT = r"(?i)^[-*]\s*(next|todo|will|should|need to|plan to)|next\s+step|pending|^#+\s*(next|todo|tasks?)"
+TEACHES = r"(?i)learned:?\s*|pattern:?\s*|convention:?\s*|architecture|design\s+decision"
+FILE_NAME = r"(?i)\b[\w-]+\.(?:ts|js|tsx|jsx|py|md|json|yml|yaml|sql|sh)\b"
+TOOL_NAME = r"(?i)\b(?:memory_\w+|journal_\w+|bash|git|npm|bun|tsc|test)\b"
+
+
+def cluster_summary(rows: DataFrame, by: str, id_: str, text: str, most: int = 10) -> DataFrame:
+    """(by, section, item, rank): what the lines of each cluster decide, teach and leave to do, and the files, tools and headings in them.
+
+    Each item once, in the order of rows and lines, so many of each section by design.
+    """
+    from ..functions.text import ascii_words
+
+    lines = rows.select(by, F.col(id_).alias("id"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("at", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
+    clean = F.substring(F.regexp_replace("line", r"^[-*#\s]+", ""), 1, 120)
+    one = lambda name, pattern, least: F.when(F.col("line").rlike(pattern) & (F.length(clean) > least), F.array(F.struct(F.lit(name).alias("section"), clean.alias("item"))))
+    named = lambda name, pattern: F.transform(F.regexp_extract_all("line", F.lit(ascii_words(pattern)), F.lit(0)), lambda x: F.struct(F.lit(name).alias("section"), x.alias("item")))
+    heading = F.substring(F.regexp_extract("line", r"^#+\s+(.+)", 1), 1, 80)
+    topic = F.when((heading != "") & ~F.lower(heading).contains("summary"), F.array(F.struct(F.lit("topics").alias("section"), heading.alias("item"))))
+    none = F.array().cast("array<struct<section:string,item:string>>")
+    every = F.concat(*[F.coalesce(x, none) for x in (one("decisions", DECIDES, 20), one("next", COMES_NEXT, 10), one("patterns", TEACHES, 10), named("files", FILE_NAME), named("tools", TOOL_NAME), topic)])
+    found = lines.select(by, "id", "at", F.posexplode(every).alias("k", "x")).select(by, "id", "at", "k", "x.*")
+    first = found.groupBy(by, "section", "item").agg(F.min(F.struct("id", "at", "k")).alias("_first"))
+    rank = F.row_number().over(Window.partitionBy(by, "section").orderBy("_first"))
+    return first.withColumn("rank", rank).filter(F.col("rank") <= most).select(by, "section", "item", "rank")
+
+
 def _best_of(rows: DataFrame, by: str, most: int) -> DataFrame:
     """The most important rows of each group; Spark cuts each task's share before it shuffles."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("importance"), "id"))

@@ -13,6 +13,8 @@ from ..functions import vector as vx
 
 #: Rows of a group among which a greedy choice is made.
 POOL = 1_000
+#: Vectors sent to the executors at once (32 MB of 64 dimensions), and the side of a tile of scores.
+BLOCK, TILE = 65_536, 2_048
 
 
 def knn(vectors: DataFrame, id_: str, vec: str, query, k: int) -> DataFrame:
@@ -34,11 +36,11 @@ def max_segment_knn(segments: DataFrame, id_: str, vec: str, query, k: int) -> D
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
-def knn_queries(vectors: DataFrame, queries: DataFrame, id_: str, vec: str, k: int, block: int = 2048) -> DataFrame:
+def knn_queries(vectors: DataFrame, queries: DataFrame, id_: str, vec: str, k: int, block: int = BLOCK) -> DataFrame:
     """(query_id, id, score): exact top k of every query row, the queries taken in blocks against all vectors.
 
-    A block of queries is sent to the executors; each partition keeps its own top k per query, and one
-    window over those few rows picks the final ones. The row of the same id is left out.
+    A block of queries, of bounded size, is sent to the executors; each partition keeps its own top k per query, and one
+    window over those few rows picks the final ones. The row of the same id is left out. Scores are made in tiles.
     """
     spark = vectors.sparkSession
     slim = queries.select(F.col(id_).alias("id"), F.col(vec).alias("v")).filter("v IS NOT NULL")
@@ -61,13 +63,16 @@ def knn_queries(vectors: DataFrame, queries: DataFrame, id_: str, vec: str, k: i
                 if not len(own) or not len(ids):
                     continue
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                for at in range(0, len(own), 4096):
-                    s = q @ v[at : at + 4096].T
-                    s[ids[:, None] == own[None, at : at + 4096]] = -2.0
-                    s = np.concatenate([top, s], axis=1)
-                    w = np.concatenate([who, np.broadcast_to(own[at : at + 4096], (len(ids), s.shape[1] - k))], axis=1)
-                    order = np.lexsort((w, -s), axis=1)[:, :k]
-                    top, who = np.take_along_axis(s, order, 1), np.take_along_axis(w, order, 1)
+                for lo in range(0, len(ids), TILE):
+                    t = slice(lo, lo + TILE)
+                    for at in range(0, len(own), TILE):
+                        there = own[at : at + TILE]
+                        s = q[t] @ v[at : at + TILE].T
+                        s[ids[t, None] == there[None, :]] = -2.0
+                        s = np.concatenate([top[t], s], axis=1)
+                        w = np.concatenate([who[t], np.broadcast_to(there, (len(s), len(there)))], axis=1)
+                        order = np.lexsort((w, -s), axis=1)[:, :k]
+                        top[t], who[t] = np.take_along_axis(s, order, 1), np.take_along_axis(w, order, 1)
             keep = top > -1.5
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k).reshape(-1, k)[keep]), pa.array(who[keep]), pa.array(top[keep])], ["query_id", "id", "score"])
 
@@ -78,7 +83,7 @@ def knn_queries(vectors: DataFrame, queries: DataFrame, id_: str, vec: str, k: i
     return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, id_: str, vec: str, least: float, block: int = 4096) -> DataFrame:
+def similar_pairs(vectors: DataFrame, id_: str, vec: str, least: float, block: int = BLOCK) -> DataFrame:
     """(a, b, cosine) with a < b of all vectors at least so similar: blocks of queries against all, in numpy."""
     spark = vectors.sparkSession
     slim = vectors.select(F.col(id_).cast("long").alias("id"), F.col(vec).alias("v")).filter("v IS NOT NULL")
@@ -99,10 +104,11 @@ def similar_pairs(vectors: DataFrame, id_: str, vec: str, least: float, block: i
                 if not len(own) or not len(ids):
                     continue
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                for at in range(0, len(own), 1024):
-                    s = q @ v[at : at + 1024].T
-                    i, j = np.nonzero((s >= least) & (ids[:, None] < own[None, at : at + 1024]))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[at + j]), pa.array(s[i, j])], ["a", "b", "cosine"])
+                for lo in range(0, len(ids), TILE):
+                    for at in range(0, len(own), TILE):
+                        s = q[lo : lo + TILE] @ v[at : at + TILE].T
+                        i, j = np.nonzero((s >= least) & (ids[lo : lo + TILE, None] < own[None, at : at + TILE]))
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo + i]), pa.array(own[at + j]), pa.array(s[i, j])], ["a", "b", "cosine"])
 
         found = slim.mapInArrow(run, "a long, b long, cosine double")
         out = found if out is None else out.union(found)

@@ -35,13 +35,18 @@ def features(found: DataFrame) -> DataFrame:
     })
 
 
-def linear_rank(found: DataFrame, limit: int, weights: dict[str, float] = sc.WEIGHTS, intent: str | None = None, subtask: str | None = None) -> DataFrame:
-    """Candidates by fused score times the weights of intent and subtask; ties by recency, then id."""
+def linear_rank(found: DataFrame, limit: int, weights: dict[str, float] = sc.WEIGHTS, intent: str | None = None, subtask: str | None = None, levels: dict[int, float] | None = None) -> DataFrame:
+    """Candidates by fused score times the weights of intent, subtask and level; ties by recency, then id."""
     fused = sc.linear_fusion({k: F.col(f"f_{k}") for k in weights}, weights)
     if intent is not None:
         fused = fused * sc.intent_weight(intent, F.col("category"), F.col("type"), F.col("supertype"))
     if subtask is not None and "subtask" in found.columns:
         fused = fused * sc.subtask_weight(subtask, F.col("subtask"))
+    if levels:
+        weight = F.when(F.lit(False), 1.0)
+        for level, value in sorted(levels.items()):
+            weight = weight.when(F.col("level") == level, value)
+        fused = fused * weight.otherwise(1.0)
     fresh = F.when(F.col("level") >= 1, F.col("created_ms")).otherwise(F.coalesce("accessed_ms", "created_ms"))
     return features(found).withColumn("score", fused).orderBy(F.desc("score"), F.desc(fresh), "id").limit(limit)
 
@@ -145,3 +150,25 @@ def search(nodes: DataFrame, query: str, mode: str = "hybrid", limit: int = 10,
     if rrf_k is not None:
         return reciprocal_ranks(both, now_ms, rrf_k).orderBy(F.desc("score"), "id").limit(limit)
     return linear_rank(both, limit, **options)
+
+
+#: From which pressure (percent) rules need what score, and which kinds go.
+RULE_SCORES = ((95, 0.50), (85, 0.30), (75, 0.20))
+RULE_LEAST, STANDARD_UNTIL, SUGGESTIONS_UNTIL = 0.15, 85, 75
+
+
+def applicable_rules(rules: DataFrame, words: list[str], pressure: float) -> DataFrame:
+    """rules(label, content, type) -> label, type, score of those to show at a pressure of the context window.
+
+    Scores are shared words with the message (all one without words). Mandatory rules and those marked never to be left out
+    always stay; the others by kind and score. Of rules of one label one counts.
+    """
+    from ..functions.text import ochiai, tokens
+
+    once = rules.groupBy("label").agg(F.min_by(F.struct("content", "type"), F.struct("type", "content")).alias("r")).select("label", "r.*")
+    score = ochiai(tokens(F.col("content"), 3), F.array(*map(F.lit, sorted(set(words))))) if words else F.lit(1.0)
+    scored = once.filter(F.col("type").isin("mandatory", "standard", "suggestion", "info")).withColumn("score", score)
+    least = max([RULE_LEAST, *[v for p, v in RULE_SCORES if pressure >= p]])
+    kind = ((F.col("type") == "standard") & F.lit(pressure < STANDARD_UNTIL)) | (F.col("type").isin("suggestion", "info") & F.lit(pressure < SUGGESTIONS_UNTIL))
+    always = (F.col("type") == "mandatory") | F.col("content").contains("never_strip: true")
+    return scored.filter(always | (kind & (F.col("score") >= least))).select("label", "type", "score")

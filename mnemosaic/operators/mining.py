@@ -171,3 +171,13 @@ def label_mentions(texts: DataFrame, labels: DataFrame) -> DataFrame:
     """texts(id, text), labels(label, node_id): typed references that name a known label."""
     refs = texts.select("id", F.explode(tx.label_refs(F.col("text"))).alias("label"))
     return refs.join(labels, "label").select("id", "label", "node_id")
+
+
+def lesson_nodes(calls: DataFrame, nodes: DataFrame, known: DataFrame, least: int = 2) -> DataFrame:
+    """(session_id, label, signature, failures, cause, parent_id): a lesson for each new signature of failures, under the stored context of its session if there is one."""
+    from .telemetry import root_causes
+
+    new = failed_lessons(calls, known, least).withColumn("label", F.concat(F.lit("lesson:"), "session_id"))
+    context = nodes.filter(F.col("label").startswith("storedcontext:")).groupBy("label").agg(F.min("id").alias("parent_id"))
+    under = new.join(root_causes(calls), "session_id", "left").withColumn("_c", F.concat(F.lit("storedcontext:"), "session_id"))
+    return under.join(context.withColumnRenamed("label", "_c"), "_c", "left").select("session_id", "label", "signature", "failures", "cause", "parent_id")

@@ -265,3 +265,14 @@ def root_causes(calls: DataFrame, session: str = "session_id", tool: str = "tool
 def clustered_signatures(signatures: DataFrame, least: int = 3) -> DataFrame:
     """(signature, n) of failures that many sessions share."""
     return signatures.groupBy("signature").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+
+
+def rule_count(nodes: DataFrame) -> DataFrame:
+    return nodes.filter(F.col("label").startswith("rule:")).agg(F.count("*").alias("rules"))
+
+
+def top_strategies(log: DataFrame, top: int = 3) -> DataFrame:
+    """log(strategy, mode, tokens, nodes): the commonest ways of injecting, by the strategy or else the mode, with mean tokens and nodes."""
+    name = F.coalesce("strategy", "mode", F.lit("unknown"))
+    out = log.groupBy(name.alias("strategy")).agg(F.count("*").alias("n"), js_round(F.avg("tokens")).cast("long").alias("tokens"), (js_round(F.avg("nodes") * 10) / 10).alias("nodes"))
+    return out.orderBy(F.desc("n"), "strategy").limit(top)

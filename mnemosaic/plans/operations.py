@@ -577,3 +577,65 @@ def temporal_expansion(spark, sf):
 def metadata_filter(spark, sf):
     n = nodes(spark, sf).withColumn("metadata", F.when(F.col("id") % 10 == 3, '{"sessionId": "s3"}').otherwise("not json"))
     return reports.archived(n, session="s3").select("id")
+
+
+_RULE = "r AS (SELECT n_nationkey AS k, concat('rule:', n_nationkey % 23) AS label, CASE n_nationkey % 4 WHEN 0 THEN 'mandatory' WHEN 1 THEN 'standard' WHEN 2 THEN 'suggestion' ELSE 'info' END AS type, concat('alpha beta word', n_nationkey % 5, ' gamma', CASE WHEN n_nationkey % 6 = 1 THEN ' never_strip: true' ELSE '' END) AS content FROM nation)"
+
+
+@query("applicable_rules", f"WITH {_RULE}, o AS (SELECT label, arg_min(content, (type, content)) AS content, min(type) AS type FROM r GROUP BY label), s AS (SELECT label, type, content, CAST(1 + CAST(contains(content, 'word3') AS INT) AS DOUBLE) / sqrt(2e0 * CASE WHEN contains(content, 'never') THEN 6 ELSE 4 END) AS score FROM o) SELECT label, type, round(score, 6) AS score FROM s WHERE type = 'mandatory' OR contains(content, 'never_strip: true') OR (type = 'standard' AND score >= 0.2)")
+def applicable_rules(spark, sf):
+    k = F.col("n_nationkey")
+    kind = F.when(k % 4 == 0, "mandatory").when(k % 4 == 1, "standard").when(k % 4 == 2, "suggestion").otherwise("info")
+    content = F.concat(F.lit("alpha beta word"), k % 5, F.lit(" gamma"), F.when(k % 6 == 1, " never_strip: true").otherwise(""))
+    rules = src.table(spark, sf, "nation").select(F.concat(F.lit("rule:"), k % 23).alias("label"), content.alias("content"), kind.alias("type"))
+    return hybrid.applicable_rules(rules, ["beta", "word3"], 80).withColumn("score", F.round("score", 6))
+
+
+@query("level_weights", f"WITH {NODES} SELECT id, round(importance * CASE level WHEN 2 THEN 1.5e0 WHEN 4 THEN 0.5e0 ELSE 1e0 END * 0.45e0, 6) AS score FROM nodes ORDER BY importance * CASE level WHEN 2 THEN 1.5e0 WHEN 4 THEN 0.5e0 ELSE 1e0 END DESC, CASE WHEN level >= 1 THEN created_ms ELSE coalesce(accessed_ms, created_ms) END DESC, id LIMIT 30")
+def level_weights(spark, sf):
+    """Semantic scores alone, with weights of levels; the clamp is behind the weights' reach."""
+    found = _slim(spark, sf).withColumns({"semantic": F.col("importance") * 0.45, "bm25": F.lit(0.0)})
+    return hybrid.linear_rank(found, 30, {"semantic": 1.0}, levels={2: 1.5, 4: 0.5}).select("id", F.round("score", 6).alias("score"))
+
+
+_TOLD = "concat('# Topic ', event_id % 6, chr(10), '- we decided: use option ', event_id % 9, ' from now on', chr(10), CASE WHEN event_id % 4 = 0 THEN '* todo write file' ELSE 'learned: pattern ' END, user_id % 8, '.py with git', chr(10), ' next step: run test ', user_id % 3)"
+
+
+def _sections_sql() -> str:
+    c, rows = r"substr(regexp_replace(line, '^[-*#\s]+', ''), 1, 120)", []
+    for k, (name, p, least) in enumerate((("decisions", consolidate.DECIDES, 20), ("next", consolidate.COMES_NEXT, 10), ("patterns", consolidate.TEACHES, 10))):
+        rows.append(f"SELECT cluster, id, at_line, {k} AS k, '{name}' AS section, {c} AS item FROM ln WHERE regexp_matches(line, '{p}') AND length({c}) > {least}")
+    for k, (name, p) in enumerate((("files", consolidate.FILE_NAME), ("tools", consolidate.TOOL_NAME)), 3):
+        rows.append(f"SELECT cluster, id, at_line, {k} + unnest(range(len(regexp_extract_all(line, '{p}')))) AS k, '{name}', unnest(regexp_extract_all(line, '{p}')) FROM ln")
+    rows.append(r"SELECT cluster, id, at_line, 9, 'topics', substr(regexp_extract(line, '^#+\s+(.+)', 1), 1, 80) FROM ln WHERE regexp_matches(line, '^#+\s+(.+)') AND NOT contains(lower(line), 'summary')")
+    return " UNION ALL ".join(rows)
+
+
+@query("cluster_summaries", f"WITH t AS (SELECT event_type AS cluster, event_id AS id, string_split({_TOLD}, chr(10)) AS ls FROM events), u AS (SELECT cluster, id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS at_line FROM t), ln AS (SELECT cluster, id, trim(raw) AS line, at_line FROM u WHERE trim(raw) <> ''), f AS ({_sections_sql()}), g AS (SELECT cluster, section, item, min((id, at_line, k)) AS first_at FROM f GROUP BY ALL), r AS (SELECT cluster, section, item, CAST(row_number() OVER (PARTITION BY cluster, section ORDER BY first_at) AS INT) AS rank FROM g) SELECT * FROM r WHERE rank <= 10")
+def cluster_summaries(spark, sf):
+    return consolidate.cluster_summary(events(spark, sf).select(F.col("event_type").alias("cluster"), F.col("event_id").alias("id"), F.expr(_TOLD).alias("text")), "cluster", "id", "text")
+
+
+@query("rule_count", f"WITH {NODES} SELECT count(*) FILTER (WHERE id % 9 = 0) AS rules FROM nodes")
+def rule_count(spark, sf):
+    return telemetry.rule_count(_slim(spark, sf).withColumn("label", F.when(F.col("id") % 9 == 0, F.concat(F.lit("rule:"), "id")).otherwise(F.col("label"))))
+
+
+@query("top_strategies", "SELECT coalesce(CASE WHEN event_id % 3 <> 0 THEN event_type END, CASE WHEN event_id % 2 = 0 THEN 'auto' END, 'unknown') AS strategy, count(*) AS n, CAST(floor(avg(event_id % 300) + 0.5e0) AS BIGINT) AS tokens, floor(avg(event_id % 7) * 10 + 0.5e0) / 10e0 AS nodes FROM events GROUP BY 1 ORDER BY n DESC, strategy LIMIT 3")
+def top_strategies(spark, sf):
+    i = F.col("event_id")
+    return telemetry.top_strategies(events(spark, sf).select(F.when(i % 3 != 0, F.col("event_type")).alias("strategy"), F.when(i % 2 == 0, "auto").alias("mode"), (i % 300).alias("tokens"), (i % 7).alias("nodes")))
+
+
+@query("lesson_nodes", f"{_SIG}, f AS (SELECT signature, min(session_id) AS session_id, max(failures) AS failures FROM s WHERE failures >= 2 GROUP BY signature), p AS (SELECT session_id, concat('t', id % 3) AS t, count(*) AS n FROM calls WHERE NOT success AND id % 7 = 0 GROUP BY ALL), c AS (SELECT session_id, count(*) AS k, max(n) AS m FROM p GROUP BY session_id) SELECT f.session_id, concat('lesson:', f.session_id) AS label, signature, failures, CASE WHEN k = 1 AND m >= 2 THEN 'bad-idea' WHEN k >= 2 AND m <= 2 THEN 'implementation-bug' ELSE 'unknown' END AS cause, CASE WHEN f.session_id % 2 = 0 AND f.session_id < (SELECT count(*) FROM documents) THEN f.session_id END AS parent_id FROM f JOIN c USING (session_id)")
+def lesson_nodes(spark, sf):
+    contexts = _slim(spark, sf).filter("id % 2 = 0").select("id", F.concat(F.lit("storedcontext:"), "id").alias("label"))
+    return mining.lesson_nodes(_failing(spark, sf), contexts, spark.createDataFrame([], "signature string"))
+
+
+@query("decoded_nodes", f"WITH {NODES} SELECT id, CASE WHEN id % 3 = 0 THEN concat('a,b', id % 4) END AS tags, CASE WHEN id % 5 = 0 THEN 0.5e0 ELSE confidence END AS confidence, coalesce(status, 'active') AS status, id % 2 = 1 AS sticky FROM nodes")
+def decoded_nodes(spark, sf):
+    i = F.col("id")
+    tags = F.when(i % 3 == 0, F.concat(F.lit('["a", "b'), i % 4, F.lit('"]'))).when(i % 3 == 1, "not json")
+    raw = _slim(spark, sf).withColumns({"tags": tags, "confidence": F.when(i % 5 != 0, F.col("confidence")), "sticky": F.when(i % 2 == 1, 1)})
+    return src.decoded(raw).select("id", F.array_join("tags", ",").alias("tags"), "confidence", "status", "sticky")

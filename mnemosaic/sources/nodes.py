@@ -85,6 +85,21 @@ def with_classes(df: DataFrame) -> DataFrame:
     })
 
 
+#: Columns that older stores keep as JSON text, with their types, and what stands for a null in others.
+JSON_TEXT = {"parent_ids": "array<string>", "tags": "array<string>", "derived_from": "array<string>", "embedding": "array<float>", "embedding_segments": "array<array<float>>"}
+DEFAULTS = {"confidence": 0.5, "verification_count": 0, "usefulness": 0.0, "times_used": 0, "times_helpful": 0, "status": "active", "sticky": False}
+
+
+def decoded(raw: DataFrame) -> DataFrame:
+    """Stored rows as nodes: JSON text parsed (malformed text gives null), flags as booleans, defaults for nulls."""
+    kinds = dict(raw.dtypes)
+    out = {c: F.from_json(c, t) for c, t in JSON_TEXT.items() if kinds.get(c) == "string"}
+    for c, v in DEFAULTS.items():
+        if c in kinds:
+            out[c] = F.coalesce(F.col(c).cast("boolean") if c == "sticky" else F.col(c), F.lit(v))
+    return raw.withColumns(out)
+
+
 def journal(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files with front matter -> path, title, date, tags, body; newest first."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
@@ -125,6 +140,37 @@ def json_rows(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
     return spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
 
 
+def conversations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Dialogue sets, an array or an object of samples -> (sample, session, place, speaker, dia_id, text) and (sample, question, answer, evidence, category).
+
+    Sessions are the parts of a conversation that are lists of turns; what else stands in it is passed over.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    samples = whole.selectExpr("explode(CASE WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN from_json(to_json(v), 'array<variant>') ELSE map_values(from_json(to_json(v), 'map<string,variant>')) END) AS s")
+    named = samples.select(F.try_variant_get("s", "$.sample_id", "string").alias("sample"), "s")
+    turn = "array<struct<speaker:string,dia_id:string,text:string>>"
+    parts = named.select("sample", F.explode(F.from_json(F.to_json(F.try_variant_get("s", "$.conversation", "variant")), "map<string,variant>")).alias("session", "p"))
+    listed = parts.filter(F.expr("schema_of_variant(p)").startswith("ARRAY")).select("sample", "session", F.posexplode(F.from_json(F.to_json("p"), turn)).alias("place", "t"))
+    asked = named.select("sample", F.explode(F.from_json(F.to_json(F.try_variant_get("s", "$.qa", "variant")), "array<struct<question:string,answer:string,evidence:array<string>,category:int>>")).alias("q"))
+    return listed.select("sample", "session", "place", "t.*"), asked.select("sample", "q.*")
+
+
+EXPERIENCE = "instance_id string, repo string, summary string, problem_statement string, touched_files array<string>, reasoning string, tool_sequence array<struct<name:string,target:string>>"
+
+
+def experiences(spark: SparkSession, path: str) -> DataFrame:
+    """Tasks that were solved; what is missing is empty."""
+    rows = json_rows(spark, path, EXPERIENCE)
+    empty = {c: F.coalesce(c, F.lit("") if t == "string" else F.array().cast(t)) for c, t in rows.dtypes}
+    return rows.withColumns(empty)
+
+
+def experience_links(spark: SparkSession, path: str) -> DataFrame:
+    """(related_instance_id, experience_instance_id), each pair once."""
+    rows = json_rows(spark, path, "related_instance_id string, experience_instance_ids array<string>")
+    return rows.select("related_instance_id", F.explode("experience_instance_ids").alias("experience_instance_id")).distinct()
+
+
 def write_graph(nodes_: DataFrame, edges: DataFrame, path: str) -> None:
     nodes_.write.mode("overwrite").parquet(f"{path}/nodes")
     edges.write.mode("overwrite").parquet(f"{path}/edges")

@@ -388,3 +388,19 @@ def test_approximate_neighbours_are_mostly_the_exact_ones(spark, sf):
         found = {r.id for r in dense.ann(v, "vec_id", "embedding", q.embedding, 5, planes=5, tables=12).collect()}
         met, total = met + len(found & set(exact)), total + 5
     assert met / total >= 0.9
+
+
+def test_evaluation_sets_are_read(spark, tmp_path):
+    import json
+
+    one = {"sample_id": "s1", "conversation": {"session_1": [{"speaker": "A", "dia_id": "D1:1", "text": "hi"}, {"speaker": "B", "dia_id": "D1:2", "text": "yo"}], "session_1_date_time": "8 May, 2023"}, "qa": [{"question": "q", "answer": "a", "evidence": ["D1:1"], "category": 2}]}
+    for name, whole in (("list", [one, {**one, "sample_id": "s2"}]), ("map", {"0": one, "1": {**one, "sample_id": "s2"}})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(whole))
+        turns, asked = src.conversations(spark, str(tmp_path / f"{name}.json"))
+        assert {(r.sample, r.session, r.place, r.speaker, r.dia_id, r.text) for r in turns.collect()} == {(s, "session_1", k, p, f"D1:{k + 1}", t) for s in ("s1", "s2") for k, (p, t) in enumerate((("A", "hi"), ("B", "yo")))}
+        assert {(r.sample, r.question, tuple(r.evidence), r.category) for r in asked.collect()} == {(s, "q", ("D1:1",), 2) for s in ("s1", "s2")}
+    (tmp_path / "e.json").write_text(json.dumps([{"instance_id": "x", "tool_sequence": [{"name": "read", "target": "f"}]}, {"repo": "r"}]))
+    rows = {r.instance_id: r for r in src.experiences(spark, str(tmp_path / "e.json")).collect()}
+    assert rows["x"].tool_sequence[0].target == "f" and rows["x"].summary == "" and rows[""].touched_files == []
+    (tmp_path / "l.json").write_text(json.dumps([{"related_instance_id": "a", "experience_instance_ids": ["x", "x", "y"]}]))
+    assert src.experience_links(spark, str(tmp_path / "l.json")).count() == 2
