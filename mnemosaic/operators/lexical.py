@@ -43,11 +43,11 @@ def query_terms(query: str, least: int = 2) -> list[str]:
     return [t for t in re.findall(r"\w+", query.lower(), flags=re.A) if len(t) >= least]
 
 
-def _term_counts(docs: DataFrame, id_: str, text: Column, terms: list[str], by: list[str] | None = None, also: list[str] | None = None) -> DataFrame:
-    """One row per document: length and the frequency of each query term, without a shuffle."""
-    kept = [*(by or []), *(also or [])]
-    found = docs.select(F.col(id_).alias("id"), *kept, token_count(text).alias("dl"), found_terms(text, terms).alias("_f"))
-    return found.select("id", *kept, "dl", *[(F.size("_f") - F.size(F.array_remove("_f", t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+def _term_counts(docs: DataFrame, id_: str, text: Column, terms: list[str], by: list[str] | None = None) -> DataFrame:
+    """One row per document: length and the frequency of each query term, from one pass over its tokens."""
+    found = docs.select(F.col(id_).alias("id"), *(by or []), tokens(F.coalesce(text, F.lit(""))).alias("_t"))
+    sure = lambda n: F.coalesce(n, F.lit(0))  # noqa: E731  what may be null gets a filter, computed anew, below the exchange
+    return found.select("id", *(by or []), sure(F.size("_t")).alias("dl"), *[sure(F.size("_t") - F.size(F.array_remove("_t", t))).alias(f"tf{i}") for i, t in enumerate(terms)])
 
 
 def lexical_tf(docs: DataFrame, id_: str, text: Column, query: str, limit: int) -> DataFrame:
@@ -67,31 +67,31 @@ def lexical_from_postings(nodes: DataFrame, post: DataFrame, query: str, limit:
     return nodes.select("id").join(scores, "id").orderBy(F.desc("score"), "id").limit(limit)
 
 
-def bm25_raw(docs: DataFrame, id_: str, text: Column, query: str, by: list[str] | None = None, also: list[str] | None = None, over: DataFrame | None = None) -> DataFrame:
-    """(id, by..., also..., raw): sums of the terms' scores, not divided by the largest; a repeated term counts as often.
+def bm25_raw(docs: DataFrame, id_: str, text: Column, query: str, by: list[str] | None = None) -> DataFrame:
+    """(id, by..., raw): sums of the terms' scores, not divided by the largest; a repeated term counts as often.
 
-    Statistics are those of the row's group (the scope, say), or of all rows, of docs or of another table (over). Two scans:
-    one for the statistics, which is a row for each group and broadcast, one for the scores.
+    Statistics are those of the row's group (the scope, say), or of all rows. The texts are read once: the counts, a few
+    numbers a row, go through one exchange that the statistics and the scores share. Statistics are a row for each group.
     """
     wanted = query_terms(query)
     terms = sorted(set(wanted))
     group = by or ["_all"]
-    over = docs if over is None else over
-    docs, over = (x if by else x.withColumn("_all", F.lit(0)) for x in (docs, over))
+    docs = docs if by else docs.withColumn("_all", F.lit(0))
     if not terms:
-        return docs.select(F.col(id_).alias("id"), *(by or []), *(also or []), F.lit(0.0).alias("raw")).limit(0)
-    counts = _term_counts(docs, id_, text, terms, group, also)
-    stats = _term_counts(over, id_, text, terms, group).groupBy(*group).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+        return docs.select(F.col(id_).alias("id"), *(by or []), F.lit(0.0).alias("raw")).limit(0)
+    counts = _term_counts(docs, id_, text, terms, group).repartition("id")
+    stats = counts.groupBy(*group).agg(F.count("id").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
 
     def part(i: int, term: str):
         df, tf = F.col(f"df{i}"), F.col(f"tf{i}")
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         return wanted.count(term) * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
-    any_ = reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(terms))])
-    scored = counts.filter(any_).join(F.broadcast(stats), group)
     raw = reduce(lambda a, b: a + b, [part(i, t) for i, t in enumerate(terms)])
-    return scored.select("id", *(by or []), *(also or []), raw.alias("raw"))
+    # the score is compared, not the counts: a filter on these would part the two readers of the exchange
+    own = F.broadcast(stats.withColumnsRenamed({g: f"_of_{g}" for g in group}))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group])
+    return counts.join(own, same).select("id", *(by or []), raw.alias("raw")).filter("raw > 0")
 
 
 def bm25_topk(docs: DataFrame, id_: str, text: Column, query: str, limit: int) -> DataFrame:
@@ -111,9 +111,9 @@ def bm25_scoped(docs: DataFrame, id_: str, text: Column, query: str, limit: int,
 
 def bm25_candidates(docs: DataFrame, id_: str, text: Column, query: str, pool: DataFrame, most: int, limit: int) -> DataFrame:
     """(id, score, inside): scores of all ids of pool (most rows at most) and of the best limit others, from one pass over the texts."""
-    ids = F.broadcast(pool.select(F.col("id").alias(id_), F.lit(1).alias("_in")))
-    marked = docs.join(ids, id_, "left").withColumn("_in", F.coalesce("_in", F.lit(0)))
-    raw = bm25_raw(marked, id_, text, query, also=["_in"], over=docs).orderBy(F.desc("_in"), F.desc("raw"), "id").limit(most + limit)
+    ids = F.broadcast(pool.select("id", F.lit(1).alias("_in")))
+    marked = bm25_raw(docs, id_, text, query).join(ids, "id", "left").withColumn("_in", F.coalesce("_in", F.lit(0)))
+    raw = marked.orderBy(F.desc("_in"), F.desc("raw"), "id").limit(most + limit)
     all_ = Window.partitionBy(F.lit(0))  # most + limit rows at most
     rank = F.row_number().over(Window.partitionBy("_in").orderBy(F.desc("raw"), "id"))
     scored = raw.select("id", (F.col("raw") / F.greatest(F.max("raw").over(all_), F.lit(1.0))).alias("score"), (F.col("_in") == 1).alias("inside"), rank.alias("_r"))
