@@ -290,6 +290,9 @@ def entities(text: str, kinds: tuple[str, ...] = KINDS) -> list[tuple[int, int,
 
 
 def _is_ipv6(text: str) -> bool:
+    """An address with two groups or more and a digit; :: alone, or letters around it as in code, is none."""
+    if sum(map(bool, text.split(":"))) < 2 or not any(c.isdigit() for c in text):
+        return False
     try:
         ipaddress.IPv6Address(text)
     except ValueError:
