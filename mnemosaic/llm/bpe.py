@@ -19,13 +19,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, small_batches, trim
+from .common import gathered, pieces, small_batches, trim
 
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Pre-tokens that a worker remembers in each of two generations, and the longest it remembers.
 REMEMBERED, LONGEST = 120_000, 48
 #: Pre-tokens that are laid end to end under one index, which bounds its memory.
-INDEXED = 16_000
+INDEXED = 40_000
 ENDOFTEXT = "<|endoftext|>"
 
 
@@ -59,57 +59,57 @@ class _Remembered:
 class PairIndexBPE:
     """A vocabulary in the JSON form of the tokenizers library."""
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, remembered: int = REMEMBERED):
         model = json.loads(content)
         vocab = model["model"]["vocab"]
         chars = byte_characters()
         back = {c: b for b, c in chars.items()}
         self.added = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.single = [vocab[chars[b]] for b in range(256)]
-        self.merges: dict[int, tuple[int, int]] = {}
-        made: set[int] = set(self.single)
+        self.symbol = np.array([vocab[chars[b]] for b in range(256)], np.int64)
+        made: set[int] = set(self.symbol.tolist())
+        self.symbol[255] = -1
+        self.rank_of: dict[int, int] = {}
+        self.by_rank: list[tuple[int, int, int]] = []
         for rank, pair in enumerate(model["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             new = vocab[left + right]
             if new in made:
                 raise ValueError(f"token {new} has two sources: ranks can't be applied in one ascending pass")
             made.add(new)
-            self.merges[vocab[left] << 20 | vocab[right]] = (rank, new)
-        self.by_rank = [(key >> 20, key & 0xFFFFF, new) for key, (_, new) in self.merges.items()]
+            self.rank_of[vocab[left] << 20 | vocab[right]] = rank
+            self.by_rank.append((vocab[left], vocab[right], new))
         self.bytes = [b""] * (max([*vocab.values(), *self.added.values()]) + 1)
         for token, i in vocab.items():
             self.bytes[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         for token, i in self.added.items():
             self.bytes[i] = token.encode()
-        self.known = _Remembered(REMEMBERED)
+        self.known = _Remembered(remembered)
 
     def merge_all(self, words: list[str]) -> list[bytes]:
         """The ids of each pre-token as int32 bytes, by one index over all of them."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        single, merges = self.single, self.merges
-        sym: list[int] = []
-        for r in raw:
-            sym.extend([single[b] for b in r])
-            sym.append(-1)  # nothing merges across
-        size = len(sym)
-        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        if not words:
+            return []
+        # a byte that UTF-8 never has ends each word: nothing merges across it
+        raw = np.frombuffer(b"\xff".join([w.encode("utf-8", "surrogatepass") for w in words]) + b"\xff", np.uint8)
+        s = self.symbol[raw]
+        size, rank_of, by_rank = len(s), self.rank_of, self.by_rank
         index: dict[int, list[int]] = {}
-        if size > 1:
-            s = np.array(sym, np.int64)
-            keys = np.where((s[:-1] < 0) | (s[1:] < 0), -1, s[:-1] << 20 | s[1:])
-            order = np.argsort(keys, kind="stable")
-            ordered = keys[order]
-            cuts = np.flatnonzero(np.diff(ordered)) + 1
-            for group in np.split(order, cuts):
-                key = int(keys[group[0]])
-                if key in merges:
-                    index[merges[key][0]] = group.tolist()
+        keys = np.where((s[:-1] < 0) | (s[1:] < 0), -1, s[:-1] << 20 | s[1:])
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+        cuts = [0, *(np.flatnonzero(np.diff(ordered)) + 1).tolist(), len(order)]
+        first, places_of = ordered[cuts[:-1]].tolist() if len(order) else [], order.tolist()
+        for key, a, b in zip(first, cuts, cuts[1:]):
+            if key in rank_of:
+                index[rank_of[key]] = places_of[a:b]
+        sym, after, before = s.tolist(), list(range(1, size + 1)), list(range(-1, size - 1))
         heap = list(index)
         heapq.heapify(heap)
+        push, pop, ranked = heapq.heappush, heapq.heappop, rank_of.get
         while heap:
-            rank = heapq.heappop(heap)
-            left, right, new = self.by_rank[rank]
+            rank = pop(heap)
+            left, right, new = by_rank[rank]
             places = index.pop(rank)
             places.sort()
             for p in places:
@@ -123,18 +123,23 @@ class PairIndexBPE:
                 n = after[q]
                 after[p] = n
                 before[n] = p
-                for at, key in ((before[p], (sym[before[p]] << 20 | new) if before[p] >= 0 and sym[before[p]] >= 0 else -1), (p, (new << 20 | sym[n]) if sym[n] >= 0 else -1)):
-                    if key in merges:
-                        r = merges[key][0]
-                        if r in index:
-                            index[r].append(at)
-                        else:
-                            index[r] = [at]
-                            heapq.heappush(heap, r)
-        left = np.array(sym, np.int32)
-        kept = left >= 0
-        ends = np.cumsum(kept)[np.cumsum([len(r) + 1 for r in raw]) - 1].tolist() if raw else []
-        flat, out, at = left[kept].tobytes(), [], 0
+                o = before[p]
+                if o >= 0 and sym[o] >= 0 and (r := ranked(sym[o] << 20 | new)) is not None:
+                    if r in index:
+                        index[r].append(o)
+                    else:
+                        index[r] = [o]
+                        push(heap, r)
+                if sym[n] >= 0 and (r := ranked(new << 20 | sym[n])) is not None:
+                    if r in index:
+                        index[r].append(p)
+                    else:
+                        index[r] = [p]
+                        push(heap, r)
+        done = np.array(sym, np.int32)
+        kept = done >= 0
+        ends = np.cumsum(kept)[np.flatnonzero(raw == 255)].tolist()
+        flat, out, at = done[kept].tobytes(), [], 0
         for end in ends:
             out.append(flat[4 * at : 4 * end])
             at = end
@@ -169,16 +174,16 @@ class PairIndexBPE:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, PairIndexBPE] = {}
+_LOADED: dict[tuple[str, int], PairIndexBPE] = {}
 
 
-def load(path: str) -> PairIndexBPE:
+def load(path: str, remembered: int = REMEMBERED) -> PairIndexBPE:
     """The vocabulary at a path, once per worker."""
-    if path not in _LOADED:
+    if (path, remembered) not in _LOADED:
         with open(path, encoding="utf-8") as f:
-            _LOADED[path] = PairIndexBPE(f.read())
+            _LOADED[path, remembered] = PairIndexBPE(f.read(), remembered)
         trim()
-    return _LOADED[path]
+    return _LOADED[path, remembered]
 
 
 def default_vocabulary() -> str:
@@ -187,18 +192,19 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """docs(doc_id, text) -> doc_id, ids array<int>, decoded string.
 
     Null texts count as empty (no ids, empty string). Texts of any length are encoded whole. The
     string <|endoftext|> in a text is the added token, as in the library. Rows are neither joined
-    nor shuffled; repeated rows stay, other columns are not read.
+    nor shuffled; repeated rows stay, other columns are not read. A worker remembers so many pre-tokens in each of two
+    generations, about 200 bytes each; the result is the same for any number.
     """
     at = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(at)
-        for batch in batches:
+        bpe = load(at, remembered)
+        for batch in gathered(batches):
             for b in pieces(batch):
                 ids = bpe.encode_batch([t or "" for t in b.column("text").to_pylist()])
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)

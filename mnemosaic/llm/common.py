@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +41,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def small_batches(df: DataFrame) -> DataFrame:
     """Hands whole texts to Python in small Arrow batches: their buffers lie outside the heap, twice per task."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
     return df
 
 
 class Scratch:
     """Tables written to the shared folder. They outlive lost executors; drop() and drop_but() remove those no plan needs."""
 
+    made: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/mnemosaic/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
         self.live: set[str] = set()
+        Scratch.made.append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.n:03d}"
@@ -126,6 +130,18 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold about so many bytes, for work that is done once for equal words of a batch."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield pa.concat_batches(held) if len(held) > 1 else held[0]
+            held = []
+    if held:
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about so many bytes of a text column, so that what is made of a slice stays small."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -33,7 +33,8 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(table(spark, sf_dir, "documents")).select("doc_id", *bpe.digest_columns())
+    """Alone on its executors, it remembers more than the pipeline's stage."""
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), remembered=300_000).select("doc_id", *bpe.digest_columns())
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
