@@ -24,70 +24,25 @@ from pyspark.sql import functions as F
 
 from .common import Marks, Scratch, fresh, slices, small_batches
 from .components import connected_components
+from .hashing import BASE, mixed, word_hashes
 from .simhash import links
 
 WORDS, SIMILARITY = 5, 0.8
 #: Rows of the table of counts, and bits of the table of keys that more than one document has: bounds of what is broadcast.
 BUCKETS, KEY_BITS = 1 << 18, 1 << 26
-#: Star rounds, documents of a key from which it counts as a crowd, documents in a block, and bytes hashed at once.
-ROUNDS, CROWD, BLOCK, PIECE = 2, 64, 512, 1 << 20
-
-_BASE = 0x9E3779B97F4A7C15
-_POWER = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, n of each at least."""
-    if len(_POWER[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(max(n, PIECE + 4096), base, np.uint64)
-            p[0] = 1
-            _POWER[k] = np.multiply.accumulate(p)
-    return _POWER[0], _POWER[1]
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each lower-cased word, in order; words are runs of characters other than ASCII blanks."""
-    raw = (text or "").encode("utf-8", "surrogatepass").lower()
-    out, at = [], 0
-    while at < len(raw):
-        piece = np.frombuffer(raw, np.uint8, min(PIECE, len(raw) - at), at)
-        blank = (piece == 32) | ((piece >= 9) & (piece <= 13))
-        if at + len(piece) < len(raw) and not blank[-1]:  # a piece ends where a word ends
-            last = int(np.flatnonzero(blank)[-1]) if blank.any() else -1
-            if last < 0:
-                rest = np.frombuffer(raw, np.uint8, len(raw) - at, at)
-                gap = np.flatnonzero((rest == 32) | ((rest >= 9) & (rest <= 13)))
-                piece = rest[: int(gap[0])] if len(gap) else rest
-                blank = np.zeros(len(piece), bool)
-            else:
-                piece, blank = piece[: last + 1], blank[: last + 1]
-        at += len(piece)
-        edge = np.diff(np.concatenate(([True], blank, [True])).astype(np.int8))
-        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        power, inverse = _powers(len(piece) + 1)
-        total = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * power[: len(piece)], out=total[1:])
-        out.append(_mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
+#: Star rounds, documents of a key from which it counts as a crowd, and documents in a block.
+ROUNDS, CROWD, BLOCK = 2, 64, 512
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the five-word shingles; the whole sequence if it is shorter."""
-    words = word_hashes(text)
+    words = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
     if not len(words):
         return np.zeros(0, np.uint64)
     n = min(WORDS, len(words))
     total = np.full(len(words) - n + 1, n, np.uint64)
     for k in range(n):
-        total = (total + words[k : len(words) - n + 1 + k]) * np.uint64(_BASE)
-    return np.unique(_mixed(total))
+        total = (total + words[k : len(words) - n + 1 + k]) * np.uint64(BASE)
+    return np.unique(mixed(total))
 
 
 def _bits(found: np.ndarray) -> int:

@@ -10,8 +10,6 @@ bounded input. Rows whose crc32(doc_id as text) mod 3 is 1 are held out.
 
 from __future__ import annotations
 
-import operator
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices, small_batches
+from .hashing import word_hashes
 
 SAMPLE = 12_000
 BINS, PAIR_BINS, PAIRS = 48, 8, 6
@@ -33,10 +32,11 @@ FEATURES = (
 def features(text: str | None) -> list[float]:
     """Numbers of the whole text alone; all zero for an empty one."""
     raw = (text or "").encode("utf-8", "replace")
-    words = raw.split()
-    if not words:
+    words = word_hashes(raw)
+    if not len(words):
         return [0.0] * len(FEATURES)
     n, size = len(words), len(raw)
+    times = np.unique(words, return_counts=True)[1]
     count = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     share = lambda *codes: float(count[list(codes)].sum()) / size
     p = count[count > 0] / size
@@ -52,9 +52,9 @@ def features(text: str | None) -> list[float]:
         share(*b"\"'():;-"),
         float(count[128:].sum()) / size,
         share(10),
-        len(set(words)) / n ** 0.9,
-        sum(map(operator.eq, words, words[1:])) / n,
-        max(Counter(words).values()) / n,
+        len(times) / n ** 0.9,
+        float((words[1:] == words[:-1]).sum()) / n,
+        float(times.max()) / n,
         1 - len(set(lines)) / len(lines),
         float(np.log1p(n / len(lines))),
         float(-(p * np.log2(p)).sum()),
@@ -179,7 +179,7 @@ def scores(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     """docs(doc_id, text) -> doc_id, score. Null and empty texts get the score of all-zero features; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(matrix(b.column("text"))))], ["doc_id", "score"])
 
     return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
@@ -189,7 +189,7 @@ def keep_good(docs: DataFrame, model: AdditiveModel, least: float = 0.5) -> Data
     """The rows of docs whose text scores at least so much, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(model.score(matrix(b.column("text"))) >= least))
 
     return small_batches(docs).mapInArrow(run, docs.schema)

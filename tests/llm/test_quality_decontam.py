@@ -1,8 +1,10 @@
+import math
 import random
 import zlib
 
 import numpy as np
 from mnemosaic.llm import decontam, quality, queries
+from mnemosaic.llm.common import table
 
 
 def test_held_out_accuracy(spark, sf):
@@ -146,3 +148,72 @@ def test_query_has_every_item_that_a_document_leaks(spark, tmp_path, monkeypatch
         rows = queries.op10_decontamination(spark, str(tmp_path)).collect()
         assert len(rows) == len(want) and {(r.doc_id, r.item_id) for r in rows} == want
         assert all(r.contaminated and r.similarity == 1 for r in rows)
+
+
+def test_blocks_of_items_change_nothing(spark, monkeypatch):
+    """Rows that repeat an id, or have none, are judged each by itself, however the items are dealt into blocks."""
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(7)]
+    near = " ".join(f"w2x{k}" if k != 5 else "odd" for k in range(12))
+    docs = [(1, f"a b {items[0][1]} c"), (1, "clean words stand here alone"), (None, f"{items[3][1]}"), (None, "clean too"), (2, f"{near} then {items[4][1]}"), (3, None), (4, ""), (5, f"{items[5][1]} {items[6][1]}")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    seen = []
+    for block, size in ((20_000, 32 << 20), (2, 32 << 20), (20_000, 100)):
+        monkeypatch.setattr(decontam, "BLOCK", block)
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
+        one = sorted((tuple(r) for r in decontam.contamination(frame, bench).collect()), key=repr)
+        all_ = sorted((tuple(r) for r in decontam.leaks(frame, bench).collect()), key=repr)
+        kept = sorted((tuple(r) for r in decontam.drop_contaminated(frame, bench).collect()), key=repr)
+        seen.append((one, all_, kept))
+    assert seen[0] == seen[1] == seen[2]
+    one, all_, kept = seen[0]
+    assert [r[2] for r in one if r[0] == 1] in ([0, None], [None, 0]) and sorted(r[2] is None for r in one if r[0] is None) == [False, True]
+    assert {(r[0], r[2]) for r in all_} == {(1, 0), (None, 3), (2, 2), (2, 4), (5, 5), (5, 6)} and len(kept) == 4
+
+
+def test_leaks_match_brute_force_over_all_pairs(spark, sf):
+    """Every document, long ones too, aligned whole with every item."""
+    docs = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
+    held = decontam.Items(items)
+    want = {}
+    for d, text in docs.items():
+        b = held.of(text)
+        for i, a in zip(held.ids, held.tokens):
+            score = int(decontam.align(a[None, :], np.where(b < 0, -3, b)[None, :])[0]) / (2 * len(a)) if len(b) else 0.0
+            if score >= decontam.SIMILARITY:
+                want[d, i] = round(score, 6)
+    got = {(r.doc_id, r.item_id): r.similarity for r in queries.op10_decontamination(spark, sf).collect()}
+    assert got == want and len(want) >= 3
+
+
+def test_scores_match_a_plain_evaluation(spark, sf):
+    """Every row of op9 against tables looked up one by one, and the tables against a plain boosting of the same rows."""
+    docs = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    model = quality.train(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    rows = queries.op9_quality(spark, sf).collect()
+    assert {r.doc_id for r in rows} == set(docs)
+    for r in rows:
+        x = quality.features(docs[r.doc_id])
+        z = model.base + sum(float(t[sum(v >= e for e in edges)]) for v, edges, t in zip(x, model.edges, model.tables))
+        z += sum(float(t[sum(x[a] >= e for e in model.coarse[a])][sum(x[b] >= e for e in model.coarse[b])]) for a, b, t in model.pairs)
+        p = 1 / (1 + math.exp(-max(-30, min(30, z))))
+        assert abs(p - r.score) < 1e-9 and r.predicted == int(r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_leaves_are_the_best_split():
+    """A tree's cuts against trying every pair of cuts greedily."""
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        n = 12
+        g, h, c = rng.normal(size=n), rng.random(n) + 0.1, rng.integers(1, 30, n)
+        value = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 1)
+        cuts = [0, n]
+        for _ in range(2):
+            best = max(((value(a, k) + value(k, b) - value(a, b), -a, k) for a, b in zip(cuts, cuts[1:]) for k in range(a + 1, b) if c[a:k].sum() >= quality.LEAST_LEAF and c[k:b].sum() >= quality.LEAST_LEAF), default=None)
+            if best is None or best[0] <= 1e-9:
+                break
+            cuts = sorted([*cuts, best[2]])
+        want = np.concatenate([np.full(b - a, g[a:b].sum() / (h[a:b].sum() + 1)) for a, b in zip(cuts, cuts[1:])])
+        assert np.allclose(quality._leaves(g, h, c), want)
