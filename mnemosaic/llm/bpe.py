@@ -23,9 +23,9 @@ from .common import gathered, pieces, small_batches, trim
 
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Pre-tokens that a worker remembers in each of two generations, and the longest it remembers.
-REMEMBERED, LONGEST = 120_000, 48
-#: Pre-tokens that are laid end to end under one index, which bounds its memory.
-INDEXED = 40_000
+REMEMBERED, LONGEST = 90_000, 48
+#: Pre-tokens that are laid end to end under one index, and bytes of text that are split at once: bounds of memory.
+INDEXED, PIECE = 8_000, 2 << 20
 ENDOFTEXT = "<|endoftext|>"
 
 
@@ -204,8 +204,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, remembered: int = RE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(at, remembered)
-        for batch in gathered(batches):
-            for b in pieces(batch):
+        for batch in gathered(batches, PIECE):
+            for b in pieces(batch, size=PIECE):
                 ids = bpe.encode_batch([t or "" for t in b.column("text").to_pylist()])
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 flat = np.concatenate(ids)
