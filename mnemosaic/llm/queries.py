@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, dedup, html, licenses, pii, quality, secrets, sharding, simhash
+from . import bpe, conversations, decontam, dedup, html, licenses, pii, quality, secrets, sharding, simhash, vectors, warc
 from .common import Scratch, table
 
 
@@ -59,6 +59,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damage_report(table(spark, sf_dir, "conversations"), Scratch(spark, "op11"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(table(spark, sf_dir, "pages"), Scratch(spark, "op12"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.code_report(table(spark, sf_dir, "embeddings"), Scratch(spark, "op13"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_exact_dedup": op2_exact_dedup,
@@ -70,6 +82,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_warc": op12_warc,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 OP2_SQL = r"""
@@ -82,4 +97,4 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
 """
 
-SQL = {"op2_exact_dedup": OP2_SQL, "op3_license_scan": licenses.oracle()}
+SQL = {"op2_exact_dedup": OP2_SQL, "op3_license_scan": licenses.oracle(), "op12_warc": warc.ORACLE, "op13_vector_codes": vectors.oracle()}
