@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -13,7 +11,7 @@ from ..functions import vector as vx
 
 #: Rows of a group among which a greedy choice is made.
 POOL = 1_000
-#: Vectors sent to the executors at once (32 MB of 64 dimensions), and the side of a tile of scores.
+#: Vectors of a block (32 MB of 64 dimensions), and the side of a tile of scores.
 BLOCK, TILE = 65_536, 2_048
 
 
@@ -36,83 +34,93 @@ def max_segment_knn(segments: DataFrame, id_: str, vec: str, query, k: int) -> D
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
-def knn_queries(vectors: DataFrame, queries: DataFrame, id_: str, vec: str, k: int, block: int = BLOCK) -> DataFrame:
-    """(query_id, id, score): exact top k of every query row, the queries taken in blocks against all vectors.
+def unit_rows(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of a list column as rows of length one; a vector without length stays zero. Vectors of different length raise."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    rows = flat.reshape(len(whole), -1) if len(whole) and len(flat) else np.zeros((len(whole), 0))
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
+def grid(queries: DataFrame, points: DataFrame, each, out: str, block: int = BLOCK, same: bool = False) -> DataFrame:
+    """each(queries, points) for every block of queries and block of points of one cell; both have id, v and cell.
 
-    A block of queries, of bounded size, is sent to the executors; each partition keeps its own top k per query, and one
-    window over those few rows picks the final ones. The row of the same id is left out. Scores are made in tiles.
+    A block has about so many rows, whatever the size of its cell, and a pair of blocks is one task's work: rows are copied for each
+    block that theirs meets. Numbers of blocks are a row for each cell. With same, both sides are one table, and a pair of blocks
+    meets once.
     """
-    spark = vectors.sparkSession
-    slim = queries.select(F.col(id_).alias("id"), F.col(vec).alias("v")).filter("v IS NOT NULL")
-    blocks = max(1, -(-slim.count() // block))
-    out = None
-    for b in range(blocks):
-        part = slim if blocks == 1 else slim.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        rows = part.toArrow()
-        q = np.array(rows["v"].to_pylist(), np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(q) else 1
-        sent = spark.sparkContext.broadcast((rows["id"].to_numpy(), q))
-
-        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            top = np.full((len(ids), k), -2.0)
-            who = np.full((len(ids), k), -1, np.int64)
-            for batch in batches:
-                own = batch.column("id").to_numpy(zero_copy_only=False)
-                v = np.array(batch.column("v").to_pylist(), np.float64)
-                if not len(own) or not len(ids):
-                    continue
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                for lo in range(0, len(ids), TILE):
-                    t = slice(lo, lo + TILE)
-                    for at in range(0, len(own), TILE):
-                        there = own[at : at + TILE]
-                        s = q[t] @ v[at : at + TILE].T
-                        s[ids[t, None] == there[None, :]] = -2.0
-                        s = np.concatenate([top[t], s], axis=1)
-                        w = np.concatenate([who[t], np.broadcast_to(there, (len(s), len(there)))], axis=1)
-                        order = np.lexsort((w, -s), axis=1)[:, :k]
-                        top[t], who[t] = np.take_along_axis(s, order, 1), np.take_along_axis(w, order, 1)
-            keep = top > -1.5
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k).reshape(-1, k)[keep]), pa.array(who[keep]), pa.array(top[keep])], ["query_id", "id", "score"])
-
-        all_ = vectors.select(F.col(id_).cast("long").alias("id"), F.col(vec).alias("v")).filter("v IS NOT NULL")
-        found = all_.mapInArrow(best, "query_id long, id long, score double")
-        out = found if out is None else out.union(found)
+    points = points.select(*[F.col(c).alias(c) for c in ("id", "v", "cell")])  # columns of its own, where both are one table
+    size = lambda rows, n: rows.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(n))
+    blocks = F.broadcast(size(queries, "qn").join(size(points, "pn"), "cell"))
+    own = lambda n: F.pmod(F.xxhash64("id", "v"), F.col(n)).cast("int")
+    q = queries.join(blocks, "cell").withColumn("qb", own("qn"))
+    p = points.join(blocks, "cell").withColumn("pb", own("pn"))
+    q = q.select("id", "v", "cell", "qb", F.explode(F.sequence(F.col("qb") if same else F.lit(0), F.col("pn") - 1)).alias("pb"))
+    p = p.select("id", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("pb") if same else F.col("qn") - 1)).alias("qb"), "pb")
+    return q.groupBy("cell", "qb", "pb").cogroup(p.groupBy("cell", "qb", "pb")).applyInArrow(each, out)
+
+
+def best_of(k: int):
+    """For grid(): query_id, id, score of the k best points of a block for each of its queries, the row of the same id left out."""
+
+    def each(queries: pa.Table, points: pa.Table) -> pa.Table:
+        ids, own = queries["id"].to_numpy(), points["id"].to_numpy()
+        top, who = np.full((len(ids), k), -2.0), np.full((len(ids), k), -1, np.int64)
+        if len(ids) and len(own):
+            q, v = unit_rows(queries["v"]), unit_rows(points["v"])
+            for lo in range(0, len(ids), TILE):
+                t = slice(lo, lo + TILE)
+                for at in range(0, len(own), TILE):
+                    there = own[at : at + TILE]
+                    s = q[t] @ v[at : at + TILE].T
+                    s[ids[t, None] == there[None, :]] = -2.0
+                    s = np.concatenate([top[t], s], axis=1)
+                    w = np.concatenate([who[t], np.broadcast_to(there, (len(s), len(there)))], axis=1)
+                    order = np.lexsort((w, -s), axis=1)[:, :k]
+                    top[t], who[t] = np.take_along_axis(s, order, 1), np.take_along_axis(w, order, 1)
+        keep = top > -1.5
+        return pa.table([pa.array(np.repeat(ids, k).reshape(-1, k)[keep]), pa.array(who[keep]), pa.array(top[keep])], ["query_id", "id", "score"])
+
+    return each
+
+
+BEST = "query_id long, id long, score double"
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _points(rows: DataFrame, id_: str, vec: str) -> DataFrame:
+    return rows.select(F.col(id_).cast("long").alias("id"), F.col(vec).alias("v"), F.lit(0).alias("cell")).filter("v IS NOT NULL")
+
+
+def knn_queries(vectors: DataFrame, queries: DataFrame, id_: str, vec: str, k: int, block: int = BLOCK) -> DataFrame:
+    """(query_id, id, score, rank): exact top k of every query row against all vectors, by blocks. The row of the same id is left out."""
+    return ranked(grid(_points(queries, id_, vec), _points(vectors, id_, vec), best_of(k), BEST, block), k)
 
 
 def similar_pairs(vectors: DataFrame, id_: str, vec: str, least: float, block: int = BLOCK) -> DataFrame:
-    """(a, b, cosine) with a < b of all vectors at least so similar: blocks of queries against all, in numpy."""
-    spark = vectors.sparkSession
-    slim = vectors.select(F.col(id_).cast("long").alias("id"), F.col(vec).alias("v")).filter("v IS NOT NULL")
-    blocks = max(1, -(-slim.count() // block))
-    out = None
-    for b in range(blocks):
-        part = slim if blocks == 1 else slim.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        rows = part.toArrow()
-        q = np.array(rows["v"].to_pylist(), np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(q) else 1
-        sent = spark.sparkContext.broadcast((rows["id"].to_numpy(), q))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            for batch in batches:
-                own = batch.column("id").to_numpy(zero_copy_only=False)
-                v = np.array(batch.column("v").to_pylist(), np.float64)
-                if not len(own) or not len(ids):
-                    continue
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                for lo in range(0, len(ids), TILE):
-                    for at in range(0, len(own), TILE):
-                        s = q[lo : lo + TILE] @ v[at : at + TILE].T
-                        i, j = np.nonzero((s >= least) & (ids[lo : lo + TILE, None] < own[None, at : at + TILE]))
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo + i]), pa.array(own[at + j]), pa.array(s[i, j])], ["a", "b", "cosine"])
-
-        found = slim.mapInArrow(run, "a long, b long, cosine double")
-        out = found if out is None else out.union(found)
-    return out
+    """(a, b, cosine) with a < b of all vectors at least so similar, by pairs of blocks."""
+
+    def each(one: pa.Table, other: pa.Table) -> pa.Table:
+        ids, own = one["id"].to_numpy(), other["id"].to_numpy()
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(ids) and len(own):
+            within = one["qb"][0].as_py() == one["pb"][0].as_py()  # a block with itself has each pair twice
+            q, v = unit_rows(one["v"]), unit_rows(other["v"])
+            for lo in range(0, len(ids), TILE):
+                for at in range(0, len(own), TILE):
+                    s = q[lo : lo + TILE] @ v[at : at + TILE].T
+                    x, y = ids[lo : lo + TILE, None], own[None, at : at + TILE]
+                    i, j = np.nonzero((s >= least) & ((x < y) if within else (x != y)))
+                    x, y = ids[lo + i], own[at + j]
+                    found.append((np.minimum(x, y), np.maximum(x, y), s[i, j]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b", "cosine"])
+
+    rows = _points(vectors, id_, vec)
+    return grid(rows, rows, each, "a long, b long, cosine double", block, same=True)
 
 
 def topic_runs(rows: DataFrame, id_: str, vec: str, group: list[str], least: float = 0.7, shortest: int = 2) -> DataFrame:
@@ -196,23 +204,6 @@ def mmr_injection(pool: DataFrame, by: str, k: int, weight: float = 0.5) -> Data
     return bounded.groupBy(by).applyInPandas(pick, f"{by} {pool.schema[by].dataType.simpleString()}, id long, pick int")
 
 
-def ann(vectors: DataFrame, id_: str, vec: str, query, k: int, planes: int = 12, tables: int = 16, seed: int = 7) -> DataFrame:
-    """(id, score): the best by cosine among rows that share a side of all planes with the query in one table at least, one plane off allowed.
-
-    An approximation for tables that are read again and again; knn() is exact. Random planes are fixed by the seed.
-    """
-    rng = np.random.default_rng(seed)
-    normal = rng.normal(size=(tables, planes, len(query)))
-    q = np.asarray(query, float)
-    wanted = (normal @ q > 0).astype(int)
-    side = lambda t, j: (vx.dot(F.col(vec), vx.literal(normal[t, j])) > 0).cast("int") != int(wanted[t, j])
-    met = [sum((side(t, j).cast("int") for j in range(planes)), F.lit(0)) <= 1 for t in range(tables)]
-    hit = met[0]
-    for m in met[1:]:
-        hit = hit | m
-    return knn(vectors.filter(hit), id_, vec, query, k)
-
-
 def leader_clusters(rows: DataFrame, by: str, id_: str, vec: str, least: float = 0.3, shortest: int = 2) -> DataFrame:
     """(by, id, leader): one pass in id order; a row joins the first leader at least so similar, else leads."""
 

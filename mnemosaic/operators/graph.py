@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import Scratch
+
 
 def symmetric(edges: DataFrame) -> DataFrame:
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
@@ -35,45 +37,58 @@ def resolve_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return links.join(best.withColumnRenamed("label", "target_label"), "target_label", "left").select("source_id", "target_label", "target_id")
 
 
-def hops(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
+def hops(edges: DataFrame, seeds: DataFrame, most: int, scratch: Scratch | None = None) -> DataFrame:
     """(id, hops): nodes at most so many undirected hops from any seed, seeds at zero.
 
-    Only the frontier is joined to the edges, and what was seen before is left out of the next one. The plan grows with the
-    number of hops; callers with many hops should write the result between calls.
+    Only the frontier is joined to the edges, and what was seen before is left out of the next one. Each hop is written to the
+    shared folder, so a plan has two joins, whatever the number of hops; an empty frontier ends the walk.
     """
+    scratch = scratch or Scratch(edges.sparkSession, "hops")
     both = symmetric(edges.select("src", "dst"))
-    front = seeds.select("id").distinct().withColumn("hops", F.lit(0))
+    front = scratch.keep(seeds.select("id").distinct().withColumn("hops", F.lit(0)))
     seen = front
     for h in range(1, most + 1):
         met = front.select(F.col("id").alias("src")).join(both, "src").select(F.col("dst").alias("id")).distinct()
-        front = met.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(h))
+        front = scratch.keep(met.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(h)))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
 
-def hop_scores(edges: DataFrame, seeds: DataFrame, most: int, factor: float = 0.8) -> DataFrame:
-    """seeds(id, score) -> (id, score): the best product of confidences and factors over paths of at most so many hops."""
+def hop_scores(edges: DataFrame, seeds: DataFrame, most: int, factor: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
+    """seeds(id, score) -> (id, score): the best product of confidences and factors over paths of at most so many hops.
+
+    Each hop is written; all are put together once.
+    """
+    scratch = scratch or Scratch(edges.sparkSession, "hop_scores")
     both = symmetric(edges.select("src", "dst", "confidence")).groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
-    best = seeds.groupBy("id").agg(F.max("score").alias("score"))
-    front = best
+    front = scratch.keep(seeds.groupBy("id").agg(F.max("score").alias("score")))
+    all_ = front
     for _ in range(most):
-        front = front.join(both, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.max(F.col("score") * F.col("confidence") * factor).alias("score"))
-        best = best.unionByName(front).groupBy("id").agg(F.max("score").alias("score"))
-    return best
-
-
-def shortest_paths(edges: DataFrame, start, most: int) -> DataFrame:
-    """(id, hops, path): one directed shortest path from a node to each in reach, the smallest in order of its nodes."""
-    kind = edges.schema["src"].dataType.simpleString()
-    first = F.lit(start).cast(kind)
-    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).unionByName(edges.sparkSession.range(1).select(first.alias("id"))).distinct()
-    step = edges.select("src", "dst").distinct().withColumn("_step", F.lit(1))
-    step = step.unionByName(ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("_step")))
-    seen = edges.sparkSession.range(1).select(first.alias("id"), F.lit(0).alias("hops"), F.array(first).alias("path"))
-    for _ in range(most):
-        longer = F.when(F.col("_step") == 1, F.concat("path", F.array("dst"))).otherwise(F.col("path"))
-        found = seen.join(step, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("hops") + F.col("_step")).alias("hops"), longer.alias("path"))
-        seen = found.groupBy("id").agg(F.min(F.struct("hops", "path")).alias("m")).select("id", "m.hops", "m.path")
+        front = scratch.keep(front.join(both, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.max(F.col("score") * F.col("confidence") * factor).alias("score")))
+        all_ = all_.unionByName(front)
+    return all_.groupBy("id").agg(F.max("score").alias("score"))
+
+
+def shortest_paths(edges: DataFrame, start, most: int, scratch: Scratch | None = None) -> DataFrame:
+    """(id, hops, path): one directed shortest path from a node to each in reach, the smallest in order of its nodes.
+
+    The frontier alone is joined to the edges: a node's first path is among the shortest, and the smallest of these begins with the
+    smallest path of the node before it.
+    """
+    scratch = scratch or Scratch(edges.sparkSession, "paths")
+    first = F.lit(start).cast(edges.schema["src"].dataType)
+    step = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL")
+    front = scratch.keep(edges.sparkSession.range(1).select(first.alias("id"), F.lit(0).alias("hops"), F.array(first).alias("path")))
+    seen = front
+    for h in range(1, most + 1):
+        met = front.join(step, F.col("id") == F.col("src")).select(F.col("dst").alias("to"), F.concat("path", F.array("dst")).alias("path"))
+        least = met.groupBy(F.col("to").alias("id")).agg(F.min("path").alias("path")).select("id", F.lit(h).alias("hops"), "path")
+        front = scratch.keep(least.join(seen.select("id"), "id", "left_anti"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
     return seen
 
 
@@ -135,16 +150,17 @@ def surprising(edges: DataFrame, community: DataFrame, top: int = 15) -> DataFra
     return edges.join(a, "src").join(b, "dst").filter("c_src <> c_dst").withColumn("score", score).orderBy(F.desc("score"), "src", "dst").limit(top)
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5, least: int = 3) -> DataFrame:
-    """(id, community): in each round a node takes the commonest label around it, the smallest on ties.
+def label_propagation(edges: DataFrame, rounds: int = 5, least: int = 3, scratch: Scratch | None = None) -> DataFrame:
+    """(id, community): in each round a node takes the commonest label around it, the smallest on ties. Labels are written between rounds.
 
-    Not Louvain: Spark has no modularity optimiser, and the result needn't agree with one.
+    community.louvain() is the one that maximises modularity.
     """
-    both = symmetric(edges.select("src", "dst")).distinct()
+    scratch = scratch or Scratch(edges.sparkSession, "labels")
+    both = scratch.keep(symmetric(edges.select("src", "dst")).distinct())
     label = both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
     for _ in range(rounds):
         seen = both.join(label.withColumnRenamed("id", "dst"), "dst").groupBy("src", "community").agg(F.count("*").alias("n"))
-        label = seen.groupBy("src").agg(F.max_by("community", F.struct("n", -F.col("community"))).alias("community")).withColumnRenamed("src", "id")
+        label = scratch.keep(seen.groupBy("src").agg(F.max_by("community", F.struct("n", -F.col("community"))).alias("community")).withColumnRenamed("src", "id"))
     size = label.groupBy("community").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
     return label.join(size.select("community"), "community", "left_semi").select("id", "community")
 

@@ -10,13 +10,14 @@ from ..functions.text import clamp, word_token_estimate
 from . import dense, lexical, store
 
 
-def candidates(semantic: DataFrame, docs: DataFrame, id_: str, text: Column, query: str, pool: int, lexical_pool: int) -> DataFrame:
+def candidates(semantic: DataFrame, raw: DataFrame, pool: int, lexical_pool: int) -> DataFrame:
     """(id, semantic, bm25): the best of either leg, zero where a leg doesn't have the id.
 
-    Both legs are top lists of bounded length, so the outer join and what follows is small. The texts are scored in one pass.
+    semantic(id, score) and raw(id, raw) are what dense and lexical searches give, raw by a scan of the texts or by an InvertedIndex.
+    Both legs are cut to top lists of bounded length, so the outer join and what follows is small.
     """
     s = semantic.select("id", F.col("score").alias("semantic")).orderBy(F.desc("semantic"), "id").limit(pool)
-    b = lexical.bm25_candidates(docs, id_, text, query, s, pool, lexical_pool).select("id", F.col("score").alias("bm25"))
+    b = lexical.bm25_candidates(raw, s, pool, lexical_pool).select("id", F.col("score").alias("bm25"))
     zero = F.lit(0.0)
     return s.join(b, "id", "full_outer").select("id", F.coalesce("semantic", zero).alias("semantic"), F.coalesce("bm25", zero).alias("bm25"))
 
@@ -146,7 +147,7 @@ def search(nodes: DataFrame, query: str, mode: str = "hybrid", limit: int = 10,
     if mode == "bm25" or vector is None:
         return lexical.bm25_topk(pool, "id", F.col("content"), query, limit).join(pool, "id").orderBy(F.desc("score"), "id")
     near = dense.knn(pool.filter(F.col(vec).isNotNull()), "id", vec, vector, 5 * limit)
-    both = candidates(near, pool, "id", F.col("content"), query, 5 * limit, 3 * limit).join(pool, "id")
+    both = candidates(near, lexical.bm25_raw(pool, "id", F.col("content"), query), 5 * limit, 3 * limit).join(pool, "id")
     if rrf_k is not None:
         return reciprocal_ranks(both, now_ms, rrf_k).orderBy(F.desc("score"), "id").limit(limit)
     return linear_rank(both, limit, **options)

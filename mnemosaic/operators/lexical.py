@@ -109,10 +109,10 @@ def bm25_scoped(docs: DataFrame, id_: str, text: Column, query: str, limit: int,
     return best.select("id", scope, (F.col("raw") / F.greatest(top, F.lit(1.0))).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def bm25_candidates(docs: DataFrame, id_: str, text: Column, query: str, pool: DataFrame, most: int, limit: int) -> DataFrame:
-    """(id, score, inside): scores of all ids of pool (most rows at most) and of the best limit others, from one pass over the texts."""
+def bm25_candidates(raw: DataFrame, pool: DataFrame, most: int, limit: int) -> DataFrame:
+    """raw(id, raw) of all rows -> (id, score, inside): scores of all ids of pool (most rows at most) and of the best limit others."""
     ids = F.broadcast(pool.select("id", F.lit(1).alias("_in")))
-    marked = bm25_raw(docs, id_, text, query).join(ids, "id", "left").withColumn("_in", F.coalesce("_in", F.lit(0)))
+    marked = raw.join(ids, "id", "left").withColumn("_in", F.coalesce("_in", F.lit(0)))
     raw = marked.orderBy(F.desc("_in"), F.desc("raw"), "id").limit(most + limit)
     all_ = Window.partitionBy(F.lit(0))  # most + limit rows at most
     rank = F.row_number().over(Window.partitionBy("_in").orderBy(F.desc("raw"), "id"))

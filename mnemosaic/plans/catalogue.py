@@ -12,6 +12,7 @@ from ..functions import text as tx
 from ..functions import vector as vx
 from ..operators import compress, consolidate, dense, evaluate, graph, hybrid, lexical, lifecycle, mining, reports, store, telemetry
 from ..sources import nodes as src
+from . import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -152,19 +153,35 @@ raw AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2e0 / (t
 bm AS (SELECT doc_id AS id, raw / greatest((SELECT max(raw) FROM raw), 1) AS score FROM raw WHERE raw > 0)"""
 
 
-@query("bm25_topk", f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM (SELECT * FROM bm ORDER BY score DESC, id LIMIT 20)")
+_BM25_BEST = f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM (SELECT * FROM bm ORDER BY score DESC, id LIMIT 20)"
+
+
+@query("bm25_topk", _BM25_BEST)
 def bm25_topk(spark, sf):
+    return kept.texts(spark, sf).bm25_topk(QUERY, 20).select("id", F.round("score", 6).alias("score"))
+
+
+@query("bm25_scan", _BM25_BEST)
+def bm25_scan(spark, sf):
     return lexical.bm25_topk(docs(spark, sf), "doc_id", F.col("text"), QUERY, 20).select("id", F.round("score", 6).alias("score"))
 
 
-@query("bm25_scoped", f"""WITH {NODES}, t AS (SELECT id, scope, {TOK.format(x='content')} AS toks FROM nodes),
+_BM25_SCOPED = f"""WITH {NODES}, t AS (SELECT id, scope, {TOK.format(x='content')} AS toks FROM nodes),
 s AS (SELECT scope, count(*) AS n, avg(len(toks)) AS avgdl FROM t GROUP BY scope),
 q AS (SELECT unnest(['the', 'of', 'license', 'data']) AS term),
 tf AS (SELECT t.id, t.scope, q.term, len(t.toks) AS dl, len(list_filter(t.toks, lambda x: x = q.term)) AS tf FROM t CROSS JOIN q),
 df AS (SELECT scope, term, count(*) FILTER (WHERE tf > 0) AS df FROM tf GROUP BY ALL),
 raw AS (SELECT id, tf.scope, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))) AS raw FROM tf JOIN df ON df.term = tf.term AND df.scope = tf.scope JOIN s ON s.scope = tf.scope GROUP BY ALL)
-SELECT id, scope, round(score, 6) AS score FROM (SELECT id, scope, raw / greatest(max(raw) OVER (PARTITION BY scope), 1) AS score FROM raw WHERE raw > 0 ORDER BY score DESC, id LIMIT 30)""")
+SELECT id, scope, round(score, 6) AS score FROM (SELECT id, scope, raw / greatest(max(raw) OVER (PARTITION BY scope), 1) AS score FROM raw WHERE raw > 0 ORDER BY score DESC, id LIMIT 30)"""
+
+
+@query("bm25_scoped", _BM25_SCOPED)
 def bm25_scoped(spark, sf):
+    return kept.scoped_texts(spark, sf).bm25_scoped("the license of data", 30).withColumn("score", F.round("score", 6))
+
+
+@query("bm25_scoped_scan", _BM25_SCOPED)
+def bm25_scoped_scan(spark, sf):
     return lexical.bm25_scoped(nodes(spark, sf), "id", F.col("content"), "the license of data", 30).withColumn("score", F.round("score", 6))
 
 
@@ -259,7 +276,7 @@ r AS (SELECT *, least(1e0, greatest(0e0, (0.45e0 * least(1e0, greatest(0e0, sema
 
 def _candidates(spark, sf):
     near = dense.knn(vectors(spark, sf), "vec_id", "embedding", QVEC, 50)
-    return hybrid.candidates(near, docs(spark, sf), "doc_id", F.col("text"), QUERY, 50, 30).join(nodes(spark, sf).drop("content"), "id")
+    return hybrid.candidates(near, kept.texts(spark, sf).raw(QUERY), 50, 30).join(nodes(spark, sf).drop("content"), "id")
 
 
 @query("rank_features", f"WITH {NODES}, {_FEAT} SELECT id, round(semantic, 9) AS semantic, round(bm25, 9) AS bm25, round(least(1e0, greatest(0e0, least(1e0, greatest(0e0, (qm - 0.5e0) / 0.8e0)) * am)), 9) AS quality, round(confidence, 9) AS confidence, round(least(1e0, usefulness / 5), 9) AS usefulness, round(1 - least((id % 40) / 30e0, 1e0), 9) AS cost, round((id % 5) / CAST(id % 5 + 2 AS DOUBLE), 9) AS intent FROM r")

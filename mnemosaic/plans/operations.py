@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import scoring as sc
 from ..functions import text as tx
 from ..functions import vector as vx
-from ..operators import compress, consolidate, dense, evaluate, graph, hybrid, lifecycle, mining, reports, store, telemetry
+from ..operators import community, compress, consolidate, dense, evaluate, graph, hybrid, lifecycle, mining, reports, store, telemetry
 from ..sources import nodes as src
+from ..sources.shared import Scratch
 from ..streaming import state
-from .catalogue import CALLS, NODES, NOW, QVEC, _COS, _Q, _places, calls, docs, events, nodes, query, vectors
+from . import kept
+from .catalogue import CALLS, NODES, NOW, QUERY, QVEC, TOK, _AM, _COS, _Q, _QM, _places, calls, docs, events, nodes, query, vectors
 
 SINCE = "2024-01-05"
 
@@ -639,3 +641,59 @@ def decoded_nodes(spark, sf):
     tags = F.when(i % 3 == 0, F.concat(F.lit('["a", "b'), i % 4, F.lit('"]'))).when(i % 3 == 1, "not json")
     raw = _slim(spark, sf).withColumns({"tags": tags, "confidence": F.when(i % 5 != 0, F.col("confidence")), "sticky": F.when(i % 2 == 1, 1)})
     return src.decoded(raw).select("id", F.array_join("tags", ",").alias("tags"), "confidence", "status", "sticky")
+
+
+# ---- kept indexes ----
+
+
+def _bm25_of(texts: str) -> str:
+    """The best 20 by BM25 of the rows (doc_id, text) that a SELECT gives."""
+    return f"""WITH d AS ({texts}), t AS (SELECT doc_id, {TOK.format(x="coalesce(text, '')")} AS toks FROM d),
+s AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM t),
+q AS (SELECT unnest(['the', 'of', 'and', 'data']) AS term),
+tf AS (SELECT t.doc_id, q.term, len(t.toks) AS dl, len(list_filter(t.toks, lambda x: x = q.term)) AS tf FROM t CROSS JOIN q),
+df AS (SELECT term, count(*) FILTER (WHERE tf > 0) AS df FROM tf GROUP BY term),
+raw AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))) AS raw FROM tf JOIN df USING (term) CROSS JOIN s GROUP BY doc_id)
+SELECT doc_id AS id, round(raw / greatest((SELECT max(raw) FROM raw), 1), 6) AS score FROM raw WHERE raw > 0 ORDER BY raw DESC, doc_id LIMIT 20"""
+
+
+@query("index_changes", _bm25_of("SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND doc_id % 7 <> 0 THEN concat(coalesce(text, ''), ' the data of data') ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 21 = 0"))
+def index_changes(spark, sf):
+    return kept.changed_texts(spark, sf).bm25_topk(QUERY, 20).select("id", F.round("score", 6).alias("score"))
+
+
+@query("index_merged", _bm25_of("SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0"))
+def index_merged(spark, sf):
+    return kept.merged_texts(spark, sf).bm25_topk(QUERY, 20).select("id", F.round("score", 6).alias("score"))
+
+
+@query("index_postings", f"WITH t AS (SELECT doc_id, {TOK.format(x='text')} AS toks FROM documents), u AS (SELECT doc_id, unnest(toks) AS term FROM t) SELECT doc_id AS id, term, count(*) AS frequency FROM u GROUP BY ALL")
+def index_postings(spark, sf):
+    return kept.texts(spark, sf).postings()
+
+
+@query("ann_all_cells", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.query_id, e.vec_id AS id, list_cosine_similarity(q.v, e.embedding::DOUBLE[]) AS score FROM q JOIN embeddings e ON e.vec_id <> q.query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")
+def ann_all_cells(spark, sf):
+    """With as many probes as cells the index gives the exact rows."""
+    found = kept.vectors(spark, sf).search_many(vectors(spark, sf).filter("vec_id % 20 = 0"), "vec_id", "embedding", 10, probes=1 << 20)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("ann_recall", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def ann_recall(spark, sf):
+    """Whether the index finds 0.9 of the exact ten neighbours of every twentieth row."""
+    asked = vectors(spark, sf).filter("vec_id % 20 = 0")
+    found = kept.vectors(spark, sf).search_many(asked, "vec_id", "embedding", 10).select("query_id", "id", F.lit(1).alias("hit"))
+    exact = dense.knn_queries(vectors(spark, sf), asked, "vec_id", "embedding", 10).select("query_id", "id")
+    return exact.join(found, ["query_id", "id"], "left").agg(F.count_distinct("query_id").alias("queries"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count("*")).alias("enough"))
+
+
+# ---- communities ----
+
+
+@query("louvain_communities", "WITH m AS (SELECT 'n' || n_nationkey AS id, n_nationkey AS g FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer) UNION ALL SELECT 'c' || c_custkey, c_nationkey FROM customer) SELECT id, min(id) OVER (PARTITION BY g) AS community FROM m")
+def louvain_communities(spark, sf):
+    """Customers around their nations: each nation is a community, named here by its smallest member."""
+    e = src.table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"))
+    found = community.louvain(e, Scratch(spark, "louvain"))
+    return found.join(found.groupBy("community").agg(F.min("id").alias("least")), "community").select("id", F.col("least").alias("community"))

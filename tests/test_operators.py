@@ -384,16 +384,6 @@ def test_updates_can_clear_and_never_multiply(spark):
     assert len(got) == 2 and got[1].status is None and got[1].importance == 0.9 and got[2].status == "active"
 
 
-def test_approximate_neighbours_are_mostly_the_exact_ones(spark, sf):
-    v = spark.read.parquet(f"{sf}/embeddings.parquet")
-    met = total = 0
-    for q in v.filter("vec_id % 50 = 0").collect():
-        exact = [r.id for r in dense.knn(v, "vec_id", "embedding", q.embedding, 5).collect()]
-        found = {r.id for r in dense.ann(v, "vec_id", "embedding", q.embedding, 5, planes=5, tables=12).collect()}
-        met, total = met + len(found & set(exact)), total + 5
-    assert met / total >= 0.9
-
-
 def test_evaluation_sets_are_read(spark, tmp_path):
     import json
 
