@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
-from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -17,28 +12,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MADE: dict[str, str] = {}
+from ..sources.shared import Scratch, owned, shared_dir  # noqa: F401  for the other modules too
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees, from spark.checkpoint.dir; a temporary one only in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if sc.applicationId not in _MADE:
-        made = tempfile.mkdtemp(prefix="mnemosaic-")
-        atexit.register(shutil.rmtree, made, True)
-        _MADE[sc.applicationId] = "file://" + made
-    return _MADE[sc.applicationId]
-
-
 def small_batches(df: DataFrame) -> DataFrame:
     """Hands whole texts to Python in small Arrow batches: their buffers lie outside the heap, twice per task."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
@@ -46,43 +26,6 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-class Scratch:
-    """Tables written to the shared folder. They outlive lost executors; drop() and drop_but() remove those no plan needs."""
-
-    made: ClassVar[list[Scratch]] = []
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/mnemosaic/{name}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
-        self.live: set[str] = set()
-        Scratch.made.append(self)
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{self.n:03d}"
-        self.n += 1
-        df.write.parquet(path)
-        self.live.add(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
-            self.live.discard(df._scratch_path)
-
-    def drop_but(self, *needed: DataFrame) -> None:
-        """Removes all tables but those that the caller's result still reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in self.live - {df._scratch_path for df in needed}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
-            self.live.discard(name)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like this one that the frame doesn't have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -6,6 +6,7 @@ import pytest
 import corpus_pipeline
 from mnemosaic.llm import bpe, decontam, hashing, neardup, quality
 from mnemosaic.llm.common import Scratch, table
+from mnemosaic.sources.shared import application_dir, names
 
 
 def brute_groups(texts):
@@ -78,10 +79,12 @@ def test_run_matches_brute_force(spark, sf):
             bad.add(d)
     assert bad
     want = {d: t for d, t in near.items() if d not in bad}
-    seen = len(Scratch.made)
+    root = application_dir(spark)
+    tables = lambda: {(d, t) for d in names(spark, root) for t in names(spark, f"{root}/{d}")}
+    seen = tables()
     rows = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
     assert set(rows) == set(want)
-    assert sum(len(x.live) for x in Scratch.made[seen:]) == 1  # the last stage's input alone is left
+    assert [d.split("-")[0] for d, _ in tables() - seen] == ["pipeline"]  # the last stage's input alone is left
     mine = bpe.load(bpe.default_vocabulary())
     for d, r in rows.items():
         ids = mine.encode_batch([want[d]])[0].tolist()
