@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mnemosaic.llm import bpe, decontam, dedup, neardup, quality
-from mnemosaic.llm.common import Scratch, table
+from mnemosaic.llm.common import Scratch, owned, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,13 +53,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again; what a stage has left there goes once its rows are written."""
     scratch, docs, before = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        seen = len(Scratch.made)
-        docs = stage(spark, docs, sf_dir)
+        with owned() as own:
+            docs = stage(spark, docs, sf_dir)
         if k + 1 == len(STAGES):
             return docs
         docs = scratch.keep(docs)
-        for own in Scratch.made[seen:]:
-            own.drop_but()
+        for made in own:
+            made.drop_but()
         if before is not None:
             scratch.drop(before)
         before = docs
