@@ -660,13 +660,6 @@ def log_severity(spark, sf):
     return compress.log_severity(events(spark, sf).select("event_id", F.expr(_LOG).alias("text")), "event_id", "text")
 
 
-@query("output_compression")
-def output_compression(spark, sf):
-    pages = src.table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.lit("curl x").alias("command"), F.col("html").alias("output"), F.lit(False).alias("failed"))
-    d = docs(spark, sf).select(F.col("doc_id").alias("id"), F.lit("cat x").alias("command"), F.col("text").alias("output"), (F.col("doc_id") % 5 == 0).alias("failed"))
-    return compress.compress_outputs(pages.union(d))
-
-
 # ---- evaluation ----
 
 _RANKED = "q AS (SELECT vec_id AS query_id, label AS ql, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.query_id, q.ql, e.vec_id AS id, e.label, row_number() OVER (PARTITION BY q.query_id ORDER BY list_cosine_similarity(q.v, e.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM q JOIN embeddings e ON e.vec_id <> q.query_id), need AS (SELECT query_id, count(*) AS need FROM s WHERE label = ql GROUP BY query_id)"
@@ -782,4 +775,4 @@ def structured_summary(spark, sf):
     return consolidate.structured_summary(docs(spark, sf), "doc_id", "text")
 
 
-from . import operations as _operations  # noqa: E402, F401  registers its queries here
+from . import operations as _operations, outputs as _outputs  # noqa: E402, F401  they register their queries here
