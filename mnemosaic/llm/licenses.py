@@ -3,7 +3,7 @@
 A unit of text is made canonical: lower case, copyright lines gone, equivalent spellings made one,
 everything but letters and digits one space. Its SHA-256 is joined to the digests of known notices and
 texts, made canonical by the same expression. Units are the whole document, each of its lines, and each
-run of BLOCKS paragraphs or fewer, so that the text of a licence is found at the head of a file too.
+run of paragraphs that is as long as a known text, so that the text of a licence is found at the head of a file too.
 Paragraphs are parted by lines without letters and digits, so comment signs don't matter.
 """
 
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: SPDX identifiers and the names they go by.
 LICENSES = {
     "0BSD": ["BSD Zero Clause License"],
@@ -45,8 +47,6 @@ NOTICES = (
     "This project is licensed under the terms of the {}", "This software is released under the {}", "This program is licensed under the {}",
     "License: {}", "SPDX-License-Identifier: {}",
 )
-#: Paragraphs that a licence's text has at most, its title among them.
-BLOCKS = 8
 _PERMIT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
 _WAIVE = (
     'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
@@ -163,42 +163,77 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
-    """(digest, license): one row per canonical text, of the fixed table and of more(license, text)."""
+    """(digest, license, size): one row per canonical text, of the fixed table and of more(license, text)."""
     rows = spark.createDataFrame(known_texts(), "license string, text string")
-    rows = rows if more is None else rows.union(more.select("license", "text"))
-    return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    rows = rows if more is None else rows.union(more.select("license", "text").filter("text IS NOT NULL"))
+    canon = rows.select("license", canonical(F.col("text")).alias("c")).filter("c <> ''")
+    return canon.select(F.sha2("c", 256).alias("digest"), "license", F.length("c").alias("size")).groupBy("digest", "size").agg(F.min("license").alias("license"))
+
+
+#: Paragraphs whose ends are added up at once, and lengths of known texts that are named in a filter.
+STEP, LENGTHS = 1_000, 10_000
+
+
+def _ends(parts: Column) -> Column:
+    """Where each of an array of strings ends in their join by one character: running sums by groups of STEP."""
+    sums = lambda xs, first: F.aggregate(xs, F.array(first), lambda s, x: F.array_append(s, F.element_at(s, -1) + x))
+    sizes = F.transform(parts, lambda x: F.length(x) + 1)
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / STEP).cast("int")), lambda g: F.slice(sizes, g * STEP + 1, F.lit(STEP)))
+    before = sums(F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda s, x: s + x)), F.lit(0))
+    placed = F.zip_with(groups, before, lambda g, b: F.slice(sums(F.coalesce(g, F.array().cast("array<int>")), b), F.lit(2), F.size(F.coalesce(g, F.array().cast("array<int>")))))
+    return F.transform(F.flatten(placed), lambda e: e - 1)
+
 
+def _units(text: Column, known, most: int, likely) -> Column:
+    """array<struct<kind, digest>>: the whole text, its likely lines, and every run of paragraphs that is as long as a known text.
 
-def license_scan(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, whole_license, licenses, n_lines, n_blocks. more(license, text) are further known texts.
+    known says of a length whether a known text has it, and most is the largest: runs of any number of paragraphs are tried, up to that length.
+    """
+    unit = lambda kind, canon: F.struct(F.lit(kind).alias("kind"), F.sha2(canon, 256).alias("digest"))
+    fits = lambda c: known(F.length(c))
+    lines = F.filter(F.transform(F.filter(F.split(text, "\n"), likely), canonical), fits)
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  computed once
+
+    def runs(parts: Column, ends: Column) -> Column:
+        first = lambda i: F.get(ends, i) - F.length(F.get(parts, i))
+        some = lambda i: F.filter(F.slice(ends, i + 1, F.lit(most // 2 + 1)), lambda e: (e - first(i) <= most) & known(e - first(i)))  # noqa: E731  a paragraph and its gap have two characters at least
+        of = lambda i: F.transform(some(i), lambda e: unit("block", F.array_join(F.slice(parts, i + 1, F.array_position(ends, e).cast("int") - i), " ")))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), of))
+
+    none = F.array().cast("array<struct<kind:string,digest:string>>")
+    parts = F.filter(F.transform(F.split(text, GAP), canonical), lambda x: x != "")
+    blocks = F.when(text.rlike(GAP), let(parts, lambda p: F.when(F.size(p) > 0, let(_ends(p), lambda e: runs(p, e))).otherwise(none))).otherwise(none)
+    whole = F.transform(F.filter(F.array(canonical(text)), fits), lambda c: unit("whole", c))
+    return F.when(likely(text), F.concat(whole, F.transform(lines, lambda c: unit("line", c)), blocks)).otherwise(none)
+
+
+def license_scan(docs: DataFrame, scratch: Scratch, more: DataFrame | None = None) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, whole_license, licenses, n_lines, n_blocks. more(license, text) are further known texts, of any length.
 
     whole_license is the licence whose text the document is; licenses are all those that the document, a line or a run of
-    paragraphs of it states, sorted and comma-joined; n_lines and n_blocks count such lines and runs. Null and empty texts
-    state none. Rows that repeat a doc_id share what any of them states; rows with a null doc_id state none. Other columns
-    are not read; an empty table gives an empty one.
+    paragraphs of it states, sorted and comma-joined; n_lines and n_blocks count such lines and runs. Results are by row: rows that
+    repeat a doc_id, or have none, keep their own. Null and empty texts state none; null texts of more are none, null licences are
+    left out of lists. Other columns are not read; an empty table gives an empty one.
+
+    Rows are written with a number and the digests of their units, which are few; texts are neither written nor shuffled.
     """
-    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    likely = slim.filter(F.col("text").rlike(WORDS))
-    lines = likely.select("doc_id", F.explode(F.split("text", "\n")).alias("unit"), F.lit("line").alias("kind")).filter(F.col("unit").rlike(WORDS))
-    units = lines.union(likely.select("doc_id", F.col("text").alias("unit"), F.lit("whole").alias("kind")))
-    texts = units.select("doc_id", "kind", canonical(F.col("unit")).alias("canon"))
-    # only documents with a gap have runs that aren't the whole; a paragraph is made canonical once
-    parts = F.filter(F.transform(F.split("text", GAP), canonical), lambda x: x != "")
-    listed = likely.filter(F.col("text").rlike(GAP)).select("doc_id", parts.alias("parts")).filter(F.size("parts") > 0)
-    windows = listed.select("doc_id", F.explode(F.transform("parts", lambda _, i: F.slice("parts", i + 1, F.lit(BLOCKS)))).alias("parts"))
-    ends = F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("n")
-    runs = windows.select("doc_id", "parts", ends).select("doc_id", F.lit("block").alias("kind"), F.array_join(F.slice("parts", F.lit(1), F.col("n")), " ").alias("canon"))
-    digests = texts.union(runs).select("doc_id", "kind", F.sha2("canon", 256).alias("digest"))
     known = known_digests(docs.sparkSession, more)
-    found = digests.join(F.broadcast(known) if more is None else known, "digest")  # the fixed table has under a thousand rows
-    stated = found.groupBy("doc_id").agg(
+    sizes = [r[0] for r in known.select("size").distinct().limit(LENGTHS + 1).collect()]
+    most = known.agg(F.max("size")).first()[0]
+    fits = (lambda n: F.array_contains(F.array(*[F.lit(x) for x in sorted(sizes)]), n)) if len(sizes) <= LENGTHS else (lambda n: n <= most)
+    likely = (lambda x: x.rlike(WORDS)) if more is None else (lambda x: x != "")  # further texts may have none of the words
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.monotonically_increasing_id().alias("row"), _units(F.col("text"), fits, most, likely).alias("units"))
+    rows = scratch.keep(rows)
+    units = rows.filter(F.size("units") > 0).select("row", F.explode("units").alias("u")).select("row", "u.kind", "u.digest")
+    found = units.join(F.broadcast(known) if more is None else known, "digest")  # the fixed table has under a thousand rows
+    stated = found.groupBy("row").agg(
         F.min(F.when(F.col("kind") == "whole", F.col("license"))).alias("whole_license"),
         F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"),
         F.count_if(F.col("kind") == "line").alias("n_lines"),
         F.count_if(F.col("kind") == "block").alias("n_blocks"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return slim.select("doc_id").join(stated, "doc_id", "left").select("doc_id", "whole_license", F.coalesce("licenses", F.lit("")).alias("licenses"), zero("n_lines"), zero("n_blocks"))
+    return rows.select("doc_id", "row").join(stated, "row", "left").select("doc_id", "whole_license", F.coalesce("licenses", F.lit("")).alias("licenses"), zero("n_lines"), zero("n_blocks"))
 
 
 def _sql_canonical(x: str) -> str:
@@ -216,21 +251,23 @@ def oracle() -> str:
     return f"""
 WITH raw(license, text) AS (VALUES {values}),
 known AS (SELECT {_sql_canonical('text')} AS canon, min(license) AS license FROM raw GROUP BY 1),
-docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+most AS (SELECT max(length(canon)) AS n FROM known),
 lists AS (
-  SELECT doc_id, list_filter(list_transform(string_split_regex(text, '{GAP}'), lambda p: {_sql_canonical('p')}), lambda p: p <> '') AS parts
+  SELECT row, list_filter(list_transform(string_split_regex(text, '{GAP}'), lambda p: {_sql_canonical('p')}), lambda p: p <> '') AS parts
   FROM docs WHERE regexp_matches(text, '{GAP}')),
-starts AS (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM lists),
-runs AS (SELECT doc_id, parts, pos, unnest(range(1, least({BLOCKS}, len(parts) - pos + 1) + 1)) AS n FROM starts),
+places AS (SELECT row, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM lists),
+ends AS (SELECT row, part, pos, sum(length(part) + 1) OVER (PARTITION BY row ORDER BY pos) AS e FROM places),
+runs AS (SELECT a.row, a.pos, b.pos - a.pos + 1 AS n FROM ends a JOIN ends b ON a.row = b.row AND b.pos >= a.pos AND b.e - a.e + length(a.part) <= (SELECT n FROM most)),
 units AS (
-  SELECT doc_id, 'line' AS kind, {_sql_canonical('unit')} AS canon FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM docs)
-  UNION ALL SELECT doc_id, 'whole', {_sql_canonical('text')} FROM docs
-  UNION ALL SELECT doc_id, 'block', array_to_string(parts[pos:pos + n - 1], ' ') FROM runs),
-found AS (SELECT u.doc_id, u.kind, k.license FROM units u JOIN known k USING (canon)),
+  SELECT row, 'line' AS kind, {_sql_canonical('unit')} AS canon FROM (SELECT row, unnest(string_split(text, chr(10))) AS unit FROM docs)
+  UNION ALL SELECT row, 'whole', {_sql_canonical('text')} FROM docs
+  UNION ALL SELECT row, 'block', array_to_string(parts[pos:pos + n - 1], ' ') FROM runs JOIN lists USING (row)),
+found AS (SELECT u.row, u.kind, k.license FROM units u JOIN known k USING (canon)),
 stated AS (
-  SELECT doc_id, min(CASE WHEN kind = 'whole' THEN license END) AS whole_license, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
+  SELECT row, min(CASE WHEN kind = 'whole' THEN license END) AS whole_license, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
          count(*) FILTER (WHERE kind = 'line') AS n_lines, count(*) FILTER (WHERE kind = 'block') AS n_blocks
-  FROM found GROUP BY doc_id)
+  FROM found GROUP BY row)
 SELECT d.doc_id, s.whole_license, coalesce(s.licenses, '') AS licenses, coalesce(s.n_lines, 0) AS n_lines, coalesce(s.n_blocks, 0) AS n_blocks
-FROM documents d LEFT JOIN stated s USING (doc_id)
+FROM docs d LEFT JOIN stated s USING (row)
 """

@@ -18,7 +18,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(table(spark, sf_dir, "documents"))
+    return licenses.license_scan(table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
