@@ -1,16 +1,16 @@
 """Main text of web pages, with a host suffix array for the boilerplate that markup doesn't name.
 
-A page is cut into blocks. Blocks inside elements that name themselves as menus, headers, footers,
-asides, adverts, notices, forms or comments are boilerplate; a page that declares its article by an
-element or a role gives the rest of that element. For all other pages the token streams of a host's
-pages are laid end to end, block ends included, and a suffix array with the longest common prefixes
-of neighbours is built over them by prefix doubling. A stretch of the array whose neighbours have LONG
-tokens or more in common is a repeated substring; one on PAGES distinct pages or more is boilerplate,
-and blocks it covers by half or more are dropped, also inside what only a class name calls the article.
-
-Arrays are built in chunks, each giving one row per distinct substring of LONG tokens with its number
+A page is cut into blocks. Elements that are menus, headers, footers, asides or forms by tag or role, and those whose class or id says
+so in all its words, are boilerplate. A page that declares its article by an element or a role gives the text of that element; inside
+it, an element of doubtful name (related, notice, legal, ...) stays unless it is made of links or repeats on the host, and so does what
+stands beside a nested article within main. On a page without a declared article repetition decides every block.
+
+What repeats is found by a suffix array with the longest common prefixes of neighbours, built by prefix doubling over the token
+streams of a host's pages laid end to end, block ends included. A stretch of the array whose neighbours have LONG
+tokens or more in common is a repeated substring; one on PAGES distinct pages or more is boilerplate, and blocks it covers by half or
+more are dropped. Arrays are built in chunks, each giving one row per distinct substring of LONG tokens with its number
 of pages, and the rows are added up over all chunks: a longer repeat is the union of those in it. So a
-host with a third of all pages is spread over all tasks, and its footer is one row per chunk. Text of
+host with a third of all pages is spread over all tasks, and its footer is one row per chunk. The sure text of
 declared articles takes no part: that passages of articles repeat does not make them boilerplate.
 """
 
@@ -33,22 +33,30 @@ LONG, PAGES, CHUNK = 8, 3, 400_000
 SURE = 2
 
 RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|select|canvas|audio|video"
-TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>",
-    re.S | re.I,
-)
+_OTHER = rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*+(?:>|\Z).*?(?:</\1\s*+>|\Z)|<[!?][^>]*+(?:>|\Z)"
+#: Quotes that follow = hide a >. No part is tried twice, so pages of tags that never end take linear time.
+TAG = re.compile(rf"{_OTHER}|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(>|\Z)", re.S | re.I)
+#: For the rest of a page from a tag on that doesn't end: quotes hide nothing, and the next < ends a tag too.
+PLAIN = re.compile(rf"{_OTHER}|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)(>|(?=<)|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("head title nav footer aside form button dialog menu fieldset datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of class and id that name boilerplate.
+#: Words of class and id that name boilerplate by themselves, and those that do so inside an article only with another sign.
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adslot adsense sponsor sponsored promo promotion banner sidebar widget widgets nav navbar navigation menu "
-    "breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup signin login "
-    "share sharing social related recommended comment comments commentlist respond disqus reply replies reactions toolbar pagination pager skip copyright legal disclaimer "
-    "paywall topbar hidden".split()
+    "ad ads adv advert adverts advertisement advertising adslot adsense sponsor sponsored sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead "
+    "cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup signin login comment comments commentlist respond disqus reply replies "
+    "pagination pager paywall topbar".split()
+)
+DOUBTFUL = frozenset("promo promotion banner widget widgets notice notices share sharing social related recommended reactions toolbar skip copyright legal disclaimer hidden".split())
+#: Words that may stand beside such a word in a name; ad-hoc or related-work name something else.
+STRUCTURE = frozenset(
+    "area bar block body bottom box btn button buttons card cell center col column container content desktop fixed form global group icon icons inner item items left link links list mobile outer "
+    "page panel post posts article articles primary right row secondary section site slot space strip text title top unit wrap wrapper".split()
 )
+#: Elements whose ids are anchors made from what they say.
+ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p li td th tr dt dd figure blockquote pre article main".split())
 BODIES = frozenset("articlebody article-body article-content post-content post-body entry-content story-body main-content page-content article post entry".split())
 HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)")
 
@@ -59,84 +67,123 @@ def host_of(url: str | None) -> str:
 
 
 class Block:
-    __slots__ = ("dropped", "inside", "text")
+    """A block's text, the strongest article around it, whether markup says it is boilerplate, the doubtful element that it is in, and how many of its characters are links."""
+
+    __slots__ = ("doubt", "dropped", "inside", "links", "text")
+
+    def __init__(self, text: str, inside: int, dropped: bool, doubt: int | None, links: int):
+        self.text, self.inside, self.dropped, self.doubt, self.links = text, inside, dropped, doubt, links
+
 
-    def __init__(self, text: str, inside: int, dropped: bool):
-        self.text, self.inside, self.dropped = text, inside, dropped
+def named(value: str) -> int:
+    """2 if a name among these says boilerplate by itself, 1 if it may, 0 if not. All words of the name must agree."""
+    most = 0
+    for name in value.split():
+        words = [w for w in re.split(r"[_-]+", name) if w and not w.isdigit()]
+        if words and all(w in NAMES or w in DOUBTFUL or w in STRUCTURE for w in words):
+            most = max(most, 2 if any(w in NAMES for w in words) else int(any(w in DOUBTFUL for w in words)))
+    return most
 
 
-def _kind(tag: str, attributes: str, inside: int) -> tuple[int, bool]:
-    """(strength of the article an element declares, whether it is boilerplate)."""
-    dropped = tag in DROPPED or (tag == "header" and not inside)
+def _kind(tag: str, attributes: str, inside: int) -> tuple[int, bool, bool]:
+    """(strength of the article an element declares, whether it is boilerplate, whether it may be)."""
+    dropped, doubtful = tag in DROPPED or (tag == "header" and not inside), False
     strength = 3 if tag == "article" else 2 if tag == "main" else 0
     if attributes.strip():
+        says = 0
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name == "role":
                 dropped |= value in ROLES and not (value == "banner" and inside)
                 strength = max(strength, 2 * (value == "main"), 3 * (value == "article"))
             elif name in ("class", "id") and tag not in ("html", "body"):
-                words = set(re.split(r"[\s_-]+", value))
-                dropped |= bool(words & NAMES) or ("header" in words and not inside)
+                if not (name == "id" and tag in ANCHORED):
+                    says = max(says, named(value), 2 * ("header" in re.split(r"[\s_-]+", value) and not inside))
                 strength = max(strength, bool(set(value.split()) & BODIES))
             elif name == "itemprop" and value == "articlebody":
                 strength = 3
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
                 dropped = True
-    return strength, dropped
+        if says and (strength < SURE or inside):  # the first declared article is never named away; one inside it, a comment, may be
+            dropped |= says == 2 or inside < SURE
+            doubtful = says == 1 and inside >= SURE
+    return strength, dropped, doubtful
 
 
 def blocks(page: str | None) -> list[Block]:
-    """Blocks in page order, white space made one, none empty. inside: the strongest article around it, 0 for none."""
+    """Blocks in page order, white space made one, none empty."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []
-    inside, dropped, at = 0, False, 0
+    stack: list[tuple[str, int, bool, int | None]] = []
+    places: dict[str, list[int]] = {}  # of the open elements of a name, in the stack
+    solid: list[int] = []  # places of open blocks other than paragraphs
+    inside, dropped, doubt, doubts, at, links = 0, False, None, 0, 0, 0
     parts: list[str] = []
 
     def end() -> None:
+        nonlocal links
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                out.append(Block(text, inside, dropped))
-
-    for m in TAG.finditer(page):
-        if m.start() > at:
-            some = page[at : m.start()]
-            parts.append(entities.unescape(some) if "&" in some else some)
-        at = m.end()
-        if m.group(3) is None:
-            continue
-        tag = m.group(3).lower()
-        if tag not in INLINE:
-            end()
-        if m.group(2):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if any(s[0] in ("article", "main") for s in stack[i + 1 :]) and tag in INLINE | {"p", "li"}:
-                        break  # a stray end tag doesn't close an article
-                    if tag in INLINE and stack[i][2]:
-                        end()
-                    del stack[i:]
-                    break
-        elif tag not in VOID and not m.group(4).endswith("/"):
-            if tag not in INLINE and tag not in ("html", "body"):
-                for i in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
-                    if stack[i][0] == "p":
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
-            around, off = (stack[-1][1], stack[-1][2]) if stack else (0, False)
-            strength, drop = _kind(tag, m.group(4), around)
-            if drop and not off and tag in INLINE:
+                out.append(Block(text, inside, dropped, doubt, links))
+        links = 0
+
+    def cut(i: int) -> None:
+        for k in range(len(stack) - 1, i - 1, -1):
+            places[stack[k][0]].pop()
+        del stack[i:]
+        while solid and solid[-1] >= i:
+            solid.pop()
+
+    def said(some: str) -> None:
+        nonlocal links
+        parts.append(entities.unescape(some) if "&" in some else some)
+        if places.get("a"):
+            links += len(some.strip())
+
+    pattern, done = TAG, False
+    while not done:
+        done = True
+        for m in pattern.finditer(page, at):
+            if pattern is TAG and m.group(5) == "":  # the tag goes on to the end of the page
+                pattern, done = PLAIN, False
+                if m.start() > at:
+                    said(page[at : m.start()])
+                at = m.start()
+                break
+            if m.start() > at:
+                said(page[at : m.start()])
+            at = m.end()
+            if m.group(3) is None or (pattern is PLAIN and m.group(5) != ">"):
+                continue
+            tag = m.group(3).lower()
+            if tag not in INLINE:
                 end()
-            stack.append((tag, max(around, strength), off or drop))
-        inside, dropped = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+            if m.group(2):
+                if places.get(tag):
+                    i = places[tag][-1]
+                    if max((places.get(t) or [-1])[-1] for t in ("article", "main")) > i and tag in INLINE | {"p", "li"}:
+                        continue  # a stray end tag doesn't close an article
+                    if tag in INLINE and (stack[i][2] or stack[i][3] is not None):
+                        end()
+                    cut(i)
+            elif tag not in VOID and not m.group(4).endswith("/"):
+                if tag not in INLINE and tag not in ("html", "body") and places.get("p") and (solid or [-1])[-1] < places["p"][-1]:
+                    cut(places["p"][-1])  # a block ends an open paragraph
+                around, off, open_doubt = stack[-1][1:] if stack else (0, False, None)
+                strength, drop, doubtful = _kind(tag, m.group(4), around)
+                if (drop and not off or doubtful) and tag in INLINE:
+                    end()
+                if doubtful and open_doubt is None:
+                    open_doubt, doubts = doubts, doubts + 1
+                places.setdefault(tag, []).append(len(stack))
+                if tag not in INLINE and tag != "p":
+                    solid.append(len(stack))
+                stack.append((tag, max(around, strength), off or drop, open_doubt))
+            inside, dropped, doubt = stack[-1][1:] if stack else (0, False, None)
     if at < len(page):
-        some = page[at:]
-        parts.append(entities.unescape(some) if "&" in some else some)
+        said(page[at:])
     end()
     return out
 
@@ -146,11 +193,41 @@ def declared(found: list[Block]) -> int:
     return max((b.inside for b in found if not b.dropped), default=0)
 
 
+def linked(found: list[Block]) -> set[int]:
+    """Doubtful elements half of whose characters or more are links."""
+    size: dict[int, list[int]] = {}
+    for b in found:
+        if b.doubt is not None:
+            own = size.setdefault(b.doubt, [0, 0])
+            own[0], own[1] = own[0] + len(b.text), own[1] + b.links
+    return {d for d, (n, links) in size.items() if 2 * links >= n}
+
+
+def verdicts(found: list[Block], strength: int) -> list[bool | None]:
+    """For each block whether it stays; None where repetition on the host decides.
+
+    Without a declared article that is each block in the strongest article that markup doesn't drop. With one its own text stays;
+    what stands beside a nested article within main, and what is in an element of doubtful name, stays unless it is made of links or repeats.
+    """
+    dense = linked(found)
+    out: list[bool | None] = []
+    for b in found:
+        if b.dropped or (b.inside < strength and (strength < SURE or b.inside < SURE)):
+            out.append(False)
+        elif strength < SURE:
+            out.append(None)
+        elif b.inside < strength:
+            out.append(False if 2 * b.links >= len(b.text) else None)
+        else:
+            out.append(True if b.doubt is None else False if b.doubt in dense else None)
+    return out
+
+
 def stream(found: list[Block], strength: int) -> tuple[list[str], list[int]]:
-    """Tokens outside an article that an element declares, each block with an end token, and the block of each."""
+    """Tokens outside the text of a declared article, each block with an end token, and the block of each."""
     tokens, owner = [], []
-    for i, b in enumerate(found):
-        if strength >= SURE and b.inside >= strength:
+    for i, (b, stays) in enumerate(zip(found, verdicts(found, strength))):
+        if stays:
             continue
         own = [*b.text.split(), "\x00"]
         tokens += own
@@ -208,56 +285,65 @@ def _digest(host: str, tokens: list[str]) -> tuple[int, int]:
     return xxhash.xxh64_intdigest(raw, 3) - (1 << 63), xxhash.xxh64_intdigest(raw, 4) - (1 << 63)
 
 
-_ROWS = ["key", "check", "pages", "page", "place"]
+#: Rows of pass one: substrings of a chunk with their numbers of pages; places of a page's substrings; pages that are done; pages that are open.
+_FIRST = "key bigint, check bigint, pages bigint, page bigint, place bigint, page_id bigint, url string, text string, html string"
 
 
-def substring_rows(pages: DataFrame) -> DataFrame:
-    """(key, check, pages, -, -) for each distinct substring of a chunk, and (key, check, 0, page, place) for those of pages without a declared article."""
+def first_pass(pages: DataFrame) -> DataFrame:
+    """One parse of every page: the text of those that markup decides, the html of the others, and the substrings of a chunk of pages."""
+    kinds = [(f.split()[0], pa.int64() if f.split()[1] == "bigint" else pa.string()) for f in _FIRST.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, str, list[str]]] = []
         size = 0
 
-        def flush() -> pa.RecordBatch:
+        def batch(**columns) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * n), k) for c, k in kinds], names=[c for c, _ in kinds])
+
+        def flush() -> Iterator[pa.RecordBatch]:
             place, page, cls = repeated_prefixes([(h, t) for _, h, t in held])
             first = np.unique(cls, return_index=True)[1] if len(cls) else cls
             tokens = [t for _, _, own in held for t in own]
             name = [_digest(held[page[f]][1], tokens[place[f] : place[f] + LONG]) for f in first.tolist()]
             seen = np.unique(cls * len(held) + page) // len(held) if len(cls) else cls
             count = np.bincount(seen, minlength=len(first)) if len(cls) else cls
-            rows = [(k, c, int(n), None, None) for (k, c), n in zip(name, count)]
+            yield batch(key=[k for k, _ in name], check=[c for _, c in name], pages=[int(n) for n in count])
             start = np.concatenate(([0], np.cumsum([len(t) for _, _, t in held])))
-            for p, s, c in zip(place.tolist(), page.tolist(), cls.tolist()):
-                if held[s][0] is not None:
-                    rows.append((*name[c], 0, held[s][0], p - int(start[s])))
-            rows += [(None, None, 0, k, -1) for k, _, _ in held if k is not None]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], _ROWS)
+            own = [(*name[c], held[s][0], p - int(start[s])) for p, s, c in zip(place.tolist(), page.tolist(), cls.tolist()) if held[s][0] is not None]
+            yield batch(**dict(zip(("key", "check", "page", "place"), list(zip(*own)) or [[]] * 4)))
 
         for b in batches:
-            for key, url, page in zip(b.column("_key"), b.column("url"), b.column("html")):
-                found = blocks(page.as_py())
+            done: list[tuple] = []
+            left: list[tuple] = []
+            for key, page_id, url, page in zip(*(b.column(c).to_pylist() for c in ("_key", "page_id", "url", "html"))):
+                found = blocks(page)
                 strength = declared(found)
+                stay = verdicts(found, strength)
+                if None in stay:
+                    left.append((key, page_id, url, page))
+                else:
+                    done.append((page_id, url, " ".join(x.text for x, s in zip(found, stay) if s)))
                 tokens, _ = stream(found, strength)
-                held.append((None if strength >= SURE else key.as_py(), host_of(url.as_py()), tokens))
+                held.append((key if None in stay else None, host_of(url), tokens))
                 size += len(tokens)
                 if size >= CHUNK:
-                    yield flush()
+                    yield from flush()
                     held.clear()
                     size = 0
+            yield batch(**dict(zip(("page_id", "url", "text"), list(zip(*done)) or [[]] * 3)))
+            yield batch(**dict(zip(("page", "page_id", "url", "html"), list(zip(*left)) or [[]] * 4)))
         if held:
-            yield flush()
+            yield from flush()
 
-    return pages.mapInArrow(run, "key long, check long, pages long, page long, place long")
+    return pages.mapInArrow(run, _FIRST)
 
 
-def main_text(page: str | None, covered: list[int] | None) -> str | None:
-    """The page's text; None if no element declares its article and covered (places of boilerplate) isn't given."""
+def main_text(page: str | None, covered: list[int]) -> str:
+    """The page's text, given the places of its stream at which repeated substrings of LONG tokens begin."""
     found = blocks(page)
     strength = declared(found)
-    if strength >= SURE:
-        return " ".join(b.text for b in found if b.inside >= strength and not b.dropped)
-    if covered is None:
-        return None
+    stay = verdicts(found, strength)
     tokens, owner = stream(found, strength)
     hit = np.zeros(len(tokens) + LONG, bool)
     for p in covered:
@@ -265,30 +351,27 @@ def main_text(page: str | None, covered: list[int] | None) -> str | None:
     own = np.array(owner, np.int64)
     word = np.array([t != "\x00" for t in tokens], bool)
     share = np.bincount(own[word], hit[: len(tokens)][word], len(found)) / np.maximum(1, np.bincount(own[word], minlength=len(found))) if len(tokens) else np.zeros(len(found))
-    return " ".join(b.text for b, s in zip(found, share) if b.inside >= strength and not b.dropped and s < 0.5)
+    return " ".join(b.text for b, s, x in zip(found, stay, share) if (s if s is not None else x < 0.5))
 
 
 def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, text, n_chars.
 
     Null and empty html give an empty text; a null url is a host of its own name. Repeated rows stay,
-    and count as pages each. Other columns are not read. An empty table gives an empty one.
+    and count as pages each. Other columns are not read. An empty table gives an empty one. Pages that markup decides are parsed
+    once and not moved; the html of the others meets the places of what repeats in it.
     """
     slim = small_batches(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    slim = slim.withColumn("_key", F.xxhash64("page_id", "url", "html"))
-    rows = scratch.keep(substring_rows(slim))
-    often = scratch.keep(rows.groupBy("key", "check").agg(F.sum("pages").alias("n")).filter(f"n >= {PAGES}").select("key", "check"))
-    open_pages = rows.filter("page IS NOT NULL").select("page", "place", "key", "check")
-    hits = open_pages.join(often, ["key", "check"]).select("page", "place").union(open_pages.filter("place < 0").select("page", "place"))
-    covered = scratch.keep(hits.groupBy("page").agg(F.collect_set("place").alias("covered")).select(F.col("page").alias("_key"), "covered"))
+    rows = scratch.keep(first_pass(slim.withColumn("_key", F.xxhash64("page_id", "url", "html"))))
+    often = scratch.keep(rows.filter("pages > 0").groupBy("key", "check").agg(F.sum("pages").alias("n")).filter(f"n >= {PAGES}").select("key", "check"))
+    places = rows.filter("place IS NOT NULL").select("page", "place", "key", "check").join(often, ["key", "check"])
+    covered = scratch.keep(places.groupBy("page").agg(F.collect_set("place").alias("covered")))
+    open_pages = rows.filter("page IS NOT NULL AND place IS NULL").select("page", "page_id", "url", "html").join(covered, "page", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            given = b.column("covered").to_pylist() if "covered" in b.schema.names else [None] * b.num_rows
-            texts = [main_text(h.as_py(), None if c is None else [p for p in c if p >= 0]) for h, c in zip(b.column("html"), given)]
-            keep = [i for i, t in enumerate(texts) if t is not None]
-            some = b.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([some.column("page_id"), some.column("url"), pa.array([texts[i] for i in keep], pa.string()), pa.array([len(texts[i]) for i in keep], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    out = "page_id long, url string, text string, n_chars long"
-    return slim.mapInArrow(run, out).union(slim.join(covered, "_key").mapInArrow(run, out))
+            texts = [main_text(h, c or []) for h, c in zip(b.column("html").to_pylist(), b.column("covered").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    texts = rows.filter("text IS NOT NULL").select("page_id", "url", "text").unionByName(open_pages.mapInArrow(run, "page_id long, url string, text string"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
