@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import scoring as sc
 from ..functions import text as tx
 from ..functions import vector as vx
-from ..operators import community, compress, consolidate, dense, evaluate, graph, hybrid, lifecycle, mining, reports, store, telemetry
+from ..operators import codegraph, community, compress, consolidate, dense, evaluate, graph, hybrid, lifecycle, mining, reports, store, telemetry
 from ..sources import nodes as src
 from ..sources.shared import Scratch
 from ..streaming import state
 from . import kept
-from .catalogue import CALLS, NODES, NOW, QUERY, QVEC, TOK, _AM, _COS, _Q, _QM, _places, calls, docs, events, nodes, query, vectors
+from .catalogue import CALLS, NODES, NOW, QUERY, QVEC, SQL, TOK, _COS, _Q, _places, calls, docs, events, nodes, query, vectors
 
 SINCE = "2024-01-05"
 
@@ -375,12 +375,20 @@ def search_text(spark, sf):
     return hybrid.search(nodes(spark, sf), "The", "text", 15, NOW).select("id", "importance")
 
 
-@query("search_hybrid", f"WITH {NODES}, {_ALIVE}, v AS (SELECT a.id, {_COS.format(q=_Q)} AS semantic FROM alive a JOIN embeddings e ON e.vec_id = a.id ORDER BY 2 DESC, 1 LIMIT 50) SELECT count(*) AS n, max(semantic) > 0 AS near FROM v")
+def _searched(sql: str) -> str:
+    """The SQL of a hybrid list, over the nodes that a search may find."""
+    texts = f"t AS (SELECT doc_id, {TOK.format(x='text')} AS toks FROM documents)"
+    assert texts in sql and "FROM embeddings ORDER BY 2 DESC, 1 LIMIT 50" in sql
+    alive = f"{_ALIVE}, t AS (SELECT id AS doc_id, {TOK.format(x=chr(39) * 2 + ' || coalesce(content, ' + chr(39) * 2 + ')')} AS toks FROM alive)"
+    return sql.replace(texts, alive).replace("FROM embeddings ORDER BY 2 DESC, 1 LIMIT 50", "FROM embeddings JOIN alive ON alive.id = vec_id ORDER BY 2 DESC, 1 LIMIT 50")
+
+
+@query("search_hybrid", f"SELECT 'linear' AS mode, id, score FROM ({_searched(SQL['hybrid_linear'])}) UNION ALL SELECT 'rrf', id, score FROM ({_searched(SQL['hybrid_rrf'])})")
 def search_hybrid(spark, sf):
-    """The pool behind a hybrid search: its size, and whether the nearest is on the query's side."""
-    both = nodes(spark, sf).join(vectors(spark, sf).select(F.col("vec_id").alias("id"), "embedding"), "id")
-    found = dense.knn(both.filter(store.alive(NOW) & store.searchable()), "id", "embedding", QVEC, 50)
-    return found.agg(F.count("*").alias("n"), (F.max("score") > 0).alias("near"))
+    """search() in its hybrid mode, by the linear fusion and by reciprocal ranks."""
+    both = nodes(spark, sf).join(vectors(spark, sf).select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
+    found = [hybrid.search(both, QUERY, "hybrid", 10, NOW, QVEC, rrf_k=k).select(F.lit(name).alias("mode"), "id", F.round("score", 6).alias("score")) for name, k in (("linear", None), ("rrf", 60))]
+    return found[0].unionByName(found[1])
 
 
 @query("intent_affinity", f"WITH {NODES} SELECT id, round((id % 5) / CAST(id % 5 + 2 AS DOUBLE), 6) AS affinity FROM nodes")
@@ -697,3 +705,49 @@ def louvain_communities(spark, sf):
     e = src.table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"))
     found = community.louvain(e, Scratch(spark, "louvain"))
     return found.join(found.groupBy("community").agg(F.min("id").alias("least")), "community").select("id", F.col("least").alias("community"))
+
+
+# ---- code ----
+
+#: Files made of the lines of documents: what a file imports, and what its functions call.
+_CODE = "concat('import { x } from \"./', concat('f', pmod(doc_id + 1, 40)), '\";', chr(10), 'export function a', doc_id, '(x) {', chr(10), '  // ', replace(text, chr(10), ' '), chr(10), '  return b', doc_id, '(x);', chr(10), '}', chr(10), 'class B', doc_id, ' {', chr(10), '  run() { return a', doc_id, '(this); }', chr(10), '}', chr(10), 'const b', doc_id, ' = (y) => new B', doc_id, '(y);', chr(10))"
+_CODE_SQL = _CODE.replace("pmod(doc_id + 1, 40)", "(doc_id + 1) % 40")
+
+
+def _code(spark, sf):
+    return docs(spark, sf).filter("text IS NOT NULL").select("doc_id", F.concat(F.lit("src/f"), "doc_id", F.lit(".ts")).alias("path"), F.expr(_CODE).alias("content"))
+
+
+def _facts_sql(files: str) -> str:
+    """Facts by regular expressions over the lines of files(path, content)."""
+    d = codegraph.DEFINITIONS["ts"].replace("'", "''")
+    return rf"""f AS ({files}), l AS (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM f),
+d AS (SELECT path, regexp_extract(line, '{d}', 2) AS name, min(n) AS line, arg_min(regexp_extract(line, '{d}', 1), n) AS detail FROM l WHERE regexp_matches(line, '{d}') GROUP BY 1, 2),
+o AS (SELECT l.*, (SELECT arg_max(name, d.line) FROM d WHERE d.path = l.path AND d.line <= l.n) AS inside FROM l),
+u AS (SELECT path, 'call' AS kind, unnest(regexp_extract_all(line, '{codegraph.CALL}', 1)) AS name, n, inside FROM o UNION ALL SELECT path, 'type', unnest(regexp_extract_all(line, '{codegraph.TYPE}', 1)), n, inside FROM o),
+i AS (SELECT path, unnest(regexp_extract_all(line, 'from\s+"(\./[^"]*)"', 1)) AS name, n FROM l),
+facts AS (SELECT path, 'def' AS kind, name, CAST(line AS INT) AS line, NULL AS inside, detail FROM d
+  UNION ALL SELECT u.path, u.kind, u.name, CAST(min(n) AS INT), u.inside, NULL FROM u JOIN d ON d.path = u.path AND d.name = u.name WHERE u.inside IS NOT NULL AND u.inside <> u.name GROUP BY ALL
+  UNION ALL SELECT path, 'import', name, CAST(n AS INT), NULL, 'src/' || name[3:] FROM i)"""
+
+
+_FILES = f"SELECT concat('src/f', doc_id, '.ts') AS path, {_CODE_SQL} AS content FROM documents WHERE text IS NOT NULL"
+
+
+@query("code_facts", f"WITH {_facts_sql(_FILES)} SELECT * FROM facts")
+def code_facts(spark, sf):
+    return codegraph.facts(_code(spark, sf))
+
+
+_LATER = f"SELECT concat('src/f', doc_id, '.ts') AS path, CASE WHEN doc_id % 5 = 0 THEN replace({_CODE_SQL}, 'class B', 'class C') ELSE {_CODE_SQL} END AS content FROM documents WHERE text IS NOT NULL AND doc_id % 7 <> 3"
+
+
+@query("code_graph_edges", f"WITH {_facts_sql(_LATER)} SELECT path || '#' || name AS src, path AS dst, 'defined_in' AS edge_type FROM facts WHERE kind = 'def' UNION ALL SELECT path || '#' || inside, path || '#' || name, CASE kind WHEN 'call' THEN 'calls' ELSE 'references' END FROM facts WHERE kind IN ('call', 'type') UNION ALL SELECT DISTINCT facts.path, f.path, 'imports' FROM facts JOIN f ON f.path = facts.detail || '.ts' WHERE kind = 'import' AND f.path <> facts.path")
+def code_graph_edges(spark, sf):
+    """All files at first; then a fifth changed and a seventh gone."""
+    g = codegraph.CodeGraph(spark, f"{Scratch(spark, 'code').root}/graph", least=0)
+    files = _code(spark, sf)
+    g.refresh(files)
+    later = files.filter("doc_id % 7 <> 3").withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.replace("content", F.lit("class B"), F.lit("class C"))).otherwise(F.col("content")))
+    g.refresh(later)
+    return g.edges()
