@@ -43,8 +43,8 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sharding.with_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32")
-    placed = sharding.shuffled_shards(rows, Scratch(spark, "op8"))
+    """Whole rows are scattered and shuffled, as write_shards() has them written."""
+    placed = sharding.shuffled_shards(sharding.with_sizes(table(spark, sf_dir, "documents")), Scratch(spark, "op8"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

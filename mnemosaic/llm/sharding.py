@@ -1,16 +1,17 @@
 """Two-pass external shuffle into shards.
 
-Rows are written once with a number, which tells rows apart that are equal. Pass one scatters them uniformly into
+Rows are written once with a number, which tells rows apart that are equal. Pass one scatters the whole rows uniformly into
 buckets of a size that fits one task's memory, by a seeded hash of their values and numbers, so that a recomputed
 task scatters them alike and repeated rows are spread. Pass two shuffles each bucket by Fisher-Yates with a generator
-seeded by the bucket. The buckets laid end to end are one uniform order; position p goes to shard p mod n, slot
-p div n, so row counts differ by one at most.
+seeded by the bucket, and gives its rows in their new order. The buckets laid end to end are one uniform order; position p goes to
+shard p mod n, slot p div n, so row counts differ by one at most. Each bucket is written where it was shuffled.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,11 +45,12 @@ def shuffled_shards(rows: DataFrame, scratch: Scratch, shards: int = 8, seed: in
     out = T.StructType([*scattered.schema.fields, T.StructField(pos, T.LongType())])
 
     def fisher_yates(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("doc_id", "ascending"), ("text_crc32", "ascending"), ("size", "ascending"), (nr, "ascending")])
+        keys = ["doc_id", "text_crc32", "size", nr]
+        first = pc.sort_indices(rows.select(keys), [(k, "ascending") for k in keys]).to_numpy()  # whatever order they came in
         rng = np.random.Generator(np.random.PCG64([seed, rows[bucket][0].as_py()]))
         at = np.arange(rows.num_rows)
         rng.shuffle(at)
-        return rows.append_column(pos, pa.array(at, pa.int64()))
+        return rows.take(pa.array(first[np.argsort(at)])).append_column(pos, pa.array(np.arange(rows.num_rows), pa.int64()))
 
     placed = scattered.groupBy(bucket).applyInArrow(fisher_yates, out)
     p = F.col(offset) + F.col(pos)
@@ -57,9 +59,9 @@ def shuffled_shards(rows: DataFrame, scratch: Scratch, shards: int = 8, seed: in
 
 
 def write_shards(docs: DataFrame, path: str, scratch: Scratch, shards: int = 8, seed: int = 17) -> None:
-    """All columns of docs with size, text_crc32 and slot, in shuffled order, one folder per shard.
+    """All columns of docs with size, text_crc32 and slot, in shuffled order, one folder per shard and in it a file for each bucket.
 
     Null texts have size 1. Repeated rows stay. An empty table writes no rows.
     """
     placed = shuffled_shards(with_sizes(docs), scratch, shards, seed)
-    placed.repartitionByRange(shards * 4, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
