@@ -28,11 +28,11 @@ from .common import Marks, Scratch, small_batches
 #: Payloads of fewer bytes are always written.
 LEAST_PAYLOAD = 100
 #: An archive is closed when it has so many bytes; lines of a block of the index; captures of a shard, and the most shards.
-ROLL, BLOCK, SHARD, MOST_SHARDS = 1 << 30, 1000, 1_000_000, 4096
+ROLL, BLOCK, SHARD, MOST_SHARDS = 1 << 30, 1000, 10_000, 4096
 #: A longer key is cut and ends with its digest, which bounds directories and the list of shards.
 LONGEST_KEY = 1024
 #: Neighbouring records are read at once up to so many bytes. Captures are read by stretches of an archive of 2^STRETCH_BITS bytes.
-READ, STRETCH_BITS = 8 << 20, 26
+READ, STRETCH_BITS = 8 << 20, 22
 CAPTURE = "key string, row bigint, page_id bigint, archive string, offset bigint, length bigint, record_type string, digest string"
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload string"
 
@@ -203,6 +203,10 @@ def read_shards(root: str) -> list[tuple[str, str]]:
         return [tuple(x) for x in json.loads(f.read())]
 
 
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _span(firsts: list[bytes], key: bytes) -> range:
     """The places of a sorted list of first keys whose parts may hold the key."""
     return range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key))
@@ -243,12 +247,13 @@ def lookup(urls: DataFrame, root: str, column: str = "url") -> DataFrame:
             blocks.close()
 
     asked = urls.select(F.col(column).cast("string")).mapInArrow(route, "key string, shard string").distinct()
-    return asked.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(find, CAPTURE)
+    # a number is given, as the few bytes of a question stand for many of the index
+    return asked.repartition(max(1, min(len(shards), _tasks(urls.sparkSession))), "shard").sortWithinPartitions("shard", "key").mapInArrow(find, CAPTURE)
 
 
 def read(captures: DataFrame, root: str) -> DataFrame:
     """The records (RECORD) of captures, read by byte range; neighbours in an archive are read at once. Revisits have no payload."""
-    near = captures.select("archive", "offset", "length").repartition("archive", F.shiftright("offset", STRETCH_BITS)).sortWithinPartitions("archive", "offset")
+    near = captures.select("archive", "offset", "length").repartition(_tasks(captures.sparkSession), "archive", F.shiftright("offset", STRETCH_BITS)).sortWithinPartitions("archive", "offset")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         held: list[tuple] = []
