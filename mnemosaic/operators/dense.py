@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as vx
+from ..sources.shared import Scratch
 
 #: Rows of a group among which a greedy choice is made.
 POOL = 1_000
@@ -204,22 +205,66 @@ def mmr_injection(pool: DataFrame, by: str, k: int, weight: float = 0.5) -> Data
     return bounded.groupBy(by).applyInPandas(pick, f"{by} {pool.schema[by].dataType.simpleString()}, id long, pick int")
 
 
-def leader_clusters(rows: DataFrame, by: str, id_: str, vec: str, least: float = 0.3, shortest: int = 2) -> DataFrame:
-    """(by, id, leader): one pass in id order; a row joins the first leader at least so similar, else leads."""
-
-    def assign(key, part):
-        part = part.sort_values(id_)
-        leaders, names, out = np.zeros((0, len(part[vec].iloc[0]))), [], []
-        for i, v in zip(part[id_], part[vec]):
-            u = _unit(v)
-            hit = np.flatnonzero(leaders @ u >= least)
-            if len(hit):
-                out.append(names[hit[0]])
-            else:
-                leaders, names = np.vstack([leaders, u]), [*names, i]
-                out.append(i)
-        part = part[[by, id_]].rename(columns={id_: "id"})
-        part["leader"] = out
-        return part[part.groupby("leader")["id"].transform("size") >= shortest]
-
-    return rows.select(by, id_, vec).groupBy(by).applyInPandas(assign, f"{by} {rows.schema[by].dataType.simpleString()}, id long, leader long")
+def _settle(rows: pa.Table, by: str, least: float) -> pa.Table:
+    """One pass in order of id over a bounded table: a row joins the first leader at least so similar, else leads."""
+    order = np.argsort(rows["id"].to_numpy(), kind="stable")
+    ids, unit = rows["id"].to_numpy()[order], unit_rows(rows["v"])[order]
+    leaders, n, out = np.zeros_like(unit), 0, np.zeros(len(ids), np.int64)
+    names = np.zeros(len(ids), np.int64)
+    for k in range(len(ids)):
+        hit = np.flatnonzero(leaders[:n] @ unit[k] >= least)
+        if len(hit):
+            out[k] = names[hit[0]]
+        else:
+            leaders[n], names[n], out[k], n = unit[k], ids[k], ids[k], n + 1
+    return pa.table({by: rows[by].take(pa.array(order)), "id": ids, "v": rows["v"].take(pa.array(order)), "leader": out})
+
+
+def leader_clusters(rows: DataFrame, by: str, id_: str, vec: str, least: float = 0.3, shortest: int = 2, scratch: Scratch | None = None, block: int = 4096) -> DataFrame:
+    """(by, id, leader): one pass in id order; a row joins the first leader at least so similar, else leads. Ids are unique.
+
+    Rows without a group are one. In rounds: the first rows of each group that are still open, so many at most, are settled among themselves in one task; their
+    leaders come before all later ones, so every later row that is like one of them is settled too, by blocks in all tasks. What is
+    left goes into the next round. No group meets in one task, and a round costs the rows left times the leaders found.
+    """
+    scratch = scratch or Scratch(rows.sparkSession, "leaders")
+    kind = rows.schema[by].dataType.simpleString()
+    left = scratch.keep(rows.select(F.coalesce(F.col(by).cast("string"), F.lit("\x00")).alias("cell"), F.col(id_).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).filter("v IS NOT NULL"))
+    done = []
+
+    def first_leader(later: pa.Table, leaders: pa.Table) -> pa.Table:
+        ids, names = later["id"].to_numpy(), leaders["id"].to_numpy()
+        found = np.full(len(ids), np.iinfo(np.int64).max)
+        if len(ids) and len(names):
+            q, order = unit_rows(later["v"]), np.argsort(names)
+            v, names = unit_rows(leaders["v"])[order], names[order]
+            for lo in range(0, len(ids), TILE):
+                for at in range(0, len(names), TILE):
+                    close = q[lo : lo + TILE] @ v[at : at + TILE].T >= least
+                    hit = np.where(close.any(axis=1), names[at + close.argmax(axis=1)], np.iinfo(np.int64).max)
+                    found[lo : lo + TILE] = np.minimum(found[lo : lo + TILE], hit)
+        met = found < np.iinfo(np.int64).max
+        return pa.table([pa.array(ids[met]), pa.array(found[met])], ["id", "leader"])
+
+    while not left.isEmpty():
+        rank = F.row_number().over(Window.partitionBy("cell").orderBy("id"))
+        head = left.withColumn("_r", rank).filter(F.col("_r") <= block).drop("_r")  # tasks keep so many of a group before the exchange
+        settled = scratch.keep(head.groupBy("cell").applyInArrow(lambda t: _settle(t, "cell", least), "cell string, id long, v array<double>, leader long"))
+        done.append(settled.select("cell", "id", "leader"))
+        cut = settled.groupBy("cell").agg(F.max("id").alias("_last"))
+        later = scratch.keep(left.join(cut, "cell").filter("id > _last").select("cell", "id", "v"))
+        scratch.drop(left)
+        if later.isEmpty():
+            break
+        joined = scratch.keep(grid(later, settled.filter("id = leader").select("id", "v", "cell"), first_leader, "id long, leader long").groupBy("id").agg(F.min("leader").alias("leader")))
+        done.append(later.select("cell", "id").join(joined, "id").select("cell", "id", "leader"))
+        left = scratch.keep(later.join(joined, "id", "left_anti"))
+    own = F.when(F.col("cell") != "\x00", F.col("cell")).cast(kind).alias(by)
+    if not done:
+        return left.select(own, "id", F.col("id").alias("leader"))
+    every = done[0]
+    for d in done[1:]:
+        every = every.unionByName(d)
+    every = scratch.keep(every)
+    large = every.groupBy("leader").agg(F.count("*").alias("n")).filter(F.col("n") >= shortest).select("leader")
+    return every.join(large, "leader", "left_semi").select(own, "id", "leader")

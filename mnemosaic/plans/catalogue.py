@@ -249,7 +249,10 @@ def mmr_select(spark, sf):
     return dense.mmr(pool, "q", 10)
 
 
-@query("leader_clusters")
+_ONE_PASS = "list_reduce(list([{'id': vec_id, 'v': embedding::DOUBLE[], 'leader': vec_id}] ORDER BY vec_id), lambda a, x: a || [{'id': x[1].id, 'v': x[1].v, 'leader': coalesce(list_filter(a, lambda y: y.leader = y.id AND list_cosine_similarity(y.v, x[1].v) >= 0.3e0)[1].id, x[1].id)}])"
+
+
+@query("leader_clusters", f"WITH w AS (SELECT label, unnest({_ONE_PASS}) AS r FROM embeddings GROUP BY label), o AS (SELECT CAST(label AS BIGINT) AS label, r.id AS id, r.leader AS leader FROM w) SELECT * FROM o WHERE leader IN (SELECT leader FROM o GROUP BY leader HAVING count(*) >= 2)")
 def leader_clusters(spark, sf):
     return dense.leader_clusters(vectors(spark, sf).withColumn("label", F.col("label").cast("long")), "label", "vec_id", "embedding")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as sc
 from ..functions import text as tx
 from ..functions import vector as vx
-from ..operators import codegraph, community, compress, consolidate, dense, evaluate, graph, hybrid, lifecycle, mining, reports, store, telemetry
+from ..operators import codegraph, community, compress, consolidate, dense, evaluate, graph, hybrid, jsonschema, lifecycle, mining, reports, store, telemetry
 from ..sources import nodes as src
 from ..sources.shared import Scratch
 from ..streaming import state
@@ -751,3 +751,25 @@ def code_graph_edges(spark, sf):
     later = files.filter("doc_id % 7 <> 3").withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.replace("content", F.lit("class B"), F.lit("class C"))).otherwise(F.col("content")))
     g.refresh(later)
     return g.edges()
+
+
+# ---- schemas of output ----
+
+#: Events as JSON results of tools: a field more in the second half of the month, a list from errors, and some that are no JSON.
+_RESULT = "CASE WHEN event_id % 50 = 7 THEN 'no json' WHEN event_type = 'error' THEN concat('[', event_id, ']') WHEN day(ts) > 15 THEN concat('{\"k\": ', event_id, ', \"s\": \"', event_type, '\"}') ELSE concat('{\"k\": ', event_id, '}') END"
+
+
+@query("json_schemas", f"SELECT event_type AS tool, CASE WHEN event_type = 'error' THEN 'ARRAY<BIGINT>' WHEN max(day(ts)) FILTER (WHERE event_id % 50 <> 7) > 15 THEN 'OBJECT<k: BIGINT, s: STRING>' ELSE 'OBJECT<k: BIGINT>' END AS schema, count(*) FILTER (WHERE event_id % 50 <> 7) AS n, count(*) FILTER (WHERE event_id % 50 = 7) AS broken FROM events GROUP BY event_type")
+def json_schemas(spark, sf):
+    return jsonschema.schemas(events(spark, sf).select(F.col("event_type").alias("tool"), F.expr(_RESULT).alias("text")), ["tool"], "text")
+
+
+@query("json_schema_changes", "WITH d AS (SELECT event_type AS tool, day(ts) AS period, CASE WHEN event_type = 'error' THEN 'ARRAY<BIGINT>' WHEN day(ts) > 15 THEN 'OBJECT<k: BIGINT, s: STRING>' ELSE 'OBJECT<k: BIGINT>' END AS schema FROM events WHERE event_id % 50 <> 7 GROUP BY ALL), l AS (SELECT *, lag(schema) OVER (PARTITION BY tool ORDER BY period) AS before FROM d) SELECT tool, CAST(period AS INT) AS period, schema, before FROM l WHERE schema IS DISTINCT FROM before")
+def json_schema_changes(spark, sf):
+    rows = events(spark, sf).select(F.col("event_type").alias("tool"), "ts", F.expr(_RESULT).alias("text"))
+    return jsonschema.changes(rows, ["tool"], F.dayofmonth("ts"), "text")
+
+
+@query("json_fields", "WITH r AS (SELECT event_type AS tool, unnest(CASE WHEN day(ts) > 15 THEN ['k', 's'] ELSE ['k'] END) AS field FROM events WHERE event_id % 50 <> 7 AND event_type <> 'error') SELECT tool, field, CASE field WHEN 'k' THEN 'BIGINT' ELSE 'STRING' END AS kind, count(*) AS n FROM r GROUP BY ALL")
+def json_fields(spark, sf):
+    return jsonschema.fields(events(spark, sf).select(F.col("event_type").alias("tool"), F.expr(_RESULT).alias("text")), ["tool"], "text")
