@@ -651,7 +651,7 @@ _G = "list_distinct([substr(text, i, 3) FOR i IN range(1, greatest(2, length(tex
 
 @query("trigram_dups", f"WITH o AS (SELECT conv_id, text, min(turn) AS id FROM conversations WHERE length(text) >= 3 GROUP BY ALL), g AS (SELECT conv_id, id, {_G} AS g FROM o), p AS (SELECT a.id AS a, b.id AS b, a.conv_id, len(list_intersect(a.g, b.g)) AS met, len(a.g) AS na, len(b.g) AS nb FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.id < b.id) SELECT a, b, round(met / CAST(na + nb - met AS DOUBLE), 6) AS similarity FROM p WHERE met / CAST(na + nb - met AS DOUBLE) >= 0.3")
 def trigram_dups(spark, sf):
-    turns = src.table(spark, sf, "conversations").filter("length(text) >= 3")
+    turns = src.table(spark, sf, "conversations")
     return compress.near_outputs(turns, "turn", "text", "conv_id", 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -756,9 +756,9 @@ def unseen_nodes(spark, sf):
 
 
 
-@query("compressed_clusters", rf"WITH {NODES}, m AS (SELECT project AS cluster, level, importance, id, content, list_filter(list_transform(string_split_regex(content, '[.!?\n]'), lambda x: trim(x)), lambda x: length(x) > 20) AS parts FROM nodes WHERE level < 3), l AS (SELECT cluster, concat('- ', coalesce(substr(parts[1], 1, 220), substr(content, 1, 220))) AS line, row_number() OVER (PARTITION BY cluster ORDER BY importance DESC, id) AS r FROM m), t AS (SELECT cluster, string_agg(line, chr(10) ORDER BY r) AS content FROM l WHERE r <= 50 GROUP BY cluster) SELECT m.cluster, max(level) + 1 AS level, round(max(importance) * 0.9e0, 6) AS importance, count(*) AS size, sha256(any_value(t.content)) AS content FROM m JOIN t ON t.cluster = m.cluster GROUP BY m.cluster HAVING count(*) > 1")
+@query("compressed_clusters", rf"WITH {NODES}, m AS (SELECT project AS cluster, level, importance, id, content, list_filter(list_transform(string_split_regex(content, '[.!?\n]'), lambda x: trim(x)), lambda x: length(x) > 20) AS parts FROM nodes), l AS (SELECT cluster, concat('- ', coalesce(substr(parts[1], 1, 220), substr(content, 1, 220))) AS line, row_number() OVER (PARTITION BY cluster ORDER BY importance DESC, id) AS r FROM m), t AS (SELECT cluster, string_agg(line, chr(10) ORDER BY r) AS content FROM l WHERE r <= 50 GROUP BY cluster) SELECT m.cluster, max(level) + 1 AS level, round(max(importance) * 0.9e0, 6) AS importance, count(*) AS size, sha256(any_value(t.content)) AS content FROM m JOIN t ON t.cluster = m.cluster GROUP BY m.cluster HAVING count(*) > 1")
 def compressed_clusters(spark, sf):
-    n = nodes(spark, sf).filter("level < 3")
+    n = nodes(spark, sf)
     made = consolidate.compress_clusters(n.select("id", F.col("project").alias("cluster")), n)
     return made.select("cluster", "level", F.round("importance", 6).alias("importance"), "size", F.sha2("content", 256).alias("content"))
 

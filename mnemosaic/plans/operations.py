@@ -212,17 +212,22 @@ def working_cache(spark, sf):
     return telemetry.working_cache(e, 1705000000000, ttl_ms=86_400_000).select("session_id", "id", "label", "importance")
 
 
-@query("root_causes", f"WITH {CALLS}, p AS (SELECT session_id, concat('t', id % 4) AS t, count(*) AS n FROM calls WHERE NOT success AND id % 6 = 0 GROUP BY ALL), b AS (SELECT session_id, count(*) AS k, max(n) AS m FROM p GROUP BY session_id) SELECT session_id, CASE WHEN k = 1 AND m >= 2 THEN 'bad-idea' WHEN k >= 2 AND m <= 2 THEN 'implementation-bug' ELSE 'unknown' END AS cause FROM b")
+def _sessions(spark, sf):
+    """All calls, those of a user parted into shorter sessions."""
+    return calls(spark, sf).withColumn("session_id", F.expr("session_id * 13 + id div 100"))
+
+
+@query("root_causes", f"WITH {CALLS}, p AS (SELECT session_id * 13 + id // 100 AS session_id, concat('t', id % 4) AS t, count(*) AS n FROM calls WHERE NOT success GROUP BY ALL), b AS (SELECT session_id, count(*) AS k, max(n) AS m FROM p GROUP BY session_id) SELECT session_id, CASE WHEN k = 1 AND m >= 2 THEN 'bad-idea' WHEN k >= 2 AND m <= 2 THEN 'implementation-bug' ELSE 'unknown' END AS cause FROM b")
 def root_causes(spark, sf):
-    c = calls(spark, sf).filter("id % 6 = 0").withColumn("tool", F.concat(F.lit("t"), F.col("id") % 4))
+    c = _sessions(spark, sf).withColumn("tool", F.concat(F.lit("t"), F.col("id") % 4))
     return telemetry.root_causes(c)
 
 
-_SIG = f"WITH {CALLS}, s AS (SELECT session_id, string_agg(DISTINCT concat('t', id % 3), ',' ORDER BY concat('t', id % 3)) AS signature, count(*) AS failures FROM calls WHERE NOT success AND id % 7 = 0 GROUP BY session_id)"
+_SIG = f"WITH {CALLS}, e AS (SELECT session_id * 13 + id // 100 AS session_id, concat('t', id % 3) AS t FROM calls WHERE NOT success), s AS (SELECT session_id, string_agg(DISTINCT t, ',' ORDER BY t) AS signature, count(*) AS failures FROM e GROUP BY session_id)"
 
 
 def _failing(spark, sf):
-    return calls(spark, sf).filter("id % 7 = 0").withColumn("tool", F.concat(F.lit("t"), F.col("id") % 3))
+    return _sessions(spark, sf).withColumn("tool", F.concat(F.lit("t"), F.col("id") % 3))
 
 
 @query("clustered_signatures", f"{_SIG} SELECT signature, count(*) AS n FROM s GROUP BY signature HAVING count(*) >= 3")
@@ -242,9 +247,9 @@ def work_captured(spark, sf):
     return mining.work_captured(c).withColumns({x: F.array_join(x, ",") for x in ("files", "tools")})
 
 
-@query("subtasks", "WITH c AS (SELECT user_id AS session_id, CASE event_type WHEN 'click' THEN 'edit' WHEN 'view' THEN 'read' WHEN 'purchase' THEN 'bash' WHEN 'signup' THEN 'grep' ELSE 'other' END AS tool, event_id % 2 = 0 AS checks FROM events WHERE event_id % 3 = 0), n AS (SELECT session_id, count(*) FILTER (WHERE tool = 'bash' AND checks) AS v, count(*) FILTER (WHERE tool = 'edit') AS e, count(*) FILTER (WHERE tool = 'grep') AS a, count(*) FILTER (WHERE tool = 'read') AS l FROM c GROUP BY session_id) SELECT session_id, CASE WHEN greatest(v, e, a, l) = 0 THEN NULL WHEN v = greatest(v, e, a, l) THEN 'validation' WHEN e = greatest(v, e, a, l) THEN 'editing' WHEN a = greatest(v, e, a, l) THEN 'analysis' ELSE 'localization' END AS subtask FROM n")
+@query("subtasks", "WITH c AS (SELECT user_id AS session_id, CASE event_type WHEN 'click' THEN 'edit' WHEN 'view' THEN 'read' WHEN 'purchase' THEN 'bash' WHEN 'signup' THEN 'grep' ELSE 'other' END AS tool, event_id % 2 = 0 AS checks FROM events), n AS (SELECT session_id, count(*) FILTER (WHERE tool = 'bash' AND checks) AS v, count(*) FILTER (WHERE tool = 'edit') AS e, count(*) FILTER (WHERE tool = 'grep') AS a, count(*) FILTER (WHERE tool = 'read') AS l FROM c GROUP BY session_id) SELECT session_id, CASE WHEN greatest(v, e, a, l) = 0 THEN NULL WHEN v = greatest(v, e, a, l) THEN 'validation' WHEN e = greatest(v, e, a, l) THEN 'editing' WHEN a = greatest(v, e, a, l) THEN 'analysis' ELSE 'localization' END AS subtask FROM n")
 def subtasks(spark, sf):
-    e = events(spark, sf).filter("event_id % 3 = 0")
+    e = events(spark, sf)
     tool = F.when(F.col("event_type") == "click", "edit").when(F.col("event_type") == "view", "read").when(F.col("event_type") == "purchase", "bash").when(F.col("event_type") == "signup", "grep").otherwise("other")
     return telemetry.subtask(e.select(F.col("user_id").alias("session_id"), tool.alias("tool"), F.when(F.col("event_id") % 2 == 0, "pytest -q").otherwise("echo hi").alias("command")))
 
@@ -305,10 +310,10 @@ def symbol_search(spark, sf):
     return graph.symbol_search(src.table(spark, sf, "customer").select(F.col("c_name").alias("label"), F.col("c_mktsegment").alias("file")), "Build")
 
 
-@query("file_context", "SELECT array_to_string((SELECT list(c_name ORDER BY c_custkey, c_name)[1:8] FROM customer WHERE c_nationkey = 3), ',') AS symbols, 'r' || n_regionkey AS imports, array_to_string((SELECT list(x ORDER BY x)[1:5] FROM (SELECT DISTINCT 's' || s_suppkey AS x FROM supplier WHERE s_nationkey = 3)), ',') AS dependents FROM nation WHERE n_nationkey = 3")
+@query("file_context", "SELECT array_to_string((SELECT list(c_name ORDER BY c_custkey, c_name)[1:8] FROM customer WHERE c_nationkey = 3), ',') AS symbols, 'r' || n_regionkey AS imports, array_to_string((SELECT list(x ORDER BY x)[1:5] FROM (SELECT 's' || s_suppkey AS x FROM supplier WHERE s_nationkey = 3 UNION SELECT 'c' || c_custkey FROM customer WHERE c_nationkey = 3)), ',') AS dependents FROM nation WHERE n_nationkey = 3")
 def file_context(spark, sf):
     symbols = src.table(spark, sf, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("file"), F.col("c_custkey").alias("line"), F.col("c_name").alias("label"))
-    edges = _places(spark, sf).filter("NOT startswith(src, 'c')").withColumn("edge_type", F.lit("imports"))
+    edges = _places(spark, sf).withColumn("edge_type", F.lit("imports"))
     found = graph.file_context(symbols, edges, "n3")
     return found.select(*[F.array_join(c, ",").alias(c) for c in ("symbols", "imports", "dependents")])
 
@@ -327,10 +332,10 @@ def hub_network(spark, sf):
     return reports.hub_network(n, "n6")
 
 
-@query("reference_edges", f"WITH {NODES}, r AS (SELECT id, concat('fact:topic', id % 70) AS label FROM nodes WHERE id % 3 = 0) SELECT DISTINCT r.id AS src, n.id AS dst, 'REFERENCES' AS edge_type, 0.8e0 AS confidence FROM r JOIN nodes n ON n.label = r.label WHERE n.id <> r.id")
+@query("reference_edges", f"WITH {NODES}, r AS (SELECT id, concat('fact:topic', id % 70) AS label FROM nodes) SELECT DISTINCT r.id AS src, n.id AS dst, 'REFERENCES' AS edge_type, 0.8e0 AS confidence FROM r JOIN nodes n ON n.label = r.label WHERE n.id <> r.id")
 def reference_edges(spark, sf):
     i = F.col("id")
-    said = _slim(spark, sf).filter("id % 3 = 0").select("id", F.concat(F.lit("as fact:topic"), i % 70, F.lit(" says, fact:topic"), i % 70, F.lit(" too")).alias("text"))
+    said = _slim(spark, sf).select("id", F.concat(F.lit("as fact:topic"), i % 70, F.lit(" says, fact:topic"), i % 70, F.lit(" too")).alias("text"))
     refs = said.select("id", F.explode(tx.label_refs(F.col("text"))).alias("label"))
     return graph.reference_edges(_slim(spark, sf), refs)
 
@@ -637,7 +642,7 @@ def top_strategies(spark, sf):
     return telemetry.top_strategies(events(spark, sf).select(F.when(i % 3 != 0, F.col("event_type")).alias("strategy"), F.when(i % 2 == 0, "auto").alias("mode"), (i % 300).alias("tokens"), (i % 7).alias("nodes")))
 
 
-@query("lesson_nodes", f"{_SIG}, f AS (SELECT signature, min(session_id) AS session_id, max(failures) AS failures FROM s WHERE failures >= 2 GROUP BY signature), p AS (SELECT session_id, concat('t', id % 3) AS t, count(*) AS n FROM calls WHERE NOT success AND id % 7 = 0 GROUP BY ALL), c AS (SELECT session_id, count(*) AS k, max(n) AS m FROM p GROUP BY session_id) SELECT f.session_id, concat('lesson:', f.session_id) AS label, signature, failures, CASE WHEN k = 1 AND m >= 2 THEN 'bad-idea' WHEN k >= 2 AND m <= 2 THEN 'implementation-bug' ELSE 'unknown' END AS cause, CASE WHEN f.session_id % 2 = 0 AND f.session_id < (SELECT count(*) FROM documents) THEN f.session_id END AS parent_id FROM f JOIN c USING (session_id)")
+@query("lesson_nodes", f"{_SIG}, f AS (SELECT signature, min(session_id) AS session_id, max(failures) AS failures FROM s WHERE failures >= 2 GROUP BY signature), p AS (SELECT session_id, t, count(*) AS n FROM e GROUP BY ALL), c AS (SELECT session_id, count(*) AS k, max(n) AS m FROM p GROUP BY session_id) SELECT f.session_id, concat('lesson:', f.session_id) AS label, signature, failures, CASE WHEN k = 1 AND m >= 2 THEN 'bad-idea' WHEN k >= 2 AND m <= 2 THEN 'implementation-bug' ELSE 'unknown' END AS cause, CASE WHEN f.session_id % 2 = 0 AND f.session_id < (SELECT count(*) FROM documents) THEN f.session_id END AS parent_id FROM f JOIN c USING (session_id)")
 def lesson_nodes(spark, sf):
     contexts = _slim(spark, sf).filter("id % 2 = 0").select("id", F.concat(F.lit("storedcontext:"), "id").alias("label"))
     return mining.lesson_nodes(_failing(spark, sf), contexts, spark.createDataFrame([], "signature string"))
