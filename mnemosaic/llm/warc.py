@@ -224,7 +224,8 @@ def lookup(urls: DataFrame, root: str, column: str = "url") -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = _files(root)
-        name, place, keys, spans, blocks = None, None, [], [], None
+        name, place, keys, spans, blocks, held = None, None, [], [], None, []
+        number = lambda x: int(x) if x else None
         for b in batches:
             for key, shard in zip(b.column("key").to_pylist(), b.column("shard").to_pylist()):
                 key = key.encode()
@@ -239,10 +240,12 @@ def lookup(urls: DataFrame, root: str, column: str = "url") -> DataFrame:
                     if k != place:  # keys come in order, so a block is read once
                         lines = [x.split(b"\t") for x in zlib.decompress(blocks.read_at(spans[k][1], spans[k][0]), 31).split(b"\n")[:-1]]
                         place, own = k, [x[0] for x in lines]
-                    found = lines[bisect_left(own, key) : bisect_right(own, key)]
-                    if found:
-                        number = lambda x: int(x) if x else None
-                        yield _batch([(x[0].decode(), int(x[1]), number(x[2]), x[3].decode(), int(x[4]), int(x[5]), x[6].decode(), x[7].decode()) for x in found], CAPTURE)
+                    for x in lines[bisect_left(own, key) : bisect_right(own, key)]:
+                        held.append((x[0].decode(), int(x[1]), number(x[2]), x[3].decode(), int(x[4]), int(x[5]), x[6].decode(), x[7].decode()))
+                    if len(held) >= BLOCK:
+                        yield _batch(held, CAPTURE)
+                        held = []
+        yield _batch(held, CAPTURE)
         if blocks is not None:
             blocks.close()
 
