@@ -67,7 +67,7 @@ class VectorIndex:
         part = rows.filter(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.2 * SAMPLE / max(n, 1)))).limit(SAMPLE).select("v").toArrow()
         sample = dense.unit_rows(part["v"])
         centres = learned(sample, cells) if n else np.zeros((0, 0))
-        segment = state["next"]
+        segment = self.segments.number(state)
         kept = [(k, c.tolist()) for k, c in enumerate(centres)]
         self.spark.createDataFrame(kept, "cell int, centre array<double>").coalesce(1).write.parquet(self.segments.path(segment, "centres"))
         self._write(rows, centres, segment)
@@ -89,14 +89,14 @@ class VectorIndex:
         centres = self._centres(state)
         if not len(centres):
             return self.build(vectors, id_, vec)
-        segment = state["next"]
+        segment = self.segments.number(state)
         self._write(vectors.select(F.col(id_).cast("long").alias("id"), F.col(vec).cast("array<float>").alias("v")).filter("v IS NOT NULL"), centres, segment)
         self.segments.publish(state | {"live": [*state["live"], segment], "next": segment + 1})
 
     def delete(self, ids: DataFrame, id_: str = "id") -> None:
         """All points of these ids go; the same ids may be inserted again."""
         state = self.segments.state()
-        segment = state["next"]
+        segment = self.segments.number(state)
         ids.select(F.col(id_).cast("long").alias("id")).distinct().write.parquet(self.segments.path(segment, "gone"))
         self.segments.publish(state | {"live": [*state["live"], segment], "next": segment + 1})
 

@@ -107,7 +107,7 @@ class CodeGraph:
 
     def _apply(self, changed: DataFrame, removed: DataFrame) -> int:
         state = self.segments.state()
-        segment = state["next"]
+        segment = self.segments.number(state)
         at = lambda table: self.segments.path(segment, table)
         changed.select("path", "hash").write.parquet(at("files"))
         facts(changed).write.parquet(at("facts"))
@@ -132,7 +132,7 @@ class CodeGraph:
     def compact(self) -> None:
         """One segment of what is live."""
         state = self.segments.state()
-        segment = state["next"]
+        segment = self.segments.number(state)
         self.files().write.parquet(self.segments.path(segment, "files"))
         self.facts().write.parquet(self.segments.path(segment, "facts"))
         self.segments.publish({"live": [segment], "next": segment + 1})

@@ -10,6 +10,7 @@ numbers that its terms and lengths take away from the statistics. merge() makes
 from __future__ import annotations
 
 import math
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,7 +28,15 @@ TERM, TOTAL, GONE = "scope string, term string, df bigint", "scope string, n big
 
 
 def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.crc32(term), F.lit(BUCKETS)).cast("int")
+
+
+def _bucket_of(term: str) -> int:
+    return zlib.crc32(term.encode()) % BUCKETS
+
+
+def _total(state: dict) -> list[int]:
+    return [state.get("n", 0), state.get("length", 0)]
 
 
 class InvertedIndex:
@@ -45,14 +54,16 @@ class InvertedIndex:
         own = F.col(scope).cast("string") if scope else F.lit(None).cast("string")
         return rows.select(F.col(id_).cast("long").alias("id"), own.alias("scope"), tokens(F.coalesce(text, F.lit(""))).alias("t"))
 
-    def _statistics(self, counted: DataFrame, segment: int, sign: int) -> None:
+    def _statistics(self, counted: DataFrame, segment: int, sign: int) -> list[int]:
+        """Writes rows and lengths by scope, and gives those of all."""
         counted.groupBy("scope").agg((F.count("*") * sign).alias("n"), (F.sum(F.size("t")) * sign).cast("long").alias("length")).write.parquet(self.segments.path(segment, "totals"))
+        return list(self.spark.read.schema(TOTAL).parquet(self.segments.path(segment, "totals")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first())
 
-    def _write(self, counted: DataFrame, segment: int) -> None:
+    def _write(self, counted: DataFrame, segment: int) -> list[int]:
         at = lambda table: self.segments.path(segment, table)
         counted.withColumn("row", F.monotonically_increasing_id()).write.parquet(at("rows"))
         rows = self.spark.read.parquet(at("rows"))
-        self._statistics(rows, segment, 1)
+        total = self._statistics(rows, segment, 1)
         words = rows.select("id", "scope", F.shiftright("row", BLOCK_BITS).alias("block"), F.size("t").alias("dl"), F.explode("t").alias("term"))
         found = words.groupBy("scope", "block", "term", "id", "dl").agg(F.count("*").cast("int").alias("tf"))
         entry = F.array_sort(F.collect_list(F.struct("id", "tf", "dl")))  # the rows of a block at most
@@ -65,47 +76,54 @@ class InvertedIndex:
         bounds.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(at("bounds"))
         df = self.spark.read.parquet(at("bounds")).groupBy("scope", "term", "bucket").agg(F.sum("n").alias("df"))
         df.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(at("terms"))
+        return total
+
+    def _publish(self, live: list[int], *totals: list[int]) -> None:
+        n, length = (sum(x) for x in zip(*totals))
+        self.segments.publish({"live": live, "next": max(live) + 1, "n": n, "length": length})
 
     def _begin(self) -> tuple[dict, int]:
         state = self.segments.state()
-        return state, state["next"]
+        return state, self.segments.number(state)
 
     def insert(self, rows: DataFrame, id_: str, text: Column, scope: str | None = None) -> None:
         state, segment = self._begin()
-        self._write(self._counted(rows, id_, text, scope), segment)
-        self.segments.publish({"live": [*state["live"], segment], "next": segment + 1})
+        total = self._write(self._counted(rows, id_, text, scope), segment)
+        self._publish([*state["live"], segment], _total(state), total)
 
-    def _take_out(self, old: DataFrame, segment: int) -> None:
+    def _take_out(self, old: DataFrame, segment: int) -> list[int]:
         """old: rows as they were counted. Their ids go from the segments before, their numbers from the statistics."""
         at = lambda table: self.segments.path(segment, table)
         old.select("id").write.parquet(at("gone"))
-        self._statistics(old, segment, -1)
+        total = self._statistics(old, segment, -1)
         terms = old.select("scope", F.explode(F.array_distinct("t")).alias("term")).groupBy("scope", "term").agg((-F.count("*")).alias("df"))
         terms.withColumn("bucket", _bucket(F.col("term"))).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(at("terms"))
+        return total
 
     def delete(self, ids: DataFrame, id_: str = "id") -> None:
         """Rows of these ids go. Ids that aren't there change nothing."""
         state, segment = self._begin()
-        self._take_out(self._live_rows(state["live"]).join(ids.select(F.col(id_).cast("long").alias("id")).distinct(), "id", "left_semi"), segment)
-        self.segments.publish({"live": [*state["live"], segment], "next": segment + 1})
+        total = self._take_out(self._live_rows(state["live"]).join(ids.select(F.col(id_).cast("long").alias("id")).distinct(), "id", "left_semi"), segment)
+        self._publish([*state["live"], segment], _total(state), total)
 
     def update(self, rows: DataFrame, id_: str, text: Column, scope: str | None = None) -> None:
         """Rows of these ids as they are now: what was there under the ids goes, in one publication with the insertion."""
         state, segment = self._begin()
         new = self._counted(rows, id_, text, scope)
-        self._take_out(self._live_rows(state["live"]).join(new.select("id").distinct(), "id", "left_semi"), segment)
-        self._write(new, segment + 1)
-        self.segments.publish({"live": [*state["live"], segment, segment + 1], "next": segment + 2})
+        less = self._take_out(self._live_rows(state["live"]).join(new.select("id").distinct(), "id", "left_semi"), segment)
+        more = self._write(new, segment + 1)
+        self._publish([*state["live"], segment, segment + 1], _total(state), less, more)
 
     def merge(self) -> None:
         """One segment of all live rows. Readers of the last state go on with its files until clean()."""
         state, segment = self._begin()
-        self._write(self._live_rows(state["live"]), segment)
-        self.segments.publish({"live": [segment], "next": segment + 1})
+        self._publish([segment], self._write(self._live_rows(state["live"]), segment))
 
     # ---- reading ----
 
     def _without_gone(self, rows: DataFrame, live: list[int]) -> DataFrame:
+        if not self.segments.having("gone", live):
+            return rows
         gone = self.segments.read("gone", live, GONE).groupBy("id").agg(F.max("segment").alias("until"))
         return rows.join(gone, (rows["id"] == gone["id"]) & (rows["segment"] < gone["until"]), "left_anti")
 
@@ -114,15 +132,14 @@ class InvertedIndex:
         return self._without_gone(rows, live).select("id", "scope", "t")
 
     def _of_terms(self, table: str, schema: str, live: list[int], terms: list[str]) -> DataFrame:
-        """Only the folders of the terms' buckets are read."""
-        buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(_bucket(F.col("t"))).distinct().collect()]
-        return self.segments.read(table, live, f"{schema}, bucket int").filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+        """Only the folders of the terms' buckets are listed and read."""
+        buckets = [f"bucket={_bucket_of(t)}" for t in terms]
+        return self.segments.read(table, live, f"{schema}, bucket int", buckets).filter(F.col("term").isin(terms))
 
     def _scored(self, live: list[int], entries: DataFrame, wanted: list[str], weigh: DataFrame | None, idf: dict[str, float] | None, avgdl: float | None) -> DataFrame:
         """(id, scope, raw): sums over the terms. Statistics are numbers, or by scope and term in weigh(scope, term, idf, avgdl)."""
         one = entries.select("scope", "term", "segment", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("e")).select("scope", "term", "segment", F.col("e.ids").alias("id"), F.col("e.tfs").alias("tf"), F.col("e.dls").alias("dl"))
-        if self.segments.read("gone", live, GONE).isEmpty() is False:
-            one = self._without_gone(one, live)
+        one = self._without_gone(one, live)
         if weigh is None:
             table = F.create_map(*[F.lit(x) for t, v in idf.items() for x in (t, v)])
             one = one.withColumns({"idf": F.element_at(table, F.col("term")), "avgdl": F.lit(avgdl)})
@@ -133,16 +150,17 @@ class InvertedIndex:
         part = F.element_at(times, F.col("term")) * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         return one.groupBy("id", "scope").agg(F.sum(part).alias("raw"))
 
-    def _numbers(self, live: list[int], terms: list[str]) -> tuple[int, float, dict[str, float]]:
-        """Rows, mean length, and the weight of each term that occurs: one number for each term reaches the driver."""
-        n, length = self.segments.read("totals", live, TOTAL).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    def _numbers(self, state: dict, terms: list[str]) -> tuple[float, dict[str, float]]:
+        """The mean length, and the weight of each term that occurs: one number for each term reaches the driver."""
+        live, (n, length) = state["live"], _total(state)
         df = {r.term: r.df for r in self._of_terms("terms", TERM, live, terms).groupBy("term").agg(F.sum("df").alias("df")).collect() if r.df > 0}
-        return n, length / n if n else 0.0, {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+        return length / n if n else 0.0, {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
 
     def raw(self, query: str) -> DataFrame:
         """(id, raw) of all rows that have a term of the query, by statistics of all rows."""
-        live, wanted = self.segments.state()["live"], query_terms(query)
-        n, avgdl, idf = self._numbers(live, sorted(set(wanted))) if wanted else (0, 0.0, {})
+        state, wanted = self.segments.state(), query_terms(query)
+        live = state["live"]
+        avgdl, idf = self._numbers(state, sorted(set(wanted))) if wanted else (0.0, {})
         if not idf:
             return self.spark.createDataFrame([], "id bigint, raw double")
         return self._scored(live, self._of_terms("entries", ENTRY, live, sorted(idf)), wanted, None, idf, avgdl).select("id", "raw")
@@ -157,24 +175,33 @@ class InvertedIndex:
         weight = F.element_at(F.create_map(*[F.lit(x) for t, v in times.items() for x in (t, v)]), F.col("term"))
         most = weight * F.col("max_tf") * (K1 + 1) / (F.col("max_tf") + K1 * (1 - B + B * F.col("min_dl") / avgdl))
         blocks = self._of_terms("bounds", BOUND, live, terms).groupBy("segment", "block").agg(F.sum(most).alias("bound"), F.max("n").alias("n"))
-        promising = blocks.orderBy(F.desc("bound"), "segment", "block").limit(max(4, 2 * limit >> BLOCK_BITS)).collect()  # a few blocks hold the list
+        listed = blocks.orderBy(F.desc("bound"), "segment", "block").limit(NAMED + 1).collect()
         entries = self._of_terms("entries", ENTRY, live, terms)
-        among = lambda rows: entries.filter(F.col("block").isin([r.block for r in rows])).join(F.broadcast(self.spark.createDataFrame([(r.segment, r.block) for r in rows], "segment int, block bigint")), ["segment", "block"], "left_semi")
-        reached = self._scored(live, among(promising), wanted, None, idf, avgdl).orderBy(F.desc("raw")).limit(limit).collect()
+        scored = lambda rows: self._scored(live, rows, wanted, None, idf, avgdl).select("id", "raw")
+
+        def among(rows) -> DataFrame:
+            pairs = F.broadcast(self.spark.createDataFrame([(r.segment, r.block) for r in rows], "segment int, block bigint"))
+            return entries.filter(F.col("block").isin([r.block for r in rows])).join(pairs, ["segment", "block"], "left_semi")
+
+        first = max(4, 2 * limit >> BLOCK_BITS)  # a few blocks hold a list as long
+        reached = scored(among(listed[:first])).orderBy(F.desc("raw"), "id").limit(limit).collect()
         if len(reached) < limit:
-            return self._scored(live, entries, wanted, None, idf, avgdl).select("id", "raw")
-        worth = blocks.filter(F.col("bound") >= reached[-1].raw * (1 - 1e-12)).select("segment", "block")
-        few = worth.limit(NAMED + 1).collect()
-        chosen = among(few) if len(few) <= NAMED else entries.join(worth, ["segment", "block"], "left_semi")
-        return self._scored(live, chosen, wanted, None, idf, avgdl).select("id", "raw")
+            return scored(entries)
+        least = reached[-1].raw * (1 - 1e-12)
+        worth = [r for r in listed if r.bound >= least]
+        if len(worth) <= first:  # nothing else can be among the best
+            return self.spark.createDataFrame(reached, "id bigint, raw double")
+        if len(worth) <= NAMED:
+            return scored(among(worth))
+        return scored(entries.join(blocks.filter(F.col("bound") >= least).select("segment", "block"), ["segment", "block"], "left_semi"))
 
     def bm25_topk(self, query: str, limit: int) -> DataFrame:
         """(id, score): the rows of lexical.bm25_topk, from the blocks that can hold them."""
-        live, wanted = self.segments.state()["live"], query_terms(query)
-        _, avgdl, idf = self._numbers(live, sorted(set(wanted))) if wanted else (0, 0.0, {})
+        state, wanted = self.segments.state(), query_terms(query)
+        avgdl, idf = self._numbers(state, sorted(set(wanted))) if wanted else (0.0, {})
         if not idf:
             return self.spark.createDataFrame([], "id bigint, score double")
-        best = self._best(live, wanted, idf, avgdl, limit).orderBy(F.desc("raw"), "id").limit(limit)
+        best = self._best(state["live"], wanted, idf, avgdl, limit).orderBy(F.desc("raw"), "id").limit(limit)
         top = F.max("raw").over(Window.partitionBy(F.lit(0)))  # limit rows at most
         return best.select("id", (F.col("raw") / F.greatest(top, F.lit(1.0))).alias("score")).orderBy(F.desc("score"), "id")
 

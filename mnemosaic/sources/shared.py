@@ -64,7 +64,12 @@ def put_text(spark: SparkSession, name: str, text: str) -> None:
 
 
 def get_text(spark: SparkSession, name: str) -> str:
-    return "\n".join(r.value for r in spark.read.text(name, wholetext=True).collect())
+    fs, path = _path(spark, name)
+    stream = fs.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def application_dir(spark: SparkSession) -> str:
@@ -148,13 +153,26 @@ class Segments:
         found = self._manifests()
         put_text(self.spark, f"{self.root}/manifests/{(found[-1] if found else -1) + 1}.json", json.dumps(state))
 
+    def number(self, state: dict) -> int:
+        """The number for a new segment: behind all there are, those of writers that failed among them."""
+        tables = [t for t in names(self.spark, self.root) if t != "manifests"]
+        taken = [int(n.removeprefix("segment=")) for t in tables for n in names(self.spark, f"{self.root}/{t}") if n.startswith("segment=")]
+        return max([state["next"] - 1, *taken]) + 1
+
     def path(self, segment: int, table: str) -> str:
         return f"{self.root}/{table}/segment={segment}"
 
-    def read(self, table: str, live: list[int], schema: str) -> DataFrame:
-        """Rows of the live segments' tables with their segment, in one scan; no rows if none has the table."""
-        there = {n.removeprefix("segment=") for n in names(self.spark, f"{self.root}/{table}")}
-        paths = [self.path(s, table) for s in live if str(s) in there]
+    def read(self, table: str, live: list[int], schema: str, parts: list[str] | None = None) -> DataFrame:
+        """Rows of the live segments' tables with their segment, in one scan; no rows if none has the table. With parts only these of its partitions are listed and read."""
+        there = self.having(table, live)
+        paths = [self.path(s, table) for s in there]
+        if parts is not None:
+            paths = [f"{p}/{part}" for p in paths for part in sorted(set(parts) & set(names(self.spark, p)))]
         if not paths:
             return self.spark.createDataFrame([], f"{schema}, segment int")
         return self.spark.read.schema(f"{schema}, segment int").option("basePath", f"{self.root}/{table}").parquet(*paths)
+
+    def having(self, table: str, live: list[int]) -> list[int]:
+        """The live segments that have the table."""
+        there = {n.removeprefix("segment=") for n in names(self.spark, f"{self.root}/{table}")}
+        return [s for s in live if str(s) in there]

@@ -69,7 +69,7 @@ def test_a_failed_writer_leaves_the_last_state(spark):
     segments.publish({"live": [0], "next": 1})
     spark.range(3).write.parquet(segments.path(1, "t"))  # and no publication
     assert segments.state() == {"live": [0], "next": 1} and segments.read("t", [0], "id bigint").count() == 0
-    assert names(spark, f"{segments.root}/manifests") == ["0.json"]
+    assert names(spark, f"{segments.root}/manifests") == ["0.json"] and segments.number(segments.state()) == 2
 
 
 def test_vector_index_inserts_deletes_and_finds(spark, sf):
