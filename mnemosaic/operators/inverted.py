@@ -2,7 +2,8 @@
 
 A segment has the postings of its rows in blocks: a block is up to 2^BLOCK_BITS rows of a scope by their number, and an entry is one
 term of a block with the rows' ids, frequencies and lengths, the largest frequency and the least length. Entries are written by
-bucket of the term, so that a query reads the buckets of its terms only; the bounds are a table of their own, without the lists.
+bucket of the term, so that a query reads the buckets of its terms only; the bounds are a table of their own, without the lists,
+sorted by term like the table of document frequencies.
 A row is inserted into a new segment. A removal is a segment too: ids that no longer count in the segments before it, and the
 numbers that its terms and lengths take away from the statistics. merge() makes one segment of all.
 """
@@ -72,12 +73,15 @@ class InvertedIndex:
         dealt = blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "scope", "block")
         dealt.write.partitionBy("bucket").parquet(at("entries"))
         kept = self.spark.read.parquet(at("entries"))
-        bounds = kept.select("scope", "term", "block", F.size("ids").alias("n"), F.array_max("tfs").alias("max_tf"), F.array_min("dls").alias("min_dl"), "bucket")
-        bounds.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(at("bounds"))
-        df = self.spark.read.parquet(at("bounds")).groupBy("scope", "term", "bucket").agg(F.sum("n").alias("df"))
-        df.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(at("terms"))
+        bounds = kept.select("scope", "term", "block", F.size("ids").alias("n"), F.array_max("tfs").alias("max_tf"), F.array_min("dls").alias("min_dl"))
+        self._sorted(bounds, at("bounds"))
+        self._sorted(self.spark.read.parquet(at("bounds")).groupBy("scope", "term").agg(F.sum("n").alias("df")), at("terms"))
         return total
 
+    def _sorted(self, rows: DataFrame, path: str) -> None:
+        """A small table by ranges of its terms, so that the bounds in its files say which of them a query needs."""
+        rows.repartitionByRange("term").sortWithinPartitions("term").write.parquet(path)
+
     def _publish(self, live: list[int], *totals: list[int]) -> None:
         n, length = (sum(x) for x in zip(*totals))
         self.segments.publish({"live": live, "next": max(live) + 1, "n": n, "length": length})
@@ -97,7 +101,7 @@ class InvertedIndex:
         old.select("id").write.parquet(at("gone"))
         total = self._statistics(old, segment, -1)
         terms = old.select("scope", F.explode(F.array_distinct("t")).alias("term")).groupBy("scope", "term").agg((-F.count("*")).alias("df"))
-        terms.withColumn("bucket", _bucket(F.col("term"))).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(at("terms"))
+        self._sorted(terms, at("terms"))
         return total
 
     def delete(self, ids: DataFrame, id_: str = "id") -> None:
@@ -132,9 +136,10 @@ class InvertedIndex:
         return self._without_gone(rows, live).select("id", "scope", "t")
 
     def _of_terms(self, table: str, schema: str, live: list[int], terms: list[str]) -> DataFrame:
-        """Only the folders of the terms' buckets are listed and read."""
-        buckets = [f"bucket={_bucket_of(t)}" for t in terms]
-        return self.segments.read(table, live, f"{schema}, bucket int", buckets).filter(F.col("term").isin(terms))
+        """Of entries only the folders of the terms' buckets are listed and read."""
+        if table != "entries":
+            return self.segments.read(table, live, schema).filter(F.col("term").isin(terms))
+        return self.segments.read(table, live, f"{schema}, bucket int", [f"bucket={_bucket_of(t)}" for t in terms]).filter(F.col("term").isin(terms))
 
     def _scored(self, live: list[int], entries: DataFrame, wanted: list[str], weigh: DataFrame | None, idf: dict[str, float] | None, avgdl: float | None) -> DataFrame:
         """(id, scope, raw): sums over the terms. Statistics are numbers, or by scope and term in weigh(scope, term, idf, avgdl)."""
