@@ -28,9 +28,28 @@ def structured_summary(rows: DataFrame, id_: str, text: str, most: int = 5) -> D
 
 
 #: What lines of a cluster's contents are about, and the names of files and tools in them.
-DECIDES = r"(?i)decides?:?\s*|chose\s+\w+|agreed\s+(to|that)|settled\s+on|opted\s+(for|in)|will\s+use|using\s+\w+\s+for"
-COMES_NEXT = r"(?i)^[-*]\s*(next|todo|will|should|need to|plan to)|next\s+step|pending|^#+\s*(next|todo|tasks?)"
-TEACHES = r"(?i)learned:?\s*|pattern:?\s*|convention:?\s*|architecture|design\s+decision"
+DECIDES = "(?i)" + "|".join([
+    r"decides?:?\s*",
+    r"chose\s+\w+",
+    r"agreed\s+(to|that)",
+    r"settled\s+on",
+    r"opted\s+(for|in)",
+    r"will\s+use",
+    r"using\s+\w+\s+for",
+])
+COMES_NEXT = "(?i)" + "|".join([
+    r"^[-*]\s*(next|todo|will|should|need to|plan to)",
+    r"next\s+step",
+    r"pending",
+    r"^#+\s*(next|todo|tasks?)",
+])
+TEACHES = "(?i)" + "|".join([
+    r"learned:?\s*",
+    r"pattern:?\s*",
+    r"convention:?\s*",
+    r"architecture",
+    r"design\s+decision",
+])
 FILE_NAME = r"(?i)\b[\w-]+\.(?:ts|js|tsx|jsx|py|md|json|yml|yaml|sql|sh)\b"
 TOOL_NAME = r"(?i)\b(?:memory_\w+|journal_\w+|bash|git|npm|bun|tsc|test)\b"
 

@@ -48,7 +48,7 @@ def intent_distribution(rows: DataFrame, text: Column) -> DataFrame:
 
 
 #: Verbs that make a line a fact.
-FACT = r"(?i)(is|was|has|uses|located|stored|created|called|defined|implements|extends|returns|requires|depends|provides|handles|contains|supports)"
+FACT = "(?i)(" + "|".join("is was has uses located stored created called defined implements extends returns requires depends provides handles contains supports".split()) + ")"
 
 
 def lines(rows: DataFrame, id_: str, text: str, *keep: str) -> DataFrame:
@@ -68,9 +68,31 @@ def fact_lines(rows: DataFrame, id_: str, text: str, by: str, most: int, shortes
 FILES = r"(?i)\b[\w-]+\.(?:ts|js|tsx|jsx|py|md|json|yml|yaml|sql|sh|css|html)\b"
 TOOLS = r"(?i)\b(?:memory_\w+|journal_\w+|git|npm|bun|tsc|test|make|cmake|pip|python|node)\b"
 SAYINGS = {
-    "convention": r"(?i)(?:convention:?\s*|standard:?\s*|best\s+practice|always\s+(?:use|run|follow)|never\s+(?:use|do)|rule:?\s*)",
-    "preference": r"(?i)(?:user\s+(?:prefers?|likes?|wants?)|prefers?\s+\w+|likes?\s+\w+|uses?\s+\w+|favorite:?\s*)",
-    "decision": r"(?i)(?:decided?\s+(?:to|on|that)|chose\s+\w+|agreed?\s+(?:to|that)|will\s+use|using\s+\w+\s+for)",
+    category: "(?i)(?:" + "|".join(patterns_) + ")"
+    for category, patterns_ in {
+        "convention": [
+            r"convention:?\s*",
+            r"standard:?\s*",
+            r"best\s+practice",
+            r"always\s+(?:use|run|follow)",
+            r"never\s+(?:use|do)",
+            r"rule:?\s*",
+        ],
+        "preference": [
+            r"user\s+(?:prefers?|likes?|wants?)",
+            r"prefers?\s+\w+",
+            r"likes?\s+\w+",
+            r"uses?\s+\w+",
+            r"favorite:?\s*",
+        ],
+        "decision": [
+            r"decided?\s+(?:to|on|that)",
+            r"chose\s+\w+",
+            r"agreed?\s+(?:to|that)",
+            r"will\s+use",
+            r"using\s+\w+\s+for",
+        ],
+    }.items()
 }
 
 

@@ -316,7 +316,10 @@ def keyword_rerank(spark, sf):
     return hybrid.keyword_rerank(pool, "the and fact", 10).select("id", F.round("final", 6).alias("final"))
 
 
-@query("budget_pack")
+_PACK = "list_reduce(list([{'id': id, 'cost': cost, 'used': CASE WHEN cost <= 8000 THEN cost ELSE 0 END, 'taken': cost <= 8000}] ORDER BY r), lambda a, x: a || [{'id': x[1].id, 'cost': x[1].cost, 'used': a[-1].used + CASE WHEN a[-1].used + x[1].cost <= 8000 THEN x[1].cost ELSE 0 END, 'taken': a[-1].used + x[1].cost <= 8000}])"
+
+
+@query("budget_pack", f"WITH {NODES}, c AS (SELECT project, id, CAST(ceil(length(content) / 4e0) AS BIGINT) AS cost, row_number() OVER (PARTITION BY project ORDER BY importance DESC, id) AS r FROM nodes), w AS (SELECT project, {_PACK} AS w FROM c WHERE r <= 100 GROUP BY project), u AS (SELECT project, w[-1].used AS used, unnest(list_filter(w, lambda y: y.taken)) AS x, generate_subscripts(list_filter(w, lambda y: y.taken), 1) - 1 AS place FROM w) SELECT project, CAST(place AS INT) AS place, x.id AS id, used FROM u")
 def budget_pack(spark, sf):
     """The hundred best of each project, which is what a search hands over, into a budget."""
     scored = nodes(spark, sf).select("project", "id", F.col("importance").alias("score"), F.ceil(F.length("content") / 4).alias("cost"))

@@ -18,7 +18,7 @@ _KEPT: dict[tuple[str, str, str], object] = {}
 
 def _once(spark: SparkSession, name: str, sf: str, kind, build: Callable) -> object:
     key = (spark.sparkContext.applicationId, name, sf)
-    if key not in _KEPT:
+    if key not in _KEPT or not _KEPT[key].segments.state()["live"]:  # the shared folder may have been emptied
         index = kind(spark, f"{application_dir(spark)}/kept/{name}-{hashlib.sha256(sf.encode()).hexdigest()[:12]}")
         build(index)
         _KEPT[key] = index

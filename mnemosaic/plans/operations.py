@@ -10,7 +10,7 @@ from ..functions import vector as vx
 from ..operators import codegraph, community, compress, consolidate, dense, evaluate, graph, hybrid, jsonschema, lifecycle, mining, reports, store, telemetry
 from ..sources import nodes as src
 from ..sources.shared import Scratch
-from ..streaming import state
+from ..streaming import cache, dispatch, sessions, state
 from . import kept
 from .catalogue import CALLS, NODES, NOW, QUERY, QVEC, SQL, TOK, _COS, _Q, _places, calls, docs, events, nodes, query, vectors
 
@@ -778,3 +778,61 @@ def json_schema_changes(spark, sf):
 @query("json_fields", "WITH r AS (SELECT event_type AS tool, unnest(CASE WHEN day(ts) > 15 THEN ['k', 's'] ELSE ['k'] END) AS field FROM events WHERE event_id % 50 <> 7 AND event_type <> 'error') SELECT tool, field, CASE field WHEN 'k' THEN 'BIGINT' ELSE 'STRING' END AS kind, count(*) AS n FROM r GROUP BY ALL")
 def json_fields(spark, sf):
     return jsonschema.fields(events(spark, sf).select(F.col("event_type").alias("tool"), F.expr(_RESULT).alias("text")), ["tool"], "text")
+
+
+# ---- streams over all events, as they run ----
+
+
+def _event_stream(spark, sf):
+    """A pattern, as a stream's path is a folder or a pattern, and the table may be one file."""
+    return sessions.events(spark, f"{sf}/event[s].parquet", spark.read.parquet(f"{sf}/events.parquet").schema)
+
+
+@query("stream_kept_outputs", "WITH k AS (SELECT user_id AS session_id, event_id AS id, ts, substr(sha256(event_type), 1, 16) AS key FROM events), w AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 3600000000, false) AS cached FROM k WINDOW w AS (PARTITION BY session_id, key ORDER BY ts, id)), g AS (SELECT *, sum(CASE WHEN cached THEN 0 ELSE 1 END) OVER (PARTITION BY session_id, key ORDER BY ts, id) AS run FROM w) SELECT session_id, id, key, first_value(id) OVER (PARTITION BY session_id, key, run ORDER BY ts, id) AS first_id, cached FROM g")
+def stream_kept_outputs(spark, sf):
+    """The output cache as a stream, to its end."""
+    root = Scratch(spark, "stream").root
+    rows = _event_stream(spark, sf).select(F.col("user_id").alias("session_id"), F.col("event_id").alias("id"), "ts", F.col("event_type").alias("output"))
+    sessions.run_available(cache.kept_outputs(rows), f"{root}/out", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out")
+
+
+_KINDS = {"click": "message.updated", "view": "file.edited", "error": "session.idle", "purchase": "message.part.updated", "signup": "session.created"}
+_KIND = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _KINDS.items()) + " END"
+
+
+@query("dispatched_sessions", f"WITH e AS (SELECT user_id AS session, event_id AS id, ts, {_KIND} AS kind FROM events) SELECT session, CASE WHEN arg_max(kind, (ts, id)) = 'session.idle' THEN 'session.idle' ELSE 'session.active' END AS state, arg_max(kind, (ts, id)) AS last_event FROM e GROUP BY session")
+def dispatched_sessions(spark, sf):
+    """What the dispatch of all events leaves of each session."""
+    root = Scratch(spark, "dispatch").root
+    rows = _event_stream(spark, sf).select(F.col("user_id").alias("session_id"), F.col("event_id").alias("id"), "ts", F.expr(_KIND).alias("event_type"), F.concat(F.lit("f"), F.get_json_object("props", "$.k")).alias("file"))
+    d = dispatch.Dispatcher(spark, f"{root}/tables", dispatch.standard_handlers())
+    d.start(rows, f"{root}/checkpoint").awaitTermination()
+    return d.table("sessions").select("session", "state", "last_event")
+
+
+# ---- rows of the survey that had no query ----
+
+
+@query("fallback_reranked", rf"WITH {NODES}, w AS (SELECT id, importance, list_distinct(list_filter(string_split_regex(regexp_replace(lower(coalesce(content, '')), '[^\w\s]', ' ', 'g'), '\s+'), lambda t: length(t) >= 2)) AS words FROM nodes) SELECT id, round(0.7e0 * importance + 0.3e0 * len(list_intersect(words, ['the', 'of', 'and', 'data'])) / 4, 6) AS final FROM w")
+def fallback_reranked(spark, sf):
+    pool = nodes(spark, sf).select("id", "importance", tx.tokens(F.coalesce("content", F.lit(""))).alias("words"))
+    return hybrid.fallback_rerank(pool, F.col("words"), QUERY.split()).select("id", F.round("final", 6).alias("final"))
+
+
+@query("pruned_inputs", "SELECT event_id AS id, CASE WHEN event_type = 'error' AND length(concat('user ', user_id, ' did ', props)) > 20 THEN '[input pruned]' ELSE concat('user ', user_id, ' did ', props) END AS said, event_type AS kind FROM events")
+def pruned_inputs(spark, sf):
+    args = F.create_map(F.lit("said"), F.concat(F.lit("user "), "user_id", F.lit(" did "), "props"), F.lit("kind"), F.col("event_type"))
+    kept_ = events(spark, sf).select(F.col("event_id").alias("id"), compress.pruned_inputs(args, F.col("event_type") == "error").alias("m"))
+    return kept_.select("id", F.element_at("m", "said").alias("said"), F.element_at("m", "kind").alias("kind"))
+
+
+@query("intent_turns", "SELECT turn, conv_id AS id, text FROM conversations WHERE role = 'user' ORDER BY turn, conv_id LIMIT 200")
+def intent_turns(spark, sf):
+    lines = src.table(spark, sf, "conversations").select(F.col("role").alias("session_id"), "turn", F.col("conv_id").alias("id"), "text")
+    return telemetry.intent_lines(lines, "user").select("turn", "id", "text")
+
+
+@query("backfilled_postings", f"WITH {NODES}, t AS (SELECT id, {TOK.format(x='content')} AS toks FROM nodes), u AS (SELECT id, unnest(toks) AS term FROM t) SELECT id, term, count(*) AS frequency FROM u GROUP BY ALL")
+def backfilled_postings(spark, sf):
+    return store.backfilled(nodes(spark, sf).withColumn("summary", F.lit(None).cast("string")), NOW)["postings"]
