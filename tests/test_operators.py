@@ -335,6 +335,11 @@ def test_pressure(spark):
     assert [r.phase for r in telemetry.pressure(t, 100).orderBy("id").collect()] == ["normal", "warn", "critical"]
 
 
+def test_pressure_at_a_bound_does_not_depend_on_rounding(spark):
+    t = spark.range(1, 21).selectExpr("id", "1L AS session_id", "id AS ts", "0.35D AS tokens")  # 7, which doubles miss when added one by one
+    assert [r.id for r in telemetry.pressure(t, 10).filter("phase = 'warn'").collect()] == [20]
+
+
 def test_depth_of_a_tree_of_many_nodes(spark, tmp_path):
     import duckdb
     from mnemosaic.plans import catalogue
