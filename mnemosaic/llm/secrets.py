@@ -173,14 +173,29 @@ def _windows(pieces: Iterator[bytes]) -> Iterator[str]:
         yield held.decode("utf-8", "replace")
 
 
-def _raw_deflate(raw: bytes) -> bytes | None:
-    """What a whole run of deflated data without a header says, if it ends where the run does; short, as its end has to be seen first."""
-    d = zlib.decompressobj(-15)
+def _raw_deflate(raw: bytes) -> Iterator[bytes]:
+    """Pieces of what a whole run of deflated data without a header says, of any length; none unless it ends where the run does.
+
+    Its end has to be seen first, so it is read twice: once to the end, keeping nothing, then for its pieces.
+    """
+
+    def pieces() -> Iterator[bytes]:
+        d, rest = zlib.decompressobj(-15), raw
+        while not d.eof:
+            got = d.decompress(rest, WINDOW)
+            rest = d.unconsumed_tail
+            if not got and not d.eof:
+                raise zlib.error("it ends early")
+            yield got
+        if d.unused_data:
+            raise zlib.error("it ends before the run")
+
     try:
-        got = d.decompress(raw, WINDOW)
+        for _ in pieces():
+            pass
     except zlib.error:
-        return None
-    return got if d.eof and not d.unused_data and PRINTED.search(got) else None
+        return
+    yield from pieces()
 
 
 class Decoded:
@@ -218,8 +233,9 @@ def _unbase64(text: str) -> Iterator[tuple[str, Places | Decoded, str]]:
             for x in MAGIC.finditer(raw):
                 for window in _windows(_inflated(raw[x.start() :])):
                     yield window, Places([(0, m.start(), m.end(), False)]), "compressed"
-            if (skip == 0 or lines[0][1] > m.start()) and (plain := _raw_deflate(raw)) is not None:
-                yield plain.decode("utf-8", "replace"), Places([(0, m.start(), m.end(), False)]), "compressed"
+            if skip == 0 or lines[0][1] > m.start():
+                for window in _windows(_raw_deflate(raw)):
+                    yield window, Places([(0, m.start(), m.end(), False)]), "compressed"
             for x in WIDE.finditer(raw):
                 wide = x.group()
                 yield wide.decode("utf-16-le" if wide[1] == 0 else "utf-16-be"), Places([(0, m.start(), m.end(), False)]), "utf-16"

@@ -168,6 +168,23 @@ def test_more_kinds_of_layers():
         assert any(k == "assign" for k, *_ in secrets.find_secrets(text)), text
 
 
+def test_raw_deflate_of_any_length(monkeypatch):
+    import random
+    import zlib as z
+
+    def packed(plain, end=True):
+        deflate = z.compressobj(9, z.DEFLATED, -15)
+        return deflate.compress(plain) + (deflate.flush() if end else deflate.flush(z.Z_SYNC_FLUSH))
+
+    rng = random.Random(7)
+    lines = "\n".join(" ".join(rng.choices("one two three four".split(), k=9)) for _ in range(400)).encode()
+    plain = lines + b"\npassword = hunter2222\n" + lines
+    monkeypatch.setattr(secrets, "WINDOW", 1 << 10)
+    found = lambda raw: [k for k, *_ in secrets.find_secrets("x " + base64.b64encode(raw).decode() + " y")]
+    assert found(packed(plain)) == ["assign"]
+    assert found(packed(plain, end=False)) == [] == found(packed(plain) + b"more")
+
+
 def test_inflated_layers_without_line_ends_stay_bounded(monkeypatch):
     import gzip
     import tracemalloc
