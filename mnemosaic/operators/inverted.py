@@ -12,19 +12,24 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..sources.shared import Segments
+from ..sources.shared import Scratch, Segments
 from .lexical import B, K1, query_terms
 
 BUCKETS, BLOCK_BITS = 64, 8
 #: Blocks that are named in the filter of a scan; more are joined.
 NAMED = 1_000
 ENTRY = "scope string, term string, block bigint, ids array<bigint>, tfs array<int>, dls array<int>"
-BOUND = "scope string, term string, block bigint, n int, max_tf int, min_dl int"
+BOUNDS = "n int, max_tf int, min_dl int"
+BOUND = f"scope string, term string, block bigint, {BOUNDS}"
 TERM, TOTAL, GONE = "scope string, term string, df bigint", "scope string, n bigint, length bigint", "id bigint"
 
 
@@ -36,6 +41,29 @@ def _bucket_of(term: str) -> int:
     return zlib.crc32(term.encode()) % BUCKETS
 
 
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries with their bounds, of rows (id, scope, block, dl, t). Rows of a block that come in two batches give two entries of a term."""
+    names = ["scope", "term", "block", "ids", "tfs", "dls", "n", "max_tf", "min_dl"]
+    for b in batches:
+        rows = pa.table(b).sort_by([("block", "ascending"), ("scope", "ascending"), ("id", "ascending")]).combine_chunks()
+        column = lambda c: rows[c].combine_chunks() if isinstance(rows[c], pa.ChunkedArray) else rows[c]  # noqa: B023, E731
+        words = column("t")
+        term = pc.list_flatten(words).dictionary_encode()
+        if not len(term):
+            continue
+        block, scope = column("block").to_numpy(), pc.fill_null(column("scope").dictionary_encode().indices, -1).to_numpy()
+        own = np.cumsum(np.r_[0, (block[1:] != block[:-1]) | (scope[1:] != scope[:-1])])  # rows of one block and scope
+        key, tf = np.unique(term.indices.to_numpy().astype(np.int64) * len(rows) + pc.list_parent_indices(words).to_numpy(), return_counts=True)
+        code, row = np.divmod(key, len(rows))
+        start = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (own[row[1:]] != own[row[:-1]])])
+        ends = pa.array(np.r_[start, len(key)].astype(np.int32))
+        tf, dl = tf.astype(np.int32), column("dl").to_numpy()[row].astype(np.int32)
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (column("id").to_numpy()[row], tf, dl)]
+        bounds = [np.diff(np.r_[start, len(key)]).astype(np.int32), np.maximum.reduceat(tf, start), np.minimum.reduceat(dl, start)]
+        first = pa.array(row[start])
+        yield pa.RecordBatch.from_arrays([column("scope").take(first), term.dictionary.take(pa.array(code[start])), column("block").take(first), *lists, *map(pa.array, bounds)], names)
+
+
 def _total(state: dict) -> list[int]:
     return [state.get("n", 0), state.get("length", 0)]
 
@@ -57,24 +85,21 @@ class InvertedIndex:
 
     def _statistics(self, counted: DataFrame, segment: int, sign: int) -> list[int]:
         """Writes rows and lengths by scope, and gives those of all."""
-        counted.groupBy("scope").agg((F.count("*") * sign).alias("n"), (F.sum(F.size("t")) * sign).cast("long").alias("length")).write.parquet(self.segments.path(segment, "totals"))
+        counted.groupBy("scope").agg((F.count("*") * sign).alias("n"), (F.sum("dl") * sign).cast("long").alias("length")).write.parquet(self.segments.path(segment, "totals"))
         return list(self.spark.read.schema(TOTAL).parquet(self.segments.path(segment, "totals")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first())
 
     def _write(self, counted: DataFrame, segment: int) -> list[int]:
         at = lambda table: self.segments.path(segment, table)
-        counted.withColumn("row", F.monotonically_increasing_id()).write.parquet(at("rows"))
+        counted.withColumns({"row": F.monotonically_increasing_id(), "dl": F.size("t")}).write.parquet(at("rows"))
         rows = self.spark.read.parquet(at("rows"))
         total = self._statistics(rows, segment, 1)
-        words = rows.select("id", "scope", F.shiftright("row", BLOCK_BITS).alias("block"), F.size("t").alias("dl"), F.explode("t").alias("term"))
-        found = words.groupBy("scope", "block", "term", "id", "dl").agg(F.count("*").cast("int").alias("tf"))
-        entry = F.array_sort(F.collect_list(F.struct("id", "tf", "dl")))  # the rows of a block at most
-        blocks = found.groupBy("scope", "term", "block").agg(entry.alias("e")).select("scope", "term", "block", "e.id", "e.tf", "e.dl", _bucket(F.col("term")).alias("bucket")).toDF("scope", "term", "block", "ids", "tfs", "dls", "bucket")
+        # rows of a block lie together, so a task makes their entries without an exchange
+        made = rows.select("id", "scope", F.shiftright("row", BLOCK_BITS).alias("block"), "dl", "t").mapInArrow(_entries, f"{ENTRY}, {BOUNDS}")
         # a bucket is split by size, and sorted so that a term's row groups are found by their bounds
-        dealt = blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "scope", "block")
+        dealt = made.withColumn("bucket", _bucket(F.col("term"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "scope", "block")
         dealt.write.partitionBy("bucket").parquet(at("entries"))
         kept = self.spark.read.parquet(at("entries"))
-        bounds = kept.select("scope", "term", "block", F.size("ids").alias("n"), F.array_max("tfs").alias("max_tf"), F.array_min("dls").alias("min_dl"))
-        self._sorted(bounds, at("bounds"))
+        self._sorted(kept.select("scope", "term", "block", "n", "max_tf", "min_dl"), at("bounds"))
         self._sorted(self.spark.read.parquet(at("bounds")).groupBy("scope", "term").agg(F.sum("n").alias("df")), at("terms"))
         return total
 
@@ -98,10 +123,13 @@ class InvertedIndex:
     def _take_out(self, old: DataFrame, segment: int) -> list[int]:
         """old: rows as they were counted. Their ids go from the segments before, their numbers from the statistics."""
         at = lambda table: self.segments.path(segment, table)
+        scratch = Scratch(self.spark, "taken")
+        old = scratch.keep(old.withColumn("dl", F.size("t")))  # the live rows are read once
         old.select("id").write.parquet(at("gone"))
         total = self._statistics(old, segment, -1)
         terms = old.select("scope", F.explode(F.array_distinct("t")).alias("term")).groupBy("scope", "term").agg((-F.count("*")).alias("df"))
         self._sorted(terms, at("terms"))
+        scratch.drop(old)
         return total
 
     def delete(self, ids: DataFrame, id_: str = "id") -> None:

@@ -25,6 +25,17 @@ def same_scores(got, want):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in got)
 
 
+def test_entries_of_an_index_carry_their_bounds(spark):
+    rows = some_rows(random.Random(3), 300)
+    index = inverted.InvertedIndex(spark, f"{Scratch(spark, 'i').root}/x")
+    index.insert(frame(spark, rows).repartition(2), "id", F.col("text"), "scope")
+    kept = spark.read.parquet(index.segments.path(0, "entries")).collect()
+    words = {i: Counter(w for w in t.split() if len(w) > 1) for i, _, t in rows}
+    scope, length = {r[0]: r[1] for r in rows}, {i: sum(c.values()) for i, c in words.items()}
+    assert sorted((i, r.term, tf, dl) for r in kept for i, tf, dl in zip(r.ids, r.tfs, r.dls)) == sorted((i, w, n, length[i]) for i, c in words.items() for w, n in c.items())
+    assert all((r.n, r.max_tf, r.min_dl) == (len(r.ids), max(r.tfs), min(r.dls)) and r.ids == sorted(r.ids) and {scope[i] for i in r.ids} == {r.scope} for r in kept)
+
+
 @pytest.mark.parametrize("bits", [1, 8])
 def test_index_equals_a_rebuild_after_any_changes(spark, monkeypatch, bits):
     monkeypatch.setattr(inverted, "BLOCK_BITS", bits)
