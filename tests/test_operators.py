@@ -295,6 +295,19 @@ def test_metrics(spark):
     assert value(spark, evaluate.token_f1(F.lit("a b c"), F.lit("a b d"))) == pytest.approx(2 / 3)
 
 
+def test_metrics_of_labels_make_no_pairs(spark, sf):
+    from mnemosaic.plans import catalogue
+
+    points = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, "a"), (6, "c")], "id long, label string")
+    queries = points.filter("id IN (1, 3, 4, 6)").withColumnRenamed("id", "query_id")
+    ranked = spark.createDataFrame([(1, 3, 1), (1, 2, 2), (1, 5, 4), (3, 1, 1), (4, 1, 1), (6, 1, 1)], "query_id long, id long, rank int")
+    relevant = queries.join(points, "label").filter("id <> query_id").select("query_id", "id")
+    rows = lambda m: sorted(map(tuple, m.collect()))
+    assert rows(evaluate.label_metrics(ranked, queries, points)) == rows(evaluate.ranking_metrics(ranked, relevant))
+    plan = catalogue.QUERIES["eval_hitrate_mrr"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(distinct" not in plan  # of pairs of a query and each row of its label
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "j").mkdir()
     (tmp_path / "j" / "a.md").write_text("---\ntitle: One\ndate: 2024-01-02\ntags: [x, y]\n---\nbody about spark\n")
