@@ -25,10 +25,19 @@ def next_edges(turns: DataFrame, by: str, order: list[str], id_: str, kind: str
     return turns.withColumn("dst", F.lag(id_).over(w)).filter("dst IS NOT NULL").select(F.col(id_).alias("src"), "dst", F.lit(kind).alias("edge_type"), F.lit(weight).alias("confidence"))
 
 
+#: Shares into which the references to a label are dealt.
+SHARES = 16
+
+
 def reference_edges(nodes: DataFrame, refs: DataFrame, weight: float = 0.8) -> DataFrame:
-    """refs(id, label): edges to the nodes of those labels, itself left out."""
-    to = nodes.select(F.col("id").alias("dst"), "label")
-    return refs.join(to, "label").filter("id <> dst").select(F.col("id").alias("src"), "dst", F.lit("REFERENCES").alias("edge_type"), F.lit(weight).alias("confidence")).distinct()
+    """refs(id, label): edges to the nodes of those labels, itself left out. Ids of nodes are unique.
+
+    Both sides are made distinct, so the edges are, and don't go through an exchange; a label's references are dealt into shares.
+    """
+    share = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))
+    to = nodes.filter("label IS NOT NULL").select(F.col("id").alias("dst"), "label").distinct().withColumn("_share", share)
+    said = refs.select("id", "label").distinct().withColumn("_share", F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("int"))
+    return said.join(to, ["label", "_share"]).filter("id <> dst").select(F.col("id").alias("src"), "dst", F.lit("REFERENCES").alias("edge_type"), F.lit(weight).alias("confidence"))
 
 
 def resolve_links(links: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -308,6 +308,15 @@ def test_metrics_of_labels_make_no_pairs(spark, sf):
     assert "count(distinct" not in plan  # of pairs of a query and each row of its label
 
 
+def test_edges_of_references_are_not_dealt_again(spark):
+    nodes = spark.createDataFrame([(1, "x"), (2, "x"), (3, None), (4, "y")], "id long, label string")
+    refs = spark.createDataFrame([(1, "x"), (1, "x"), (3, "x"), (4, "x"), (4, "y"), (3, None)], "id long, label string")
+    made = graph.reference_edges(nodes, refs)
+    assert sorted((r.src, r.dst) for r in made.collect()) == [(1, 2), (3, 1), (3, 2), (4, 1), (4, 2)]
+    top = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not top[0].startswith("Aggregate")
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "j").mkdir()
     (tmp_path / "j" / "a.md").write_text("---\ntitle: One\ndate: 2024-01-02\ntags: [x, y]\n---\nbody about spark\n")
