@@ -317,6 +317,13 @@ def test_edges_of_references_are_not_dealt_again(spark):
     assert not top[0].startswith("Aggregate")
 
 
+def test_similar_pairs_go_by_small_blocks():
+    import inspect
+
+    most = inspect.signature(dense.similar_pairs).parameters["block"].default
+    assert most**2 * 24 * 0.04 < 300e6  # bytes of the pairs of two blocks, if a twenty-fifth of all are similar
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "j").mkdir()
     (tmp_path / "j" / "a.md").write_text("---\ntitle: One\ndate: 2024-01-02\ntags: [x, y]\n---\nbody about spark\n")
