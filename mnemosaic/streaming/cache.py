@@ -26,8 +26,16 @@ def _ms(t) -> int:
     return int(t.value // 1_000_000) if isinstance(t, pd.Timestamp) else int(t.timestamp() * 1000)
 
 
+def _us(times: pd.Series) -> list[int]:
+    return times.astype("datetime64[us]").astype("int64").tolist()
+
+
 class _Kept(StatefulProcessor):
-    """held: key -> (first_id, last time, time it goes). A key that is seen again within the time lives on; a timer for each time at which one may go."""
+    """held: key -> (first_id, last time in microseconds). A key that is seen again within the time lives on.
+
+    State is read and written once for each key of a micro-batch, not for each row, and a micro-batch sets one timer, for the time at which the
+    last of its keys may go; all that may go by then go with it.
+    """
 
     def __init__(self, keep_ms: int, session: str):
         self.keep_ms, self.session = keep_ms, session
@@ -37,22 +45,22 @@ class _Kept(StatefulProcessor):
         self.held = handle.getMapState("held", "key string", "first_id bigint, last bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        all_ = pd.concat(list(rows)).sort_values(["ts", "id"])
-        for i, ts, k in zip(all_["id"], all_["ts"], all_["key"]):
-            at = _ms(ts)
-            known = self.held.getValue((k,)) if self.held.containsKey((k,)) else None
-            cached = known is not None and at - known[1] <= self.keep_ms
-            first = int(known[0]) if cached else int(i)
-            last = max(at, int(known[1])) if cached else at
-            self.held.updateValue((k,), (first, last))
-            self.handle.registerTimer(last + self.keep_ms + 1)
-            out.append((key[0], int(i), k, first, cached))
+        out, known = [], {}
+        for at, i, k in sorted(r for part in rows for r in zip(_us(part["ts"]), part["id"].tolist(), part["key"].tolist())):
+            if k not in known:
+                known[k] = self.held.getValue((k,)) if self.held.containsKey((k,)) else None
+            first, last = known[k] or (i, at)
+            cached = known[k] is not None and at - last <= 1000 * self.keep_ms
+            known[k] = (int(first), max(at, int(last))) if cached else (i, at)
+            out.append((key[0], i, k, known[k][0], cached))
+        for k, v in known.items():
+            self.held.updateValue((k,), v)
+        self.handle.registerTimer(max(last for _, last in known.values()) // 1000 + self.keep_ms + 1)
         yield pd.DataFrame(out, columns=[self.session, "id", "key", "first_id", "cached"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        for k in [k for k, v in self.held.iterator() if v[1] + self.keep_ms < now]:
+        for k in [k for k, v in self.held.iterator() if v[1] // 1000 + self.keep_ms < now]:
             self.held.removeKey(k)
         yield from ()
 

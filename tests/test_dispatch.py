@@ -122,3 +122,62 @@ def test_idle_sessions_are_told_once(spark, tmp_path):
     q.awaitTermination()
     got = sorted((r.session_id, r.ts, r.event_type, r.events) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(1, T0 + dt.timedelta(minutes=45), "session.idle", 3), (2, T0 + dt.timedelta(minutes=5), "session.idle", 1)]
+
+
+class _Held:
+    """State of one session in memory, which counts what is asked of it."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = {}, [], 0
+
+    def getMapState(self, *_):
+        return self
+
+    def containsKey(self, k):
+        self.calls += 1
+        return k in self.rows
+
+    def getValue(self, k):
+        self.calls += 1
+        return self.rows[k]
+
+    def updateValue(self, k, v):
+        self.calls += 1
+        self.rows[k] = v
+
+    def removeKey(self, k):
+        del self.rows[k]
+
+    def iterator(self):
+        return iter(list(self.rows.items()))
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_kept_outputs_ask_for_state_once_a_key():
+    import pandas as pd
+
+    held = _Held()
+    p = cache._Kept(3_600_000, "session_id")
+    p.init(held)
+    start = pd.Timestamp("2024-01-01")
+    # the last row comes an hour and half a millisecond after the one before it
+    times = [start + pd.Timedelta(seconds=i) for i in range(1000)] + [start + pd.Timedelta(seconds=999 + 3600, microseconds=500)]
+    rows = pd.DataFrame({"id": range(1001), "ts": times, "key": [f"k{i % 2}" for i in range(999)] + ["k0", "k0"]})
+    out = pd.concat(p.handleInputRows((7,), iter([rows.iloc[500:], rows.iloc[:500]]), None))
+    assert out["id"].tolist() == list(range(1001)) and [i for i, c in zip(out["id"], out["cached"]) if not c] == [0, 1, 1000]
+    assert held.calls <= 6 and len(held.timers) == 1
+    assert held.rows[("k0",)][0] == 1000 and held.rows[("k1",)][0] == 1
+
+    class Info:
+        def __init__(self, at):
+            self.at = at
+
+        def getExpiryTimeInMs(self):
+            return self.at
+
+    list(p.handleExpiredTimer((7,), None, Info(held.timers[0] - 1000)))
+    assert list(held.rows) == [("k0",)]
+    list(p.handleExpiredTimer((7,), None, Info(held.timers[0])))
+    assert not held.rows
