@@ -159,16 +159,23 @@ def surprising(edges: DataFrame, community: DataFrame, top: int = 15) -> DataFra
     return edges.join(a, "src").join(b, "dst").filter("c_src <> c_dst").withColumn("score", score).orderBy(F.desc("score"), "src", "dst").limit(top)
 
 
+#: Edges that a task of label propagation counts labels over, about.
+TASK_EDGES = 1 << 20
+
+
 def label_propagation(edges: DataFrame, rounds: int = 5, least: int = 3, scratch: Scratch | None = None) -> DataFrame:
     """(id, community): in each round a node takes the commonest label around it, the smallest on ties. Labels are written between rounds.
 
+    Edges go by node to as many tasks as they need before anything is counted, so a task's tables are as large over any number of edges.
     community.louvain() is the one that maximises modularity.
     """
     scratch = scratch or Scratch(edges.sparkSession, "labels")
-    both = scratch.keep(symmetric(edges.select("src", "dst")).distinct())
-    label = both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
+    given = scratch.keep(edges.select("src", "dst"))
+    tasks = 2 * given.count() // TASK_EDGES + 1
+    both = scratch.keep(symmetric(given).repartition(tasks, "src").distinct())
+    label = both.select(F.col("src").alias("id")).repartition(tasks, "id").distinct().withColumn("community", F.col("id"))
     for _ in range(rounds):
-        seen = both.join(label.withColumnRenamed("id", "dst"), "dst").groupBy("src", "community").agg(F.count("*").alias("n"))
+        seen = both.join(label.withColumnRenamed("id", "dst"), "dst").select("src", "community").repartition(tasks, "src").groupBy("src", "community").agg(F.count("*").alias("n"))
         label = scratch.keep(seen.groupBy("src").agg(F.max_by("community", F.struct("n", -F.col("community"))).alias("community")).withColumnRenamed("src", "id"))
     size = label.groupBy("community").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
     return label.join(size.select("community"), "community", "left_semi").select("id", "community")
