@@ -156,10 +156,11 @@ def subtask(calls: DataFrame, session: str = "session_id", tool: str = "tool", c
 def pressure(turns: DataFrame, window_tokens: int, session: str = "session_id", order: tuple[str, ...] = ("ts", "id")) -> DataFrame:
     """Running share of a context window by session, and the phase it puts the session in; first marks a phase's first turn.
 
-    Sums count to the sixth decimal, so that one that reaches a bound exactly does so in whatever order it was added up.
+    Sums count to the ninth decimal, so that one that reaches a bound exactly does so in whatever order it was added up.
+    Turns without a time come last.
     """
-    w = Window.partitionBy(session).orderBy(*order)
-    used = F.round(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6) / window_tokens
+    w = Window.partitionBy(session).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    used = F.round(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)), 9) / window_tokens
     phase = F.when(F.col("used") >= 0.95, "critical").when(F.col("used") >= 0.85, "aggressive").when(F.col("used") >= 0.7, "warn").otherwise("normal")
     out = turns.withColumn("used", used).withColumn("phase", phase)
     return out.withColumn("first", ~F.coalesce(F.lag("phase").over(w) == F.col("phase"), F.lit(False)))

@@ -43,7 +43,7 @@ def pressure_phases(stream: DataFrame, window_tokens: float, session: str = "use
         rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
         for t in rows[tokens]:
             used += float(t)
-            now = next((name for least, name in steps if round(used, 6) / window_tokens >= least), "normal")
+            now = next((name for least, name in steps if round(used, 9) / window_tokens >= least), "normal")
             if rank[now] > rank[phase]:
                 phase = now
                 out.append((key[0], phase, used / window_tokens))

@@ -369,6 +369,19 @@ def test_pressure_at_a_bound_does_not_depend_on_rounding(spark):
     assert [r.id for r in telemetry.pressure(t, 10).filter("phase = 'warn'").collect()] == [20]
 
 
+def test_pressure_of_turns_without_time_and_sums_just_below_a_bound(spark, tmp_path):
+    import duckdb
+    from mnemosaic.plans import catalogue
+
+    con = duckdb.connect()
+    rows = "(1, NULL, 1, 900.0), (2, TIMESTAMP '2024-01-01', 1, 2000.0), (3, TIMESTAMP '2024-01-02', 1, NULL), (4, TIMESTAMP '2024-01-01', 2, 2099.9999998), (5, TIMESTAMP '2024-01-02', 2, 0.0000002), (6, NULL, NULL, 2600.0), (7, NULL, NULL, 300.0)"
+    con.execute(f"COPY (SELECT event_id::BIGINT AS event_id, ts, user_id::BIGINT AS user_id, 'view' AS event_type, value::DOUBLE AS value, '{{}}' AS props FROM (VALUES {rows}) t(event_id, ts, user_id, value)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = sorted(con.execute(catalogue.SQL["pressure_phases"]).fetchall())
+    assert {i: phase for i, phase, _ in want} == {1: "critical", 2: "normal", 3: "normal", 4: "normal", 5: "warn", 6: "aggressive", 7: "critical"}
+    assert sorted((r.id, r.phase, r.first) for r in catalogue.QUERIES["pressure_phases"](spark, str(tmp_path)).collect()) == want
+
+
 def test_depth_of_a_tree_of_many_nodes(spark, tmp_path):
     import duckdb
     from mnemosaic.plans import catalogue
